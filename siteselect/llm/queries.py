@@ -26,3 +26,17 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held = simhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
     return held.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import packing
+
+    pieces = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), _tokenizer())
+    return pieces.withColumnRenamed("id", "doc_id").drop("ids")
