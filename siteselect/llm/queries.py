@@ -40,3 +40,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pieces = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), _tokenizer())
     return pieces.withColumnRenamed("id", "doc_id").drop("ids")
+
+
+@query
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import minhash
+
+    return minhash.with_edits(documents(spark, sf_dir).select("doc_id", "text"))
