@@ -55,3 +55,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import languages
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = languages.fit(docs.where(~languages.held_out()))
+    predicted = languages.predict(docs.select("doc_id", "text"), model)
+    return predicted.select(F.col("id").alias("doc_id"), languages.held_out("id").alias("held_out"), "lang_pred", "score", "accepted", "bits")
