@@ -65,3 +65,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = languages.fit(docs.where(~languages.held_out()))
     predicted = languages.predict(docs.select("doc_id", "text"), model)
     return predicted.select(F.col("id").alias("doc_id"), languages.held_out("id").alias("held_out"), "lang_pred", "score", "accepted", "bits")
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import licenses
+
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def _oracles() -> None:
+    from siteselect.llm import licenses
+
+    ORACLES["op5_license_scan"] = licenses.oracle()
+
+
+_oracles()
