@@ -74,10 +74,30 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", search.quantised(F.col("embedding")).alias("v"))
+    return search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP3 = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(len(q.v)), lambda i: q.v[i + 1] * c.v[i + 1])) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
+
+
 def _oracles() -> None:
     from siteselect.llm import licenses
 
     ORACLES["op5_license_scan"] = licenses.oracle()
+    ORACLES["op3_exact_top_k"] = OP3
 
 
 _oracles()
