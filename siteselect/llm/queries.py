@@ -82,6 +82,13 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import lines
+
+    return lines.report(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 OP3 = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -94,8 +101,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def _oracles() -> None:
-    from siteselect.llm import licenses
+    from siteselect.llm import licenses, lines
 
+    ORACLES["op10_line_dedup"] = lines.ORACLE
     ORACLES["op5_license_scan"] = licenses.oracle()
     ORACLES["op3_exact_top_k"] = OP3
 
