@@ -333,3 +333,26 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def held_out(id_col: str = "doc_id", by: int = 4, remainder: int = 2) -> Column:
     """Whether the CRC-32 of the id as text leaves the remainder; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % by == remainder, F.lit(False))
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs without the rows whose text `predict` does not accept: null texts, texts without letters and those that fit no language.
+
+    Rows pass through with all their columns; nothing is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        words = _Words(m)
+        for batch in batches:
+            for low in range(0, batch.num_rows, 128):
+                part = batch.slice(low, 128)
+                mask = []
+                for rows in words.rows([words_of(t) for t in part.column(at).to_pylist()]):
+                    n = float(words.chars[rows].sum())
+                    mask.append(bool(n and len(m.langs) and judge(m, -words.scores[rows].sum(axis=0) / n, n)[2]))
+                yield part.filter(pa.array(mask, pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

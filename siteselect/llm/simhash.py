@@ -87,9 +87,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest id stays (of repeated ids, one row).
 
-    All columns of docs are kept. Rows without words form one group, as fingerprint 0 does.
+    All columns of docs are kept. Rows without words form one group, as fingerprint 0 does. Rows with a null id take no part and stay.
     """
-    held = groups(docs, id_col, text_col, width, distance)
-    stay = held.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["id"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    held = groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, distance)
+    stay = held.where(F.col("id") == F.col("component")).select(F.col("id").alias("_simhash_id")).distinct()
+    kept = docs.join(stay, docs[id_col] == stay["_simhash_id"], "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
