@@ -89,6 +89,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import scoring
+
+    return scoring.score(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 OP3 = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
