@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -13,59 +14,77 @@ from pyspark.sql import functions as F
 
 from siteselect.llm.common import keep, map_arrow, partitions
 
-#: Entries of a worker's word cache; it is emptied when full, so that a worker's memory is bounded.
-CACHE_WORDS = 400_000
-#: Longer chunks between white space are encoded each time.
-CACHE_BYTES = 64
+#: Entries of a worker's cache; a full one is emptied, so that a worker's memory is bounded.
+CACHE_PIECES = 500_000
+#: Longer pieces are encoded each time.
+CACHE_LENGTH = 64
+#: Texts of these characters alone are cut into pieces here, after lower-casing, as a word-level tokenizer with this vocabulary format cuts them.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
 
 
-class WordIds(dict):
-    """From a chunk between white space (UTF-8) to its packed ids.
+class TextIds:
+    """From texts to packed ids, by way of a tokenizer's pieces.
 
-    A tokenizer that drops white space gives the ids of a text as those of its chunks, one after the other; a corpus
-    repeats its chunks, so that most of them are looked up and few are encoded.
+    A tokenizer that drops white space gives the ids of a text as those of its pieces, one after the other; a corpus repeats its pieces, so that
+    most are looked up, and only new ones are encoded, many as one text. Texts with characters beyond Latin ones, or with a
+    special token, are cut at ASCII white space and those chunks encoded and kept.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode many chunks as one text and cut its ids at the chunks' offsets."""
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        for at in range(0, len(texts), 2000):
-            part = texts[at : at + 2000]
+    def _encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _many(self, fresh: list[str]) -> dict[str, bytes]:
+        """Encode pieces as one text and cut its ids at their offsets."""
+        found = {}
+        for at in range(0, len(fresh), 4000):
+            part = fresh[at : at + 4000]
             encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ends = np.cumsum([len(t) + 1 for t in part])
             starts = np.fromiter((o[0] for o in encoded.offsets), dtype=np.int64, count=len(encoded.ids))
-            ids = np.asarray(encoded.ids, dtype=self.dtype)
-            cuts = np.searchsorted(starts, ends)
+            packed = np.asarray(encoded.ids, dtype=self.dtype).tobytes()
             low = 0
-            for chunk, high in zip(chunks[at : at + 2000], cuts.tolist(), strict=True):
-                self[chunk] = ids[low:high].tobytes()
+            for piece, high in zip(part, (np.searchsorted(starts, ends) * np.dtype(self.dtype).itemsize).tolist(), strict=True):
+                found[piece] = packed[low:high]
                 low = high
+        return found
 
-    def alone(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [t.split() for t in texts]
-        missing = {c for chunks in split for c in chunks if c not in self and len(c) <= CACHE_BYTES}
-        if len(self) + len(missing) > CACHE_WORDS:
-            self.clear()
-            missing = {c for chunks in split for c in chunks if len(c) <= CACHE_BYTES}
-        self.learn(list(missing))
-        return [b"".join([self[c] if c in self else self.alone(c) for c in chunks]) if any(len(c) > CACHE_BYTES for c in chunks) else b"".join(map(self.__getitem__, chunks)) for chunks in split]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
+        cut = [_PIECES.findall(t.lower()) if p else re.split("[ \t\n\r\x0b\x0c]+", t.strip(" \t\n\r\x0b\x0c")) for t, p in zip(texts, plain, strict=True)]
+        looked = [list(map(self.known.get, pieces)) if p else None for pieces, p in zip(cut, plain, strict=True)]
+        fresh: set[str] = set()
+        for pieces, ids in zip(cut, looked, strict=True):
+            if ids and None in ids:
+                fresh.update(c for c, i in zip(pieces, ids, strict=True) if i is None)
+        found = self._many(list(fresh))
+        odd: dict[str, bytes] = {}
+        out = []
+        for pieces, ids in zip(cut, looked, strict=True):
+            if ids is None:
+                for c in pieces:
+                    if c not in odd:
+                        odd[c] = self._encode(c)
+                out.append(b"".join(map(odd.__getitem__, pieces)))
+            else:
+                out.append(b"".join([found[c] if i is None else i for c, i in zip(pieces, ids, strict=True)] if None in ids else ids))
+        if len(self.known) + len(found) > CACHE_PIECES:
+            self.known.clear()
+        self.known.update((c, i) for c, i in found.items() if len(c) <= CACHE_LENGTH)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def _words(path: str) -> WordIds:
-    return WordIds(path)
+def _ids(path: str) -> TextIds:
+    return TextIds(path)
 
 
 #: Hashed features, curve dimensions and bits for each dimension; dims * bits <= 62.
@@ -124,17 +143,17 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(tokenizer_path)
-        wide = np.dtype(words.dtype).itemsize
-        end = np.asarray([end_id], dtype=words.dtype).tobytes()
+        texts = _ids(tokenizer_path)
+        wide = np.dtype(texts.dtype).itemsize
+        end = np.asarray([end_id], dtype=texts.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                packed = [p + end for p in words.encode([t or b"" for t in part.column(1).to_pylist()])]
-                keys = curve_keys([np.frombuffer(p, dtype=words.dtype) for p in packed])
+                packed = [p + end for p in texts.encode([t or "" for t in part.column(1).to_pylist()])]
+                keys = curve_keys([np.frombuffer(p, dtype=texts.dtype) for p in packed])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array([len(p) // wide for p in packed], pa.int64()), pa.array([wide] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["id", "key", "n", "wide", "ids"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), run, f"id {kind}, key long, n long, wide int, ids binary")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {kind}, key long, n long, wide int, ids binary")
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
