@@ -96,6 +96,14 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import quality
+
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnRenamed("id", "doc_id")
+
+
 OP3 = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
