@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from siteselect.llm.common import keep, lower_ascii
+from siteselect.llm.common import keep, partitions, scratch
 
-WORD = r"[^\x20\x09-\x0D]+"
+#: What a text must have to hold a token.
+TOKEN = r"[^ \t\r\n]"
 #: Lines with fewer distinct tokens are left alone.
 MIN_TOKENS = 3
 #: Lines match at a Jaccard similarity of NUM / DEN or more; kept as integers, so that no comparison rounds.
@@ -16,9 +20,18 @@ NUM, DEN = 4, 5
 BUCKETS, FILTER_BITS = 1 << 16, 1 << 22
 
 
+def words(text: Column) -> Column:
+    """The lower-cased text between blanks, tabs, carriage returns and line feeds, with an empty word for each separator too many. Splitting at one character and
+    lower-casing whole strings cost a fraction of what regular expressions do."""
+    plain = F.lower(text)
+    for mark in ("\t", "\r", "\n"):
+        plain = F.replace(plain, F.lit(mark), F.lit(" "))
+    return F.split(plain, " ")
+
+
 def tokens(line: Column) -> Column:
-    """Distinct tokens: what stands between ASCII white space, A-Z in lower case."""
-    return F.array_distinct(F.regexp_extract_all(lower_ascii(line), F.lit(WORD), F.lit(0)))
+    """Distinct words."""
+    return F.array_remove(F.array_distinct(words(line)), "")
 
 
 def _each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -28,8 +41,8 @@ def _each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """One row with an array: for each bucket of token hashes, how many binary digits its count over all texts has. Its size is fixed."""
-    words = docs.select(F.explode(F.regexp_extract_all(lower_ascii(F.col(text_col)), F.lit(WORD), F.lit(0))).alias("token"))
-    counts = words.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    each = docs.select(F.explode(words(F.col(text_col))).alias("token"))
+    counts = each.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     classes = every.join(counts, "bucket", "left").select("bucket", F.length(F.bin(F.coalesce("n", F.lit(0)))).alias("digits"))
     return keep(classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digits"))), lambda x: x["digits"]).alias("digits")), "rarity")
@@ -48,46 +61,106 @@ def _least_overlap(n: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, line_no, cls, raw, n, prefix): each line with its class, a hash of its token set, and the tokens of its prefix.
+    """(id, row, line_no, cls, raw, n, bits, prefix): each line with its class, a hash of its token set, and the tokens of its prefix.
 
     A line and any match of it share a token among their prefixes, the n - ceil(0.8 n) + 1 rarest tokens of each. Prefix tokens
-    are kept as 32 bits; two that collide only add a candidate.
+    are kept as 32 bits; two that collide only add a candidate. bits are 64 parities of the token hashes: a token that only one
+    of two lines has changes one of them, so they bound the difference of the sets from below.
     """
     digits = _rarity(docs, text_col)
     with_digits = _each(docs, id_col, text_col).withColumn("digits", digits.scalar())
     signed = with_digits.select("id", "row", "line_no", F.xxhash64("line").alias("raw"), _signature(F.col("line"), F.col("digits")).alias("sig")).withColumn("n", F.size("sig")).where(F.col("n") >= MIN_TOKENS)
     prefix = F.slice("sig", F.lit(1), F.col("n") - _least_overlap(F.col("n")) + 1)
-    return keep(signed.select("id", "row", "line_no", F.xxhash64("sig").alias("cls"), "raw", "n", F.transform(prefix, lambda t: F.hash(t)).alias("prefix")), "lines")
+    bits = F.aggregate("sig", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+    out = signed.select("id", "row", "line_no", F.xxhash64("sig").alias("cls"), "raw", F.col("n"), bits.alias("bits"), F.transform(prefix, lambda t: F.hash(t)).alias("prefix"))
+    return _bucketed(out, "cls")
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The table written in buckets of a key, in the shared folder: what groups or joins it by the key shuffles it no more."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    parts = partitions(df)
+    df.repartition(parts, key).write.bucketBy(parts, key).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """(cls, first, more, ord, n, bits, prefix): a class for each token set, with its first line; ord is a number that goes with the order of the first lines."""
+    place = F.struct("id", "row", "line_no")
+    grouped = lines.groupBy("cls").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("more"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    number = isinstance(lines.schema["id"].dataType, IntegralType)
+    return grouped.withColumn("ord", F.coalesce(F.col("first.id").cast("long"), F.lit(-1)) if number else F.lit(0).cast("long"))
+
 
+def _fits(na: Column, nb: Column, a_bits: Column, b_bits: Column) -> Column:
+    """Whether sizes and parities leave room for a match. Two sets of one size below 9 cannot match, as they differ."""
+    overlap = _shared(na, nb)
+    differ = F.bit_count(a_bits.bitwiseXOR(b_bits))
+    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & ((na != nb) | (overlap < na)) & (differ <= na + nb - 2 * overlap)
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes that share a prefix token and pass the length and the positional filter."""
-    posts = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "key"))
-    left = posts.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    right = posts.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    small, large = F.least("na", "nb"), F.greatest("na", "nb")
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # places count from 0
-    on = (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (small * DEN >= large * NUM) & (rest * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM)
-    return left.join(right, on).select("a", "b").distinct()
 
+def _shared(na: Column, nb: Column) -> Column:
+    """What sets of these sizes share at least, if they match."""
+    return F.floor(((na + nb) * NUM + (NUM + DEN - 1)) / (NUM + DEN))
 
-def _verified(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+
+def _leaders(classes: DataFrame) -> DataFrame:
+    """(a, b): for each class one earlier class that may match: the earliest among those with one of its two rarest tokens, if it fits. Copies of one line
+    nearly all find their first here, so that the join below need not pair them with each other."""
+    posts = classes.select("cls", "ord", "n", "bits", F.explode(F.slice("prefix", 1, 2)).alias("key"))
+    first = posts.groupBy("key").agg(F.min(F.struct("ord", "cls", "n", "bits")).alias("l"))
+    met = posts.join(first, "key").where((F.col("l.cls") != F.col("cls")) & _fits(F.col("n"), F.col("l.n"), F.col("bits"), F.col("l.bits")))
+    return met.groupBy("cls").agg(F.min(F.struct("l.ord", "l.cls")).alias("l")).select(F.col("l.cls").alias("a"), F.col("cls").alias("b"))
+
+
+def _candidates(classes: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that share a prefix token and pass the length, the positional and the parity filter, but for pairs whose later class
+    is done: it has an earlier match, and needs no other. The earlier one may be done or not."""
+    flagged = classes.join(done.select("cls", F.lit(True).alias("done")), "cls", "left")
+    posts = flagged.select("cls", "ord", F.coalesce("done", F.lit(False)).alias("done"), "n", "bits", F.posexplode("prefix").alias("pos", "key"))
+    a, b = posts.alias("a"), posts.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    rest = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))  # places count from 0
+    same = F.col("a.ord") == F.col("b.ord")
+    wanted = ~F.when(same, F.col("a.done") & F.col("b.done")).when(F.col("a.ord") < F.col("b.ord"), F.col("b.done")).otherwise(F.col("a.done"))
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (rest >= _shared(na, nb)) & _fits(na, nb, F.col("a.bits"), F.col("b.bits")) & wanted
+    return a.join(b, on).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, text_col: str, lines: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose token sets do have the similarity. Only lines that a candidate class names are read out of the texts again:
     a bit set of fixed size keeps most others from the join."""
     named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = keep(classes.join(named, "cls").select("cls", "raw"), "wanted")
-    words = FILTER_BITS // 64
+    wanted = keep(lines.select("cls", "raw").join(named, "cls").groupBy("cls").agg(F.min("raw").alias("raw")), "wanted")
+    longs = FILTER_BITS // 64
     slot = F.pmod(F.xxhash64("raw"), F.lit(FILTER_BITS))
     bits = wanted.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(raw), {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    every = docs.sparkSession.range(words).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    every = docs.sparkSession.range(longs).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
     table = keep(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits")), "filter")
-    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).withColumn("raw", F.xxhash64("line")).withColumn("bits", table.scalar())
+    texts = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).withColumn("raw", F.xxhash64("line")).withColumn("bits", table.scalar())
     passes = F.getbit(F.get("bits", F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
-    read = lines.where(passes).select("raw", "line").join(wanted, "raw").groupBy("cls").agg(F.min("line").alias("line"))
+    read = texts.where(passes).select("raw", "line").join(wanted, "raw").groupBy("cls").agg(F.min("line").alias("line"))
     sets = keep(read.select("cls", tokens(F.col("line")).alias("set")), "sets")
+    # the sets of a pair travel only if 512 parities leave room for a match
+    hashes = F.transform("set", lambda w: F.xxhash64(w))
+    flip = lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))
+    in_slot = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(7) == k)
+    slots = [F.aggregate(in_slot(k), F.lit(0).cast("long"), flip) for k in range(8)]
+    parities = keep(sets.select("cls", F.size("set").alias("n"), *[c.alias(f"p{k}") for k, c in enumerate(slots)]), "parities")
+    of = lambda side: parities.toDF(side, f"n{side}", *[f"{side}{k}" for k in range(8)])
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 8)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    room = F.col("na") + F.col("nb") - 2 * _shared(F.col("na"), F.col("nb"))
+    fitting = keep(pairs.join(of("a"), "a").join(of("b"), "b").where(differ <= room).select("a", "b"), "fitting")
     left, right = sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+    return fitting.join(left, "a").join(right, "b").where(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+
+
+def _later(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls): the classes that are the later one of a pair."""
+    firsts = classes.select("cls", "first")
+    named = pairs.join(firsts.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
+    return named.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,13 +174,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     docs = docs.where(F.col(text_col).isNotNull())
     lines = _lines(docs, id_col, text_col)
-    place = F.struct("id", "row", "line_no")
-    classes = keep(lines.groupBy("cls").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min("n").alias("n"), F.min_by(F.struct("raw", "prefix"), "raw").alias("x")).select("cls", "first", (F.col("first") != F.col("last")).alias("more"), "n", "x.*"), "line-classes")
-    pairs = keep(_candidates(classes), "candidates")
-    matches = keep(_verified(docs, text_col, classes, pairs), "matches")
-    both = matches.union(matches.select("b", "a"))
-    near = both.join(classes.select(F.col("cls").alias("b"), F.col("first").alias("near")), "b").groupBy(F.col("a").alias("cls")).agg(F.min("near").alias("near"))
-    earliest = classes.join(near, "cls", "left").where(F.col("more") | F.col("near").isNotNull()).select("cls", F.least("first", F.coalesce("near", "first")).alias("stays"))
+    classes = _classes(lines)
+    later = lambda pairs: _later(pairs, classes)
+    near = keep(later(_verified(docs, text_col, lines, keep(_leaders(classes), "leaders"))), "near")
+    rest = keep(later(_verified(docs, text_col, lines, keep(_candidates(classes, near), "candidates"))), "rest")
+    matched = near.union(rest).distinct().withColumn("near", F.lit(True))
+    # of a class without an earlier match its first line stays; of the others none
+    changed = classes.select("cls", "first", "more").join(matched, "cls", "left").where(F.col("more") | F.col("near"))
+    earliest = changed.select("cls", F.when(F.col("near").isNull(), F.col("first")).alias("stays"))
     gone = lines.select("cls", "id", "row", "line_no").join(earliest, "cls").where(~F.struct("id", "row", "line_no").eqNullSafe(F.col("stays")))
     return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
@@ -135,7 +209,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     split, gone = F.split(text_col, "\n"), F.col("_line_gone")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone), lambda i: F.get(split, i))
     changed = joined.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    changed = changed.where(gone.isNull() | F.col(text_col).rlike(WORD))
+    changed = changed.where(gone.isNull() | F.col(text_col).rlike(TOKEN))
     if chars_col and chars_col in docs.columns:
         kind = docs.schema[chars_col].dataType
         changed = changed.withColumn(chars_col, F.when(gone.isNull(), F.col(chars_col)).otherwise(F.length(text_col).cast(kind)))
@@ -144,7 +218,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 ORACLE = rf"""
 WITH lines AS (
-  SELECT doc_id, i AS line_no, list_sort(list_distinct(regexp_extract_all(translate(parts[i + 1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'))) AS words
+  SELECT doc_id, i AS line_no, list_sort(list_filter(list_distinct(string_split(replace(replace(lower(parts[i + 1]), chr(9), ' '), chr(13), ' '), ' ')), lambda w: w <> '')) AS words
   FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
 used AS (SELECT * FROM lines WHERE len(words) >= {MIN_TOKENS}),
 sets AS (SELECT words, min((doc_id, line_no)) AS first, row_number() OVER () AS cls FROM used GROUP BY words),
