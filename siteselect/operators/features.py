@@ -107,7 +107,7 @@ def charging_features(grid: DataFrame, stations: DataFrame, size: float = 500.0)
     centres = grid.select(F.col("grid_id").alias("centre_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     local = joins.point_in_cell(stations.select("point_id", "x", "y"), grid, size).groupBy("grid_id").agg(F.countDistinct("point_id").alias("station_count"))
     around = radius_counts(centres, stations, {"within_1000m": (1000.0, None), "within_2000m": (2000.0, None), "ac_within_1000m": (1000.0, F.col("has_ac")), "dc_within_1000m": (1000.0, F.col("has_dc"))}, ["has_ac", "has_dc"])
-    near = joins.nearest(centres, stations, 1000.0).select("centre_id", F.col("point_id").alias("nearest_id"), F.round("distance", 4).alias("nearest_m"))
+    near = joins.nearest(centres, stations).select("centre_id", F.col("point_id").alias("nearest_id"), F.round("distance", 4).alias("nearest_m"))
     out = around.join(near, "centre_id").withColumnRenamed("centre_id", "grid_id").join(local, "grid_id", "left")
     return out.withColumn("station_count", F.coalesce("station_count", F.lit(0))).withColumn("has_station", (F.col("station_count") > 0).cast("int"))
 

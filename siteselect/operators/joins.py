@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteselect.functions import geo
+from siteselect.operators.scratch import keep
 
 
 def point_in_cell(points: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
@@ -54,24 +56,25 @@ def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Se
     return left.join(around, ["kx", "ky"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius).drop("kx", "ky", "px", "py")
 
 
-def nearest(centres: DataFrame, points: DataFrame, start: float = 1000.0, rounds: int = 40, max_distance: float | None = None) -> DataFrame:
+def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, rounds: int = 40, max_distance: float | None = None) -> DataFrame:
     """(centre_id, point_id, distance): the nearest point of each centre, ties to the smallest point_id; null if there are no points.
 
-    Searches squares that double from round to round; a centre is done when its best distance is within the ring it has seen whole. Only those that are not done
-    go on, so that the large rings are asked by few.
+    Searches squares that double from round to round, from the mean spacing of the points on (or `start`, if that is larger); a centre is done when it has a point
+    within the side of the squares. Only those that are not done go on, so that the large squares are asked by few; each round ends in a written table.
     """
-    found, open_, size = None, centres.select("centre_id", "x", "y"), start
-    if not points.limit(1).count():
+    box = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("a", F.min), ("b", F.max))]).first()
+    if not box["n"]:
         return centres.select("centre_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("distance"))
+    spacing = math.sqrt((box["bx"] - box["ax"]) * (box["by"] - box["ay"]) / box["n"])
+    size = max(spacing, start or 0.0) or 1.0
+    found, open_ = None, centres.select("centre_id", "x", "y")
     for _ in range(rounds):
         best = within_radius(open_, points, size).groupBy("centre_id").agg(F.min(F.struct(F.col("d2"), F.col("point_id"))).alias("b"))
-        done = best.select("centre_id", F.col("b.point_id").alias("point_id"), F.sqrt("b.d2").alias("distance"))
+        done = keep(best.select("centre_id", F.col("b.point_id").alias("point_id"), F.sqrt("b.d2").alias("distance")))
         found = done if found is None else found.unionByName(done)
-        open_ = open_.join(done.select("centre_id"), "centre_id", "left_anti")
+        open_ = keep(open_.join(done.select("centre_id"), "centre_id", "left_anti"))
         size *= 2
-        if not open_.limit(1).count():
-            break
-        if max_distance and size > 2 * max_distance:
+        if not open_.limit(1).count() or (max_distance and size > 2 * max_distance):
             break
     return centres.select("centre_id").join(found, "centre_id", "left")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteselect.operators import checks, features, ranks, scoring, selection, stats
+from siteselect.operators.scratch import keep
 from siteselect.plans.catalog import Tables, query
 
 
@@ -101,7 +102,7 @@ PERC = ", ".join(f"{pct(f'm{i}', 'cv_fold')} AS p{i}" for i in (1, 2, 3))
 def percentiles(t: Tables):
     c = t("candidate").where("target = 0")
     for i in (1, 2, 3):
-        c = ranks.percentile_score(c, f"m{i}", f"p{i}", by=["cv_fold"])
+        c = keep(ranks.percentile_score(c, f"m{i}", f"p{i}", by=["cv_fold"]))
     return c
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from siteselect.functions import clean, geo
 from siteselect.operators import features, grid, joins
-from siteselect.operators.ranks import percentile_score, positive_percentile_score
+from siteselect.operators.ranks import percentile_scores
+from siteselect.operators.scratch import keep
 from siteselect.plans.catalog import Tables, query
 
 CENTRES = "centre AS (SELECT grid_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM $grid)"
@@ -92,7 +93,7 @@ def _(t):
 d AS (SELECT b.point_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM b CROSS JOIN a GROUP BY b.point_id) SELECT point_id AS centre_id, round(d, 4) AS distance, d <= 100 AS duplicate FROM d""")
 def _(t):
     other = t("customer").select(F.col("c_custkey").alias("centre_id"), ((F.col("c_custkey") * 104729 + 67) % 40000).cast("double").alias("x"), ((F.col("c_custkey") * 1299709 + 59) % 40000).cast("double").alias("y"))
-    near = joins.nearest(other, t("station"), 500.0)
+    near = joins.nearest(other, t("station"))
     return near.select("centre_id", F.round("distance", 4).alias("distance"), (F.col("distance") <= 100).alias("duplicate"))
 
 
@@ -334,8 +335,8 @@ def flagship(t: Tables):
     """Activity points joined to the grid, counted in the cell and in 1 km, scored by percentiles; the twenty best cells."""
     local = features.local_categories(t("poi"), t("grid"), FLAGS)
     around = features.radius_counts(centres(t), t("poi").select("point_id", "x", "y"), {"poi_1000m": (1000.0, None)})
-    both = local.join(around.withColumnRenamed("centre_id", "grid_id"), "grid_id")
-    scored = percentile_score(positive_percentile_score(both, "poi_count", "local_score"), "poi_1000m", "around_score")
+    both = keep(local.join(around.withColumnRenamed("centre_id", "grid_id"), "grid_id"))
+    scored = percentile_scores(both, {"local_score": ("poi_count", "positive"), "around_score": ("poi_1000m", "high")})
     total = F.round(F.col("local_score") * 0.4 + F.col("around_score") * 0.6, 6)
     return scored.select("grid_id", "poi_count", "poi_1000m", F.round("local_score", 6).alias("local_score"), F.round("around_score", 6).alias("around_score"), total.alias("score")).orderBy(F.desc("score"), "grid_id").limit(20)
 
