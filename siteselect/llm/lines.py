@@ -12,7 +12,7 @@ from siteselect.llm.common import keep, partitions, scratch
 
 #: What a text must have to hold a token.
 TOKEN = r"[^ \t\r\n]"
-#: Lines with fewer distinct tokens are left alone.
+#: Lines with fewer distinct tokens are left alone, unless the caller asks for less; op10's SQL has this bound.
 MIN_TOKENS = 3
 #: Lines match at a Jaccard similarity of NUM / DEN or more; kept as integers, so that no comparison rounds.
 NUM, DEN = 4, 5
@@ -60,7 +60,7 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * NUM + (DEN - 1)) / DEN).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
     """(id, row, line_no, cls, raw, n, bits, prefix): each line with its class, a hash of its token set, and the tokens of its prefix.
 
     A line and any match of it share a token among their prefixes, the n - ceil(0.8 n) + 1 rarest tokens of each. Prefix tokens
@@ -69,7 +69,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     digits = _rarity(docs, text_col)
     with_digits = _each(docs, id_col, text_col).withColumn("digits", digits.scalar())
-    signed = with_digits.select("id", "row", "line_no", F.xxhash64("line").alias("raw"), _signature(F.col("line"), F.col("digits")).alias("sig")).withColumn("n", F.size("sig")).where(F.col("n") >= MIN_TOKENS)
+    signed = with_digits.select("id", "row", "line_no", F.xxhash64("line").alias("raw"), _signature(F.col("line"), F.col("digits")).alias("sig")).withColumn("n", F.size("sig")).where(F.col("n") >= least)
     prefix = F.slice("sig", F.lit(1), F.col("n") - _least_overlap(F.col("n")) + 1)
     bits = F.aggregate("sig", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     out = signed.select("id", "row", "line_no", F.xxhash64("sig").alias("cls"), "raw", F.col("n"), bits.alias("bits"), F.transform(prefix, lambda t: F.hash(t)).alias("prefix"))
@@ -163,21 +163,22 @@ def _later(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return named.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> DataFrame:
     """(id, row, removed): for each text that loses lines, their numbers (from 0, sorted).
 
     A line is removed if an earlier one, by id, then by a hash of the text where an id is repeated, then by line number, has the same
-    token set or one of Jaccard similarity 0.8 or more, whether that one itself is removed or not. Lines with fewer than MIN_TOKENS
-    distinct tokens stay and remove none. Rows equal in id and text count as one. Null ids come first; null texts have no lines.
+    token set or one of Jaccard similarity 0.8 or more, whether that one itself is removed or not. Lines with fewer than `least`
+    (1 or more) distinct tokens stay and remove none. Rows equal in id and text count as one. Null ids come first; null texts have no lines.
 
     Equal sets form a class and enter the join once, however many lines there are.
     """
     docs = docs.where(F.col(text_col).isNotNull())
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col, least)
     classes = _classes(lines)
+    paired = classes.where(F.col("n") >= DEN - 1)  # smaller sets match their equals alone
     later = lambda pairs: _later(pairs, classes)
-    near = keep(later(_verified(docs, text_col, lines, keep(_leaders(classes), "leaders"))), "near")
-    rest = keep(later(_verified(docs, text_col, lines, keep(_candidates(classes, near), "candidates"))), "rest")
+    near = keep(later(_verified(docs, text_col, lines, keep(_leaders(paired), "leaders"))), "near")
+    rest = keep(later(_verified(docs, text_col, lines, keep(_candidates(paired, near), "candidates"))), "rest")
     matched = near.union(rest).distinct().withColumn("near", F.lit(True))
     # of a class without an earlier match its first line stays; of the others none
     changed = classes.select("cls", "first", "more").join(matched, "cls", "left").where(F.col("more") | F.col("near"))
@@ -186,8 +187,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def _with_removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    gone = removals(docs, id_col, text_col).select(F.col("id").alias("_line_id"), F.col("row").alias("_line_row"), F.col("removed").alias("_line_gone"))
+def _with_removals(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
+    gone = removals(docs, id_col, text_col, least).select(F.col("id").alias("_line_id"), F.col("row").alias("_line_row"), F.col("removed").alias("_line_gone"))
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.xxhash64(text_col) == F.col("_line_row")), "left").drop("_line_id", "_line_row")
 
 
@@ -200,12 +201,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return joined.select("id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", least: int = MIN_TOKENS) -> DataFrame:
     """docs with the lines of `removals` taken out of their texts. Rows that have no line left with a token go; all others and all columns stay.
 
     A column chars_col, if there is one, is set to the new text's length where the text changed.
     """
-    joined = _with_removals(docs, id_col, text_col)
+    joined = _with_removals(docs, id_col, text_col, least)
     split, gone = F.split(text_col, "\n"), F.col("_line_gone")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone), lambda i: F.get(split, i))
     changed = joined.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))

@@ -47,3 +47,12 @@ def test_repeated_rows_null_ids_and_empty_table(spark, docs):
     assert {r["id"]: r["removed"] for r in lines.removals(frame).collect()} == {2: [0]}
     assert lines.report(frame).count() == 4
     assert lines.removals(frame.where("doc_id < 0")).count() == 0
+
+
+def test_pipeline_stage_removes_repeated_lines_of_one_and_two_tokens(spark, docs):
+    import corpus_pipeline
+
+    chinese = "这是一个很长的句子没有空格所以整行只有一个词" * 3
+    texts = [f"Read more\nfirst words stand here\n{chinese}", f"read MORE\nother text is in this\n\n{chinese}", "more read", "alone", f"{chinese}\nalone again", "Alone\n\nthe end of all"]
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(texts), "").collect()}
+    assert kept == {0: texts[0], 1: "other text is in this\n", 3: "alone", 4: "alone again", 5: "\nthe end of all"}
