@@ -56,32 +56,55 @@ def words_of(text: Column) -> Column:
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, template, label, grams, diagonal, votes, low, high): the k-grams of a template that stand on one diagonal of a text.
+    """(id, row, template, label, grams, diagonal, votes, low, high, places): the k-grams of a template that stand on one diagonal of a text.
 
     All rolling k-grams of all texts are joined by hash, and then by their words, to the places of the templates. A place in the text less the place
-    in the template is the diagonal; what stands there is counted once for each place of the template, before and after the shuffle.
+    in the template is the diagonal; what stands there is counted once for each place of the template: places has a bit for each (fewer than 64).
     `row` is a hash of the text, so that rows of one id stay apart unless they are equal.
     """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), words_of(F.col(text_col)).alias("words"))
     each = words.select("id", "row", F.posexplode("words").alias("pos", "w1"), "words").select("id", "row", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"))
     places = F.broadcast(_templates(docs.sparkSession))  # fixed size
     met = each.where("w2 is not null").withColumn("h", F.xxhash64("w1", "w2")).join(places, (F.col("h") == F.col("gram")) & (F.col("w1") == F.col("word1")) & (F.col("w2") == F.col("word2")))
-    met = met.groupBy("id", "row", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal"), "at").agg(F.first("pos").alias("pos"))
-    return met.groupBy("id", "row", "template", "label", "grams", "diagonal").agg(F.count("*").alias("votes"), F.min("pos").alias("low"), (F.max("pos") + K - 1).alias("high"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))
+    held = met.groupBy("id", "row", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(bit).alias("places"), F.min("pos").alias("low"), (F.max("pos") + K - 1).alias("high"))
+    return held.select("id", "row", "template", "label", "grams", "diagonal", F.bit_count("places").cast("long").alias("votes"), "low", "high", "places")
+
+
+def _chain(diagonals: Column, grams: Column) -> Column:
+    """(n, first, last) of the longest run of a template's k-grams that stand in a text in the template's order, given the (diagonal, places) of a span.
+
+    From one k-gram of the run to the next, both the place in the text and that in the template grow, and no more than GAP words come in or drop out. So the
+    one before stands at most grams + GAP places back, and only those are looked at.
+    """
+    on = lambda d: F.filter(F.sequence(F.lit(0), grams - 1), lambda k: F.getbit(d["places"], k) == 1)
+    places = F.array_sort(F.flatten(F.transform(diagonals, lambda d: F.transform(on(d), lambda k: F.struct((d["diagonal"] + k).alias("pos"), k.alias("at"))))))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.filter(acc, lambda r: (r["pos"] < x["pos"]) & (r["at"] < x["at"]) & (F.abs((x["pos"] - x["at"]) - (r["pos"] - r["at"])) <= GAP))
+        most = F.array_max(F.transform(before, lambda r: F.struct(r["n"].alias("n"), r["first"].alias("first"))))
+        one = F.struct((F.coalesce(most["n"], F.lit(0)) + 1).alias("n"), F.coalesce(most["first"], x["pos"]).alias("first"), x["pos"].alias("pos"), x["at"].alias("at"))
+        # the longest run so far stays, however far back
+        top = F.array_max(acc)
+        return F.concat(F.filter(acc, lambda r: (r["pos"] >= x["pos"] - grams - GAP) | (r == top)), F.array(one))
+
+    runs = F.aggregate(places, F.expr("cast(array() as array<struct<n int, first int, pos int, at int>>)"), step)
+    best = F.array_max(runs)
+    return F.struct(best["n"].alias("n"), best["first"].alias("first"), (best["pos"] + K - 1).alias("last"))
 
 
 def spans(voted: DataFrame) -> DataFrame:
     """(id, row, template, label, first_word, last_word, coverage): neighbouring diagonals merged, and those that hold up.
 
-    A span holds up if it has COVERAGE of the template's k-grams, within as many words as the template has and GAP more for each diagonal merged.
+    A span holds up if COVERAGE of the template's k-grams stand in it in the template's order; a k-gram that comes again counts once.
     """
     order = W.partitionBy("id", "row", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > GAP, F.lit(True))
     numbered = voted.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = numbered.groupBy("id", "row", "template", "label", "grams", "span").agg(F.least(F.sum("votes"), F.first("grams").cast("long")).alias("votes"), F.min("low").alias("first_word"), F.max("high").alias("last_word"), F.count("*").alias("diagonals"))
-    coverage = F.col("votes") / F.col("grams")
-    holds = (coverage >= COVERAGE) & (F.col("last_word") - F.col("first_word") + 1 <= F.col("grams") + K - 1 + GAP * (F.col("diagonals") - 1))
-    return merged.where(holds).select("id", "row", "template", "label", F.col("first_word").cast("long"), F.col("last_word").cast("long"), coverage.alias("coverage"))
+    merged = numbered.groupBy("id", "row", "template", "label", "grams", "span").agg(F.bit_count(F.bit_or("places")).alias("distinct"), F.collect_list(F.struct("diagonal", "places")).alias("diagonals"))
+    chained = merged.where(F.col("distinct") / F.col("grams") >= COVERAGE).withColumn("run", _chain(F.col("diagonals"), F.col("grams")))
+    coverage = F.col("run.n") / F.col("grams")
+    return chained.where(coverage >= COVERAGE).select("id", "row", "template", "label", F.col("run.first").cast("long").alias("first_word"), F.col("run.last").cast("long").alias("last_word"), coverage.alias("coverage"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
