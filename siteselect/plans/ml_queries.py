@@ -126,12 +126,12 @@ def _(t):
 
 @query("m8_m23_forest_out_of_fold")
 def _(t):
-    return ml.out_of_fold(folded(t), FEATURES, "y", "forest", range(2), trees=SMALL["trees"])
+    return ml.out_of_fold(folded(t), FEATURES, "y", "forest", range(5), trees=SMALL["trees"])
 
 
 @query("m9_boosting_out_of_fold")
 def _(t):
-    return ml.out_of_fold(folded(t), FEATURES, "y", "boosting", range(2), rounds=SMALL["rounds"])
+    return ml.out_of_fold(folded(t), FEATURES, "y", "boosting", range(5), rounds=SMALL["rounds"])
 
 
 @query("m11_prior_baseline", "WITH f AS (SELECT cv_fold, sum(target) AS p, count(*) AS n FROM $candidate GROUP BY 1) SELECT cv_fold, round((SELECT sum(p) FROM f) * 1.0 / (SELECT sum(n) FROM f), 3) > 0 AS scored, n FROM f")
@@ -142,7 +142,7 @@ def _(t):
 
 @query("m20_m21_configurations")
 def _(t):
-    out = ml.configurations(folded(t), {"road": FEATURES[:2], "parking": FEATURES[2:3], "all": FEATURES}, ["logistic"], "y", range(2))
+    out = ml.configurations(folded(t), {"road": FEATURES[:2], "parking": FEATURES[2:3], "all": FEATURES}, ["logistic"], "y", range(5))
     return ml.ranking_metrics(out, ["model", "feature_set"], "grid_id")
 
 
@@ -161,7 +161,7 @@ def _(t):
 
 @query("m25_m27_permutation_importance")
 def _(t):
-    drops = ml.permutation_importance(folded(t), ["pop0", "pop1"], "y", "logistic", range(2), repeats=2)
+    drops = ml.permutation_importance(folded(t), ["pop0", "pop1"], "y", "logistic", range(5), repeats=2)
     return ml.importance_summary(drops)
 
 

@@ -25,3 +25,24 @@ def test_out_of_fold_scores_are_complete_and_probabilities(spark):
     ids = {r["grid_id"] for r in rows}
     assert len(rows) == len(ids) == spark.read.parquet(f"{SF}/orders.parquet").count()
     assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["m8_m23_forest_out_of_fold", "m9_boosting_out_of_fold", "m20_m21_configurations"])
+def test_every_candidate_is_scored_out_of_fold(spark, monkeypatch, name):
+    from siteselect.operators import ml
+
+    monkeypatch.setattr(ml, "fit", lambda *a, **k: None)  # what is scored, not how
+    monkeypatch.setattr(ml, "score", lambda fitted, rows: rows.selectExpr("*", "0.5D AS score"))
+    monkeypatch.setattr(ml, "ranking_metrics", lambda scores, by, id_col: scores)
+    ids = [r["grid_id"] for r in catalog.QUERIES[name](spark, SF).collect()]
+    every = spark.read.parquet(f"{SF}/orders.parquet").count()
+    sets = 3 if name.startswith("m20") else 1
+    assert len(set(ids)) == every and len(ids) == sets * every
+
+
+def test_importance_takes_every_fold(spark, monkeypatch):
+    from siteselect.operators import ml
+
+    monkeypatch.setattr(ml, "permutation_importance", lambda rows, features, target, model, folds, **k: set(folds))
+    monkeypatch.setattr(ml, "importance_summary", lambda folds: folds)
+    assert catalog.QUERIES["m25_m27_permutation_importance"](spark, SF) == set(range(5))
