@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,20 +18,36 @@ _own_scratch: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own, for a local master alone: a cluster's machines would not share it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_scratch:
         _own_scratch.append(tempfile.mkdtemp(prefix="siteselect-"))
     return _own_scratch[0]
 
 
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, an action's shuffle files go as soon as it is over: its result is written by then, so that nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again: lineage ends here and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with _shuffles_cleaned(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,7 +69,3 @@ def lower_ascii(c: Column) -> Column:
 def partitions(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions of the session, read when the plan is built."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def whole(*columns: str) -> list[Column]:
-    return [F.col(f"`{c}`") for c in columns]

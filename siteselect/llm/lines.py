@@ -2,57 +2,53 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from siteselect.llm.common import keep, partitions, scratch
+from siteselect.llm.common import keep
 
 #: What a text must have to hold a token.
 TOKEN = r"[^ \t\r\n]"
-#: Lines with fewer distinct tokens are left alone, unless the caller asks for less; op10's SQL has this bound.
-MIN_TOKENS = 3
 #: Lines match at a Jaccard similarity of NUM / DEN or more; kept as integers, so that no comparison rounds.
 NUM, DEN = 4, 5
-#: Buckets of the token counts that order tokens by rarity, and bits of the set of lines that verification reads.
-BUCKETS, FILTER_BITS = 1 << 16, 1 << 22
+#: Buckets of the token counts that order tokens by rarity, and bits of the sets of texts and lines that verification reads.
+BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
 
 
-def words(text: Column) -> Column:
-    """The lower-cased text between blanks, tabs, carriage returns and line feeds, with an empty word for each separator too many. Splitting at one character and
-    lower-casing whole strings cost a fraction of what regular expressions do."""
+def _plain(text: Column) -> Column:
+    """The lower-cased text with a blank for each tab and carriage return. Whole strings cost a fraction of what regular expressions do."""
     plain = F.lower(text)
-    for mark in ("\t", "\r", "\n"):
+    for mark in ("\t", "\r"):
         plain = F.replace(plain, F.lit(mark), F.lit(" "))
-    return F.split(plain, " ")
+    return plain
 
 
 def tokens(line: Column) -> Column:
-    """Distinct words."""
-    return F.array_remove(F.array_distinct(words(line)), "")
+    """Distinct words of a plain line."""
+    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
 
 
 def _each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, line_no, line): `row` is a hash of the text, so that rows of one id stay apart unless they are equal."""
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    """(id, row, line_no, line): plain lines; `row` is a hash of the text, so that rows of one id stay apart unless they are equal."""
+    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), _plain(F.col(text_col)).alias("plain"))
+    return plain.select("id", "row", F.posexplode(F.split("plain", "\n")).alias("line_no", "line"))
 
 
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """One row with an array: for each bucket of token hashes, how many binary digits its count over all texts has. Its size is fixed."""
-    each = docs.select(F.explode(words(F.col(text_col))).alias("token"))
+    each = docs.select(F.explode(F.split(F.replace(_plain(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("token"))
     counts = each.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    classes = every.join(counts, "bucket", "left").select("bucket", F.length(F.bin(F.coalesce("n", F.lit(0)))).alias("digits"))
+    classes = every.join(counts, "bucket", "left").select("bucket", F.length(F.bin(F.coalesce("n", F.lit(0)))).cast("tinyint").alias("digits"))
     return keep(classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digits"))), lambda x: x["digits"]).alias("digits")), "rarity")
 
 
 def _signature(line: Column, digits: Column) -> Column:
     """The line's tokens as longs in one order for all lines: rare ones first (by their bucket's count), then by hash."""
-    hashes = F.transform(tokens(line), lambda t: F.xxhash64(t))
-    rank = F.transform(hashes, lambda h: F.shiftleft(F.get(digits, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7)))
-    return F.sort_array(rank)
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    digit = lambda h: F.coalesce(F.get(digits, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("tinyint"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(digit(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def _least_overlap(n: Column) -> Column:
@@ -60,43 +56,30 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * NUM + (DEN - 1)) / DEN).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
-    """(id, row, line_no, cls, raw, n, bits, prefix): each line with its class, a hash of its token set, and the tokens of its prefix.
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, line_no, cls, cls2, n, bits0, bits1, prefix): each line with a token; its class, two hashes of its token set; and the tokens of its prefix.
 
     A line and any match of it share a token among their prefixes, the n - ceil(0.8 n) + 1 rarest tokens of each. Prefix tokens
-    are kept as 32 bits; two that collide only add a candidate. bits are 64 parities of the token hashes: a token that only one
-    of two lines has changes one of them, so they bound the difference of the sets from below.
+    are kept as 32 bits; two that collide only add a candidate. bits0 and bits1 are 128 parities of the token hashes: a token that only
+    one of two lines has changes one of them, so they bound the difference of the sets from below.
     """
     digits = _rarity(docs, text_col)
-    with_digits = _each(docs, id_col, text_col).withColumn("digits", digits.scalar())
-    signed = with_digits.select("id", "row", "line_no", F.xxhash64("line").alias("raw"), _signature(F.col("line"), F.col("digits")).alias("sig")).withColumn("n", F.size("sig")).where(F.col("n") >= least)
+    each = _each(docs, id_col, text_col).where(F.trim("line") != "").withColumn("digits", digits.scalar())
+    signed = each.select("id", "row", "line_no", _signature(F.col("line"), F.col("digits")).alias("sig")).withColumn("n", F.size("sig"))
     prefix = F.slice("sig", F.lit(1), F.col("n") - _least_overlap(F.col("n")) + 1)
-    bits = F.aggregate("sig", F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    out = signed.select("id", "row", "line_no", F.xxhash64("sig").alias("cls"), "raw", F.col("n"), bits.alias("bits"), F.transform(prefix, lambda t: F.hash(t)).alias("prefix"))
-    return _bucketed(out, "cls")
-
-
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The table written in buckets of a key, in the shared folder: what groups or joins it by the key shuffles it no more."""
-    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
-    parts = partitions(df)
-    df.repartition(parts, key).write.bucketBy(parts, key).option("path", f"{scratch(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
+    half = lambda k: F.aggregate("sig", F.lit(0).cast("long"), lambda a, t: F.when(t.bitwiseAND(64) == 64 * k, flip(a, t)).otherwise(a)).alias(f"bits{k}")
+    named = (F.xxhash64("sig").alias("cls"), F.xxhash64(F.lit(1), F.col("sig")).alias("cls2"))
+    return keep(signed.select("id", "row", "line_no", *named, "n", half(0), half(1), F.transform(prefix, lambda t: F.hash(t)).alias("prefix")), "lines")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(cls, first, more, ord, n, bits, prefix): a class for each token set, with its first line; ord is a number that goes with the order of the first lines."""
+    """(num, cls, cls2, first, more, ord, n, bits0, bits1, prefix): a class for each token set, with its first line; num names it, ord goes with the order of the first lines."""
     place = F.struct("id", "row", "line_no")
-    grouped = lines.groupBy("cls").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("more"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    grouped = lines.groupBy("cls", "cls2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("more"), *[F.first(c).alias(c) for c in ("n", "bits0", "bits1", "prefix")])
     number = isinstance(lines.schema["id"].dataType, IntegralType)
-    return grouped.withColumn("ord", F.coalesce(F.col("first.id").cast("long"), F.lit(-1)) if number else F.lit(0).cast("long"))
-
-
-def _fits(na: Column, nb: Column, a_bits: Column, b_bits: Column) -> Column:
-    """Whether sizes and parities leave room for a match. Two sets of one size below 9 cannot match, as they differ."""
-    overlap = _shared(na, nb)
-    differ = F.bit_count(a_bits.bitwiseXOR(b_bits))
-    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & ((na != nb) | (overlap < na)) & (differ <= na + nb - 2 * overlap)
+    order = F.coalesce(F.col("first.id").cast("long"), F.lit(-(1 << 63))) if number else F.lit(0).cast("long")
+    return keep(grouped.select(F.monotonically_increasing_id().alias("num"), "cls", "cls2", "first", "more", order.alias("ord"), "n", "bits0", "bits1", "prefix"), "classes")
 
 
 def _shared(na: Column, nb: Column) -> Column:
@@ -104,91 +87,111 @@ def _shared(na: Column, nb: Column) -> Column:
     return F.floor(((na + nb) * NUM + (NUM + DEN - 1)) / (NUM + DEN))
 
 
+def _spare(a: str, b: str) -> Column:
+    """Tokens that two sets (the prefixes of their columns) may still differ by, going by sizes and parities; a match has 0 or more."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    differ = [F.bit_count(F.col(f"{a}bits{k}").bitwiseXOR(F.col(f"{b}bits{k}"))) for k in (0, 1)]
+    return na + nb - 2 * _shared(na, nb) - differ[0] - differ[1]
+
+
+def _posts(classes: DataFrame, *more: str) -> DataFrame:
+    """(num, ord, n, bits0, bits1, pos, key): a row for each prefix token of each class. Sets of fewer than NUM tokens match their equals alone."""
+    return classes.where(F.col("n") >= NUM).select("num", "ord", "n", "bits0", "bits1", *more, F.posexplode("prefix").alias("pos", "key"))
+
+
+def _short(posts: DataFrame) -> DataFrame:
+    """The postings under which a class meets sets that are as long as its own or longer: it shares one of so many with each match among them."""
+    return posts.where(F.col("pos") <= F.col("n") - _shared(F.col("n"), F.col("n")))
+
+
 def _leaders(classes: DataFrame) -> DataFrame:
-    """(a, b): for each class one earlier class that may match: the earliest among those with one of its two rarest tokens, if it fits. Copies of one line
-    nearly all find their first here, so that the join below need not pair them with each other."""
-    posts = classes.select("cls", "ord", "n", "bits", F.explode(F.slice("prefix", 1, 2)).alias("key"))
-    first = posts.groupBy("key").agg(F.min(F.struct("ord", "cls", "n", "bits")).alias("l"))
-    met = posts.join(first, "key").where((F.col("l.cls") != F.col("cls")) & _fits(F.col("n"), F.col("l.n"), F.col("bits"), F.col("l.bits")))
-    return met.groupBy("cls").agg(F.min(F.struct("l.ord", "l.cls")).alias("l")).select(F.col("l.cls").alias("a"), F.col("cls").alias("b"))
+    """(a, b): for each class the earlier one that is most likely to match among those that come first under one of its prefix tokens, if any may. Copies of one
+    line nearly all find their first here, so that the join below need not pair them with each other."""
+    posts = _short(_posts(classes)).drop("pos")
+    first = posts.groupBy("key").agg(F.min(F.struct("ord", "num", "n", "bits0", "bits1")).alias("l"))
+    met = posts.join(first, "key").where(F.col("l.num") != F.col("num")).withColumn("spare", _spare("", "l."))
+    best = met.where("spare >= 0").groupBy("num").agg(F.max(F.struct("spare", "l.num")).alias("l"))
+    return keep(best.select(F.col("l.num").alias("a"), F.col("num").alias("b")), "leaders")
 
 
 def _candidates(classes: DataFrame, done: DataFrame) -> DataFrame:
     """(a, b): pairs of classes that share a prefix token and pass the length, the positional and the parity filter, but for pairs whose later class
-    is done: it has an earlier match, and needs no other. The earlier one may be done or not."""
-    flagged = classes.join(done.select("cls", F.lit(True).alias("done")), "cls", "left")
-    posts = flagged.select("cls", "ord", F.coalesce("done", F.lit(False)).alias("done"), "n", "bits", F.posexplode("prefix").alias("pos", "key"))
-    a, b = posts.alias("a"), posts.alias("b")
+    is done: it has an earlier match, and needs no other. The earlier one may be done or not.
+
+    The longer set asks with its whole prefix, the shorter one stands under the part that longer matches must share.
+    """
+    flagged = classes.join(done.select("num", F.lit(True).alias("done")), "num", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    posts = _posts(flagged, "done")
+    a, b = posts.alias("a"), _short(posts).alias("b")
     na, nb = F.col("a.n"), F.col("b.n")
     rest = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))  # places count from 0
-    same = F.col("a.ord") == F.col("b.ord")
-    wanted = ~F.when(same, F.col("a.done") & F.col("b.done")).when(F.col("a.ord") < F.col("b.ord"), F.col("b.done")).otherwise(F.col("a.done"))
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (rest >= _shared(na, nb)) & _fits(na, nb, F.col("a.bits"), F.col("b.bits")) & wanted
-    return a.join(b, on).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-
-
-def _verified(docs: DataFrame, text_col: str, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose token sets do have the similarity. Only lines that a candidate class names are read out of the texts again:
-    a bit set of fixed size keeps most others from the join."""
-    named = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    wanted = keep(lines.select("cls", "raw").join(named, "cls").groupBy("cls").agg(F.min("raw").alias("raw")), "wanted")
-    longs = FILTER_BITS // 64
-    slot = F.pmod(F.xxhash64("raw"), F.lit(FILTER_BITS))
-    bits = wanted.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(raw), {FILTER_BITS}) % 64 as int))")).alias("bits"))
-    every = docs.sparkSession.range(longs).select(F.col("id").cast("int").alias("word")).join(bits, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
-    table = keep(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits")), "filter")
-    texts = docs.select(F.explode(F.split(text_col, "\n")).alias("line")).withColumn("raw", F.xxhash64("line")).withColumn("bits", table.scalar())
-    passes = F.getbit(F.get("bits", F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
-    read = texts.where(passes).select("raw", "line").join(wanted, "raw").groupBy("cls").agg(F.min("line").alias("line"))
-    sets = keep(read.select("cls", tokens(F.col("line")).alias("set")), "sets")
-    # the sets of a pair travel only if 512 parities leave room for a match
-    hashes = F.transform("set", lambda w: F.xxhash64(w))
-    flip = lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))
-    in_slot = lambda k: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(7) == k)
-    slots = [F.aggregate(in_slot(k), F.lit(0).cast("long"), flip) for k in range(8)]
-    parities = keep(sets.select("cls", F.size("set").alias("n"), *[c.alias(f"p{k}") for k, c in enumerate(slots)]), "parities")
-    of = lambda side: parities.toDF(side, f"n{side}", *[f"{side}{k}" for k in range(8)])
-    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, 8)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    room = F.col("na") + F.col("nb") - 2 * _shared(F.col("na"), F.col("nb"))
-    fitting = keep(pairs.join(of("a"), "a").join(of("b"), "b").where(differ <= room).select("a", "b"), "fitting")
-    left, right = sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("set").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return fitting.join(left, "a").join(right, "b").where(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM).select("a", "b")
+    longer = (na > nb) | ((na == nb) & (F.col("a.num") > F.col("b.num")))
+    later_done = F.when(F.col("a.ord") > F.col("b.ord"), F.col("a.done")).when(F.col("a.ord") < F.col("b.ord"), F.col("b.done")).otherwise(F.col("a.done") & F.col("b.done"))
+    fits = (rest >= _shared(na, nb)) & (_spare("a.", "b.") >= 0)
+    on = (F.col("a.key") == F.col("b.key")) & longer & (nb * DEN >= na * NUM) & ~later_done & fits
+    return keep(a.join(b, on).select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct(), "candidates")
+
+
+def _bit_set(values: DataFrame) -> DataFrame:
+    """One row with an array of longs: a bit set of fixed size of the column `value`."""
+    slot = F.pmod(F.col("value"), F.lit(FILTER_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    words = values.groupBy(F.floor(slot / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits"))
+    every = values.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("word"))
+    filled = every.join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0)).alias("bits"))
+    return keep(filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("bits")), "bit-set")
+
 
+def _in(bits: Column, value: Column) -> Column:
+    slot = F.pmod(value, F.lit(FILTER_BITS))
+    return F.getbit(F.get(bits, F.floor(slot / 64).cast("int")), (slot % 64).cast("int")) == 1
 
-def _later(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(cls): the classes that are the later one of a pair."""
-    firsts = classes.select("cls", "first")
-    named = pairs.join(firsts.select(F.col("cls").alias("a"), F.col("first").alias("fa")), "a").join(firsts.select(F.col("cls").alias("b"), F.col("first").alias("fb")), "b")
-    return named.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("cls")).distinct()
 
+def _later(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(num): the classes that are the later one of a pair whose token sets do have the similarity.
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_TOKENS) -> DataFrame:
+    Only the first lines of named classes are read out of the texts again: bit sets of fixed size keep most other texts and lines from the join.
+    """
+    named = pairs.select(F.col("a").alias("num")).union(pairs.select("b")).distinct()
+    wanted = keep(classes.select("num", "first").join(named, "num").select("num", "first.*"), "wanted")
+    texts = _bit_set(wanted.select(F.col("row").alias("value")))
+    places = _bit_set(wanted.select(F.xxhash64("row", "line_no").alias("value")))
+    holding = docs.withColumn("_bits", texts.scalar()).where(_in(F.col("_bits"), F.xxhash64(text_col)))
+    read = _each(holding, id_col, text_col).withColumn("bits", places.scalar()).where(_in(F.col("bits"), F.xxhash64("row", "line_no"))).drop("bits")
+    at = F.struct("id", "row", "line_no")
+    named_at = wanted.select("num", at.alias("first"))
+    sets = keep(read.select(at.alias("at"), "line").join(named_at, F.col("at").eqNullSafe(F.col("first"))).groupBy("num", "first").agg(F.min("line").alias("line")).select("num", "first", tokens(F.col("line")).alias("set")), "sets")
+    left, right = sets.toDF("a", "fa", "sa"), sets.toDF("b", "fb", "sb")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(left, "a").join(right, "b").where(shared * (NUM + DEN) >= (F.size("sa") + F.size("sb")) * NUM)
+    return keep(met.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("num")).distinct(), "later")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, removed): for each text that loses lines, their numbers (from 0, sorted).
 
     A line is removed if an earlier one, by id, then by a hash of the text where an id is repeated, then by line number, has the same
-    token set or one of Jaccard similarity 0.8 or more, whether that one itself is removed or not. Lines with fewer than `least`
-    (1 or more) distinct tokens stay and remove none. Rows equal in id and text count as one. Null ids come first; null texts have no lines.
+    token set or one of Jaccard similarity 0.8 or more, whether that one itself is removed or not. Lines without a token stay and
+    remove none. Rows equal in id and text count as one. Null ids come first; null texts have no lines.
 
     Equal sets form a class and enter the join once, however many lines there are.
     """
-    docs = docs.where(F.col(text_col).isNotNull())
-    lines = _lines(docs, id_col, text_col, least)
+    docs = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
+    lines = _lines(docs, id_col, text_col)
     classes = _classes(lines)
-    paired = classes.where(F.col("n") >= DEN - 1)  # smaller sets match their equals alone
-    later = lambda pairs: _later(pairs, classes)
-    near = keep(later(_verified(docs, text_col, lines, keep(_leaders(paired), "leaders"))), "near")
-    rest = keep(later(_verified(docs, text_col, lines, keep(_candidates(paired, near), "candidates"))), "rest")
+    near = _later(docs, id_col, text_col, classes, _leaders(classes))
+    rest = _later(docs, id_col, text_col, classes, _candidates(classes, near))
     matched = near.union(rest).distinct().withColumn("near", F.lit(True))
     # of a class without an earlier match its first line stays; of the others none
-    changed = classes.select("cls", "first", "more").join(matched, "cls", "left").where(F.col("more") | F.col("near"))
-    earliest = changed.select("cls", F.when(F.col("near").isNull(), F.col("first")).alias("stays"))
-    gone = lines.select("cls", "id", "row", "line_no").join(earliest, "cls").where(~F.struct("id", "row", "line_no").eqNullSafe(F.col("stays")))
+    changed = classes.select("num", "cls", "cls2", "first", "more").join(matched, "num", "left").where(F.col("more") | F.col("near"))
+    earliest = changed.select("cls", "cls2", F.when(F.col("near").isNull(), F.col("first")).alias("stays"))
+    place = F.struct("id", "row", "line_no")
+    gone = lines.select("cls", "cls2", "id", "row", "line_no").join(earliest, ["cls", "cls2"]).where(~place.eqNullSafe(F.col("stays")))
     return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def _with_removals(docs: DataFrame, id_col: str, text_col: str, least: int = MIN_TOKENS) -> DataFrame:
-    gone = removals(docs, id_col, text_col, least).select(F.col("id").alias("_line_id"), F.col("row").alias("_line_row"), F.col("removed").alias("_line_gone"))
+def _with_removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    gone = removals(docs, id_col, text_col).select(F.col("id").alias("_line_id"), F.col("row").alias("_line_row"), F.col("removed").alias("_line_gone"))
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_line_id")) & (F.xxhash64(text_col) == F.col("_line_row")), "left").drop("_line_id", "_line_row")
 
 
@@ -201,12 +204,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return joined.select("id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", least: int = MIN_TOKENS) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with the lines of `removals` taken out of their texts. Rows that have no line left with a token go; all others and all columns stay.
 
     A column chars_col, if there is one, is set to the new text's length where the text changed.
     """
-    joined = _with_removals(docs, id_col, text_col, least)
+    joined = _with_removals(docs, id_col, text_col)
     split, gone = F.split(text_col, "\n"), F.col("_line_gone")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone), lambda i: F.get(split, i))
     changed = joined.withColumn(text_col, F.when(gone.isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
@@ -221,7 +224,7 @@ ORACLE = rf"""
 WITH lines AS (
   SELECT doc_id, i AS line_no, list_sort(list_filter(list_distinct(string_split(replace(replace(lower(parts[i + 1]), chr(9), ' '), chr(13), ' '), ' ')), lambda w: w <> '')) AS words
   FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
-used AS (SELECT * FROM lines WHERE len(words) >= {MIN_TOKENS}),
+used AS (SELECT * FROM lines WHERE len(words) > 0),
 sets AS (SELECT words, min((doc_id, line_no)) AS first, row_number() OVER () AS cls FROM used GROUP BY words),
 each AS (SELECT cls, len(words) AS n, unnest(words) AS word FROM sets),
 freq AS (SELECT word, count(*) AS df FROM each GROUP BY word),

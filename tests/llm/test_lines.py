@@ -11,7 +11,7 @@ def brute(docs):
     for i, t in sorted(docs, key=lambda d: d[0]):
         for k, line in enumerate(t.split("\n") if t is not None else []):
             words = frozenset(w for w in re.split("[ \t\r]", line.lower()) if w)
-            if len(words) >= lines.MIN_TOKENS:
+            if words:
                 all_lines.append((i, k, words))
     gone = {}
     for a, b in itertools.combinations(all_lines, 2):
