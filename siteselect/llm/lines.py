@@ -89,26 +89,41 @@ def _shared(na: Column, nb: Column) -> Column:
 
 def _spare(a: str, b: str) -> Column:
     """Tokens that two sets (the prefixes of their columns) may still differ by, going by sizes and parities; a match has 0 or more."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    na, nb = _size(a), _size(b)
     differ = [F.bit_count(F.col(f"{a}bits{k}").bitwiseXOR(F.col(f"{b}bits{k}"))) for k in (0, 1)]
     return na + nb - 2 * _shared(na, nb) - differ[0] - differ[1]
 
 
-def _posts(classes: DataFrame, *more: str) -> DataFrame:
-    """(num, ord, n, bits0, bits1, pos, key): a row for each prefix token of each class. Sets of fewer than NUM tokens match their equals alone."""
-    return classes.where(F.col("n") >= NUM).select("num", "ord", "n", "bits0", "bits1", *more, F.posexplode("prefix").alias("pos", "key"))
+def _posts(classes: DataFrame) -> DataFrame:
+    """(num, ord, at, bits0, bits1, key): a row for each prefix token of each class; `at` packs its size, the token's place and whether it is done, as
+    narrow rows make small shuffles. Sets of fewer than NUM tokens match their equals alone."""
+    each = classes.where(F.col("n") >= NUM).select("num", "ord", "n", "done", "bits0", "bits1", F.posexplode("prefix").alias("pos", "key"))
+    at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.col("done").cast("int")
+    return each.select("num", "ord", at.alias("at"), "bits0", "bits1", "key")
+
+
+def _size(of: str = "") -> Column:
+    return F.shiftright(f"{of}at", 32).cast("int")
+
+
+def _place(of: str = "") -> Column:
+    return F.shiftright(F.col(f"{of}at").bitwiseAND((1 << 32) - 1), 1).cast("int")
+
+
+def _done(of: str = "") -> Column:
+    return F.col(f"{of}at").bitwiseAND(1) == 1
 
 
 def _short(posts: DataFrame) -> DataFrame:
     """The postings under which a class meets sets that are as long as its own or longer: it shares one of so many with each match among them."""
-    return posts.where(F.col("pos") <= F.col("n") - _shared(F.col("n"), F.col("n")))
+    return posts.where(_place() <= _size() - _shared(_size(), _size()))
 
 
 def _leaders(classes: DataFrame) -> DataFrame:
     """(a, b): for each class the earlier one that is most likely to match among those that come first under one of its prefix tokens, if any may. Copies of one
     line nearly all find their first here, so that the join below need not pair them with each other."""
-    posts = _short(_posts(classes)).drop("pos")
-    first = posts.groupBy("key").agg(F.min(F.struct("ord", "num", "n", "bits0", "bits1")).alias("l"))
+    posts = _short(_posts(classes.withColumn("done", F.lit(False))))
+    first = posts.groupBy("key").agg(F.min(F.struct("ord", "num", "at", "bits0", "bits1")).alias("l"))
     met = posts.join(first, "key").where(F.col("l.num") != F.col("num")).withColumn("spare", _spare("", "l."))
     best = met.where("spare >= 0").groupBy("num").agg(F.max(F.struct("spare", "l.num")).alias("l"))
     return keep(best.select(F.col("l.num").alias("a"), F.col("num").alias("b")), "leaders")
@@ -121,12 +136,12 @@ def _candidates(classes: DataFrame, done: DataFrame) -> DataFrame:
     The longer set asks with its whole prefix, the shorter one stands under the part that longer matches must share.
     """
     flagged = classes.join(done.select("num", F.lit(True).alias("done")), "num", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    posts = _posts(flagged, "done")
+    posts = _posts(flagged)
     a, b = posts.alias("a"), _short(posts).alias("b")
-    na, nb = F.col("a.n"), F.col("b.n")
-    rest = F.least(na - F.col("a.pos"), nb - F.col("b.pos"))  # places count from 0
+    na, nb = _size("a."), _size("b.")
+    rest = F.least(na - _place("a."), nb - _place("b."))  # places count from 0
     longer = (na > nb) | ((na == nb) & (F.col("a.num") > F.col("b.num")))
-    later_done = F.when(F.col("a.ord") > F.col("b.ord"), F.col("a.done")).when(F.col("a.ord") < F.col("b.ord"), F.col("b.done")).otherwise(F.col("a.done") & F.col("b.done"))
+    later_done = F.when(F.col("a.ord") > F.col("b.ord"), _done("a.")).when(F.col("a.ord") < F.col("b.ord"), _done("b.")).otherwise(_done("a.") & _done("b."))
     fits = (rest >= _shared(na, nb)) & (_spare("a.", "b.") >= 0)
     on = (F.col("a.key") == F.col("b.key")) & longer & (nb * DEN >= na * NUM) & ~later_done & fits
     return keep(a.join(b, on).select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct(), "candidates")
