@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,9 +18,11 @@ from siteselect.llm.common import keep, map_arrow
 ORDER = 4
 #: Characters of labelled text that are read at most, about, over all languages; documents are drawn whole by a hash of their id.
 TRAIN_CHARS = 12_000_000
-#: Distinct words of a language's sample that are kept at most, the most frequent first.
-TRAIN_WORDS = 400_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Exponents that calibration tries for the confidence.
+SCALES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+#: Characters that a regular expression takes for word characters, but that are neither letters nor digits, such as fractions and Roman numerals.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = "\x02"
 
@@ -108,84 +111,88 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == asked
 
 
-def train(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
-    """Interpolated Kneser-Ney models from word counts by language.
+@dataclass
+class _Order:
+    """One language's n-grams of one length: sorted hashes, log2 probabilities, context hashes and log2 back-off masses."""
+
+    keys: np.ndarray
+    logp: np.ndarray
+    ctx: np.ndarray
+    mass: np.ndarray
+
+
+def _counts(words: list[str], times: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes, counts, contexts, shorter n-grams) of the n-grams of each length.
 
-    The highest order counts occurrences; lower ones count the distinct characters that come before. One discount for each order,
-    from its counts of one and two. The lowest order is mixed with a uniform share for characters never seen.
+    The highest order counts occurrences; lower ones count the distinct characters that come before. N-grams at a word's start have none and keep their occurrences.
     """
-    langs = sorted(counts)
-    if not langs:
-        return Model([], order, [], [], [], [], np.zeros(0), np.zeros(0))
-    parts = []
-    for lang in langs:
-        words = list(counts[lang])
-        times = np.fromiter((counts[lang][w] for w in words), dtype=np.float64, count=len(words))
-        word, full, context = _grams(words, order)
-        weight = times[word]
-        orders = []
-        follow: np.ndarray | None = None
-        for n in range(order, 0, -1):
-            valid = full[n - 1] != 0
-            keys, first, inverse = np.unique(full[n - 1][valid], return_index=True, return_inverse=True)
-            occurrences = np.bincount(inverse, weights=weight[valid], minlength=len(keys))
-            here = np.full(len(valid), -1)
-            here[valid] = inverse
-            if follow is None:
-                c = occurrences
-            else:  # continuation count: distinct higher n-grams that end in this one; those at a word's start have none and keep their occurrences
-                seen = np.unique(np.stack([follow[valid], inverse]), axis=1)
-                more = np.bincount(seen[1][seen[0] >= 0], minlength=len(keys)).astype(float)
-                c = np.where(more > 0, more, occurrences)
-            ctx_of = context[n - 1][valid][first]
-            orders.append((keys, c, ctx_of))
-            follow = here
-        parts.append(orders[::-1])
-    model = Model(langs, order, [], [], [], [], np.zeros(len(langs)), np.full(len(langs), np.inf))
-    seen_chars = len({ch for c in counts.values() for w in c for ch in w}) + 2
-    probs: list[list[np.ndarray]] = [[] for _ in langs]
-    masses: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in langs]
-    for i, lang in enumerate(langs):
-        words = list(counts[lang])
-        word, full, _ = _grams(words, order)
-        for n in range(1, order + 1):
-            keys, c, ctx_of = parts[i][n - 1]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
-            ctxs, inverse = np.unique(ctx_of, return_inverse=True)
-            total = np.bincount(inverse, weights=c)
-            kinds = np.bincount(inverse)
-            mass = d * kinds / np.maximum(total, 1e-9)
-            if n == 1:
-                lower = np.full(len(keys), 1.0 / (seen_chars * 4))
-                model.floor[i] = np.log2(mass[0] / (seen_chars * 4)) if len(mass) else -20.0
-            else:
-                valid = full[n - 1] != 0
-                # an n-gram's shorter n-gram ends at the same character
-                _, first = np.unique(full[n - 1][valid], return_index=True)
-                short = full[n - 2][valid][first]
-                at, _ = _find(parts[i][n - 2][0], short)
-                lower = probs[i][n - 2][at]
-            p = np.maximum(c - d, 0) / total[inverse] + mass[inverse] * lower
-            probs[i].append(p)
-            masses[i].append((ctxs, mass))
-    for n in range(1, order + 1):
-        keys = np.unique(np.concatenate([parts[i][n - 1][0] for i in range(len(langs))]))
-        logp = np.full((len(keys), len(langs)), np.nan)
-        for i in range(len(langs)):
-            logp[np.searchsorted(keys, parts[i][n - 1][0]), i] = np.log2(probs[i][n - 1])
-        model.keys.append(keys)
-        model.logp.append(logp)
-        if n > 1:
-            ctx = np.unique(np.concatenate([masses[i][n - 1][0] for i in range(len(langs))]))
-            mass = np.zeros((len(ctx), len(langs)))
-            for i in range(len(langs)):
-                mass[np.searchsorted(ctx, masses[i][n - 1][0]), i] = np.log2(np.minimum(masses[i][n - 1][1], 1.0))
-            model.ctx.append(ctx)
-            model.mass.append(mass)
+    word, full, context = _grams(words, order)
+    weight = times[word]
+    found = []
+    follow: np.ndarray | None = None
+    for n in range(order, 0, -1):
+        valid = full[n - 1] != 0
+        keys, first, inverse = np.unique(full[n - 1][valid], return_index=True, return_inverse=True)
+        c = np.bincount(inverse, weights=weight[valid], minlength=len(keys))
+        if follow is not None:
+            seen = np.unique(np.stack([follow[valid], inverse]), axis=1)
+            more = np.bincount(seen[1][seen[0] >= 0], minlength=len(keys)).astype(float)
+            c = np.where(more > 0, more, c)
+        follow = np.full(len(valid), -1)
+        follow[valid] = inverse
+        found.append((keys, c, context[n - 1][valid][first], full[n - 2][valid][first] if n > 1 else keys))
+    return found[::-1]
+
+
+def train_one(words: list[str], times: np.ndarray, chars: int, order: int = ORDER) -> tuple[list[_Order], float]:
+    """One language's interpolated Kneser-Ney model from its words' counts, and the log2 probability of a character never seen.
+
+    One discount for each order, from its counts of one and two. The lowest order is mixed with a uniform share; chars is the number of characters known.
+    """
+    orders: list[_Order] = []
+    floor, uniform = -20.0, 1.0 / (chars * 4)
+    lower_keys, lower_p = np.zeros(0, np.uint64), np.zeros(0)
+    for n, (keys, c, ctx_of, short) in enumerate(_counts(words, times, order), 1):
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+        ctx, inverse = np.unique(ctx_of, return_inverse=True)
+        total = np.bincount(inverse, weights=c)
+        mass = d * np.bincount(inverse) / np.maximum(total, 1e-9)
+        if n == 1:
+            lower = np.full(len(keys), uniform)
+            floor = float(np.log2(mass[0] * uniform)) if len(mass) else floor
+        else:
+            lower = lower_p[_find(lower_keys, short)[0]]
+        lower_keys, lower_p = keys, np.maximum(c - d, 0) / total[inverse] + mass[inverse] * lower
+        orders.append(_Order(keys, np.log2(lower_p).astype(np.float32), ctx, np.log2(np.minimum(mass, 1.0)).astype(np.float32)))
+    return orders, floor
+
+
+def assemble(parts: dict[str, tuple[list[_Order], float]], order: int = ORDER) -> Model:
+    """The languages' models side by side in shared sorted arrays. Languages without a limit accept everything."""
+    langs = sorted(parts)
+    model = Model(langs, order, [], [], [], [], np.array([parts[lang][1] for lang in langs]), np.full(len(langs), np.inf))
+    for n in range(order if langs else 0):
+        own = [parts[lang][0][n] for lang in langs]
+        for to_keys, to_values, keys_of, values_of, blank in ((model.keys, model.logp, "keys", "logp", np.nan), (model.ctx, model.mass, "ctx", "mass", 0.0)):
+            if keys_of == "ctx" and n == 0:
+                continue
+            keys = np.unique(np.concatenate([getattr(o, keys_of) for o in own]))
+            values = np.full((len(keys), len(langs)), blank, np.float32)
+            for i, o in enumerate(own):
+                values[np.searchsorted(keys, getattr(o, keys_of)), i] = getattr(o, values_of)
+            to_keys.append(keys)
+            to_values.append(values)
     return model
 
 
+def train(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
+    """Models from word counts by language."""
+    chars = len({ch for c in counts.values() for w in c for ch in w}) + 2
+    times = {lang: np.fromiter(c.values(), dtype=np.float64, count=len(c)) for lang, c in counts.items()}
+    return assemble({lang: train_one(list(c), times[lang], chars, order) for lang, c in counts.items()}, order)
+
+
 class _Words(dict):
     """Word to its row in the score table, for one batch after another; emptied when full."""
 
@@ -227,65 +234,103 @@ def judge(model: Model, entropy: np.ndarray, chars: float) -> tuple[int, float,
     return best, float(1.0 / spread.sum()), bool(entropy[best] <= model.limits[best] * (1 + 2.0 / np.sqrt(max(chars, 1.0))))
 
 
-def _calibrate(model: Model, samples: list[tuple[str, float, np.ndarray]]) -> None:
+def _words(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) of the rows (lang, text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.update((lang, w) for w in words_of(text))
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "word", "n"])
+
+    return keep(map_arrow(texts, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+
+
+def _trained(words: DataFrame, order: int) -> Model:
+    """Each language's model is trained in a task of its own, which holds its sample; only finished arrays reach the driver."""
+
+    def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                known.update(word)
+        yield pa.RecordBatch.from_arrays([pa.array(map(ord, known), pa.int32())], ["character"])
+
+    chars = words.select("word").mapInArrow(characters, "character int").distinct().count() + 2
+
+    def model_of(table: pa.Table) -> pa.Table:
+        orders, floor = train_one(table["word"].to_pylist(), table["n"].to_numpy().astype(np.float64), chars, order)
+        columns = [[table["lang"][0].as_py()] * order, list(range(order)), [floor] * order, *([getattr(o, c).tobytes() for o in orders] for c in ("keys", "logp", "ctx", "mass"))]
+        kinds = (pa.string(), pa.int32(), pa.float64(), *[pa.binary()] * 4)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "n", "floor", "keys", "logp", "ctx", "mass"])
+
+    made = keep(words.groupBy("lang").applyInArrow(model_of, "lang string, n int, floor double, keys binary, logp binary, ctx binary, mass binary"), "language-models")
+    parts: dict[str, tuple[list[_Order], float]] = {}
+    for r in made.orderBy("lang", "n").toLocalIterator():
+        orders = parts.setdefault(r["lang"], ([], r["floor"]))[0]
+        orders.append(_Order(*(np.frombuffer(r[c], k) for c, k in (("keys", np.uint64), ("logp", np.float32), ("ctx", np.uint64), ("mass", np.float32)))))
+    return assemble(parts, order)
+
+
+def _calibrate(model: Model, scored: DataFrame) -> None:
     """Limits: the 0.999 quantile of the cross-entropy of a language's own documents and a tenth more, and at least 1.75 times their median, so that
-    texts with names, codes or figures among their words pass and letters without a language's order do not. Scale: the value under which
-    the documents' own languages get the highest mean log confidence."""
-    if not samples:
-        return
-    for i, lang in enumerate(model.langs):
-        own = [e[i] for name, chars, e in samples if name == lang and chars >= 40]
-        if own:
-            model.limits[i] = max(float(np.quantile(own, 0.999)) * 1.1, float(np.median(own)) * 1.75)
-    index = {lang: i for i, lang in enumerate(model.langs)}
-    matrix = np.array([e for _, _, e in samples])
-    own = np.array([index[name] for name, _, _ in samples])
-    gap = matrix - matrix.min(axis=1, keepdims=True)
+    texts with names, codes or figures among their words pass and letters without a language's order do not. A language none of whose documents has 40 letters
+    or more takes the limit of all languages together. Scale: the value of SCALES under which the documents' own languages get the highest mean log confidence.
 
-    def loss(scale: float) -> float:
-        z = -scale * gap * np.log(2)
-        return float(np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(own)), own]))
+    Only sums and quantiles reach the driver.
+    """
+    langs = list(model.langs)
 
-    model.scale = min((0.5, 1, 2, 4, 8, 16, 32), key=loss)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {lang: i for i, lang in enumerate(langs)}
+        for batch in batches:
+            rows: list[tuple] = []
+            for lang, chars, entropy in zip(batch.column("lang").to_pylist(), batch.column("chars").to_pylist(), batch.column("entropy").to_pylist(), strict=True):
+                if not chars or lang not in index:
+                    continue
+                bits, own = np.array(entropy), index[lang]
+                z = -np.array(SCALES)[:, None] * (bits - bits.min()) * np.log(2)
+                rows.append((lang, chars, bits[own], (np.log(np.exp(z).sum(axis=1)) - z[:, own]).tolist()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.string(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "chars", "bits", "losses"])
+
+    judged = keep(scored.mapInArrow(run, "lang string, chars double, bits double, losses array<double>"), "language-calibration")
+    losses = judged.agg(*[F.sum(F.get("losses", F.lit(i))).alias(f"loss{i}") for i in range(len(SCALES))]).first()
+    if losses[0] is None:
+        return
+    model.scale = SCALES[int(np.argmin(list(losses)))]
+    quantiles = F.percentile("bits", F.lit([0.5, 0.999])).alias("q")
+    long = judged.where("chars >= 40")
+    limit = lambda q: max(q[1] * 1.1, q[0] * 1.75) if q else np.inf
+    pooled = limit(long.agg(quantiles).first()["q"])
+    own = {r["lang"]: limit(r["q"]) for r in long.groupBy("lang").agg(quantiles).collect()}  # a row for each language
+    model.limits = np.array([own.get(lang, pooled) for lang in langs])
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", order: int = ORDER, train_chars: int = TRAIN_CHARS) -> Model:
     """Train on the rows of `labelled` that have a text and a language.
 
     Each language gets an equal part of train_chars (a documented bound, so that the model may be broadcast); where its texts hold more,
-    whole documents are drawn by a hash of their id. A tenth of the drawn documents calibrates and is not trained on.
+    whole documents are drawn by a hash of their id. A tenth of the drawn documents calibrates and is not trained on; languages of which
+    nothing would be left train on all they have, and calibrate on it.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    lengths = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.desc("n")).limit(500).collect()}  # at most 500 languages
-    if not lengths:
+    lengths = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"))
+    langs = lengths.count()
+    if not langs:
         return train({})
-    each = train_chars / len(lengths)
-    rate = F.element_at(F.create_map(*[x for lang, n in lengths.items() for x in (F.lit(lang), F.lit(min(1.0, each / max(n, 1))))]), F.col("lang"))
+    rates = lengths.select("lang", F.least(F.lit(1.0), F.lit(train_chars / langs) / F.greatest("n", F.lit(1))).alias("rate"))
     place = F.pmod(F.xxhash64(F.lit("draw"), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = keep(rows.where(place < rate).withColumn("tenth", F.pmod(F.xxhash64(F.lit("tenth"), "id"), F.lit(10))), "language-sample")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((lang, w) for w in words_of(text))
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "word", "n"])
-
-    apart = drawn.where("tenth = 0")
-    several = drawn.where("tenth <> 0").select("lang").distinct().count() == len(lengths)
-    used = drawn.where("tenth <> 0") if several else drawn  # a very small table: every document trains, and calibrates
-    words = map_arrow(used.select("lang", "text"), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    # bounded by train_chars; the sort makes reruns agree
-    for r in words.orderBy(F.desc("n"), "lang", "word").limit(TRAIN_WORDS * 4).toPandas().itertuples():
-        own = counts.setdefault(r.lang, {})
-        if len(own) < TRAIN_WORDS:
-            own[r.word] = int(r.n)
-    model = train(counts, order)
+    tenth = F.pmod(F.xxhash64(F.lit("tenth"), "id"), F.lit(10))
+    drawn = keep(rows.join(F.broadcast(rates), "lang").where(place < F.col("rate")).select("id", "lang", "text", (tenth == 0).alias("apart")), "language-sample")  # a short row for each language
+    both = drawn.groupBy("lang").agg((F.min("apart") == F.max("apart")).alias("all"))
+    dealt = drawn.join(F.broadcast(both), "lang")
+    model = _trained(_words(dealt.where("all or not apart").select("lang", "text")), order)
     shared = labelled.sparkSession.sparkContext.broadcast(model)
-    calibration = score_rows(apart if several else drawn, shared, "id", "text", "lang string", ["lang"])
-    _calibrate(model, [(r["lang"], r["chars"], np.array(r["entropy"])) for r in calibration.where("chars > 0").orderBy(F.xxhash64("id")).limit(20_000).collect() if r["lang"] in counts])
+    _calibrate(model, score_rows(dealt.where("all or apart"), shared, "id", "text", "lang string", ["lang"]))
     return model
 
 
