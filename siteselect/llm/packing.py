@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,21 +16,37 @@ from pyspark.sql import functions as F
 
 from siteselect.llm.common import keep, map_arrow, partitions
 
-#: Entries of a worker's cache; a full one is emptied, so that a worker's memory is bounded.
-CACHE_PIECES = 500_000
-#: Longer pieces are encoded each time.
+#: Entries of a worker's cache of words and pieces; a full one is emptied, so that a worker's memory is bounded.
+CACHE_PIECES = 1_000_000
+#: Longer words and pieces are looked at each time.
 CACHE_LENGTH = 64
-#: Texts of these characters alone are cut into pieces here, after lower-casing, as a word-level tokenizer with this vocabulary format cuts them.
+#: Texts of these characters alone are cut into words and pieces here, after lower-casing, as `_word_level` tokenizers cut them.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
+#: Fixed values of the tokenizer file format: how a tokenizer of the kind that `_PIECES` follows normalises and cuts texts.
+_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Byte-level vocabularies write each byte as a character: printable bytes as themselves, the others, in order, from 256 on.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
+def _word_level(tokenizer) -> bool:
+    """Whether the tokenizer lower-cases, drops white space and cuts the rest as `_PIECES` does, and adds nothing."""
+    told = json.loads(tokenizer.to_str())
+    cuts = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+    regular = len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[0].get("behavior") == "Removed" and cuts[0].get("invert") is True
+    bytewise = regular and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+    special = all(t["special"] and t["content"].startswith("<|") for t in told["added_tokens"])
+    return bool(bytewise and special and told["post_processor"] is None and (told["normalizer"] or {}).get("normalizers") == _NORMALISERS)
 
 
 class TextIds:
-    """From texts to packed ids, by way of a tokenizer's pieces.
+    """From texts to packed ids.
 
-    A tokenizer that drops white space gives the ids of a text as those of its pieces, one after the other; a corpus repeats its pieces, so that
-    most are looked up, and only new ones are encoded, many as one text. Texts with characters beyond Latin ones, or with a
-    special token, are cut at ASCII white space and those chunks encoded and kept.
+    A word-level tokenizer gives the ids of a text as those of its words, one after the other, and those of a word as its pieces'; a corpus repeats
+    both, so that most words are looked up and only new pieces are encoded. Texts with characters beyond Latin ones, or with a
+    special token, are cut at ASCII white space and those chunks encoded. Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -36,49 +54,52 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.word_level, self.model = _word_level(self.tokenizer), self.tokenizer.model
         self.known: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _many(self, fresh: list[str]) -> dict[str, bytes]:
-        """Encode pieces as one text and cut its ids at their offsets."""
-        found = {}
-        for at in range(0, len(fresh), 4000):
-            part = fresh[at : at + 4000]
-            encoded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ends = np.cumsum([len(t) + 1 for t in part])
-            starts = np.fromiter((o[0] for o in encoded.offsets), dtype=np.int64, count=len(encoded.ids))
-            packed = np.asarray(encoded.ids, dtype=self.dtype).tobytes()
-            low = 0
-            for piece, high in zip(part, (np.searchsorted(starts, ends) * np.dtype(self.dtype).itemsize).tolist(), strict=True):
-                found[piece] = packed[low:high]
-                low = high
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece, which the model's merges alone decide."""
+        written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def _new(self, fresh: set[str]) -> dict[str, bytes]:
+        """The ids of words, by way of their pieces; a word of letters is one piece."""
+        known, found = self.known, {}
+        for word in fresh:
+            if word.isalpha():
+                found[word] = self._piece(word)
+                continue
+            parts = []
+            for piece in _PIECES.findall(word):
+                ids = known.get(piece) or found.get(piece)
+                if ids is None:
+                    ids = found[piece] = self._piece(piece)
+                parts.append(ids)
+            found[word] = b"".join(parts)
         return found
 
+    def _odd(self, text: str) -> bytes:
+        return b"".join(map(self._encode, re.split("[ \t\n\r\x0b\x0c]+", text.strip(" \t\n\r\x0b\x0c"))))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t for t in texts]
-        cut = [_PIECES.findall(t.lower()) if p else re.split("[ \t\n\r\x0b\x0c]+", t.strip(" \t\n\r\x0b\x0c")) for t, p in zip(texts, plain, strict=True)]
-        looked = [list(map(self.known.get, pieces)) if p else None for pieces, p in zip(cut, plain, strict=True)]
-        fresh: set[str] = set()
-        for pieces, ids in zip(cut, looked, strict=True):
-            if ids and None in ids:
-                fresh.update(c for c, i in zip(pieces, ids, strict=True) if i is None)
-        found = self._many(list(fresh))
-        odd: dict[str, bytes] = {}
+        if not self.word_level:
+            return [self._encode(t) for t in texts]
+        cut = [t.lower().split() if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
+        looked = [None if words is None else list(map(self.known.get, words)) for words in cut]
+        found = self._new({w for words, ids in zip(cut, looked, strict=True) if ids and None in ids for w, i in zip(words, ids, strict=True) if i is None})
         out = []
-        for pieces, ids in zip(cut, looked, strict=True):
+        for text, words, ids in zip(texts, cut, looked, strict=True):
             if ids is None:
-                for c in pieces:
-                    if c not in odd:
-                        odd[c] = self._encode(c)
-                out.append(b"".join(map(odd.__getitem__, pieces)))
+                out.append(self._odd(text))
             else:
-                out.append(b"".join([found[c] if i is None else i for c, i in zip(pieces, ids, strict=True)] if None in ids else ids))
+                out.append(b"".join([found[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids))
         if len(self.known) + len(found) > CACHE_PIECES:
             self.known.clear()
-        self.known.update((c, i) for c, i in found.items() if len(c) <= CACHE_LENGTH)
+        self.known.update((w, i) for w, i in found.items() if len(w) <= CACHE_LENGTH)
         return out
 
 
