@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteselect.llm.common import lower_ascii
+from siteselect.llm.common import keep, lower_ascii
 
+#: A word once A-Z are in lower case, and the same stretches of a text as it stands.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD_AS_IS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of a rolling k-gram.
 K = 2
 #: Diagonals so near each other are one span; words inserted or dropped in a copy move its diagonal.
@@ -52,20 +54,22 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words as they stand: to lower-case whole texts with A-Z alone would cost more than all the rest."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_AS_IS), F.lit(0))
 
 
 def votes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, template, label, grams, diagonal, votes, low, high, places): the k-grams of a template that stand on one diagonal of a text.
 
-    All rolling k-grams of all texts are joined by hash, and then by their words, to the places of the templates. A place in the text less the place
+    All rolling k-grams of all texts are joined by the hash of their words in lower case, and then by the words, of which A-Z alone are in lower case, to the
+    places of the templates, which are of ASCII letters: so a letter that only Unicode takes for the capital of one of theirs does not match. A place in the text less the place
     in the template is the diagonal; what stands there is counted once for each place of the template: places has a bit for each (fewer than 64).
     `row` is a hash of the text, so that rows of one id stay apart unless they are equal.
     """
     words = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), words_of(F.col(text_col)).alias("words"))
     each = words.select("id", "row", F.posexplode("words").alias("pos", "w1"), "words").select("id", "row", "pos", "w1", F.get("words", F.col("pos") + 1).alias("w2"))
     places = F.broadcast(_templates(docs.sparkSession))  # fixed size
-    met = each.where("w2 is not null").withColumn("h", F.xxhash64("w1", "w2")).join(places, (F.col("h") == F.col("gram")) & (F.col("w1") == F.col("word1")) & (F.col("w2") == F.col("word2")))
+    met = each.where("w2 is not null").withColumn("h", F.xxhash64(F.lower("w1"), F.lower("w2"))).join(places, (F.col("h") == F.col("gram")) & (lower_ascii(F.col("w1")) == F.col("word1")) & (lower_ascii(F.col("w2")) == F.col("word2")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))
     held = met.groupBy("id", "row", "template", "label", "grams", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(bit).alias("places"), F.min("pos").alias("low"), (F.max("pos") + K - 1).alias("high"))
     return held.select("id", "row", "template", "label", "grams", "diagonal", F.bit_count("places").cast("long").alias("votes"), "low", "high", "places")
@@ -114,7 +118,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     largest of their starts (null if there is none). labels are theirs and those of the spans that hold up. score is the highest coverage.
     Null and empty texts have no words and no labels (an empty string). Equal rows have equal results.
     """
-    voted = votes(docs, id_col, text_col)
+    voted = keep(votes(docs, id_col, text_col), "votes")
     whole = (F.col("template") < len(PHRASES)) & (F.col("votes") == F.col("grams"))
     base = voted.where(whole).select("id", "row", F.col("label"), F.col("diagonal").alias("start"), F.lit(1.0).alias("coverage"))
     other = spans(voted.where(F.col("template") >= len(PHRASES))).select("id", "row", "label", F.lit(None).cast("int").alias("start"), "coverage")
@@ -124,7 +128,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.count("start").alias("n_base"), F.min("start").cast("long").alias("first_word"), F.max("start").cast("long").alias("last_word"),
         joined(F.when(is_base, F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("coverage").alias("score"),
     )
-    counted = F.regexp_count(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD)).cast("long")
+    counted = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_AS_IS)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), counted.alias("n_words"))
     out = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     return out.select("id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -135,18 +139,22 @@ def oracle() -> str:
     values = ", ".join(f"({n}, '{label}', {grams}, {at}, '{a}', '{b}')" for n, label, grams, at, a, b in template_rows(PHRASES) + template_rows(TEMPLATES, len(PHRASES)))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH places(template, label, grams, place, word1, word2) AS (VALUES {values}),
+WITH RECURSIVE places(template, label, grams, place, word1, word2) AS (VALUES {values}),
 texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS words FROM documents),
 each AS (SELECT doc_id, words, unnest(range(len(words) - 1)) AS pos FROM texts WHERE len(words) > 1),
-met AS (SELECT DISTINCT e.doc_id, p.template, p.label, p.grams, p.place, e.pos, e.pos - p.place AS diagonal FROM each e JOIN places p ON e.words[e.pos + 1] = p.word1 AND e.words[e.pos + 2] = p.word2),
-voted AS (SELECT doc_id, template, label, grams, diagonal, count(*) AS votes, min(pos) AS low, max(pos) + 1 AS high FROM met GROUP BY ALL),
-marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM voted WHERE template >= {len(PHRASES)}),
-numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM marked),
-merged AS (SELECT doc_id, template, label, grams, span, least(sum(votes), grams) AS votes, min(low) AS first_word, max(high) AS last_word, count(*) AS diagonals FROM numbered GROUP BY doc_id, template, label, grams, span),
+met AS (SELECT DISTINCT e.doc_id, p.template, p.label, p.grams, p.place, e.pos FROM each e JOIN places p ON e.words[e.pos + 1] = p.word1 AND e.words[e.pos + 2] = p.word2),
+whole AS (SELECT doc_id, label, pos - place AS start FROM met WHERE template < {len(PHRASES)} GROUP BY doc_id, template, label, grams, pos - place HAVING count(DISTINCT place) = grams),
+enough AS (SELECT doc_id, template FROM met WHERE template >= {len(PHRASES)} GROUP BY doc_id, template, grams HAVING count(DISTINCT place) >= {COVERAGE} * grams),
+marked AS (SELECT m.* FROM met m JOIN enough USING (doc_id, template)),
+runs(doc_id, template, label, grams, place, pos, n) AS (
+  SELECT doc_id, template, label, grams, place, pos, 1 FROM marked
+  UNION
+  SELECT m.doc_id, m.template, m.label, m.grams, m.place, m.pos, r.n + 1 FROM runs r JOIN marked m
+    ON m.doc_id = r.doc_id AND m.template = r.template AND m.pos > r.pos AND m.place > r.place AND abs((m.pos - m.place) - (r.pos - r.place)) <= {GAP}),
 found AS (
-  SELECT doc_id, label, diagonal AS start, 1.0::DOUBLE AS coverage FROM voted WHERE template < {len(PHRASES)} AND votes = grams
+  SELECT doc_id, label, start, 1.0::DOUBLE AS coverage FROM whole
   UNION ALL
-  SELECT doc_id, label, NULL, votes::DOUBLE / grams FROM merged WHERE votes::DOUBLE / grams >= {COVERAGE} AND last_word - first_word + 1 <= grams + 1 + {GAP} * (diagonals - 1)),
+  SELECT doc_id, label, NULL, max(n)::DOUBLE / grams FROM runs GROUP BY doc_id, template, label, grams HAVING max(n)::DOUBLE / grams >= {COVERAGE}),
 summed AS (SELECT doc_id, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE start IS NOT NULL), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM found GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(t.words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
 FROM texts t LEFT JOIN summed s ON t.doc_id = s.doc_id"""
