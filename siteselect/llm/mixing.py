@@ -17,11 +17,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 GROUP_ROWS = 1024
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): words of each whole text, 0 for null."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-
-
 def cyclic_weights(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """(source, weight): the weights in turn to the sources by code point, null last.
 
@@ -65,44 +60,47 @@ def targets(totals: DataFrame, weights: DataFrame, ceiling: float = 3.0) -> Data
         state = keep(state.withColumn("full", F.col("full") | above), "shares")
 
 
-def rates(cells: DataFrame, wanted: DataFrame, ceiling: float = 3.0, rounds: int = 50, tolerance: float = 1e-9) -> DataFrame:
-    """(source, prior, rate): what each document of a source and a prior is taken, so that a source's tokens come to its target.
+def tilted(m: Column, size: Column, prior: Column, mean: Column, ceiling: float) -> Column:
+    """The rate of a document: its prior tilted by exp(m * size / mean), kept below the ceiling. m may be infinite: then the rate is a bound, but for documents without words."""
+    held = ceiling / (1 + (ceiling - prior) / prior * F.exp(-m * size / mean))
+    return F.when(size == 0, prior).when(m == float("inf"), F.lit(ceiling)).when(m == float("-inf"), F.lit(0.0)).otherwise(held)
+
 
-    Entropy balancing, measured per token: of all rates between 0 and `ceiling` that meet the token constraints, those nearest to the
-    priors. The dual is convex and has a multiplier for each source; a rate is its prior tilted by exp(multiplier), kept below the ceiling:
-    rate = C q e^m / (C - q + q e^m), with C the ceiling and q the prior. Newton's steps are aggregates over the cells
-    (source, prior), which weigh as many tokens as their documents hold, so that no step reads the documents again. As entropy is
-    counted by tokens, length alone tilts no document: a source's short and long documents keep their proportions.
+def multipliers(cells: DataFrame, wanted: DataFrame, ceiling: float = 3.0, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(source, m, mean): the multiplier under which the tilted rates of a source's documents bring its tokens to its target.
 
-    A source that is to be taken `ceiling` times, or not at all, has no finite multiplier; its rates are the bound itself.
+    Entropy balancing by document: of all rates between 0 and `ceiling` whose tokens come to the targets, those nearest to the priors in (bounded) relative
+    entropy. A constraint's moment is a document's tokens, so that a rate is its prior tilted by the exponential of a multiple of them: a source that gives up
+    words gives up those of its long documents first, and most short documents keep their rate. The dual is convex, with a multiplier for each source, and
+    Newton's steps from 0 are aggregates over the cells (source, prior, size, n), so that no step reads the documents again. A step that leaves the
+    bracket of the root halves it instead.
+
+    A source that is to be taken `ceiling` times, or not at all, has no finite multiplier. Raises an error if `rounds` steps do not suffice.
     """
-    state = wanted.where("source_size > 0").select("source", "target", F.col("source_size").cast("double").alias("tokens"))
+    state = wanted.where("source_size > 0").select("source", "target", (F.col("source_size") / F.col("n")).alias("mean"), F.col("source_size").cast("double").alias("tokens"))
     ratio = F.col("target") / F.col("tokens")
-    state = state.withColumn("m", F.when(ratio >= ceiling * (1 - 1e-12), F.lit(float("inf"))).when(ratio <= 0, F.lit(float("-inf"))).otherwise(F.log(ratio * (ceiling - 1) / (ceiling - ratio))))
-    state = keep(state.withColumn("low", F.lit(-60.0)).withColumn("high", F.lit(60.0)), "duals")
-    q, tilt = F.col("prior"), F.col("prior") * F.exp("m")
-    rate = F.when(F.col("m") == float("inf"), F.lit(ceiling)).when(F.col("m") == float("-inf"), F.lit(0.0)).otherwise(ceiling * tilt / (ceiling - q + tilt))
+    bound = F.when(ratio >= ceiling * (1 - 1e-12), F.lit(float("inf"))).when(ratio <= 0, F.lit(float("-inf"))).otherwise(F.lit(0.0))
+    state = keep(state.select("source", "target", "mean", bound.alias("m"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high")), "duals")
     for _ in range(rounds):
-        cells_now = _by_source(cells, state).select("source", "size", rate.alias("rate"))
-        sums = cells_now.groupBy("source").agg(F.sum(F.col("size") * F.col("rate")).alias("got"), F.sum(F.col("size") * F.col("rate") * (1 - F.col("rate") / ceiling)).alias("slope"))
-        step = keep(_by_source(state, sums), "duals")
-        finite = F.abs("m") < float("inf")
-        worst = step.where(finite).agg(F.max(F.abs(F.col("got") - F.col("target")) / F.greatest(F.lit(1.0), F.col("target")))).first()[0]
+        rate = tilted(F.col("m"), F.col("size"), F.col("prior"), F.col("mean"), ceiling)
+        now = _by_source(cells, state.where(F.abs("m") < float("inf"))).select("source", (F.col("n") * F.col("size")).alias("tokens"), (F.col("size") / F.col("mean")).alias("x"), rate.alias("rate"))
+        sums = now.groupBy("source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("got"), F.sum(F.col("tokens") * F.col("x") * F.col("rate") * (1 - F.col("rate") / ceiling)).alias("slope"))
+        step = keep(_by_source(state, sums, "left"), "duals")
+        worst = step.agg(F.max(F.abs(F.col("got") - F.col("target")) / F.greatest(F.lit(1.0), F.col("target")))).first()[0]
         if worst is None or worst <= tolerance:
-            break
+            return state.select("source", "m", "mean")
         low = F.when(F.col("got") < F.col("target"), F.col("m")).otherwise(F.col("low"))
         high = F.when(F.col("got") > F.col("target"), F.col("m")).otherwise(F.col("high"))
-        newton = F.col("m") + (F.col("target") - F.col("got")) / F.col("slope")
+        newton = F.col("m") + F.try_divide(F.col("target") - F.col("got"), F.col("slope"))
         inside = (newton > low) & (newton < high)
-        # a Newton step that leaves the bracket halves it instead
-        state = step.select("source", "target", "tokens", F.when(~finite, F.col("m")).when(inside, newton).otherwise((low + high) / 2).alias("m"), low.alias("low"), high.alias("high"))
-    return _by_source(cells, state).select("source", "prior", rate.alias("rate"))
+        state = step.select("source", "target", "mean", F.when(F.col("got").isNull(), F.col("m")).when(inside, newton).otherwise((low + high) / 2).alias("m"), low.alias("low"), high.alias("high"))
+    raise RuntimeError(f"the multipliers have not converged in {rounds} rounds")
 
 
 def _round(group: pd.DataFrame) -> pd.DataFrame:
     """Copies of a group's documents: each rate goes to one of its two neighbours, large documents first, and what is lost or won by
     one is carried to the next, so that the group's words end within half its last documents of what the rates ask."""
-    group = group.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    group = group.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
     carry, copies = 0.0, []
     for size, rate in zip(group["size"], group["rate"], strict=True):
         low = math.floor(rate)
@@ -111,42 +109,40 @@ def _round(group: pd.DataFrame) -> pd.DataFrame:
             take = low + (carry + (rate - low) * size >= size / 2)
             carry += (rate - take) * size
         copies.append(take)
-    return group.assign(copies=pd.array(copies, dtype="int64"))[["doc_id", "source", "size", "copies"]]
+    return group.assign(copies=pd.array(copies, dtype="int64"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, ceiling: float = 3.0, prior_col: str | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for each row of docs; taken words are size * copies.
+    """(doc_id, row, source, size, source_size, target, rate, copies) for each row of docs; taken words are size * copies.
 
-    Sources get `weights` in turn by code point, null last (a null source is a source). Documents without words have rate and copies as their
-    source has, and count no words; a source without words has target 0 and copies 0. No document is taken more than `ceiling` times.
+    Sources get `weights` in turn by code point, null last (a null source is a source). Documents without words have their prior as rate and count no
+    words; a source without words has target 0 and copies 0. No document is taken more than `ceiling` times. `row` is a hash of the text.
     prior_col: rates that documents of a source shall keep among each other (above 0, below ceiling; null: 1); without, all are 1.
     Reruns agree: rounding groups are dealt by a hash of the id, and order within by size and id. A large source has as many groups as it needs.
     """
     ids = docs.schema[id_col].dataType.simpleString()
     prior = F.coalesce(F.least(F.greatest(F.col(prior_col).cast("double"), F.lit(1e-6)), F.lit(ceiling * 0.999)), F.lit(1.0)) if prior_col else F.lit(1.0)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keep(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), prior.alias("prior")), "sizes")
-    cells = keep(rows.groupBy("source", "prior").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "cells")
-    totals = cells.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n"))
-    wanted = keep(targets(totals, cyclic_weights(totals, weights), ceiling), "targets")
-    found = rates(cells, wanted, ceiling)
-    groups = totals.select("source", F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_ROWS)).alias("groups"))
-    info = _by_source(_by_source(wanted, groups), found, "left")
-    info = keep(info.select("source", "source_size", "target", "groups", F.col("prior").alias("at_prior"), F.coalesce("rate", F.lit(0.0)).alias("rate")), "rates")
-    joined = _by_source(rows, info, more=F.col("at_prior").isNull() | (F.col("prior") == F.col("at_prior")))
-    joined = joined.select("doc_id", "source", "size", "source_size", "target", "rate", F.pmod(F.xxhash64("doc_id"), "groups").alias("grp"))
-    schema = f"doc_id {ids}, source string, size long, source_size long, target double, copies long"
+    rows = keep(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(source_col).alias("source"), words.alias("size"), prior.alias("prior")), "sizes")
+    cells = keep(rows.groupBy("source", "prior", "size").agg(F.count("*").alias("n")), "cells")
+    totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
+    wanted = keep(_by_source(targets(totals, cyclic_weights(totals, weights), ceiling), totals.select("source", "n")), "targets")
+    found = multipliers(cells, wanted, ceiling)
+    info = _by_source(wanted.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_ROWS))), found, "left")
+    info = keep(info.select("source", "source_size", "target", "groups", "m", "mean"), "multipliers")
+    rate = F.when(F.col("m").isNull(), F.lit(0.0)).otherwise(tilted(F.col("m"), F.col("size"), F.col("prior"), F.col("mean"), ceiling))
+    joined = _by_source(rows, info).select("doc_id", "row", "source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), "groups").alias("grp"))
+    schema = f"doc_id {ids}, row long, source string, size long, source_size long, target double, rate double, copies long"
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
-        return group[["source_size", "target"]].join(_round(group), how="right")[["doc_id", "source", "size", "source_size", "target", "copies"]]
+        return _round(group)[["doc_id", "row", "source", "size", "source_size", "target", "rate", "copies"]]
 
     return joined.groupBy("source", "grp").applyInPandas(rounded, schema)
 
 
-def expand(docs: DataFrame, copies: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with each row as often as `copies` (doc_id, copies) says; rows of equal ids each take the copies of one of theirs."""
-    each = copies.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).where("_mix_copies > 0")
-    joined = docs.join(each, docs[id_col].eqNullSafe(each["_mix_id"])).drop("_mix_id")
-    return joined.withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).drop("_mix_copies")
-
-
+def expand(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs with each row as often as `mixed`, the result of `mix`, says. Rows equal in id, text and source each take the rounded mean of their copies."""
+    each = mixed.groupBy(F.col("doc_id").alias("_mix_id"), F.col("row").alias("_mix_row"), F.col("source").alias("_mix_source")).agg(F.round(F.avg("copies")).cast("int").alias("_mix_copies")).where("_mix_copies > 0")
+    same = F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_row")) & F.col(source_col).eqNullSafe(F.col("_mix_source"))
+    joined = docs.join(each, same).drop("_mix_id", "_mix_row", "_mix_source")
+    return joined.withColumn("_mix_copies", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("_mix_copies")

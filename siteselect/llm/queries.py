@@ -54,7 +54,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siteselect.llm import mixing
 
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
 @query

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -53,11 +54,40 @@ def test_priors_tilt_rates_and_meet_targets(spark):
         assert mean[0.5] < mean[1.0] < mean[2.0]
 
 
+def test_rates_equal_a_direct_solver(spark, docs):
+    rng = random.Random(6)
+    sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in range(500)]
+    texts = ["w " * min(4000, int(rng.lognormvariate(3, 1.5))) for _ in sources]
+    rows = mixing.mix(docs(texts, sources=sources)).collect()
+    for s in set(sources):
+        mine = [r for r in rows if r["source"] == s]
+        total, target, mean = sum(r["size"] for r in mine), mine[0]["target"], sum(r["size"] for r in mine) / len(mine)
+        if target >= 3 * total * (1 - 1e-12):
+            assert all(r["rate"] == 3 for r in mine if r["size"])
+            continue
+
+        def rate(m, size):
+            return 3 / (1 + 2 * math.exp(min(700, -m * size / mean)))
+
+        low, high = -1e5, 1e5
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if sum(r["size"] * rate(m, r["size"]) for r in mine) < target else (low, m)
+        assert all(abs(r["rate"] - rate(low, r["size"])) < 1e-6 for r in mine), s
+        assert len({round(r["rate"], 6) for r in mine}) > 10  # tilted by size, not one ratio
+
+
 def test_no_words_no_rows_and_expand(spark, docs):
     assert mixing.mix(docs(["a"]).where("doc_id < 0")).count() == 0
     rows = mixing.mix(docs([None, ""], sources=["a", "b"])).collect()
     assert [r["target"] for r in rows] == [0.0, 0.0]
     frame = docs(["a", "b", "c"])
     copies = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "doc_id long, copies long")
-    out = mixing.expand(frame, copies)
+    out = mixing.expand(frame, frame.selectExpr("doc_id", "source", "xxhash64(text) AS row").join(copies, "doc_id"))
     assert out.columns == frame.columns and sorted(r["doc_id"] for r in out.collect()) == [0, 0, 2]
+
+
+def test_rows_of_one_id_take_their_own_copies(spark, docs):
+    frame = docs(["a", "b", "b"], ids=[1, 1, 1])
+    mixed = frame.selectExpr("doc_id", "source", "xxhash64(text) AS row", "CASE WHEN text = 'a' THEN 3L ELSE 1L END AS copies")
+    assert sorted(r["text"] for r in mixing.expand(frame, mixed).collect()) == ["a", "a", "a", "b", "b"]
