@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +19,7 @@ ORDER = 4
 TRAIN_CHARS = 12_000_000
 #: Exponents that calibration tries for the confidence.
 SCALES = (0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
-#: Characters that a regular expression takes for word characters, but that are neither letters nor digits, such as fractions and Roman numerals.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = "\x02"
 

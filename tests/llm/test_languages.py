@@ -69,6 +69,19 @@ def test_predict_on_held_out_texts_and_odd_rows(spark, docs):
     assert got[304]["lang_pred"] == langs[0]
 
 
+def test_numerals_are_no_letters_and_marks_stay_in_words():
+    assert languages.words_of("½ ² Ⅷ 12 _ abc") == ["abc"] and languages.words_of("हिन्दी") == ["हिन्दी"]
+
+
+def test_a_language_without_long_documents_takes_the_common_limit(spark, docs):
+    rng = random.Random(4)
+    vocabulary = {"aa": ["the", "and", "ing", "tion", "with"], "bb": ["der", "und", "ung", "sch", "mit"]}
+    text = lambda lang, n: " ".join("".join(rng.choices(vocabulary[lang], k=2)) for _ in range(n))
+    langs = ["aa"] * 200 + ["bb"] * 12
+    model = languages.fit(docs([text("aa", 40) if lang == "aa" else text("bb", 2) for lang in langs], langs=langs))
+    assert model.langs == ["aa", "bb"] and np.isfinite(model.limits).all()
+
+
 def test_without_labels_all_is_undetermined(spark, docs):
     frame = docs(["some words"], langs=[None])
     assert [r["lang_pred"] for r in languages.predict(frame, languages.fit(frame)).collect()] == ["und"]
