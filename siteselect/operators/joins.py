@@ -13,21 +13,34 @@ from siteselect.operators.scratch import keep
 
 
 def point_in_cell(points: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
-    """points with the grid_id and cell of their place; a point on a shared edge belongs to the lowest grid_id, if that cell exists.
+    """points with the grid_id of their place; a point on a shared edge belongs to the lowest grid_id, if that cell exists. Equal rows stay as many as they are.
 
-    Points ask for their own cell, and on an edge for the lower neighbours, by an equi-join on the cell's index.
+    Points ask for their own cell by an equi-join on the cell's index. Only those on an edge ask for the lower neighbours too and are grouped, with their number.
     """
     cx, cy = geo.cell_index("x", "y", size)
+    cells = grid.select("grid_id", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
+    on_edge = (F.col("x") == cx * size) | (F.col("y") == cy * size)
+    at = (F.col("_kx") == F.col("_cx")) & (F.col("_ky") == F.col("_cy"))
+    keys = ("_kx", "_ky", "_cx", "_cy")
+    inside = points.where(~on_edge).withColumns({"_kx": cx, "_ky": cy}).join(cells, at).drop(*keys)
     near = lambda v, c: F.when(v == c * size, F.array(c - 1, c)).otherwise(F.array(c))
-    asks = points.withColumn("_p", F.xxhash64(*points.columns)).withColumn("cx", F.explode(near(F.col("x"), cx))).withColumn("cy", F.explode(near(F.col("y"), cy)))
-    met = asks.join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
-    return met.groupBy(*points.columns).agg(F.min("grid_id").alias("grid_id"))
+    edge = points.where(on_edge).groupBy(*points.columns).agg(F.count("*").alias("_times"))
+    asks = edge.withColumn("_kx", F.explode(near(F.col("x"), cx))).withColumn("_ky", F.explode(near(F.col("y"), cy)))
+    lowest = asks.join(cells, at).groupBy(*points.columns, "_times").agg(F.min("grid_id").alias("grid_id"))
+    again = lowest.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
+    return inside.select(*points.columns, "grid_id").unionByName(again.select(*points.columns, "grid_id"))
 
 
 def lines_in_cells(segments: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
     """segments (x1, y1, x2, y2) with each cell that they cross and the length inside (above 0). Cells are closed: a segment on a shared edge counts in both."""
     span = lambda a, b: F.sequence(F.ceil(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size))
-    keyed = segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    # of each column of cells only those are asked that the segment's part in it spans, and one more on either side, as the cut is rounded
+    cut = lambda x: y1 + (F.greatest(F.least(x, F.greatest(x1, x2)), F.least(x1, x2)) - x1) * F.when(x2 == x1, 0.0).otherwise((y2 - y1) / (x2 - x1))
+    low, high = cut(F.col("cx") * size), cut((F.col("cx") + 1) * size)
+    part = lambda a, b: F.sequence(F.greatest(F.ceil(F.least(y1, y2) / size) - 1, F.ceil(F.least(a, b) / size) - 2), F.least(F.floor(F.greatest(y1, y2) / size), F.floor(F.greatest(a, b) / size) + 1))
+    ys = F.when(x1 == x2, span("y1", "y2")).otherwise(part(low, high))
+    keyed = segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(ys))
     met = keyed.join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
     length = geo.clipped_length("x1", "y1", "x2", "y2", F.col("cx") * size, F.col("cy") * size, (F.col("cx") + 1) * size, (F.col("cy") + 1) * size)
     return met.withColumn("length_m", length).where("length_m > 0")
@@ -74,8 +87,10 @@ def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, r
         found = done if found is None else found.unionByName(done)
         open_ = keep(open_.join(done.select("centre_id"), "centre_id", "left_anti"))
         size *= 2
-        if not open_.limit(1).count() or (max_distance and size > 2 * max_distance):
+        if open_.isEmpty() or (max_distance and size > 2 * max_distance):
             break
+    else:
+        raise RuntimeError(f"centres without a nearest point after {rounds} rounds")
     return centres.select("centre_id").join(found, "centre_id", "left")
 
 

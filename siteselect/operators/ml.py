@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from siteselect.operators import ranks
 from siteselect.operators.checks import require
+from siteselect.operators.scratch import keep
 
 
 def training_table(source: DataFrame, predictors: Sequence[str], target: str, id_col: str = "grid_id", forbidden: Sequence[str] = ()) -> DataFrame:
@@ -66,18 +67,20 @@ def fold_summary(rows: DataFrame, block: str = "spatial_block_id", target: str =
 
 def balanced_weights(rows: DataFrame, target: str, out: str = "weight") -> DataFrame:
     """n / (2 * n of the class)."""
-    counts = rows.groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return rows.join(F.broadcast(counts.limit(2)), F.col(target) == F.col("_t")).withColumn(out, F.lit(float(total)) / (2 * F.col("_n"))).drop("_t", "_n")
+    counts = keep(rows.groupBy(F.col(target).alias("_t")).agg(F.count("*").alias("_n")))
+    total, classes = counts.agg(F.sum("_n"), F.count("*")).first()
+    if classes > 2:
+        raise ValueError(f"{target} has {classes} values; two are expected")
+    return rows.join(F.broadcast(counts), F.col(target) == F.col("_t")).withColumn(out, F.lit(float(total or 0)) / (2 * F.col("_n"))).drop("_t", "_n")
 
 
-def estimator(model: str, seed: int = 42, trees: int = 400, rounds: int = 150, weights_sum: float | None = None):
+def estimator(model: str, seed: int = 42, trees: int = 400, rounds: int = 150, depth: int = 12, weights_sum: float | None = None):
     """logistic (standardised, C = 1), forest (400 trees of depth 12, 3 features a split, 5 rows a leaf), boosting (150 rounds at 0.05)."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if model == "logistic":
         return LogisticRegression(standardization=True, regParam=1.0 / (weights_sum or 1.0), elasticNetParam=0.0, maxIter=100, **common)
     if model == "forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=12, minInstancesPerNode=5, featureSubsetStrategy="3", seed=seed, **common)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="3", seed=seed, **common)
     if model == "boosting":
         return GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=100, seed=seed, **common)
     raise ValueError(model)
@@ -95,7 +98,7 @@ def score(fitted, rows: DataFrame) -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: Sequence[str], target: str, model: str, folds: Sequence[int], id_col: str = "grid_id", **options) -> DataFrame:
     """(id, cv_fold, y, model, score): each fold scored by a model of the others. `prior` scores the share of positives in the others."""
-    parts = []
+    rows, parts = keep(rows), []
     for fold in folds:
         train, held = rows.where(F.col("cv_fold") != fold), rows.where(F.col("cv_fold") == fold)
         if model == "prior":
@@ -141,12 +144,15 @@ def threshold_metrics(scores: DataFrame, by: Sequence[str], threshold: float = 0
 
 def top_metrics(scores: DataFrame, by: Sequence[str], fraction: float, id_col: str, y: str = "y", score_: str = "score") -> DataFrame:
     """Precision, recall and lift of the max(1, ceil(n * fraction)) highest scores of each group, ties by id."""
-    ranked = ranks.with_ranks(scores, score_, by, "_r")
-    ties = F.row_number().over(W.partitionBy(*by, score_).orderBy(id_col))
-    place = F.col("_r_n") - F.col("_r_below") - F.col("_r_same") + ties
-    k = F.greatest(F.lit(1), F.ceil(F.col("_r_n") * fraction - 1e-9))
+    group = [F.asc(b) for b in by]
+    placed = ranks.numbered(scores, [*group, F.desc_nulls_last(score_), F.asc(id_col)], "_place")
+    sizes = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count(score_).alias("_n")).withColumnsRenamed({b: f"_by_{b}" for b in by})
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    k = F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction - 1e-9))
     top = F.col("_top")
-    ranked = ranked.withColumn("_top", place <= k)
+    ranked = placed.join(sizes, same).withColumn("_top", (F.col("_place") - F.col("_first") < k) & F.col(score_).isNotNull())
     sums = ranked.groupBy(*by).agg(F.sum((top & (F.col(y) == 1)).cast("long")).alias("tp"), F.sum(top.cast("long")).alias("k"), F.sum(F.col(y).cast("long")).alias("p"), F.count("*").alias("n"))
     precision, recall = F.col("tp") / F.col("k"), F.when(F.col("p") > 0, F.col("tp") / F.col("p")).otherwise(0.0)
     return sums.select(*by, precision.alias("precision"), recall.alias("recall"), F.when(F.col("p") > 0, precision / (F.col("p") / F.col("n"))).otherwise(0.0).alias("lift"))
@@ -182,32 +188,34 @@ def paired(metrics: DataFrame, seed: str, variant: str, a: str, b: str, column:
     return pairs.agg(F.avg("d").alias("mean_delta"), F.stddev_samp("d").alias("std_delta"), F.sum((F.col("d") > 0).cast("long")).alias("wins"), F.count("*").alias("seeds"))
 
 
-def shuffled(rows: DataFrame, column: str, seed: int | Column, id_col: str = "grid_id", fold: str = "cv_fold", groups: int = 64) -> DataFrame:
+def shuffled(rows: DataFrame, column: str, seed: int | Column, id_col: str = "grid_id", fold: str = "cv_fold") -> DataFrame:
     """rows with `column` shuffled within each fold: the same values in another order, the same for a seed.
 
-    Values move within `groups` parts of a fold, which a hash deals; each part is sorted by id on one side and by a hash of the id and seed on the other.
+    The rows are numbered by fold and id, the values by fold and a hash of id and seed; each row takes the value of its number.
     """
-    part = F.pmod(F.xxhash64(F.lit("part"), F.lit(seed) if isinstance(seed, int) else seed, id_col), F.lit(groups))
-    keyed = rows.withColumn("_part", part)
-    place = F.row_number().over(W.partitionBy(fold, "_part").orderBy(id_col))
-    other = F.row_number().over(W.partitionBy(fold, "_part").orderBy(F.xxhash64(F.lit("order"), F.lit(seed) if isinstance(seed, int) else seed, id_col), id_col))
-    values = keyed.select(F.col(fold).alias("_f"), F.col("_part").alias("_q"), other.alias("_n"), F.col(column).alias("_v"))
-    placed = keyed.withColumn("_place", place)
-    on = (F.col(fold) == F.col("_f")) & (F.col("_part") == F.col("_q")) & (F.col("_place") == F.col("_n"))
-    return placed.join(values, on).withColumn(column, F.col("_v")).drop("_f", "_q", "_n", "_v", "_part", "_place")
+    key = F.xxhash64(F.lit("order"), F.lit(seed) if isinstance(seed, int) else seed, id_col)
+    places = ranks.numbered(rows, [F.asc(fold), F.asc(id_col)], "_place")
+    values = ranks.numbered(rows.select(F.col(fold).alias("_f"), F.col(column).alias("_v"), key.alias("_key"), F.col(id_col).alias("_id")), [F.asc("_f"), F.asc("_key"), F.asc("_id")], "_place")
+    return places.join(values.select("_place", "_v"), "_place").withColumn(column, F.col("_v")).drop("_place", "_v")
 
 
 def permutation_importance(rows: DataFrame, features: Sequence[str], target: str, model: str, folds: Sequence[int], repeats: int = 5, id_col: str = "grid_id", **options) -> DataFrame:
     """(feature, repeat, fold_drop_mean, pooled_drop): loss of average precision when a feature is shuffled within the held-out folds; models are not fitted again."""
-    base, changed = None, None
-    for fold in folds:
-        fitted, held = fit(rows.where(F.col("cv_fold") != fold), features, target, model, **options), rows.where(F.col("cv_fold") == fold)
-        one = score(fitted, held).select(id_col, "cv_fold", F.col(target).alias("y"), "score")
-        base = one if base is None else base.unionByName(one)
-        for f in features:
-            for r in range(repeats):
-                again = score(fitted, shuffled(held, f, 1000 * r + 42, id_col)).select(id_col, "cv_fold", F.col(target).alias("y"), "score", F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
-                changed = again if changed is None else changed.unionByName(again)
+    rows = keep(rows)
+    fitted = {fold: fit(rows.where(F.col("cv_fold") != fold), features, target, model, **options) for fold in folds}
+
+    def scored(table: DataFrame, *more: Column) -> DataFrame:
+        out = None
+        for fold in folds:
+            one = score(fitted[fold], table.where(F.col("cv_fold") == fold)).select(id_col, "cv_fold", F.col(target).alias("y"), "score", *more)
+            out = one if out is None else out.unionByName(one)
+        return keep(out)
+
+    base, changed = scored(rows), None
+    for f in features:
+        for r in range(repeats):
+            again = scored(shuffled(rows, f, 1000 * r + 42, id_col), F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
+            changed = again if changed is None else changed.unionByName(again)
     by_fold = average_precision(changed, ["feature", "repeat", "cv_fold"]).join(average_precision(base, ["cv_fold"]).select("cv_fold", F.col("ap").alias("base")), "cv_fold").groupBy("feature", "repeat").agg(F.avg(F.col("base") - F.col("ap")).alias("fold_drop_mean"))
     pooled = average_precision(base, []).first()["ap"]
     return average_precision(changed, ["feature", "repeat"]).select("feature", "repeat", (F.lit(pooled) - F.col("ap")).alias("pooled_drop")).join(by_fold, ["feature", "repeat"])
@@ -230,7 +238,7 @@ def coefficients(fitted, rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def configurations(rows: DataFrame, sets: Mapping[str, Sequence[str]], models: Sequence[str], target: str, folds: Sequence[int], seeds: Sequence[int] = (42,), id_col: str = "grid_id", **options) -> DataFrame:
     """(model, feature_set, seed, grid_id, cv_fold, y, score): the out-of-fold loop over a table of configurations (ablations, sensitivity, seeds)."""
-    out = None
+    out, rows = None, keep(rows)
     for model in models:
         for name, features in sets.items():
             for seed in seeds:

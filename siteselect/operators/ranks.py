@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siteselect.operators.scratch import keep
 
-def prefix_counts(df: DataFrame, column: str, by: Sequence[str] = (), weights: dict[str, Column] | None = None, parts: int = 64) -> DataFrame:
+
+def stretches(df: DataFrame) -> int:
+    """Into how many stretches values are dealt: as many as the session shuffles to, so that a larger cluster ranks in more tasks; 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def prefix_counts(df: DataFrame, column: str, by: Sequence[str] = (), weights: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """(by..., column, same, below, n): for each distinct value how many rows have it, how many a smaller one, and how many there are.
 
-    Equal values meet in one aggregate; the distinct ones are dealt to `parts` stretches between approximate quantiles, summed there, and each
-    stretch starts from the sum of those before. weights: more columns to sum up in the same way (name_same and name_below).
+    Equal values meet in one aggregate; the distinct ones are dealt to `parts` stretches between approximate quantiles of their group, summed there, and
+    each stretch starts from the sum of those before. weights: more columns to sum up in the same way (name_same and name_below). No job runs here.
     """
     by, sums = list(by), {"": F.count("*"), **{f"{k}_": F.sum(v) for k, v in (weights or {}).items()}}
     values = df.where(F.col(column).isNotNull()).withColumn(column, F.col(column).cast("double"))
-    cuts = values.approxQuantile(column, [i / parts for i in range(1, parts)], 0.005)
-    cuts = sorted(set(cuts))
-    stretch = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(column))) if cuts else F.lit(0)
-    counted = values.groupBy(*by, column).agg(*[a.alias(f"{k}same") for k, a in sums.items()]).withColumn("stretch", stretch)
+    parts = parts or stretches(df)
+    counted = values.groupBy(*by, column).agg(*[a.alias(f"{k}same") for k, a in sums.items()])
+    cuts = counted.groupBy(*by).agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    cut = counted.join(cuts, by) if by else counted.withColumn("_cuts", cuts.scalar())
+    counted = cut.withColumn("stretch", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(column)))).drop("_cuts")
     each = counted.groupBy(*by, "stretch").agg(*[F.sum(f"{k}same").alias(f"{k}sum") for k in sums])
     before = W.partitionBy(*by).orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)  # at most `parts` rows for each group
     whole = W.partitionBy(*by)
@@ -31,6 +40,25 @@ def prefix_counts(df: DataFrame, column: str, by: Sequence[str] = (), weights: d
     return out.select(*by, column, *[c for k in sums for c in (F.col(f"{k}same"), (F.col(f"{k}base") + F.col(f"{k}in")).alias(f"{k}below"), F.col(f"{k}n"))])
 
 
+def with_places(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """df with {name}_same, {name}_below and {name}_n of each value; nulls have nulls.
+
+    All values come from df itself: they are unpivoted once, counted and ranked by name, and written; then each name adds one join to the plan.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in values.items()]))
+    counts = keep(prefix_counts(df.select(each.alias("v")).select("v.*"), "value", ["name"]))
+    out = df
+    for i, (name, value) in enumerate(values.items()):
+        own = counts.where(F.col("name") == name).select(F.col("value").alias(f"_v{i}"), *[F.col(c).alias(f"{name}_{c}") for c in ("same", "below", "n")])
+        out = out.join(own, value.cast("double") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
+    return out
+
+
+def places(names: Sequence[str]) -> list[str]:
+    """The columns that with_places adds."""
+    return [f"{name}_{c}" for name in names for c in ("same", "below", "n")]
+
+
 def with_ranks(df: DataFrame, column: str, by: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
     """df with {prefix}_same, {prefix}_below and {prefix}_n of its value; nulls have nulls."""
     prefix = prefix or column
@@ -69,32 +97,35 @@ def positive_percentile_score(df: DataFrame, column: str, out: str) -> DataFrame
     return percentile_score(positive, "_p", "_s").withColumn(out, F.coalesce("_s", F.lit(0.0))).drop("_p", "_s")
 
 
-def percentile_scores(df: DataFrame, scores: dict[str, tuple[str, str]]) -> DataFrame:
-    """df with a percentile score for each entry {out: (column, kind)}; kind is high, low or positive.
+def percentile_scores(df: DataFrame, scores: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """df with a percentile score for each entry {out: (column, kind)}; kind is high, low or positive."""
+    names = {out: f"_{i}" for i, out in enumerate(scores)}
+    value = lambda c, kind: F.when(F.col(c) > 0, F.col(c)) if kind == "positive" else F.col(c)
+    ranked = with_places(df, {names[out]: value(*how) for out, how in scores.items()})
+    score = {out: percentile(names[out], descending=kind == "low") for out, (_, kind) in scores.items()}
+    filled = {out: F.coalesce(c, F.lit(0.0)) if scores[out][1] == "positive" else c for out, c in score.items()}
+    return ranked.withColumns(filled).drop(*places(list(names.values())))
 
-    All value counts come from df itself and not from the frame that has the scores before them, so that the plan grows by one join a score.
-    """
-    kind_of = lambda c, kind: F.when(F.col(c) > 0, F.col(c)).cast("double") if kind == "positive" else F.col(c).cast("double")
-    out = df
-    for i, (name, (column, kind)) in enumerate(scores.items()):
-        counts = prefix_counts(df.select(kind_of(column, kind).alias("v")), "v").toDF(f"_v{i}", f"_{i}_same", f"_{i}_below", f"_{i}_n")
-        score = percentile(f"_{i}", descending=kind == "low").alias(name)
-        counts = counts.select(f"_v{i}", score)
-        out = out.join(counts, kind_of(column, kind) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
-        if kind == "positive":
-            out = out.withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return out
 
+def numbered(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """df with its place in an order, from 1. Range partitions number their own rows and start after those before; no value, however frequent, is one task's."""
+    ranged = df.repartitionByRange(stretches(df), *order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    ranged = keep(ranged.withColumns({"_part": F.spark_partition_id(), "_at": at}))
+    before, bases = 0, []
+    for r in ranged.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row for each partition
+        bases.append((r["_part"], before))
+        before += r["n"]
+    parts = df.sparkSession.createDataFrame(bases, "_part int, _base long")
+    return ranged.join(F.broadcast(parts), "_part").withColumn(out, F.col("_base") + F.col("_at") + 1).drop("_part", "_base", "_at")
 
-def top_fraction(df: DataFrame, column: str, fraction: float, id_col: str) -> DataFrame:
-    """The max(1, ceil(n * fraction)) rows with the highest values, ties by id."""
-    import math
 
-    n = df.count()
-    return df.orderBy(F.desc(column), id_col).limit(max(1, math.ceil(n * fraction - 1e-9)))
+def row_numbers(df: DataFrame, column: str, id_col: str, out: str) -> DataFrame:
+    """Place by value, highest first, ties by id: a rank without gaps or ties. Nulls have none."""
+    return numbered(df, [F.desc_nulls_last(column), F.asc(id_col)], out).withColumn(out, F.when(F.col(column).isNotNull(), F.col(out)))
 
 
-def row_numbers(df: DataFrame, column: str, id_col: str, out: str) -> DataFrame:
-    """Place by value, highest first, ties by id: a rank without gaps or ties."""
-    ties = F.row_number().over(W.partitionBy(column).orderBy(id_col))
-    return with_ranks(df, column, (), "_r").withColumn(out, (rank_min("_r") + ties - 1).cast("long")).drop("_r_same", "_r_below", "_r_n")
+def top_fraction(df: DataFrame, column: str, fraction: float, id_col: str) -> DataFrame:
+    """The max(1, ceil(n * fraction)) rows with the highest values, ties by id."""
+    n = df.count()
+    return numbered(df, [F.desc_nulls_last(column), F.asc(id_col)], "_place").where(F.col("_place") <= max(1, math.ceil(n * fraction - 1e-9))).drop("_place")

@@ -75,13 +75,19 @@ def components(df: DataFrame, pilot: bool = False) -> DataFrame:
 COMPONENTS = (*ACCESSIBILITY, *PARKING, *INFRASTRUCTURE_GAP, *TECHNOLOGY_GAP, *FEASIBILITY, *NEED, "suitability_score")
 
 
-def suitability_province(df: DataFrame) -> DataFrame:
-    """Average-rank percentile, minimum rank (highest first), band on the exact percentile, then scores rounded to 4 and explained."""
+def _rounded(scored: DataFrame, digits: int | None) -> DataFrame:
+    """Scores kept in 0-100 and rounded half to even; digits None leaves them as they are."""
+    if digits is None:
+        return scored
+    return scored.withColumns({c: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(c))), digits) for c in dict.fromkeys((*COMPONENTS, "suitability_percentile"))})
+
+
+def suitability_province(df: DataFrame, digits: int | None = 4) -> DataFrame:
+    """Average-rank percentile, minimum rank (highest first), band on the exact percentile, then scores rounded and explained."""
     scored = ranks.with_ranks(components(df).withColumn("suitability_key", F.round("suitability_score", 9)), "suitability_key", (), "_s")
     scored = scored.withColumns({"suitability_percentile": ranks.percentile("_s"), "suitability_rank": ranks.rank_min("_s")}).drop("_s_same", "_s_below", "_s_n", "suitability_key")
     scored = scored.withColumn("priority_band", band("suitability_percentile"))
-    scored = scored.withColumns({c: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(c))), 4) for c in dict.fromkeys((*COMPONENTS, "suitability_percentile"))})
-    return scored.withColumn("score_explanation", explain_phrases())
+    return _rounded(scored, digits).withColumn("score_explanation", explain_phrases())
 
 
 def explain_phrases(limit: float = 70.0) -> Column:
@@ -91,13 +97,13 @@ def explain_phrases(limit: float = 70.0) -> Column:
     return F.concat_ws("; ", other(strengths, "moderate site feasibility"), other(needs, "moderate infrastructure need"))
 
 
-def suitability_pilot(df: DataFrame) -> DataFrame:
+def suitability_pilot(df: DataFrame, digits: int | None = 4) -> DataFrame:
     """Ranks without ties (by id), percentile (n - rank) / (n - 1), long band labels, the two strongest and the weakest component named."""
     scored = ranks.row_numbers(components(df, pilot=True).withColumn("suitability_key", F.round("suitability_score", 9)), "suitability_key", "grid_id", "suitability_rank").drop("suitability_key")
     n = df.count()
     scored = scored.withColumn("suitability_percentile", F.lit(100.0) if n <= 1 else (n - F.col("suitability_rank")) / (n - 1) * 100.0)
     scored = scored.withColumns({"priority_band": band("suitability_percentile", long=True), "score_explanation": explain_extremes()})
-    return scored.withColumns({c: F.bround(c, 4) for c in dict.fromkeys((*COMPONENTS, "suitability_percentile"))})
+    return _rounded(scored, digits)
 
 
 def explain_extremes() -> Column:
@@ -122,24 +128,34 @@ def ensemble(models: Sequence[str]) -> Column:
     return sum((F.col(m) for m in models[1:]), F.col(models[0])) / len(models)
 
 
+def _with_minimum_ranks(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
+    """df with the minimum rank (highest first) of each score {out: score}."""
+    names = {out: f"_{i}" for i, out in enumerate(scores)}
+    ranked = ranks.with_places(df, {names[out]: F.col(c) for out, c in scores.items()})
+    return ranked.withColumns({out: ranks.rank_min(k) for out, k in names.items()}).drop(*ranks.places(list(names.values())))
+
+
 def scenarios(df: DataFrame, components_: Sequence[str], weights: Mapping[str, Sequence[float]]) -> DataFrame:
     """Positive percentiles of the components, then a score and a minimum rank for each scenario."""
     df = keep(ranks.percentile_scores(df, {f"{c}_score": (c, "positive") for c in components_}))
-    for name, w in weights.items():
-        df = df.withColumn(f"{name}_score", F.round(weighted({f"{c}_score": x for c, x in zip(components_, w, strict=True)}), 9))
-        df = ranks.with_ranks(df, f"{name}_score", (), "_s").withColumn(f"{name}_rank", ranks.rank_min("_s")).drop("_s_same", "_s_below", "_s_n")
-    return df
+    df = df.withColumns({f"{name}_score": F.round(weighted({f"{c}_score": x for c, x in zip(components_, w, strict=True)}), 9) for name, w in weights.items()})
+    return _with_minimum_ranks(df, {f"{name}_rank": f"{name}_score" for name in weights})
 
 
 def blends(df: DataFrame, score: str, other: str, shares: Sequence[int] = (0, 5, 10, 15, 20)) -> DataFrame:
     """(1 - w) * score + w * other and its rank for each share in percent; a share of 0 gives the score itself."""
-    for share in shares:
-        w = share / 100
-        df = df.withColumn(f"blend_{share}_score", F.round((1 - w) * F.col(score) + w * F.col(other), 9))
-        df = ranks.with_ranks(df, f"blend_{share}_score", (), "_s").withColumn(f"blend_{share}_rank", ranks.rank_min("_s")).drop("_s_same", "_s_below", "_s_n")
-    return df
+    blend = lambda w: F.round((1 - w) * F.col(score) + w * F.col(other), 9)
+    df = df.withColumns({f"blend_{share}_score": blend(share / 100) for share in shares})
+    return _with_minimum_ranks(df, {f"blend_{share}_rank": f"blend_{share}_score" for share in shares})
 
 
 def support_label(count: Column | str) -> Column:
     c = F.col(count) if isinstance(count, str) else count
     return F.element_at(F.array(*[F.lit(s) for s in SUPPORT]), c.cast("int") + 1)
+
+
+def band_counts(df: DataFrame, band_: Column | str) -> DataFrame:
+    """(band, n) for each band, 0 for those that no row has."""
+    counts = df.groupBy((F.col(band_) if isinstance(band_, str) else band_).alias("band")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.createDataFrame([(b,) for b in LONG_BANDS], "band string")
+    return every.join(counts, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))

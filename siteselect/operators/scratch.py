@@ -11,8 +11,11 @@ _own: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """spark.checkpoint.dir. Where that is unset, a folder of our own, for a local master alone: a cluster's machines would not share it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="siteselect-"))

@@ -20,13 +20,12 @@ def failures(scores: DataFrame, suitability: float = 60.0, feasibility: float =
     return scores.agg(*[F.sum(c.cast("long")).alias(f"fail_{k}") for k, c in fails.items()], F.count("*").alias("n"))
 
 
-def diverse(points: DataFrame, spacing: float, k: int | None = None, rounds: int = 200) -> DataFrame:
-    """Points (point_id, x, y, rank; ranks unique) that a walk by rank accepts, if it takes each point at `spacing` or more from all taken before; the first k.
+def _spread(pts: DataFrame, spacing: float, rounds: int) -> DataFrame:
+    """Those of pts that a walk by rank accepts.
 
     The same set comes from rounds: of the undecided points, those with no better-ranked undecided point nearer than spacing are taken, and their neighbours
     go. Conflicting pairs come once from a radius join; each round ends in a written table.
     """
-    pts = points.select("point_id", "x", "y", "rank")
     near = joins.within_radius(pts.select(F.col("point_id").alias("centre_id"), "x", "y", F.col("rank").alias("r1")), pts.withColumnRenamed("rank", "r2"), spacing, ["r2"])
     edges = keep(near.where((F.col("d2") < spacing * spacing) & (F.col("r2") < F.col("r1"))).select(F.col("centre_id").alias("worse"), F.col("point_id").alias("better")))
     state = keep(pts.select("point_id", F.lit(0).alias("taken")))  # 0 undecided, 1 taken, -1 gone
@@ -35,10 +34,33 @@ def diverse(points: DataFrame, spacing: float, k: int | None = None, rounds: int
         seen = edges.join(of, "better").groupBy("worse").agg(F.max((F.col("b") == 1).cast("int")).alias("hit"), F.max((F.col("b") == 0).cast("int")).alias("waits"))
         step = state.join(seen, F.col("point_id") == F.col("worse"), "left").select("point_id", F.when(F.col("taken") != 0, F.col("taken")).when(F.coalesce("hit", F.lit(0)) == 1, -1).when(F.coalesce("waits", F.lit(0)) == 0, 1).otherwise(0).alias("taken"))
         state = keep(step)
-        if not state.where("taken = 0").limit(1).count():
+        if state.where("taken = 0").isEmpty():
+            return pts.join(state.where("taken = 1").select("point_id"), "point_id")
+    raise RuntimeError(f"points still undecided after {rounds} rounds")
+
+
+def diverse(points: DataFrame, spacing: float, k: int | None = None, rounds: int = 200, first: int = 256, strict: bool = False) -> DataFrame:
+    """Points (point_id, x, y, rank; ranks unique) that a walk by rank accepts, if it takes each point at `spacing` or more from all taken before; the first k.
+
+    Whether a point is taken depends on better ranks alone. So with a k the best `first` points are walked, then, while they do not fill it, four times as many
+    of those that no taken point is near to, until k are taken or none is left. strict: fewer than k are an error.
+    """
+    pts = keep(points.select("point_id", "x", "y", "rank"))
+    if k is None:
+        return _spread(pts, spacing, rounds)
+    taken, left, size = None, pts, max(first, k)
+    while not left.isEmpty():
+        limit = left.orderBy("rank").limit(size).agg(F.max("rank")).first()[0]
+        found = keep(_spread(left.where(F.col("rank") <= limit), spacing, rounds))
+        taken = found if taken is None else keep(taken.unionByName(found))
+        if taken.count() >= k:
             break
-    taken = pts.join(state.where("taken = 1").select("point_id"), "point_id")
-    return taken.orderBy("rank").limit(k) if k else taken
+        near = joins.within_radius(left.where(F.col("rank") > limit).select(F.col("point_id").alias("centre_id"), "x", "y"), found.select("point_id", "x", "y"), spacing).where(F.col("d2") < spacing * spacing)
+        left, size = keep(left.where(F.col("rank") > limit).join(near.select(F.col("centre_id").alias("point_id")).distinct(), "point_id", "left_anti")), size * 4
+    n = taken.count() if taken is not None else 0
+    if strict and n < k:
+        raise ValueError(f"{n} of {k} points can be taken at this spacing")
+    return (taken if taken is not None else pts).orderBy("rank").limit(k)
 
 
 def spacing(shortlist: DataFrame) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteselect.operators import ranks
+from siteselect.operators.scratch import keep
 
 
 def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    for c in columns:
-        df = ranks.with_ranks(df, c, (), "_r").withColumn(f"{c}_rank", F.col("_r_below") + (F.col("_r_same") + 1) / 2).drop("_r_same", "_r_below", "_r_n")
-    return df
+    """df with {column}_rank, the average rank of its value, for each column."""
+    names = {c: f"_{i}" for i, c in enumerate(columns)}
+    ranked = ranks.with_places(df, {names[c]: F.col(c) for c in columns})
+    return ranked.withColumns({f"{c}_rank": F.col(f"{k}_below") + (F.col(f"{k}_same") + 1) / 2 for c, k in names.items()}).drop(*ranks.places(list(names.values())))
 
 
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -60,3 +63,41 @@ def rank_shift(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: median and 95th percentile of the absolute difference of two ranks."""
     shift = F.abs(F.col(a) - F.col(b))
     return df.agg(F.median(shift).alias("median_shift"), F.percentile(shift, 0.95).alias("p95_shift"), F.max(shift).alias("max_shift"))
+
+
+def score_metrics(df: DataFrame, scores: Sequence[str], base: str, others: Sequence[str] = (), id_col: str = "grid_id", fractions: Sequence[float] = (0.01, 0.05), top: int = 20, limit: float = 70.0) -> DataFrame:
+    """A row for each of scores: its median, mean and maximum; Spearman correlations with base and others; how many of its top fractions are in base's, and which
+    share; and of the `top` best by base the score's median, minimum and number at `limit` or more. Ties go by id."""
+    columns = list(dict.fromkeys([base, *scores, *others]))
+    placed = keep(df.select(id_col, *columns))
+    n = placed.count()
+    for c in dict.fromkeys([base, *scores]):
+        placed = ranks.row_numbers(placed, c, id_col, f"{c}_place")
+    ranked = with_average_ranks(placed, columns)
+    best = F.col(f"{base}_place") <= top
+
+    def row(c: str) -> Column:
+        fields = [F.lit(c).alias("score"), F.median(c).alias("median"), F.avg(c).alias("mean"), F.max(c).alias("max")]
+        fields += [F.corr(f"{c}_rank", f"{o}_rank").alias(f"spearman_{o}") for o in dict.fromkeys([base, *others])]
+        for f in fractions:
+            k = max(1, math.ceil(n * f - 1e-9))
+            common = F.sum(((F.col(f"{c}_place") <= k) & (F.col(f"{base}_place") <= k)).cast("long"))
+            fields += [common.alias(f"overlap_{round(100 * f)}"), (common / k).alias(f"overlap_fraction_{round(100 * f)}")]
+        own = F.when(best, F.col(c))
+        return F.struct(*fields, F.median(own).alias("top_median"), F.min(own).alias("top_min"), F.sum((own >= limit).cast("long")).alias("top_at_limit"))
+
+    each = ranked.agg(*[row(c).alias(f"_{i}") for i, c in enumerate(scores)])
+    return each.select(F.explode(F.array(*[f"_{i}" for i in range(len(scores))])).alias("m")).select("m.*")
+
+
+def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 40) -> DataFrame:
+    """(bin, n, median): counts in equal bins from 0 on, the last one closed, and the median of the whole column."""
+    at = F.least(F.floor((F.col(column) - low) / (high - low) * bins), F.lit(bins - 1)).cast("long")
+    middle = df.agg(F.median(column).alias("median"))
+    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("median", middle.scalar())
+
+
+def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, lowest, q1, middle, q3, highest) for each column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
+    return long.groupBy("column").agg(F.min("v").alias("lowest"), F.percentile("v", 0.25).alias("q1"), F.median("v").alias("middle"), F.percentile("v", 0.75).alias("q3"), F.max("v").alias("highest"))

@@ -63,4 +63,6 @@ def with_fixtures(sql: str) -> str:
     head = ", ".join(f"{n} AS ({sql_for_duckdb(n)})" for n in names)
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

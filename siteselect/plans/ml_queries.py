@@ -43,17 +43,29 @@ def _(t):
     return ml.block_summary(rows(t))
 
 
-@query("m5_fold_assignment")
+BLOCKED = "blocked AS (SELECT *, concat('B', CAST(floor(x / 5000) AS BIGINT), '_', CAST(floor(y / 5000) AS BIGINT)) AS block FROM $candidate)"
+FOLDS = f"""WITH RECURSIVE {BLOCKED}, sums AS (SELECT block, CAST(sum(target) AS BIGINT) AS p, count(*) AS r FROM blocked GROUP BY 1),
+ordered AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN p > 0 THEN 0 ELSE 1 END, p DESC, r DESC, block) AS k FROM sums),
+dealt(k, block, fold, load) AS (
+  SELECT CAST(0 AS BIGINT), NULL::VARCHAR, NULL::INTEGER, list_transform(range(5), lambda i: {{'p': CAST(0 AS BIGINT), 'r': CAST(0 AS BIGINT), 'i': CAST(i AS INTEGER)}})
+  UNION ALL
+  SELECT k, block, fold, list_transform(load, lambda s: CASE WHEN s.i = fold THEN {{'p': s.p + p, 'r': s.r + r, 'i': s.i}} ELSE s END)
+  FROM (SELECT o.k, o.block, o.p, o.r, d.load, CASE WHEN o.p > 0 THEN list_sort(list_transform(d.load, lambda s: {{'a': s.p, 'b': s.r, 'i': s.i}}))[1].i ELSE list_sort(list_transform(d.load, lambda s: {{'a': s.r, 'b': s.p, 'i': s.i}}))[1].i END AS fold
+    FROM dealt d JOIN ordered o ON o.k = d.k + 1)),
+folds AS (SELECT block, fold FROM dealt WHERE k > 0)"""
+
+
+@query("m5_fold_assignment", f"{FOLDS} SELECT block AS spatial_block_id, fold AS cv_fold FROM folds")
 def _(t):
     return ml.assign_folds(ml.block_summary(rows(t)))
 
 
-@query("a16_fold_summary")
+@query("a16_fold_summary", f"{FOLDS} SELECT fold AS cv_fold, count(*) AS rows, CAST(sum(target) AS BIGINT) AS positives, count(DISTINCT block) AS blocks, count(DISTINCT block) FILTER (WHERE target = 1) AS positive_blocks, round(avg(CAST(target AS DOUBLE)), 9) AS rate FROM blocked JOIN folds USING (block) GROUP BY fold")
 def _(t):
-    return ml.fold_summary(folded(t))
+    return ml.fold_summary(folded(t)).withColumn("rate", F.round("rate", 9))
 
 
-@query("v8_fold_checks")
+@query("v8_fold_checks", f"{FOLDS} SELECT 'block in more than one fold' AS rule, count(*) FILTER (WHERE n > 1) AS violations FROM (SELECT block, count(DISTINCT fold) AS n FROM folds GROUP BY 1) UNION ALL SELECT 'fold without positives', count(*) FILTER (WHERE p = 0) FROM (SELECT fold, sum(target) AS p FROM blocked JOIN folds USING (block) GROUP BY 1)")
 def _(t):
     f = folded(t)
     blocks = f.groupBy("spatial_block_id").agg(F.countDistinct("cv_fold").alias("folds"))
@@ -97,9 +109,16 @@ def _(t):
     return ml.top_metrics(long_scores(t), ["model", "cv_fold"], 0.05, "grid_id").select("model", "cv_fold", *[F.round(c, 8).alias(c) for c in ("precision", "recall", "lift")])
 
 
-@query("m16_ranking_metrics")
+BY_FOLD = "g AS (SELECT model, cv_fold, score, count(*) AS n, sum(y) AS p FROM l GROUP BY ALL), c AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY model, cv_fold) AS tp, sum(n) OVER (PARTITION BY model, cv_fold) AS tn FROM g WINDOW w AS (PARTITION BY model, cv_fold ORDER BY score DESC)), areas AS (SELECT model, cv_fold, sum(p * cp / cn) / max(tp) AS ap, sum((n - p) * (cp - p) + p * (n - p) / 2.0) / max(tp * (tn - tp)) AS auc, CAST(max(tn) AS BIGINT) AS n, CAST(max(tp) AS BIGINT) AS positives FROM c GROUP BY ALL)"
+PLACED = "r AS (SELECT *, row_number() OVER (PARTITION BY model, cv_fold ORDER BY score DESC, grid_id) AS k, count(*) OVER (PARTITION BY model, cv_fold) AS n FROM l)"
+SHARE = "count(*) FILTER (WHERE k <= greatest(1, ceil(n * {f} - 1e-9)) AND y = 1)"
+TOP_SQL = ", ".join(f"round({SHARE.format(f=f)} / sum(y), 8) AS recall_top_{k}, round(({SHARE.format(f=f)} / count(*) FILTER (WHERE k <= greatest(1, ceil(n * {f} - 1e-9)))) / (sum(y) / count(*)), 8) AS lift_top_{k}" for k, f in ((1, 0.01), (5, 0.05)))
+
+
+@query("m16_ranking_metrics", f"WITH {LONG}, {BY_FOLD}, {PLACED}, t AS (SELECT model, cv_fold, {TOP_SQL} FROM r GROUP BY ALL) SELECT model, cv_fold, round(ap, 8) AS ap, round(auc, 8) AS auc, n, positives, recall_top_1, lift_top_1, recall_top_5, lift_top_5 FROM areas JOIN t USING (model, cv_fold)")
 def _(t):
-    return ml.ranking_metrics(long_scores(t), ["model", "cv_fold"], "grid_id")
+    out = ml.ranking_metrics(long_scores(t), ["model", "cv_fold"], "grid_id")
+    return out.withColumns({c: F.round(c, 8) for c in ("ap", "auc", "recall_top_1", "lift_top_1", "recall_top_5", "lift_top_5")})
 
 
 @query("m17_fold_records", f"WITH {TOPS}, q AS (SELECT model, cv_fold, tp / p AS recall FROM s) SELECT model, round(avg(recall), 8) AS recall_mean, round(stddev_samp(recall), 8) AS recall_std, round(min(recall), 8) AS recall_min, round(max(recall), 8) AS recall_max FROM q GROUP BY model")
@@ -134,10 +153,10 @@ def _(t):
     return ml.out_of_fold(folded(t), FEATURES, "y", "boosting", range(5), rounds=SMALL["rounds"])
 
 
-@query("m11_prior_baseline", "WITH f AS (SELECT cv_fold, sum(target) AS p, count(*) AS n FROM $candidate GROUP BY 1) SELECT cv_fold, round((SELECT sum(p) FROM f) * 1.0 / (SELECT sum(n) FROM f), 3) > 0 AS scored, n FROM f")
+@query("m11_prior_baseline", "WITH f AS (SELECT cv_fold, sum(target) AS p, count(*) AS n FROM $candidate GROUP BY 1) SELECT cv_fold, round(((SELECT sum(p) FROM f) - p) / ((SELECT sum(n) FROM f) - n), 9) AS lowest, round(((SELECT sum(p) FROM f) - p) / ((SELECT sum(n) FROM f) - n), 9) AS highest, n FROM f")
 def _(t):
     out = ml.out_of_fold(rows(t), FEATURES, "y", "prior", range(5))
-    return out.groupBy("cv_fold").agg((F.min("score") > 0).alias("scored"), F.count("*").alias("n"))
+    return out.groupBy("cv_fold").agg(F.round(F.min("score"), 9).alias("lowest"), F.round(F.max("score"), 9).alias("highest"), F.count("*").alias("n"))
 
 
 @query("m20_m21_configurations")
@@ -146,6 +165,27 @@ def _(t):
     return ml.ranking_metrics(out, ["model", "feature_set"], "grid_id")
 
 
+@query("m21_redundancy_sensitivity")
+def _(t):
+    # the raw and the normalised column say the same: all, the normalised alone, the raw alone
+    r = folded(t).withColumn("main_road_km", F.col("main_road_length_m") / 1000)
+    sets = {"full": [*FEATURES, "main_road_length_m", "main_road_km"], "normalised": [*FEATURES, "main_road_km"], "raw": [*FEATURES, "main_road_length_m"]}
+    return ml.ranking_metrics(ml.configurations(r, sets, ["logistic"], "y", range(5)), ["model", "feature_set"], "grid_id")
+
+
+@query("m22_incremental_value")
+def _(t):
+    sets = {"baseline": FEATURES[:3], "population": FEATURES}
+    metrics = ml.ranking_metrics(ml.configurations(folded(t), sets, ["logistic", "prior"], "y", range(5)), ["model", "feature_set"], "grid_id")
+    return ml.deltas(metrics, "model", "feature_set", "baseline", ["ap", "auc", "recall_top_5"])
+
+
+@query("m24_seed_stability")
+def _(t):
+    out = ml.configurations(folded(t), {"baseline": FEATURES[:3], "population": FEATURES}, ["forest"], "y", range(5), seeds=(7, 21, 42, 84, 168), trees=3, depth=3)
+    return ml.paired(ml.ranking_metrics(out, ["model", "feature_set", "seed"], "grid_id"), "seed", "feature_set", "baseline", "population", "ap")
+
+
 @query("m22_incremental_deltas", f"WITH {TOPS}, q AS (SELECT cv_fold, model, tp / p AS recall FROM s) SELECT q.cv_fold, q.model, round(q.recall - b.recall, 8) AS recall_delta FROM q JOIN q b ON q.cv_fold = b.cv_fold AND b.model = 'm1'")
 def _(t):
     m = ml.top_metrics(long_scores(t), ["model", "cv_fold"], 0.05, "grid_id")
@@ -165,10 +205,11 @@ def _(t):
     return ml.importance_summary(drops)
 
 
-@query("m26_shuffle_keeps_values", "SELECT cv_fold, sum(pop0) AS total, count(*) AS n, true AS moved FROM $candidate GROUP BY 1")
+@query("m26_shuffle_keeps_values", "SELECT cv_fold, sum(pop0) AS total, sum(pop0 * pop0) AS squares, count(*) AS n, true AS moved FROM $candidate GROUP BY 1")
 def _(t):
     r = rows(t).withColumn("before", F.col("pop0"))
-    return ml.shuffled(r, "pop0", 42).groupBy("cv_fold").agg(F.sum("pop0").alias("total"), F.count("*").alias("n"), (F.sum((F.col("pop0") != F.col("before")).cast("long")) > 0).alias("moved"))
+    moved = F.sum((F.col("pop0") != F.col("before")).cast("long")) > 0.5 * F.count("*")
+    return ml.shuffled(r, "pop0", 42).groupBy("cv_fold").agg(F.sum("pop0").alias("total"), F.sum(F.col("pop0") * F.col("pop0")).alias("squares"), F.count("*").alias("n"), moved.alias("moved"))
 
 
 @query("m28_full_fit")

@@ -59,16 +59,34 @@ def _(t):
     return c.select("grid_id", F.round(scoring.weighted({"s1": 0.5, "s2": 0.3, "s3": 0.2}), 6).alias("score"))
 
 
-@query("p7_suitability_province", f"WITH {SCORED}, r AS (SELECT *, {pct('suit')} AS p, rank() OVER (ORDER BY suit DESC) AS k FROM scored) SELECT grid_id, round(suit + 0.00017, 1) AS suitability_score, round(fea + 0.00017, 1) AS feasibility_score, round(need + 0.00017, 1) AS need_score, k AS suitability_rank, {BAND.format(p='p')} AS priority_band FROM r")
+NAMES = {
+    "rp": "road_proximity_score", "rd": "road_density_score", "pp": "parking_proximity_score", "pc": "parking_coverage_score", "pa": "parking_area_score", "cd": "charging_distance_gap_score", "cg": "charging_density_gap_score",
+    "ag": "ac_gap_score", "dg": "dc_gap_score", "par": "parking_score", "inf": "infrastructure_gap_score", "tec": "technology_gap_score", "need": "need_score",
+}
+PROVINCE, PILOT = {**NAMES, "mp": "main_road_presence_score", "acc": "accessibility_score", "fea": "feasibility_score", "sqrt(fea * need)": "suitability_score"}, {**NAMES, "mpb": "main_road_presence_score", "accb": "accessibility_score", "feab": "feasibility_score", "sqrt(feab * need)": "suitability_score"}
+
+
+def sixes(names: dict[str, str]) -> str:
+    return ", ".join(f"round({k}, 6) AS {v}" for k, v in names.items())
+
+
+PHRASES = """concat(CASE WHEN acc >= 70 AND par >= 70 THEN 'strong road accessibility; strong parking feasibility' WHEN acc >= 70 THEN 'strong road accessibility' WHEN par >= 70 THEN 'strong parking feasibility' ELSE 'moderate site feasibility' END, '; ',
+  CASE WHEN inf >= 70 AND tec >= 70 THEN 'large charging infrastructure gap; AC/DC technology gap' WHEN inf >= 70 THEN 'large charging infrastructure gap' WHEN tec >= 70 THEN 'AC/DC technology gap' ELSE 'moderate infrastructure need' END)"""
+
+
+@query("p7_suitability_province", f"WITH {SCORED}, r AS (SELECT *, {pct('suit')} AS p, rank() OVER (ORDER BY suit DESC) AS k FROM scored) SELECT grid_id, {sixes(PROVINCE)}, k AS suitability_rank, round(p, 6) AS suitability_percentile, {BAND.format(p='p')} AS priority_band, {PHRASES} AS score_explanation FROM r")
 def _(t):
-    s = scoring.suitability_province(t("candidate"))
-    return s.select("grid_id", *[F.round(F.col(c) + 0.00017, 1).alias(c) for c in ("suitability_score", "feasibility_score", "need_score")], "suitability_rank", "priority_band")
+    s = scoring.suitability_province(t("candidate"), digits=None)
+    return s.select("grid_id", *[F.round(c, 6).alias(c) for c in (*PROVINCE.values(), "suitability_percentile")], "suitability_rank", "priority_band", "score_explanation")
+
+
+LONG_BAND = BAND.replace("'A'", "'A - Highest priority'").replace("'B'", "'B - High priority'").replace("'C'", "'C - Medium priority'").replace("'D'", "'D - Lower priority'").replace("'E'", "'E - Lowest priority'")
 
 
-@query("p8_suitability_pilot", f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY suitb DESC, grid_id) AS k, count(*) OVER () AS n FROM scored) SELECT grid_id, round(feab + 0.00017, 1) AS feasibility_score, k AS suitability_rank, round((n - k) * 100.0 / (n - 1), 4) AS suitability_percentile FROM r")
+@query("p8_suitability_pilot", f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY suitb DESC, grid_id) AS k, count(*) OVER () AS n FROM scored), p AS (SELECT *, (n - k) / (n - 1) * 100.0 AS p FROM r) SELECT grid_id, {sixes(PILOT)}, k AS suitability_rank, round(p, 6) AS suitability_percentile, {LONG_BAND.format(p='p')} AS priority_band FROM p")
 def _(t):
-    s = scoring.suitability_pilot(t("candidate"))
-    return s.select("grid_id", F.round(F.col("feasibility_score") + 0.00017, 1).alias("feasibility_score"), "suitability_rank", F.round("suitability_percentile", 4).alias("suitability_percentile"))
+    s = scoring.suitability_pilot(t("candidate"), digits=None)
+    return s.select("grid_id", *[F.round(c, 6).alias(c) for c in (*PILOT.values(), "suitability_percentile")], "suitability_rank", "priority_band")
 
 
 @query("p9_priority_band", f"WITH r AS (SELECT grid_id, m1 * 100 AS p FROM $candidate) SELECT grid_id, {BAND.format(p='p')} AS band FROM r")
@@ -86,7 +104,8 @@ def _(t):
     return explained(t).select("grid_id", scoring.explain_phrases().alias("explanation"))
 
 
-@query("p11_explanation_extremes")
+@query("p11_explanation_extremes", """WITH e AS (SELECT grid_id, m2 * 50 AS fea, m3 * 50 AS need, list_sort([{'v': -(m1 * 100), 'o': 0, 'l': 'road accessibility'}, {'v': -(m2 * 100), 'o': 1, 'l': 'parking suitability'}, {'v': -(m3 * 100), 'o': 2, 'l': 'charging infrastructure gap'}, {'v': -(100 - m1 * 100), 'o': 3, 'l': 'AC/DC technology gap'}]) AS s FROM $candidate)
+SELECT grid_id, printf('Feasibility %.1f/100; need %.1f/100. Strengths: %s (%.1f), %s (%.1f). Main constraint: %s (%.1f).', fea, need, s[1].l, -s[1].v, s[2].l, -s[2].v, s[4].l, -s[4].v) AS explanation FROM e""")
 def _(t):
     return explained(t).select("grid_id", scoring.explain_extremes().alias("explanation"))
 
@@ -117,19 +136,26 @@ def _(t):
     return percentiles(t).select("grid_id", F.round(scoring.ensemble(["p1", "p2", "p3"]), 5).alias("score"))
 
 
-DEMAND = {"balanced": (0.2, 0.35, 0.45), "local": (0.6, 0.25, 0.15)}
+DEMAND = {"local_only": (1.0, 0.0, 0.0), "near_context": (0.3, 0.4, 0.3), "balanced_context": (0.2, 0.35, 0.45), "broad_context": (0.1, 0.3, 0.6)}
+SHARES = (0, 5, 10, 15, 20)
+SCENARIOS = f"p AS (SELECT *, {pos('pop0')} AS a, {pos('pop1')} AS b, {pos('pop2')} AS c FROM $candidate), s AS (SELECT *, " + ", ".join(f"round(a * {w[0]} + b * {w[1]} + c * {w[2]}, 9) AS {k}_score" for k, w in DEMAND.items()) + ", m1 * 100 AS suitability_score, m2 * 100 AS feasibility_score, m3 * 100 AS need_score FROM p)"
+BLENDS = "s AS (SELECT *, m1 * 100 AS suitability_score, m2 * 100 AS demand, " + ", ".join(f"round((1 - {w / 100}) * (m1 * 100) + {w / 100} * (m2 * 100), 9) AS blend_{w}_score" for w in SHARES) + " FROM $candidate)"
 
 
-@query("p15_demand_scenarios", f"WITH p AS (SELECT grid_id, {pos('pop0')} AS a, {pos('pop1')} AS b, {pos('pop2')} AS c FROM $candidate), s AS (SELECT *, " + ", ".join(f"round(a * {w[0]} + b * {w[1]} + c * {w[2]}, 9) AS {k}" for k, w in DEMAND.items()) + " FROM p) SELECT grid_id, " + ", ".join(f"round({k}, 4) AS {k}_score, rank() OVER (ORDER BY {k} DESC) AS {k}_rank" for k in DEMAND) + " FROM s")
+@query("p15_demand_scenarios", f"WITH {SCENARIOS} SELECT grid_id, " + ", ".join(f"round({k}_score, 6) AS {k}_score, rank() OVER (ORDER BY {k}_score DESC) AS {k}_rank" for k in DEMAND) + " FROM s")
 def _(t):
     out = scoring.scenarios(t("candidate"), ["pop0", "pop1", "pop2"], DEMAND)
-    return out.select("grid_id", *[c for k in DEMAND for c in (F.round(f"{k}_score", 4).alias(f"{k}_score"), F.col(f"{k}_rank"))])
+    return out.select("grid_id", *[c for k in DEMAND for c in (F.round(f"{k}_score", 6).alias(f"{k}_score"), F.col(f"{k}_rank"))])
 
 
-@query("p16_blends", "WITH b AS (SELECT grid_id, round(0.9 * m1 * 100 + 0.1 * m2 * 100, 9) AS s FROM $candidate) SELECT grid_id, round(s, 4) AS blend_10_score, rank() OVER (ORDER BY s DESC) AS blend_10_rank FROM b")
+def blended(t: Tables):
+    return scoring.blends(t("candidate").withColumns({"suitability_score": F.col("m1") * 100, "demand": F.col("m2") * 100}), "suitability_score", "demand", SHARES)
+
+
+@query("p16_blends", f"WITH {BLENDS} SELECT grid_id, " + ", ".join(f"round(blend_{w}_score, 6) AS blend_{w}_score, rank() OVER (ORDER BY blend_{w}_score DESC) AS blend_{w}_rank" for w in SHARES) + ", true AS identity FROM s")
 def _(t):
-    c = t("candidate").withColumns({"s": F.col("m1") * 100, "d": F.col("m2") * 100})
-    return scoring.blends(c, "s", "d", (10,)).select("grid_id", F.round("blend_10_score", 4).alias("blend_10_score"), "blend_10_rank")
+    same = F.col("blend_0_score") == F.round("suitability_score", 9)
+    return blended(t).select("grid_id", *[c for w in SHARES for c in (F.round(f"blend_{w}_score", 6).alias(f"blend_{w}_score"), F.col(f"blend_{w}_rank"))], same.alias("identity"))
 
 
 @query("p17_adjusted_rank", "WITH b AS (SELECT grid_id, round(0.95 * m1 * 100 + 0.05 * m2 * 100, 9) AS s FROM $candidate) SELECT grid_id, rank() OVER (ORDER BY s DESC) AS adjusted_rank FROM b")
@@ -162,26 +188,46 @@ def ranked_points(t: Tables):
     return ranks.row_numbers(eligible, "o_totalprice", "grid_id", "rank").select(F.col("grid_id").alias("point_id"), "x", "y", "rank")
 
 
-@query("l3_diverse_top_k")
-def _(t):
+def walk(name: str, score: str, k: int = 20, spacing: float = 4000.0) -> str:
+    """SQL of the greedy walk: ranked eligible rows, the walk itself and the rows chosen."""
+    kept = "list_append(w.taken, {'point_id': e.grid_id, 'x': e.x, 'y': e.y, 'rank': e.rank})"
+    return f"""{name}_ranked AS (SELECT grid_id, x, y, row_number() OVER (ORDER BY {score} DESC, grid_id) AS rank FROM $candidate WHERE m1 * 100 >= 60 AND m2 * 100 >= 60 AND m3 * 100 >= 50),
+{name}_walk(rank, taken) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(point_id VARCHAR, x DOUBLE, y DOUBLE, rank BIGINT)[])
+  UNION ALL
+  SELECT e.rank, CASE WHEN len(list_filter(w.taken, lambda a: (a.x - e.x) * (a.x - e.x) + (a.y - e.y) * (a.y - e.y) < {spacing * spacing})) = 0 THEN {kept} ELSE w.taken END
+  FROM {name}_walk w JOIN {name}_ranked e ON e.rank = w.rank + 1 WHERE len(w.taken) < {k}),
+{name} AS (SELECT s.point_id, s.x, s.y, s.rank FROM (SELECT unnest(taken) AS s FROM (SELECT taken FROM {name}_walk ORDER BY rank DESC LIMIT 1)))"""
+
+
+CHOSEN = f"WITH RECURSIVE {walk('chosen', 'o_totalprice')}"
+NEAR = "near AS (SELECT a.point_id, arg_min(b.point_id, struct_pack(d := sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), i := b.point_id)) AS nearest_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS nearest_m FROM chosen a JOIN chosen b ON a.point_id <> b.point_id GROUP BY a.point_id)"
+APART = "apart AS (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM chosen a JOIN chosen b ON a.rank < b.rank)"
+
+
+def chosen(t: Tables):
     return selection.diverse(ranked_points(t), 4000.0, 20)
 
 
-@query("l4_spacing_diagnostics")
+@query("l3_diverse_top_k", f"{CHOSEN} SELECT * FROM chosen")
 def _(t):
-    return selection.spacing(selection.diverse(ranked_points(t), 4000.0, 20))
+    return chosen(t)
 
 
-@query("l5_two_shortlists")
+@query("l4_spacing_diagnostics", f"{CHOSEN}, {NEAR} SELECT point_id, nearest_id, round(nearest_m, 6) AS nearest_m FROM near")
+def _(t):
+    return selection.spacing(chosen(t)).withColumn("nearest_m", F.round("nearest_m", 6))
+
+
+@query("l5_two_shortlists", f"{CHOSEN}, {walk('other', 'm1 * 100')} SELECT coalesce(a.point_id, b.point_id) AS point_id, CASE WHEN b.point_id IS NULL THEN 'removed' WHEN a.point_id IS NULL THEN 'added' ELSE 'common' END AS change FROM chosen a FULL JOIN other b ON a.point_id = b.point_id")
 def _(t):
-    a = selection.diverse(ranked_points(t), 4000.0, 20).select("point_id")
     again = ranks.row_numbers(selection.eligible(simple(t)), "suitability_score", "grid_id", "rank").select(F.col("grid_id").alias("point_id"), "x", "y", "rank")
-    return selection.changes(a, selection.diverse(again, 4000.0, 20).select("point_id"), "point_id")
+    return selection.changes(chosen(t).select("point_id"), selection.diverse(again, 4000.0, 20).select("point_id"), "point_id")
 
 
-@query("j15_pairwise_distances")
+@query("j15_pairwise_distances", f"{CHOSEN}, {APART} SELECT round(avg(d), 6) AS mean_m, round(median(d), 6) AS median_m, round(max(d), 6) AS max_m, count(*) AS pairs FROM apart")
 def _(t):
-    return selection.pairwise(selection.diverse(ranked_points(t), 4000.0, 20))
+    return selection.pairwise(chosen(t)).select(*[F.round(c, 6).alias(c) for c in ("mean_m", "median_m", "max_m")], "pairs")
 
 
 @query("l6_top_fraction", "SELECT grid_id FROM (SELECT grid_id, row_number() OVER (ORDER BY m2 DESC, grid_id) AS r, count(*) OVER () AS n FROM $candidate) WHERE r <= greatest(1, ceil(n * 0.05))")
@@ -244,9 +290,15 @@ def rk(v: str) -> str:
     return f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0"
 
 
-@query("x1_spearman", f"WITH r AS (SELECT {rk('pop0')} AS a, {rk('pop1')} AS b, {rk('m3')} AS c FROM $candidate) SELECT 'pop0' AS a, 'pop1' AS b, round(corr(a, b), 8) AS rho FROM r UNION ALL SELECT 'pop0', 'm3', round(corr(a, c), 8) FROM r UNION ALL SELECT 'pop1', 'm3', round(corr(b, c), 8) FROM r")
+MANY = (
+    "main_road_segment_count", "main_road_length_m", "road_density_km_per_km2", "distance_to_main_road_m", "parking_area_m2", "distance_to_nearest_parking_m", "parking_count_within_1000m",
+    "distance_to_nearest_charging_station_m", "charging_station_count_within_2000m", "m1", "m2", "m3", "pop0", "pop1", "pop2",
+)
+
+
+@query("x1_spearman", "WITH r AS (SELECT " + ", ".join(f"{rk(c)} AS {c}" for c in MANY) + " FROM $candidate) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 7) AS rho FROM r" for i, a in enumerate(MANY) for b in MANY[i + 1 :]))
 def _(t):
-    return stats.spearman(t("candidate"), ["pop0", "pop1", "m3"]).withColumn("rho", F.round("rho", 8))
+    return stats.spearman(t("candidate"), MANY).withColumn("rho", F.round("rho", 7))
 
 
 @query("x2_redundant_pairs", f"WITH r AS (SELECT {rk('main_road_segment_count')} AS a, {rk('main_road_length_m')} AS b FROM $candidate) SELECT 'main_road_segment_count' AS a, 'main_road_length_m' AS b, round(corr(a, b), 8) AS rho FROM r WHERE true")
@@ -280,39 +332,67 @@ def _(t):
     return stats.feature_summary(t("candidate").select("target", *FEATURES), FEATURES, "target").select("feature", "positive_median", F.round("positive_median_percentile", 6).alias("positive_median_percentile"))
 
 
-@query("x8_scenario_metrics", "SELECT median(pop1) AS median, round(avg(pop1), 6) AS mean, max(pop1) AS max, count(*) FILTER (WHERE pop1 >= 70) AS high FROM $candidate")
+def metric_sql(score: str, base: str, others: tuple[str, ...], fractions: tuple[int, ...], limit: float = 70.0) -> str:
+    """A row of the metrics of a score, from a table s with the scores."""
+    place = lambda c: f"row_number() OVER (ORDER BY {c} DESC, grid_id)"
+    top = lambda f: f"count(*) FILTER (WHERE pa <= greatest(1, ceil(n * {f / 100} - 1e-9)) AND pb <= greatest(1, ceil(n * {f / 100} - 1e-9)))"
+    tops = "".join(f", {top(f)} AS overlap_{f}, round({top(f)} / max(greatest(1, ceil(n * {f / 100} - 1e-9))), 7) AS overlap_fraction_{f}" for f in fractions)
+    spearman = "".join(f", round(corr(ra, ro{i}), 7) AS spearman_{o}" for i, o in enumerate((base, *others)))
+    inner = f"SELECT {score} AS v, {place(score)} AS pa, {place(base)} AS pb, count(*) OVER () AS n, {rk(score)} AS ra" + "".join(f", {rk(o)} AS ro{i}" for i, o in enumerate((base, *others))) + " FROM s"
+    return f"SELECT '{score}' AS score, round(median(v), 6) AS median, round(avg(v), 6) AS mean, round(max(v), 6) AS max{spearman}{tops}, round(median(v) FILTER (WHERE pb <= 20), 6) AS top_median, round(min(v) FILTER (WHERE pb <= 20), 6) AS top_min, count(*) FILTER (WHERE pb <= 20 AND v >= {limit}) AS top_at_limit FROM ({inner})"
+
+
+def rounded_metrics(m):
+    sixes_ = {"median", "mean", "max", "top_median", "top_min"}
+    return m.select(*[F.round(c, 6).alias(c) if c in sixes_ else F.round(c, 7).alias(c) if c.startswith(("spearman", "overlap_fraction")) else F.col(c) for c in m.columns])
+
+
+@query("x8_scenario_metrics", f"WITH {SCENARIOS} " + " UNION ALL ".join(metric_sql(f"{k}_score", "suitability_score", ("feasibility_score", "need_score"), (1, 5)) for k in DEMAND))
 def _(t):
-    return t("candidate").agg(F.median("pop1").alias("median"), F.round(F.avg("pop1"), 6).alias("mean"), F.max("pop1").alias("max"), F.sum((F.col("pop1") >= 70).cast("long")).alias("high"))
+    scored = scoring.scenarios(t("candidate"), ["pop0", "pop1", "pop2"], DEMAND).withColumns({"suitability_score": F.col("m1") * 100, "feasibility_score": F.col("m2") * 100, "need_score": F.col("m3") * 100})
+    return rounded_metrics(stats.score_metrics(scored, [f"{k}_score" for k in DEMAND], "suitability_score", ["feasibility_score", "need_score"]))
 
 
-@query("x9_rank_shift", "WITH b AS (SELECT rank() OVER (ORDER BY round(m1 * 100, 9) DESC) AS a, rank() OVER (ORDER BY round(0.95 * m1 * 100 + 0.05 * m2 * 100, 9) DESC) AS b FROM $candidate) SELECT median(abs(a - b)) AS median_shift, quantile_cont(abs(a - b), 0.95) AS p95_shift, max(abs(a - b)) AS max_shift FROM b")
+@query("x9_blend_metrics", f"WITH {BLENDS} " + " UNION ALL ".join(metric_sql(f"blend_{w}_score", "suitability_score", ("demand",), (1, 5)) for w in SHARES))
 def _(t):
-    c = t("candidate").withColumns({"s": F.col("m1") * 100, "d": F.col("m2") * 100})
-    return stats.rank_shift(scoring.blends(c, "s", "d", (0, 5)), "blend_0_rank", "blend_5_rank")
+    return rounded_metrics(stats.score_metrics(blended(t), [f"blend_{w}_score" for w in SHARES], "suitability_score", ["demand"]))
 
 
-@query("x10_shortlist_summary")
+@query("x9_rank_shift", f"WITH {BLENDS}, k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY blend_{w}_score DESC) AS k{w}" for w in SHARES) + " FROM s) " + " UNION ALL ".join(f"SELECT {w} AS share, median(abs(k0 - k{w})) AS median_shift, quantile_cont(abs(k0 - k{w}), 0.95) AS p95_shift, max(abs(k0 - k{w})) AS max_shift FROM k" for w in SHARES))
 def _(t):
-    chosen = selection.diverse(ranked_points(t), 4000.0, 20)
-    return selection.spacing(chosen).agg(F.min("nearest_m").alias("min_spacing_m"), F.count("*").alias("n")).join(selection.pairwise(chosen), F.lit(True)).join(chosen.agg(F.max("rank").alias("worst_rank")), F.lit(True))
+    b = keep(blended(t))
+    out = [stats.rank_shift(b, "blend_0_rank", f"blend_{w}_rank").select(F.lit(w).alias("share"), "*") for w in SHARES]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@query("x10_shortlist_summary", f"{CHOSEN}, {NEAR}, {APART} SELECT (SELECT round(min(nearest_m), 6) FROM near) AS min_spacing_m, (SELECT count(*) FROM near) AS n, (SELECT round(avg(d), 6) FROM apart) AS mean_m, (SELECT round(median(d), 6) FROM apart) AS median_m, (SELECT round(max(d), 6) FROM apart) AS max_m, (SELECT count(*) FROM apart) AS pairs, max(rank) AS worst_rank, round(median(m1 * 100), 6) AS median_score, round(min(m1 * 100), 6) AS minimum_score FROM chosen JOIN $candidate ON grid_id = point_id")
+def _(t):
+    picked = keep(chosen(t))
+    scores = picked.join(simple(t).select(F.col("grid_id").alias("point_id"), "suitability_score"), "point_id").agg(F.max("rank").alias("worst_rank"), F.round(F.median("suitability_score"), 6).alias("median_score"), F.round(F.min("suitability_score"), 6).alias("minimum_score"))
+    apart = selection.pairwise(picked).select(*[F.round(c, 6).alias(c) for c in ("mean_m", "median_m", "max_m")], "pairs")
+    return selection.spacing(picked).agg(F.round(F.min("nearest_m"), 6).alias("min_spacing_m"), F.count("*").alias("n")).join(apart, F.lit(True)).join(scores, F.lit(True))
+
+
+SUPPORT = f"p AS (SELECT *, {PERC} FROM $candidate WHERE target = 0), s AS (SELECT grid_id, m1 * 100 AS suitability_score, list_sort([p1, p2, p3])[2] AS consensus_median, list_sort([p1, p2, p3])[3] - list_sort([p1, p2, p3])[1] AS spread, CAST(p1 >= 80 AS INTEGER) + CAST(p2 >= 80 AS INTEGER) + CAST(p3 >= 80 AS INTEGER) AS k, CAST(p1 >= 90 AS INTEGER) + CAST(p2 >= 90 AS INTEGER) + CAST(p3 >= 90 AS INTEGER) AS k10 FROM p)"
 
 
-@query("x11_support_metrics", f"WITH p AS (SELECT *, {PERC} FROM $candidate WHERE target = 0) SELECT count(*) FILTER (WHERE k >= 2) AS two_plus, count(*) FILTER (WHERE k = 3) AS all_models, count(*) AS n FROM (SELECT CAST(p1 >= 80 AS INTEGER) + CAST(p2 >= 80 AS INTEGER) + CAST(p3 >= 80 AS INTEGER) AS k FROM p)")
+@query("x11_support_metrics", f"WITH {SUPPORT}, m AS ({metric_sql('consensus_median', 'suitability_score', (), (1, 5, 10))}), b AS (SELECT * FROM s ORDER BY suitability_score DESC, grid_id LIMIT 20) SELECT m.*, (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM s WHERE k >= 2) AS two_plus, (SELECT count(*) FROM s WHERE k = 3) AS all_models, (SELECT round(median(spread), 6) FROM b) AS top_spread, (SELECT count(*) FROM b WHERE k >= 2) AS top_two_plus, (SELECT count(*) FROM b WHERE k = 3) AS top_all_models, (SELECT count(*) FROM b WHERE k10 >= 2) AS top_two_plus_10 FROM m")
 def _(t):
-    c = scoring.consensus(percentiles(t), ["p1", "p2", "p3"])
-    return c.agg(F.sum(F.col("at_least_two").cast("long")).alias("two_plus"), F.sum(F.col("all_models").cast("long")).alias("all_models"), F.count("*").alias("n"))
+    c = keep(scoring.consensus(percentiles(t), ["p1", "p2", "p3"]).withColumn("suitability_score", F.col("m1") * 100))
+    m = rounded_metrics(stats.score_metrics(c, ["consensus_median"], "suitability_score", fractions=(0.01, 0.05, 0.1)))
+    every = c.agg(F.count("*").alias("n"), F.sum(F.col("at_least_two").cast("long")).alias("two_plus"), F.sum(F.col("all_models").cast("long")).alias("all_models"))
+    best = c.orderBy(F.desc("suitability_score"), "grid_id").limit(20).agg(F.round(F.median("consensus_spread"), 6).alias("top_spread"), F.sum(F.col("at_least_two").cast("long")).alias("top_two_plus"), F.sum(F.col("all_models").cast("long")).alias("top_all_models"), F.sum((F.col("models_top_10") >= 2).cast("long")).alias("top_two_plus_10"))
+    return m.join(every, F.lit(True)).join(best, F.lit(True))
 
 
 @query("a17_band_counts", f"WITH r AS (SELECT {BAND.format(p='m1 * 100')} AS band FROM $candidate) SELECT b.band, count(r.band) AS n FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) b(band) LEFT JOIN r ON b.band = r.band GROUP BY b.band")
 def _(t):
-    counts = t("candidate").groupBy(scoring.band(F.col("m1") * 100).alias("band")).agg(F.count("*").alias("n"))
-    every = t.spark.createDataFrame([(b,) for b in "ABCDE"], "band string")
-    return every.join(counts, "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("n"))
+    return scoring.band_counts(t("candidate"), scoring.band(F.col("m1") * 100))
 
 
-@query("a18_histogram", "SELECT least(CAST(floor(m1 * 40) AS BIGINT), 39) AS bin, count(*) AS n FROM $candidate GROUP BY 1")
+@query("a18_histogram", "SELECT least(CAST(floor(m1 * 40) AS BIGINT), 39) AS bin, count(*) AS n, round((SELECT median(m1) FROM $candidate), 9) AS median FROM $candidate GROUP BY 1")
 def _(t):
-    return t("candidate").groupBy(F.least(F.floor(F.col("m1") * 40), F.lit(39)).alias("bin")).agg(F.count("*").alias("n"))
+    return stats.histogram(t("candidate"), "m1", 0.0, 1.0).withColumn("median", F.round("median", 9))
 
 
 @query("a19_distribution", f"WITH {LONG} SELECT feature, count(v) AS n, count(*) FILTER (WHERE v = 0) AS zeros, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.99), 6) AS p99, max(v) AS max FROM l GROUP BY feature")
@@ -321,9 +401,9 @@ def _(t):
     return out.select("feature", "n", "zeros", *[F.round(c, 6).alias(c) for c in ("mean", "p90", "p99")], "max")
 
 
-@query("a21_summary_statistics", "SELECT min(m1) AS lowest, quantile_cont(m1, 0.25) AS q1, median(m1) AS middle, quantile_cont(m1, 0.75) AS q3, max(m1) AS highest FROM $candidate")
+@query("a21_summary_statistics", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS lowest, CAST(quantile_cont({c}, 0.25) AS DOUBLE) AS q1, CAST(median({c}) AS DOUBLE) AS middle, CAST(quantile_cont({c}, 0.75) AS DOUBLE) AS q3, CAST(max({c}) AS DOUBLE) AS highest FROM $candidate" for c in MANY))
 def _(t):
-    return t("candidate").agg(F.min("m1").alias("lowest"), F.percentile("m1", 0.25).alias("q1"), F.median("m1").alias("middle"), F.percentile("m1", 0.75).alias("q3"), F.max("m1").alias("highest"))
+    return stats.summary(t("candidate"), MANY)
 
 
 @query("v1_unique_keys", "SELECT l_orderkey * 10 + l_linenumber AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1")
@@ -354,10 +434,10 @@ def _(t):
     return checks.require(t("candidate").select("grid_id", "pop0", "target"), ["grid_id", "pop0"], forbidden=["has_existing_charging_station", "distance_to_nearest_charging_station_m"])
 
 
-@query("v9_shortlist_rules")
+@query("v9_shortlist_rules", f"{CHOSEN}, {NEAR} SELECT 'spacing below the minimum' AS rule, count(*) FILTER (WHERE nearest_m < 4000) AS violations FROM near UNION ALL SELECT 'x outside 0 to 40000', count(*) FILTER (WHERE NOT x BETWEEN 0 AND 40000) FROM chosen UNION ALL SELECT 'rank is missing or not finite', count(*) FILTER (WHERE rank IS NULL) FROM chosen")
 def _(t):
-    chosen = selection.diverse(ranked_points(t), 4000.0, 20)
-    both = chosen.join(selection.spacing(chosen), "point_id")
+    picked = keep(chosen(t))
+    both = picked.join(selection.spacing(picked), "point_id")
     return checks.report(both, {"spacing below the minimum": F.col("nearest_m") < 4000.0, **checks.between("x", 0, 40000), **checks.missing(["rank"])})
 
 

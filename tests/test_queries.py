@@ -7,7 +7,7 @@ from siteselect.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 catalog.load()
-SLOW = {"m6_m7_logistic_out_of_fold", "m8_m23_forest_out_of_fold", "m9_boosting_out_of_fold", "m20_m21_configurations", "m25_m27_permutation_importance"}
+SLOW = {"m6_m7_logistic_out_of_fold", "m8_m23_forest_out_of_fold", "m9_boosting_out_of_fold", "m20_m21_configurations", "m21_redundancy_sensitivity", "m22_incremental_value", "m24_seed_stability", "m25_m27_permutation_importance"}
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
