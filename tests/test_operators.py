@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siteselect.functions import clean, geo
-from siteselect.operators import checks, features, joins, ml, ranks, scoring, selection
+from siteselect.operators import checks, features, joins, ml, ranks, scoring, selection, stats
 
 
 def column(df, name):
@@ -126,6 +126,43 @@ def test_one_to_one_and_strict_booleans_raise(spark):
         checks.enforce(checks.report(a, {"v is above 2": F.col("v") > 2}))
 
 
+def test_equal_points_stay_and_edges_go_to_the_lowest_cell(spark):
+    grid = spark.createDataFrame([("G_1", 0, 0), ("G_2", 0, 1), ("G_3", 1, 0), ("G_4", 1, 1)], "grid_id string, cx long, cy long")
+    points = spark.createDataFrame([(1, 10.0, 10.0), (1, 10.0, 10.0), (2, 500.0, 500.0), (2, 500.0, 500.0), (3, 500.0, 20.0), (4, 2000.0, 0.0)], "point_id int, x double, y double")
+    got = sorted((r["point_id"], r["grid_id"]) for r in joins.point_in_cell(points, grid).collect())
+    assert got == [(1, "G_1"), (1, "G_1"), (2, "G_1"), (2, "G_1"), (3, "G_1")]
+
+
+def test_shuffle_moves_values_over_the_whole_fold(spark):
+    rows = spark.createDataFrame([(i, i % 2, float(i)) for i in range(80)], "grid_id long, cv_fold int, v double")
+    got = {r["grid_id"]: r["v"] for r in ml.shuffled(rows, "v", 7).collect()}
+    assert sorted(got.values()) == [float(i) for i in range(80)] and all(got[i] % 2 == i % 2 for i in got)
+    assert sum(got[i] != i for i in got) > 60 and got == {r["grid_id"]: r["v"] for r in ml.shuffled(rows.repartition(3), "v", 7).collect()}
+
+
+def test_ties_are_numbered_by_id_and_many_columns_make_a_short_plan(spark):
+    df = spark.createDataFrame([(i, 0.0 if i % 3 else float(i), None if i == 5 else 1.0) for i in range(60)], "i int, v double, w double")
+    got = {r["i"]: r["p"] for r in ranks.row_numbers(df, "v", "i", "p").collect()}
+    order = sorted(range(60), key=lambda i: (-(0.0 if i % 3 else float(i)), i))
+    assert [got[i] for i in order] == list(range(1, 61))
+    assert {r["i"]: r["p"] for r in ranks.row_numbers(df, "w", "i", "p").collect()}[5] is None
+    wide = df.select("i", *[(F.col("v") * k).alias(f"c{k}") for k in range(1, 16)])
+    lines = lambda k: len(stats.with_average_ranks(wide, [f"c{j}" for j in range(1, k + 1)])._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert lines(12) < 2.5 * lines(6)
+
+
+def test_what_cannot_be_finished_raises(spark):
+    chain = spark.createDataFrame([(i, float(i), 0.0, i) for i in range(12)], "point_id long, x double, y double, rank long")
+    assert selection.diverse(chain, 2.0).count() == 6
+    with pytest.raises(RuntimeError):
+        selection.diverse(chain, 2.0, rounds=2)
+    with pytest.raises(ValueError):
+        selection.diverse(chain, 2.0, 7, strict=True)
+    assert column(selection.diverse(chain, 2.0, 5, first=2), "point_id") == [0, 2, 4, 6, 8]
+    with pytest.raises(ValueError):
+        ml.balanced_weights(spark.createDataFrame([(0,), (1,), (2,)], "y int"), "y")
+
+
 def test_nothing_outside_imports_the_text_package():
     import pathlib
 
