@@ -158,3 +158,27 @@ def first_column(df: DataFrame, candidates: Sequence[str]) -> str:
         if name in df.columns:
             return name
     raise ValueError(f"none of {list(candidates)} is a column")
+
+
+POLYGONS, LINES = ("Polygon", "MultiPolygon"), ("LineString", "MultiLineString")
+
+
+def usable(kind: Column | str, points: Column | str, kinds: Sequence[str] = POLYGONS, least: int = 3) -> Column:
+    """Whether a geometry is there, of one of the wanted kinds and has points enough."""
+    return F.coalesce(_c(kind).isin(*kinds) & (F.size(_c(points)) >= least), F.lit(False))
+
+
+def stations(df: DataFrame, id_col: str, capacity: str, flags: Sequence[str]) -> DataFrame:
+    """Merged stations with a trimmed id, capacities that are numbers of 0 or more, else null, and flags from numeric text; empty and repeated ids raise when read."""
+    number = _c(capacity).cast("string").try_cast("double")
+    out = df.withColumns({id_col: F.trim(_c(id_col).cast("string")), capacity: F.when(number >= 0, number), **{f: F.coalesce(_c(f).cast("string").try_cast("double"), F.lit(0.0)) > 0 for f in flags}})
+    n = out.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    bad = F.when(F.coalesce(F.col("_id"), F.lit("")) == "", F.raise_error(F.lit(f"empty {id_col}"))).when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated {id_col}: "), "_id"))).otherwise(F.col("_id"))
+    return out.join(n, F.col(id_col).eqNullSafe(F.col("_id"))).withColumn(id_col, bad.cast("string")).drop("_id", "_n")
+
+
+def provenance(df: DataFrame, order: Column | str, keys: Sequence[str], prefix: str = "K_", out: str = "scoped_id", buffer_m: float | None = None) -> DataFrame:
+    """df with chunk_id, chunk_order and an id that is unique over chunks; with buffer_m also the chunk's buffer."""
+    chunk = padded_id(order, prefix, 3)
+    stamped = df.withColumns({"chunk_id": chunk, "chunk_order": _c(order).cast("long"), out: F.concat_ws("_", chunk, *[_c(k).cast("string") for k in keys])})
+    return stamped.withColumn("chunk_buffer_m", F.lit(float(buffer_m))) if buffer_m is not None else stamped

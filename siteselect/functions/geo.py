@@ -79,6 +79,13 @@ def to_ring(px, py, ring: Column | str) -> Column:
     return F.when(in_ring(px, py, ring), 0.0).otherwise(nearest)
 
 
+def to_polyline(px, py, points: Column | str) -> Column:
+    """Distance from a point to a polyline; one of a single point is that point."""
+    px, py, points = _c(px), _c(py), _c(points)
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), lambda i: F.struct(F.get(points, i - 1).alias("a"), F.coalesce(F.get(points, i), F.get(points, i - 1)).alias("b")))
+    return F.array_min(F.transform(spans, lambda s: to_segment(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
+
+
 def area(ring: Column | str) -> Column:
     """Area of a simple ring by the shoelace formula."""
     return F.abs(F.aggregate(_edges(_c(ring)), F.lit(0.0), lambda s, e: s + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))) / 2

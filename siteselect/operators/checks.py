@@ -57,3 +57,12 @@ def between(column: str, low: float, high: float) -> dict[str, Column]:
 
 def orphans(children: DataFrame, parents: DataFrame, on: str) -> DataFrame:
     return children.join(parents, on, "left_anti")
+
+
+def partition(whole: DataFrame, first: DataFrame, second: DataFrame, on: str) -> DataFrame:
+    """One row: the sizes of two id sets that should part a table, and how many ids are in both, in neither and not in the table."""
+    flag = lambda d, c: d.select(on).distinct().withColumn(c, F.lit(True))
+    flags = flag(whole, "_w").join(flag(first, "_a"), on, "full_outer").join(flag(second, "_b"), on, "full_outer")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    a, b, w = (F.col(c).isNotNull() for c in ("_a", "_b", "_w"))
+    return flags.agg(count(a).alias("first"), count(b).alias("second"), count(a & b).alias("in_both"), count(w & ~a & ~b).alias("lost"), count(~w).alias("foreign"))

@@ -177,3 +177,14 @@ def distribution(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     long = df.unpivot(list(by), list(columns), "feature", "v")
     v = F.col("v")
     return long.groupBy(*by, "feature").agg(F.count(v).alias("n"), F.sum((v == 0).cast("long")).alias("zeros"), F.sum((v != 0).cast("long")).alias("nonzeros"), F.avg((v != 0).cast("double")).alias("nonzero_fraction"), F.avg(v).alias("mean"), *[F.percentile(v, p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)], F.max(v).alias("max"))
+
+
+def station_dataset(stations: DataFrame, sockets: DataFrame, columns: Sequence[str] = ("socket_count", "total_power_kw")) -> DataFrame:
+    """Stations (station_id, ...) with sums of their sockets, 0 for those without; counts are whole numbers."""
+    joined = stations.join(sockets_by_station(sockets).select("station_id", *columns), "station_id", "left").fillna(0, list(columns))
+    return joined.withColumns({c: F.col(c).cast("int") for c in columns if c.endswith("_count")})
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """(column, n): how many rows have each value, null included."""
+    return df.groupBy(column).agg(F.count("*").alias("n"))

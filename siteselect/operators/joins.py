@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteselect.functions import geo
@@ -109,6 +109,41 @@ def one_to_one(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -
     return checked(left).join(checked(right), on, how)
 
 
+def many_to_one(left: DataFrame, right: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """left with right's columns; a key that right repeats raises when the result is read."""
+    checked = right.groupBy(on).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in right.columns if c != on])
+    checked = checked.withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated {on}: "), F.col(on).cast("string"))).cast("long")).otherwise(1)).where("_n = 1").drop("_n")
+    return left.join(checked, on, how)
+
+
+def accepted_matches(decisions: DataFrame, right: DataFrame, key: Column, on: str, decision: str = "decision", prefix: str = "accepted_", bounds: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Rows whose decision has the prefix, joined to right by a normalised key; rows with coordinates outside the bounds, or without, raise when read."""
+    met = decisions.where(F.col(decision).startswith(prefix)).withColumn("_key", key).join(right, F.col("_key") == F.col(on)).drop("_key")
+    for c, (low, high) in (bounds or {}).items():
+        fine = F.coalesce(F.col(c).between(low, high), F.lit(False))
+        met = met.withColumn(c, F.when(fine, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} outside {low:g} to {high:g}")).cast(met.schema[c].dataType)))
+    return met
+
+
+def concatenated(*tables: DataFrame) -> DataFrame:
+    """All rows of the tables, columns by name; those that one lacks are null there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def with_provenance(tables: Mapping[str, DataFrame], column: str = "source") -> DataFrame:
+    """The tables concatenated, with the name of each in a column."""
+    return concatenated(*[t.withColumn(column, F.lit(name)) for name, t in tables.items()])
+
+
+def recovery(found: DataFrame, expected: DataFrame, on: str) -> DataFrame:
+    """(id, found, expected) for each id of either table."""
+    a, b = found.select(on).distinct().withColumn("found", F.lit(True)), expected.select(on).distinct().withColumn("expected", F.lit(True))
+    return a.join(b, on, "full_outer").select(on, F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("expected", F.lit(False)).alias("expected"))
+
+
 def align(tables: dict[str, DataFrame], on: str, same: Sequence[str]) -> DataFrame:
     """Score tables joined on an id; a row where one of `same` differs raises when the result is read."""
     names = list(tables)

@@ -127,7 +127,7 @@ def _(t):
     from siteselect.plans.spatial_queries import ring
 
     shaped = t("parking").select("point_id", F.when(F.col("y1") - F.col("y0") > 20, "Polygon").otherwise("Point").alias("geometry_type"), ring().alias("ring"))
-    return shaped.where(F.col("geometry_type").isin("Polygon", "MultiPolygon") & (F.size("ring") > 2)).select("point_id")
+    return shaped.where(clean.usable("geometry_type", "ring")).select("point_id")
 
 
 @query("t20_column_by_candidates", "SELECT s_suppkey AS station_id, count(*) OVER () AS n FROM supplier")
@@ -139,14 +139,13 @@ def _(t):
 
 @query("t21_station_normalisation", "SELECT CAST(s_suppkey AS VARCHAR) AS station_id, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS capacity, s_suppkey % 2 = 1 AS has_ac FROM supplier")
 def _(t):
-    capacity = F.col("s_acctbal").cast("string").try_cast("double")
-    return t("supplier").select(F.trim(F.concat(F.lit(" "), F.col("s_suppkey").cast("string"))).alias("station_id"), F.when(capacity >= 0, capacity).alias("capacity"), (F.coalesce((F.col("s_suppkey") % 2).cast("string").try_cast("double"), F.lit(0.0)) > 0).alias("has_ac"))
+    raw = t("supplier").select(F.concat(F.lit(" "), F.col("s_suppkey").cast("string")).alias("station_id"), F.col("s_acctbal").cast("string").alias("capacity"), (F.col("s_suppkey") % 2).cast("string").alias("has_ac"))
+    return clean.stations(raw, "station_id", "capacity", ["has_ac"])
 
 
 @query("t22_chunk_provenance", "SELECT concat('K_', lpad(CAST(l_linenumber AS VARCHAR), 3, '0')) AS chunk_id, CAST(l_linenumber AS BIGINT) AS chunk_order, concat('K_', lpad(CAST(l_linenumber AS VARCHAR), 3, '0'), '_', CAST(l_orderkey AS VARCHAR), '_', CAST(l_partkey AS VARCHAR)) AS piece FROM lineitem")
 def _(t):
-    chunk = clean.padded_id("l_linenumber", "K_", 3)
-    return t("lineitem").select(chunk.alias("chunk_id"), F.col("l_linenumber").cast("long").alias("chunk_order"), F.concat_ws("_", chunk, F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string")).alias("piece"))
+    return clean.provenance(t("lineitem"), "l_linenumber", ["l_orderkey", "l_partkey"], out="piece").select("chunk_id", "chunk_order", "piece")
 
 
 @query("a9_sockets_by_station", "SELECT station_id, count(DISTINCT socket_id) AS socket_count, count(*) FILTER (WHERE current = 'AC') AS ac_count, count(*) FILTER (WHERE current = 'DC') AS dc_count, count(power) AS known_power_count, sum(power) AS total_power_kw, max(power) AS max_power_kw, bool_or(current = 'AC') AS has_ac, bool_or(current = 'DC') AS has_dc FROM $socket GROUP BY station_id")
@@ -168,9 +167,7 @@ def _(t):
 
 @query("a12_station_dataset", "SELECT s_suppkey AS station_id, s_name, CAST(coalesce(n, 0) AS INTEGER) AS socket_count, coalesce(p, 0) AS total_power_kw FROM supplier LEFT JOIN (SELECT station_id, count(DISTINCT socket_id) AS n, sum(power) AS p FROM $socket GROUP BY 1) ON station_id = s_suppkey")
 def _(t):
-    sums = features.sockets_by_station(t("socket")).select("station_id", "socket_count", "total_power_kw")
-    joined = t("supplier").select(F.col("s_suppkey").alias("station_id"), "s_name").join(sums, "station_id", "left")
-    return joined.fillna(0, ["socket_count", "total_power_kw"]).withColumn("socket_count", F.col("socket_count").cast("int"))
+    return features.station_dataset(t("supplier").select(F.col("s_suppkey").alias("station_id"), "s_name"), t("socket"))
 
 
 @query("a13_piece_dedup", "SELECT object_id, l_quantity, chunk_order, piece_id, n FROM (SELECT *, row_number() OVER (PARTITION BY object_id, l_quantity ORDER BY chunk_order, piece_id, measure) AS r, count(*) OVER (PARTITION BY object_id, l_quantity) AS n FROM $piece) WHERE r = 1")
@@ -185,6 +182,12 @@ def _(t):
     return features.largest_objects(t("piece")).select("object_id", "measure", "chunk_order", "occurrences", "variants")
 
 
-@query("a20_value_counts", "SELECT event_type, count(*) AS n FROM $poi GROUP BY 1")
+@query("a20_value_counts", "SELECT CASE WHEN y1 - y0 > 20 THEN 'Polygon' ELSE 'Point' END AS geometry_type, count(*) AS n FROM $parking GROUP BY 1")
 def _(t):
-    return t("poi").groupBy("event_type").agg(F.count("*").alias("n"))
+    kind = F.when(F.col("y1") - F.col("y0") > 20, "Polygon").otherwise("Point")
+    return features.value_counts(t("parking").withColumn("geometry_type", kind), "geometry_type")
+
+
+@query("a20_source_counts", "SELECT event_type, count(*) AS n FROM $poi GROUP BY 1")
+def _(t):
+    return features.value_counts(t("poi"), "event_type")

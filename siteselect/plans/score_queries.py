@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteselect.operators import checks, features, ranks, scoring, selection, stats
+from siteselect.operators import checks, features, joins, ranks, scoring, selection, stats
 from siteselect.operators.scratch import keep
 from siteselect.plans.catalog import Tables, query
 
@@ -261,7 +261,7 @@ def _(t):
 
 @query("u1_concatenate", "SELECT o_orderkey AS k FROM orders UNION ALL SELECT c_custkey FROM customer")
 def _(t):
-    return t("orders").select(F.col("o_orderkey").alias("k")).unionByName(t("customer").select(F.col("c_custkey").alias("k")))
+    return joins.concatenated(t("orders").select(F.col("o_orderkey").alias("k")), t("customer").select(F.col("c_custkey").alias("k")))
 
 
 @query("u2_set_changes", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' ELSE 'common' END AS change FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority = '1-URGENT') b ON a.k = b.k")
@@ -278,12 +278,10 @@ def _(t):
     return selection.overlap(t("candidate"), "m1", "m2", 0.1, "grid_id")
 
 
-@query("u4_partition_check", "SELECT count(*) FILTER (WHERE target = 0) AS candidates, count(*) FILTER (WHERE target = 1) AS positives, CAST(0 AS BIGINT) AS in_both, CAST(0 AS BIGINT) AS lost FROM $candidate")
+@query("u4_partition_check", "SELECT count(*) FILTER (WHERE target = 0) AS first, count(*) FILTER (WHERE target = 1) AS second, CAST(0 AS BIGINT) AS in_both, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS \"foreign\" FROM $candidate")
 def _(t):
     c = t("candidate").select("grid_id", "target")
-    a, b = c.where("target = 0").select("grid_id", F.lit(1).alias("a")), c.where("target = 1").select("grid_id", F.lit(1).alias("b"))
-    flags = c.join(a, "grid_id", "left").join(b, "grid_id", "left")
-    return flags.agg(F.count("a").alias("candidates"), F.count("b").alias("positives"), F.sum((F.col("a").isNotNull() & F.col("b").isNotNull()).cast("long")).alias("in_both"), F.sum((F.col("a").isNull() & F.col("b").isNull()).cast("long")).alias("lost"))
+    return checks.partition(c, c.where("target = 0"), c.where("target = 1"), "grid_id")
 
 
 def rk(v: str) -> str:

@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 
-from siteselect.operators import grid, ml, ranks, selection
+from siteselect.operators import grid, ml, ranks, scoring, selection
 from siteselect.operators.scratch import folder
 from siteselect.plans.catalog import Tables, query
 from siteselect.plans.clean_queries import poi_tags
-from siteselect.plans.score_queries import ranked_points, simple
+from siteselect.plans.score_queries import ranked_points
 from siteselect.sources import readers, sinks
 
 
@@ -27,22 +27,27 @@ def _(t):
     return readers.attribute_table(t.spark, path, "grid_id string, target int, pop0 double")
 
 
-@query("s2_spatial_table", "SELECT grid_id, x0, y0, x1, y1 FROM $grid, (SELECT count(*) AS n FROM supplier) WHERE n > 0")
+@query("s2_spatial_table", "SELECT grid_id, x0, y0, x1, y1 FROM $grid JOIN (SELECT DISTINCT floor(x / 500) AS px, floor(y / 500) AS py FROM $poi) ON cx = px AND cy = py")
 def _(t):
-    path = f"{_folder(t)}/grid.parquet"
-    n = t("supplier").agg(F.count("*").alias("n")).where("n > 0")
-    t("grid").join(F.broadcast(n), F.lit(True)).withColumn("crs", F.lit("EPSG:32636")).write.parquet(path)
-    return readers.spatial_table(t.spark, path, crs="EPSG:32636").select("grid_id", "x0", "y0", "x1", "y1")
+    path = f"{_folder(t)}/cells.parquet"
+    busy = t("poi").select(F.floor(F.col("x") / 500).alias("cx"), F.floor(F.col("y") / 500).alias("cy")).distinct()
+    t("grid").join(busy, ["cx", "cy"]).withColumn("crs", F.lit("EPSG:32636")).write.parquet(path)
+    return readers.spatial_table(t.spark, path, crs="EPSG:32636", cell_size=500.0).select("grid_id", "x0", "y0", "x1", "y1")
 
 
-@query("s3_boundary_geojson")
+@query("s3_boundary_geojson", """WITH b AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM $poi), r AS (
+  SELECT 0 AS part, 0 AS ring_no, x0, y0, x1, y1 FROM b UNION ALL SELECT 0, 1, x0 + (x1 - x0) / 4, y0 + (y1 - y0) / 4, x1 - (x1 - x0) / 4, y1 - (y1 - y0) / 4 FROM b UNION ALL SELECT 1, 0, x1 + 1000, y0, x1 + 2000, y1 FROM b)
+SELECT part, ring_no, ring_no > 0 AS hole, 0 AS k, x0 AS x, y0 AS y FROM r UNION ALL SELECT part, ring_no, ring_no > 0, 1, x1, y0 FROM r UNION ALL SELECT part, ring_no, ring_no > 0, 2, x1, y1 FROM r UNION ALL SELECT part, ring_no, ring_no > 0, 3, x0, y1 FROM r""")
 def _(t):
-    b = grid.bounds(t("poi"))
-    p = lambda x, y: F.array(F.col(x), F.col(y))
-    ring = F.array(p("min_x", "min_y"), p("max_x", "min_y"), p("max_x", "max_y"), p("min_x", "max_y"), p("min_x", "min_y"))
+    b = grid.bounds(t("poi")).select(F.col("min_x").alias("x0"), F.col("min_y").alias("y0"), F.col("max_x").alias("x1"), F.col("max_y").alias("y1"))
+    box = lambda x0, y0, x1, y1: F.array(*[F.array(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    w, h = (x1 - x0) / 4, (y1 - y0) / 4
+    parts = F.array(F.array(box(x0, y0, x1, y1), box(x0 + w, y0 + h, x1 - w, y1 - h)), F.array(box(x1 + 1000, y0, x1 + 2000, y1)))
     path = f"{_folder(t)}/boundary"
-    b.select(F.to_json(F.struct(F.array(F.struct(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))).alias("features"))).alias("value")).write.text(path)
-    return readers.boundary(t.spark, path)
+    feature = F.struct(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates")).alias("geometry"))
+    b.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("value")).write.text(path)
+    return readers.boundary(t.spark, path).select("part", "ring_no", "hole", F.posexplode("ring").alias("k", "p")).select("part", "ring_no", "hole", "k", "p.x", "p.y")
 
 
 def payloads(t: Tables):
@@ -144,12 +149,45 @@ def _(t):
     return sinks.registry_documents(t("station").select(F.col("point_id").alias("station_id"), "s_name"), t("socket"))
 
 
+def exported(t: Tables):
+    """Every candidate with the columns of the export, by integer arithmetic."""
+    pc = lambda c: F.round(F.col(c) * 100, 4)
+    n = F.substring("grid_id", 3, 20).cast("long")
+    names = {
+        "selection_rank": n, "longitude": F.round(32 + F.col("x") / 40000, 7), "latitude": F.round(39 + F.col("y") / 40000, 7), "priority_band": scoring.band(F.col("m1") * 100), "suitability_score": pc("m1"), "suitability_rank": n,
+        "feasibility": pc("m2"), "need": pc("m3"), "accessibility": pc("m2"), "parking": pc("m3"), "infrastructure_gap": pc("m1"), "technology_gap": pc("m2"), "ml_consensus_percentile": pc("m2"), "ml_logistic_percentile": pc("m1"),
+        "ml_random_forest_percentile": pc("m2"), "ml_hgb_percentile": pc("m3"), "ml_model_spread": F.round(F.abs(F.col("m1") - F.col("m3")) * 100, 4), "models_top_20pct_count": (n % 4).cast("int"), "model_disagreement": n % 4 < 3,
+        "nearest_selected_grid_id": F.when(n % 7 == 0, F.concat(F.lit('C "'), n.cast("string"), F.lit('"'))), "nearest_selected_candidate_m": F.when(n % 7 == 0, F.col("x")),
+    }
+    return t("candidate").select("grid_id", *[c.alias(k) for k, c in names.items()])
+
+
+EXPORTED = """WITH e AS (SELECT CAST(substr(grid_id, 3) AS BIGINT) AS n, * FROM $candidate)
+SELECT n AS selection_rank, grid_id, round(32 + x / 40000, 7) AS longitude, round(39 + y / 40000, 7) AS latitude, CASE WHEN m1 * 100 >= 99 THEN 'A' WHEN m1 * 100 >= 95 THEN 'B' WHEN m1 * 100 >= 80 THEN 'C' WHEN m1 * 100 >= 50 THEN 'D' ELSE 'E' END AS priority_band,
+  round(m1 * 100, 4) AS suitability_score, n AS suitability_rank, round(m2 * 100, 4) AS feasibility, round(m3 * 100, 4) AS need, round(m2 * 100, 4) AS accessibility, round(m3 * 100, 4) AS parking, round(m1 * 100, 4) AS infrastructure_gap, round(m2 * 100, 4) AS technology_gap,
+  round(m2 * 100, 4) AS ml_consensus_percentile, round(m1 * 100, 4) AS ml_logistic_percentile, round(m2 * 100, 4) AS ml_random_forest_percentile, round(m3 * 100, 4) AS ml_hgb_percentile, round(abs(m1 - m3) * 100, 4) AS ml_model_spread, CAST(n % 4 AS INTEGER) AS models_top_20pct_count,
+  n % 4 < 3 AS model_disagreement, CASE WHEN n % 7 = 0 THEN concat('C "', n, '"') END AS nearest_selected_grid_id, CASE WHEN n % 7 = 0 THEN x END AS nearest_selected_candidate_m FROM e"""
+
+
+@query("k5_candidate_csv", EXPORTED)
+def _(t):
+    path = f"{_folder(t)}/candidates"
+    e = exported(t)
+    sinks.candidate_csv(e, path)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (e.schema[c] for c in sinks.CANDIDATE))
+    read = t.spark.read.schema(schema).csv(path, header=True, escape='"', enforceSchema=True)
+    return read.select(*[F.col(c) for c in sinks.CANDIDATE])
+
+
 def shortlist(t: Tables):
+    """The shortlist with all that the decision document tells of a candidate."""
     chosen = selection.diverse(ranked_points(t), 4000.0, 20)
-    scored = simple(t).join(chosen.select(F.col("point_id").alias("grid_id"), F.col("rank").alias("suitability_rank")), "grid_id")
-    near = selection.spacing(chosen).withColumnRenamed("point_id", "grid_id")
-    out = ranks.row_numbers(scored.join(near, "grid_id"), "suitability_score", "grid_id", "selection_rank")
-    return out.withColumns({"longitude": 32 + F.col("x") / 40000, "latitude": 39 + F.col("y") / 40000, "priority_band": F.lit("A"), "models_top_20": (F.col("selection_rank") % 4).cast("int"), "support_label": F.lit("two_of_three_top_20pct")})
+    near = selection.spacing(chosen).select(F.col("point_id").alias("grid_id"), F.col("nearest_id").alias("nearest_selected_grid_id"), F.col("nearest_m").alias("nearest_selected_candidate_m"))
+    listed = exported(t).drop("nearest_selected_grid_id", "nearest_selected_candidate_m", "selection_rank", "suitability_rank").join(chosen.select(F.col("point_id").alias("grid_id"), F.col("rank").alias("suitability_rank")), "grid_id").join(near, "grid_id")
+    out = ranks.row_numbers(listed, "suitability_score", "grid_id", "selection_rank")
+    models = F.array("ml_logistic_percentile", "ml_random_forest_percentile", "ml_hgb_percentile")
+    more = {"suitability_percentile": F.col("suitability_score"), "score_explanation": F.concat(F.lit("band "), "priority_band"), "ml_consensus_rank": F.col("selection_rank"), "ml_min_percentile": F.array_min(models), "ml_max_percentile": F.array_max(models), "models_top_10pct_count": (F.col("selection_rank") % 3).cast("int"), "support_label": scoring.support_label("models_top_20pct_count")}
+    return out.withColumns(more)
 
 
 @query("k4_decision_document")
@@ -157,11 +195,6 @@ def _(t):
     return sinks.decision_document(shortlist(t), "fixture", 4000, "2024-01-01T00:00:00Z")
 
 
-@query("k5_candidate_csv", "SELECT concat('\"', grid_id, '\",\"', CAST(main_road_segment_count AS VARCHAR), '\"') AS value FROM $candidate")
-def _(t):
-    return sinks.candidate_csv_rows(t("candidate"), ["grid_id", "main_road_segment_count"])
-
-
 @query("k6_fold_outputs", "SELECT cv_fold, count(*) AS n FROM $candidate GROUP BY 1")
 def _(t):
     path = _folder(t)

@@ -104,14 +104,14 @@ def _(t):
 
 @query("j10_many_to_one_join", "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(t):
-    return t("orders").select("o_orderkey", "o_custkey").join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey").select("o_orderkey", "o_custkey", "c_mktsegment")
+    return joins.many_to_one(t("orders").select("o_orderkey", "o_custkey"), t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "inner").select("o_orderkey", "o_custkey", "c_mktsegment")
 
 
 @query("j11_key_normalised_join", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0")
 def _(t):
     left = t("supplier").select(F.concat(F.lit("SRJ/"), F.col("s_suppkey").cast("string")).alias("station_no"), F.when(F.col("s_suppkey") % 3 == 0, "accepted_exact").otherwise("rejected").alias("decision"))
-    right = t("supplier").select("s_suppkey", "s_name", F.col("s_suppkey").cast("string").alias("key"))
-    return left.where(F.col("decision").startswith("accepted_")).join(right, clean.digits("station_no") == F.col("key")).select("s_suppkey", "s_name")
+    right = t("station").select(F.col("point_id").alias("s_suppkey"), "s_name", "x", "y", F.col("point_id").cast("string").alias("key"))
+    return joins.accepted_matches(left, right, clean.digits("station_no"), "key", bounds={"x": (0, 40000), "y": (0, 40000)}).select("s_suppkey", "s_name")
 
 
 @query("j12_id_membership", "WITH a AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), b AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F') SELECT count(*) FILTER (WHERE a.k IS NOT NULL AND b.k IS NOT NULL) AS common, count(*) FILTER (WHERE b.k IS NULL) AS only_left, count(*) FILTER (WHERE a.k IS NULL) AS only_right FROM a FULL JOIN b ON a.k = b.k")
@@ -127,14 +127,12 @@ def _(t):
 
 @query("j14_union_with_provenance", "SELECT point_id, x, y, 'registry' AS source, capacity FROM $station UNION ALL SELECT point_id, x, y, 'map', NULL FROM $poi")
 def _(t):
-    return t("station").select("point_id", "x", "y", "capacity", F.lit("registry").alias("source")).unionByName(t("poi").select("point_id", "x", "y", F.lit("map").alias("source")), allowMissingColumns=True).select("point_id", "x", "y", "source", "capacity")
+    return joins.with_provenance({"registry": t("station").select("point_id", "x", "y", "capacity"), "map": t("poi").select("point_id", "x", "y")}).select("point_id", "x", "y", "source", "capacity")
 
 
 @query("j16_recovery_check", "SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS found, b.k IS NOT NULL AS expected FROM (SELECT DISTINCT l_partkey AS k FROM lineitem) a FULL JOIN (SELECT p_partkey AS k FROM part) b ON a.k = b.k")
 def _(t):
-    a = t("lineitem").select(F.col("l_partkey").alias("k")).distinct().withColumn("found", F.lit(True))
-    b = t("part").select(F.col("p_partkey").alias("k")).withColumn("expected", F.lit(True))
-    return a.join(b, "k", "full_outer").select("k", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("expected", F.lit(False)).alias("expected"))
+    return joins.recovery(t("lineitem").select(F.col("l_partkey").alias("k")), t("part").select(F.col("p_partkey").alias("k")), "k")
 
 
 @query("j17_attach_context", "SELECT grid_id, x, y, c_acctbal FROM $candidate JOIN customer ON c_custkey = CAST(substr(grid_id, 3) AS BIGINT)")
@@ -275,6 +273,14 @@ def _(t):
     return t("road").select("road_id", F.round(geo.to_segment(20000, 20000, "x1", "y1", "x2", "y2"), 6).alias("d"))
 
 
+@query("g2_polyline_distance", "WITH s AS (SELECT * FROM $road), t AS (SELECT *, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 + 100 AS my FROM s), e AS (SELECT road_id, x1 AS ax, y1 AS ay, mx AS bx, my AS by_ FROM t UNION ALL SELECT road_id, mx, my, x2, y2 FROM t), f AS (SELECT *, CASE WHEN ax = bx AND ay = by_ THEN 0.0 ELSE greatest(0.0, least(1.0, ((20000 - ax) * (bx - ax) + (20000 - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) END AS u FROM e) SELECT road_id, round(min(sqrt((20000 - ax - u * (bx - ax)) * (20000 - ax - u * (bx - ax)) + (20000 - ay - u * (by_ - ay)) * (20000 - ay - u * (by_ - ay)))), 6) AS d FROM f GROUP BY road_id")
+def _(t):
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    c = F.col
+    bent = F.array(p(c("x1"), c("y1")), p((c("x1") + c("x2")) / 2, (c("y1") + c("y2")) / 2 + 100), p(c("x2"), c("y2")))
+    return t("road").select("road_id", F.round(geo.to_polyline(F.lit(20000.0), F.lit(20000.0), bent), 6).alias("d"))
+
+
 @query("g3_clip_segment", """SELECT road_id, round(greatest(0.0, least(1.0, bx, by_) - greatest(0.0, ax, ay)) * sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 6) AS inside_m FROM (SELECT *,
   CASE WHEN x1 = x2 THEN CASE WHEN x1 BETWEEN 10000 AND 30000 THEN 0.0 ELSE 2.0 END ELSE least((10000 - x1) / (x2 - x1), (30000 - x1) / (x2 - x1)) END AS ax, CASE WHEN x1 = x2 THEN CASE WHEN x1 BETWEEN 10000 AND 30000 THEN 1.0 ELSE -1.0 END ELSE greatest((10000 - x1) / (x2 - x1), (30000 - x1) / (x2 - x1)) END AS bx,
   CASE WHEN y1 = y2 THEN CASE WHEN y1 BETWEEN 10000 AND 30000 THEN 0.0 ELSE 2.0 END ELSE least((10000 - y1) / (y2 - y1), (30000 - y1) / (y2 - y1)) END AS ay, CASE WHEN y1 = y2 THEN CASE WHEN y1 BETWEEN 10000 AND 30000 THEN 1.0 ELSE -1.0 END ELSE greatest((10000 - y1) / (y2 - y1), (30000 - y1) / (y2 - y1)) END AS by_ FROM $road)""")

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteselect.functions import clean
-from siteselect.operators.checks import require
+from siteselect.operators.checks import enforce, repeated, report, require
 from siteselect.operators.features import first_rows, forward_fill
 
 OVERPASS = "elements array<struct<type: string, id: bigint, lat: double, lon: double, center: struct<lat: double, lon: double>, tags: map<string, string>>>"
-BOUNDARY = "features array<struct<geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+BOUNDARY = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
 
 
 def attribute_table(spark: SparkSession, path: str, schema: str, required: Sequence[str] = ("grid_id",)) -> DataFrame:
@@ -21,16 +21,31 @@ def attribute_table(spark: SparkSession, path: str, schema: str, required: Seque
     return require(df, required)
 
 
-def spatial_table(spark: SparkSession, path: str, required: Sequence[str] = ("grid_id", "x0", "y0", "x1", "y1"), crs: str | None = None, crs_col: str = "crs") -> DataFrame:
-    """A Parquet layer; with crs, rows of another reference system raise when read."""
+def spatial_table(spark: SparkSession, path: str, required: Sequence[str] = ("grid_id", "x0", "y0", "x1", "y1"), crs: str | None = None, crs_col: str = "crs", id_col: str = "grid_id", cell_size: float | None = None) -> DataFrame:
+    """A Parquet layer of boxes. Raises for rows of another reference system, null or repeated ids, boxes that are not finite or have no area, and, with
+    cell_size, cells of another size."""
     df = require(spark.read.parquet(path), [*required, *([crs_col] if crs else [])])
-    return df.withColumn(crs_col, F.when(F.col(crs_col) == crs, F.col(crs_col)).otherwise(F.raise_error(F.lit(f"not in {crs}")).cast("string"))) if crs else df
+    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    rules = {"invalid box": ~F.coalesce((width > 0) & (height > 0) & (F.abs(width) + F.abs(height) < float("inf")), F.lit(False)), f"{id_col} is missing": F.col(id_col).isNull()}
+    if crs:
+        rules[f"not in {crs}"] = ~F.col(crs_col).eqNullSafe(crs)
+    if cell_size is not None:
+        rules[f"cell is not of {cell_size:g}"] = (F.abs(width - cell_size) > 1e-6) | (F.abs(height - cell_size) > 1e-6)
+    enforce(report(df, rules))
+    if not repeated(df, id_col).isEmpty():
+        raise ValueError(f"repeated {id_col}")
+    return df
 
 
 def boundary(spark: SparkSession, path: str) -> DataFrame:
-    """(ring array<struct<x, y>>): outer rings of a GeoJSON file, without the closing point."""
-    rings = spark.read.schema(BOUNDARY).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select(F.col("f.geometry.coordinates")[0].alias("r"))
-    return rings.select(F.transform(F.slice("r", F.lit(1), F.size("r") - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    """(part, ring_no, hole, ring array<struct<x, y>>): the rings of a GeoJSON file's polygons and multipolygons, without closing points; ring 0 of a part is its outline,
+    the others are holes."""
+    read = spark.read.schema(BOUNDARY).option("multiLine", True).json(path).select(F.explode("features.geometry").alias("g"))
+    rings = "array<array<array<double>>>"
+    parts = F.when(F.col("g.type") == "Polygon", F.array(F.from_json("g.coordinates", rings))).when(F.col("g.type") == "MultiPolygon", F.from_json("g.coordinates", f"array<{rings}>"))
+    each = read.select(parts.alias("parts")).select(F.posexplode("parts").alias("part", "rings")).select("part", F.posexplode("rings").alias("ring_no", "r"))
+    ring = F.transform(F.slice("r", F.lit(1), F.size("r") - 1), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return each.select("part", "ring_no", (F.col("ring_no") > 0).alias("hole"), ring.alias("ring"))
 
 
 def elements(payloads: DataFrame) -> DataFrame:

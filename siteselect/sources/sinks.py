@@ -7,7 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CANDIDATE = "grid_id selection_rank longitude latitude suitability_score suitability_rank priority_band feasibility_score need_score models_top_20".split()
+# The columns of the exported list, in the order and by the names that its readers expect.
+CANDIDATE = (
+    "selection_rank", "grid_id", "longitude", "latitude", "priority_band", "suitability_score", "suitability_rank", "feasibility", "need", "accessibility", "parking", "infrastructure_gap", "technology_gap",
+    "ml_consensus_percentile", "ml_logistic_percentile", "ml_random_forest_percentile", "ml_hgb_percentile", "ml_model_spread", "models_top_20pct_count", "model_disagreement", "nearest_selected_grid_id",
+    "nearest_selected_candidate_m",
+)
+BOM = "\ufeff"
 
 
 def feature_csv(df: DataFrame, path: str, id_col: str = "grid_id") -> None:
@@ -33,13 +39,19 @@ def registry_documents(stations: DataFrame, sockets: DataFrame, key: str = "stat
 
 
 def candidate_struct() -> Column:
+    """A candidate of the decision document, from the columns of CANDIDATE and the further ones named here."""
     c = F.col
     return F.struct(
         c("grid_id"), c("selection_rank"),
         F.struct(F.round("longitude", 7).alias("longitude"), F.round("latitude", 7).alias("latitude")).alias("location"),
-        F.struct(c("suitability_score").alias("score"), c("suitability_rank").alias("rank"), c("priority_band"), c("feasibility_score").alias("feasibility"), c("need_score").alias("need")).alias("suitability"),
-        F.struct(c("nearest_id").alias("nearest_selected_grid_id"), c("nearest_m").alias("nearest_selected_candidate_m")).alias("spatial_diversity"),
-        F.struct(c("models_top_20").alias("models_top_20pct_count"), c("support_label"), (c("models_top_20") < 3).alias("has_model_disagreement")).alias("ml_support"),
+        F.struct(c("suitability_score").alias("score"), c("suitability_rank").alias("rank"), c("suitability_percentile").alias("percentile"), c("priority_band"), c("feasibility"), c("need"), c("accessibility"), c("parking"), c("infrastructure_gap"), c("technology_gap"), c("score_explanation").alias("explanation")).alias("suitability"),
+        F.struct(c("nearest_selected_grid_id"), c("nearest_selected_candidate_m")).alias("spatial_diversity"),
+        F.struct(
+            F.lit("fold_normalized_spatial_oof_percentile").alias("method"), c("ml_logistic_percentile").alias("logistic_regression_percentile"), c("ml_random_forest_percentile").alias("random_forest_percentile"),
+            c("ml_hgb_percentile").alias("hist_gradient_boosting_percentile"), c("ml_consensus_percentile").alias("consensus_percentile"), c("ml_consensus_rank").alias("consensus_rank"), c("ml_min_percentile").alias("minimum_model_percentile"),
+            c("ml_max_percentile").alias("maximum_model_percentile"), c("ml_model_spread").alias("model_percentile_spread"), c("models_top_20pct_count"), c("models_top_10pct_count"),
+            (c("models_top_20pct_count") >= 2).alias("at_least_two_models_top_20pct"), (c("models_top_20pct_count") == 3).alias("all_models_top_20pct"), c("support_label"), c("model_disagreement").alias("has_model_disagreement"),
+        ).alias("ml_support"),
     )
 
 
@@ -51,14 +63,25 @@ def decision_document(shortlist: DataFrame, study_area: str, spacing_m: int, gen
     return listed.select(F.to_json(header, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def _quoted(c: str) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def candidate_csv_rows(candidates: DataFrame, columns: Sequence[str] = CANDIDATE) -> DataFrame:
-    """(value): each candidate as a line of quoted fields; quotes are doubled, null is empty."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-    return candidates.select(F.concat_ws(",", *[quoted(c) for c in columns]).alias("value"))
+    """(value): each candidate as a line of quoted fields; quotes are doubled, null is empty. The header line is `candidate_csv_header`."""
+    return candidates.select(F.concat_ws(",", *[_quoted(c) for c in columns]).alias("value"))
+
+
+def candidate_csv_header(columns: Sequence[str] = CANDIDATE) -> str:
+    """The first line of the file, with the byte order mark that spreadsheets look for."""
+    return BOM + ",".join(f'"{c}"' for c in columns)
 
 
 def candidate_csv(candidates: DataFrame, path: str, columns: Sequence[str] = CANDIDATE) -> None:
-    candidates.select(*columns).write.csv(path, header=True, quoteAll=True, escape='"', nullValue="", emptyValue="", mode="overwrite")
+    """One text file of a shortlist, which has a few dozen rows: the marked header, then the rows by selection_rank, which candidates must have."""
+    rows = candidates.select(F.concat_ws(",", *[_quoted(c) for c in columns]).alias("value"), F.col("selection_rank").cast("long").alias("at"))
+    head = candidates.sparkSession.createDataFrame([(candidate_csv_header(columns), -1)], "value string, at long")
+    head.unionByName(rows).orderBy("at").select("value").coalesce(1).write.text(path, compression="none")
 
 
 def fold_outputs(rows: DataFrame, blocks: DataFrame, path: str) -> None:
