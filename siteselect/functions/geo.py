@@ -136,7 +136,7 @@ def row_col(x, y, size: float, left: float, top: float) -> tuple[Column, Column]
 _A, _FLAT, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = _FLAT / (2 - _FLAT)
 _R = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
 _BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
 _LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
 _E = math.sqrt(_FLAT * (2 - _FLAT))

@@ -210,19 +210,30 @@ def _(t):
     return r.select(F.round("before", 2).alias("before"), F.round("after", 2).alias("after"), (F.abs("relative_percent") < 1e-6).alias("conserved"))
 
 
-@query("r1_square_grid")
+def outlined(table: str, key: str, x: str, y: str) -> str:
+    """SQL of points with `inside` (or on the edge of OUTLINE) and their distance to its edges."""
+    edges = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(OUTLINE, [*OUTLINE[1:], OUTLINE[0]], strict=True))
+    u = "greatest(0.0, least(1.0, ((px - ex1) * (ex2 - ex1) + (py - ey1) * (ey2 - ey1)) / ((ex2 - ex1) * (ex2 - ex1) + (ey2 - ey1) * (ey2 - ey1))))"
+    return f"""edge(ex1, ey1, ex2, ey2) AS (VALUES {edges}), tried AS (SELECT *, (ey1 > py) <> (ey2 > py) AND px < (ex2 - ex1) * (py - ey1) / nullif(ey2 - ey1, 0) + ex1 AS crosses, {u} AS u FROM (SELECT {key} AS k, {x} AS px, {y} AS py FROM {table}), edge),
+outlined AS (SELECT k, min(sqrt((px - ex1 - u * (ex2 - ex1)) * (px - ex1 - u * (ex2 - ex1)) + (py - ey1 - u * (ey2 - ey1)) * (py - ey1 - u * (ey2 - ey1)))) AS d, count(*) FILTER (WHERE crosses) % 2 = 1 AS odd FROM tried GROUP BY k)"""
+
+
+CELLS = "b AS (SELECT CAST(floor(min(x) / 500) AS BIGINT) AS cx0, CAST(floor(min(y) / 500) AS BIGINT) AS cy0, CAST(ceil(max(x) / 500) AS BIGINT) AS cx1, CAST(ceil(max(y) / 500) AS BIGINT) AS cy1 FROM $poi), cells AS (SELECT cx, cy, cx * 1000000 + cy AS k FROM (SELECT unnest(range(cx0, cx1)) AS cx FROM b), (SELECT unnest(range(cy0, cy1)) AS cy FROM b))"
+
+
+@query("r1_square_grid", f"WITH {CELLS}, {outlined('cells', 'k', 'cx * 500 + 250.0', 'cy * 500 + 250.0')} SELECT concat('G_', lpad(CAST(row_number() OVER (ORDER BY cx, cy) AS VARCHAR), 6, '0')) AS grid_id, cx, cy, cx * 500.0::DOUBLE AS x0, cy * 500.0::DOUBLE AS y0, cx * 500.0::DOUBLE + 500 AS x1, cy * 500.0::DOUBLE + 500 AS y1, 250000.0::DOUBLE AS cell_area_m2 FROM cells JOIN outlined USING (k) WHERE odd OR d < 1e-9")
 def _(t):
     b = grid.bounds(t("poi")).first()
     return grid.square_grid(t.spark, b["min_x"], b["min_y"], b["max_x"], b["max_y"], 500.0, OUTLINE)
 
 
-@query("g4_point_in_polygon")
+@query("g4_point_in_polygon", f"WITH {outlined('$poi', 'point_id', 'x', 'y')} SELECT k AS point_id, odd OR d < 1e-9 AS inside FROM outlined")
 def _(t):
     outline = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in OUTLINE])
     return t("poi").select("point_id", geo.in_ring("x", "y", outline).alias("inside"))
 
 
-@query("g6_buffer_filter")
+@query("g6_buffer_filter", f"WITH {outlined('$poi', 'point_id', 'x', 'y')} SELECT k AS point_id, round(CASE WHEN odd THEN 0 ELSE d END, 3) AS distance FROM outlined WHERE odd OR d <= 500")
 def _(t):
     outline = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in OUTLINE])
     return t("poi").select("point_id", F.round(geo.to_ring("x", "y", outline), 3).alias("distance")).where("distance <= 500")
@@ -324,7 +335,16 @@ def _(t):
     return t("poi").select("point_id", r.alias("r"), c.alias("c"))
 
 
-@query("c1_to_utm")
+# the transverse Mercator series of the ellipsoid by third flattening, to the fourth order, written out
+N3 = "(1 / 298.257223563 / (2 - 1 / 298.257223563))"
+UTM_SQL = f"""WITH k AS (SELECT {N3} AS n), g AS (SELECT point_id, radians(39 + y / 40000) AS phi, radians(32 + x / 40000 - 33) AS lam, k.*, 6378137.0 / (1 + n) * (1 + n * n / 4 + power(n, 4) / 64) AS r FROM $poi, k),
+t AS (SELECT *, sinh(atanh(sin(phi)) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * sin(phi))) AS tau FROM g), u AS (SELECT *, atan2(tau, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tau * tau)) AS eta FROM t),
+s AS (SELECT *, n / 2 - 2.0 * n * n / 3 + 5.0 * n * n * n / 16 + 41.0 * power(n, 4) / 180 AS a1, 13.0 * n * n / 48 - 3.0 * n * n * n / 5 + 557.0 * power(n, 4) / 1440 AS a2, 61.0 * n * n * n / 240 - 103.0 * power(n, 4) / 140 AS a3, 49561.0 * power(n, 4) / 161280 AS a4 FROM u)
+SELECT point_id, round(500000 + 0.9996 * r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 4) AS easting,
+  round(0.9996 * r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 4) AS northing FROM s"""
+
+
+@query("c1_to_utm", UTM_SQL)
 def _(t):
     e, n = geo.to_utm(32 + F.col("x") / 40000, 39 + F.col("y") / 40000)
     return t("poi").select("point_id", F.round(e, 4).alias("easting"), F.round(n, 4).alias("northing"))

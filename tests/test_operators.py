@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siteselect.functions import clean, geo
 from siteselect.operators import checks, features, joins, ml, ranks, scoring, selection, stats
+from siteselect.sources import readers
 
 
 def column(df, name):
@@ -116,6 +117,24 @@ def test_projection_on_the_central_meridian_and_back(spark):
     assert abs(row["e"] - 500000) < 1e-6 and abs(row["n"] - 4427757.219) < 1e-3
 
 
+def test_polylines_layers_and_keys(spark, tmp_path):
+    p = lambda *xy: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in xy])
+    got = spark.range(1).select(geo.to_polyline(F.lit(0.0), F.lit(5.0), p((3, 0), (3, 9), (9, 9))).alias("d"), geo.to_polyline(F.lit(0.0), F.lit(4.0), p((3, 0))).alias("e")).first()
+    assert tuple(got) == (3.0, 5.0)
+    cells = [("a", 0.0, 0.0, 5.0, 5.0), ("b", 5.0, 0.0, 10.0, 5.0)]
+    for n, (bad, size) in enumerate(((("a", 0.0, 0.0, 5.0, 5.0), None), (("c", 1.0, 0.0, 0.0, 5.0), None), ((None, 0.0, 5.0, 5.0, 10.0), None), (("c", 0.0, 5.0, 6.0, 10.0), 5.0))):
+        spark.createDataFrame([*cells, bad], "grid_id string, x0 double, y0 double, x1 double, y1 double").write.parquet(f"{tmp_path}/{n}")
+        with pytest.raises(ValueError):
+            readers.spatial_table(spark, f"{tmp_path}/{n}", cell_size=size)
+    one, two = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(1, "p"), (1, "q")], "k int, w string")
+    assert joins.many_to_one(two, one, "k").count() == 2
+    with pytest.raises(Exception, match="repeated k"):
+        joins.many_to_one(one, two, "k").collect()
+    with pytest.raises(Exception, match="repeated s"):
+        clean.stations(spark.createDataFrame([(" 1", "5", "1"), ("1 ", "-5", "0")], "s string, c string, f string"), "s", "c", ["f"]).collect()
+    assert checks.partition(one, one.where("k = 1"), one.where("k = 2"), "k").first().asDict() == {"first": 1, "second": 1, "in_both": 0, "lost": 0, "foreign": 0}
+
+
 def test_one_to_one_and_strict_booleans_raise(spark):
     a = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(Exception, match="repeated k"):
