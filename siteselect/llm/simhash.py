@@ -33,15 +33,15 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long) for each row of docs. Null and empty texts have fingerprint 0; repeated rows stay repeated."""
+    """(id, row, fp long) for each row of docs; row is a hash of the text. Null and empty texts have fingerprint 0; repeated rows stay repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [fingerprint(t, width) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["id", "row", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), run, f"id {kind}, fp long")
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text")), run, f"id {kind}, row long, fp long")
 
 
 def _ball(half: str) -> F.Column:
@@ -70,7 +70,7 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """(id, fp, component): component is the smallest id reachable by links, the row's own included.
+    """(id, row, fp, root, component): root names the group by a fingerprint of it, component is the smallest id reachable by links, the row's own included.
 
     Copies share a fingerprint and meet in one aggregate, so the join sees each fingerprint once, however many rows
     have it. Rows with a null id are grouped as others are; a group of null ids alone has a null component.
@@ -80,16 +80,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     found = connected(links(classes.select("fp"), distance)).withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = classes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named = rooted.join(lowest, "root").select("fp", "component")
+    named = rooted.join(lowest, "root").select("fp", "root", "component")
     return fps.join(named, "fp")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest id stays (of repeated ids, one row).
+    """docs without near-duplicates: of each group the row with the smallest id stays (of repeated ids that with the smaller hash of the text, of equal rows one).
 
     All columns of docs are kept. Rows without words form one group, as fingerprint 0 does. Rows with a null id take no part and stay.
     """
-    held = groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, distance)
-    stay = held.where(F.col("id") == F.col("component")).select(F.col("id").alias("_simhash_id")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["_simhash_id"], "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull())
+    held = groups(named, id_col, text_col, width, distance)
+    first = held.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("first.id").alias("_simhash_id"), F.col("first.row").alias("_simhash_row"))
+    stay = keep(first, "simhash-stays")
+    rows = named.withColumn("_row", F.xxhash64(text_col))
+    kept = rows.join(stay, (rows[id_col] == stay["_simhash_id"]) & (rows["_row"] == stay["_simhash_row"]), "left_semi").dropDuplicates([id_col, "_row"]).drop("_row")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

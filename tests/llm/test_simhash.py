@@ -75,3 +75,9 @@ def test_long_chain_is_one_component(spark):
 
     frame = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {r["component"] for r in connected(frame).collect()} == {0}
+
+
+def test_different_texts_of_one_id_both_stay(spark, docs):
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "alpha beta gamma delta epsilon"]
+    kept = [r["text"] for r in simhash.deduplicate(docs(texts, ids=[1, 1, 2])).collect()]
+    assert sorted(kept) == sorted(texts[:2])
