@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -14,6 +16,8 @@ TOKEN = r"[^ \t\r\n]"
 NUM, DEN = 4, 5
 #: Buckets of the token counts that order tokens by rarity, and bits of the sets of texts and lines that verification reads.
 BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
+#: Slices of the prefix tokens that the pair join takes one after the other, so that its shuffle needs so much less disk at a time.
+SLICES = 2
 
 
 def _plain(text: Column) -> Column:
@@ -60,7 +64,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, line_no, cls, cls2, n, bits0, bits1, prefix): each line with a token; its class, two hashes of its token set; and the tokens of its prefix.
 
     A line and any match of it share a token among their prefixes, the n - ceil(0.8 n) + 1 rarest tokens of each. Prefix tokens
-    are kept as 32 bits; two that collide only add a candidate. bits0 and bits1 are 128 parities of the token hashes: a token that only
+    are kept as 31 bits; two that collide only add a candidate. bits0 and bits1 are 128 parities of the token hashes: a token that only
     one of two lines has changes one of them, so they bound the difference of the sets from below.
     """
     digits = _rarity(docs, text_col)
@@ -70,7 +74,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
     half = lambda k: F.aggregate("sig", F.lit(0).cast("long"), lambda a, t: F.when(t.bitwiseAND(64) == 64 * k, flip(a, t)).otherwise(a)).alias(f"bits{k}")
     named = (F.xxhash64("sig").alias("cls"), F.xxhash64(F.lit(1), F.col("sig")).alias("cls2"))
-    return keep(signed.select("id", "row", "line_no", *named, "n", half(0), half(1), F.transform(prefix, lambda t: F.hash(t)).alias("prefix")), "lines")
+    return keep(signed.select("id", "row", "line_no", *named, "n", half(0), half(1), F.transform(prefix, lambda t: t.bitwiseAND((1 << 31) - 1).cast("int")).alias("prefix")), "lines")
 
 
 def _classes(lines: DataFrame) -> DataFrame:
@@ -135,8 +139,14 @@ def _candidates(classes: DataFrame, done: DataFrame) -> DataFrame:
 
     The longer set asks with its whole prefix, the shorter one stands under the part that longer matches must share.
     """
-    flagged = classes.join(done.select("num", F.lit(True).alias("done")), "num", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    posts = _posts(flagged)
+    flagged = classes.select("num", "ord", "n", "bits0", "bits1", "prefix").join(done.select("num", F.lit(True).alias("done")), "num", "left")
+    flagged = keep(flagged.withColumn("done", F.coalesce("done", F.lit(False))), "flagged")
+    slices = [keep(_pairs(_posts(flagged).where(F.pmod("key", F.lit(SLICES)) == n)), "candidates") for n in range(SLICES)]
+    return functools.reduce(DataFrame.union, slices).distinct()
+
+
+def _pairs(posts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of classes among these postings."""
     a, b = posts.alias("a"), _short(posts).alias("b")
     na, nb = _size("a."), _size("b.")
     rest = F.least(na - _place("a."), nb - _place("b."))  # places count from 0
@@ -144,7 +154,7 @@ def _candidates(classes: DataFrame, done: DataFrame) -> DataFrame:
     later_done = F.when(F.col("a.ord") > F.col("b.ord"), _done("a.")).when(F.col("a.ord") < F.col("b.ord"), _done("b.")).otherwise(_done("a.") & _done("b."))
     fits = (rest >= _shared(na, nb)) & (_spare("a.", "b.") >= 0)
     on = (F.col("a.key") == F.col("b.key")) & longer & (nb * DEN >= na * NUM) & ~later_done & fits
-    return keep(a.join(b, on).select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct(), "candidates")
+    return a.join(b, on).select(F.col("a.num").alias("a"), F.col("b.num").alias("b")).distinct()
 
 
 def _bit_set(values: DataFrame) -> DataFrame:
