@@ -18,7 +18,8 @@ def road_features(segments: DataFrame, grid: DataFrame, size: float = 500.0) ->
     """One row for each cell: road length and distinct segments, the same for main roads, and km of road by km2; 0 where there is none."""
     met = joins.lines_in_cells(segments, grid, size)
     main = F.col("is_main")
-    sums = met.groupBy("grid_id").agg(F.sum("length_m").alias("road_length_m"), F.countDistinct("road_id").alias("road_segment_count"), F.sum(F.when(main, F.col("length_m"))).alias("main_road_length_m"), F.countDistinct(F.when(main, F.col("road_id"))).alias("main_road_segment_count"))
+    each = met.groupBy("grid_id", "road_id").agg(F.sum("length_m").alias("all_m"), F.sum(F.when(main, F.col("length_m"))).alias("main_m"), F.max(F.coalesce(main, F.lit(False)).cast("int")).alias("main"))
+    sums = each.groupBy("grid_id").agg(F.sum("all_m").alias("road_length_m"), F.count("road_id").alias("road_segment_count"), F.sum("main_m").alias("main_road_length_m"), F.sum(F.when(F.col("road_id").isNotNull(), F.col("main"))).alias("main_road_segment_count"))
     out = grid.select("grid_id", "cell_area_m2").join(sums, "grid_id", "left")
     out = out.select("grid_id", *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("road_length_m", "main_road_length_m")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("road_segment_count", "main_road_segment_count")], "cell_area_m2")
     return out.withColumn("road_density_km_per_km2", F.round(F.col("road_length_m") / 1000 / (F.col("cell_area_m2") / 1e6), 4)).drop("cell_area_m2")
@@ -97,8 +98,10 @@ def radius_counts(centres: DataFrame, points: DataFrame, counts: Mapping[str, tu
     """One pass for all radii and flags: counts are {name: (radius, condition on the point or None)}; distinct points within the radius."""
     widest = max(r for r, _ in counts.values())
     met = joins.within_radius(centres, points, widest, cols)
-    hit = lambda r, c: (F.col("d2") <= r * r) if c is None else ((F.col("d2") <= r * r) & c)
-    sums = met.groupBy("centre_id").agg(*[F.countDistinct(F.when(hit(r, c), F.col("point_id"))).alias(k) for k, (r, c) in counts.items()])
+    hit = lambda r, c: (F.col("d2") <= r * r) if c is None else ((F.col("d2") <= r * r) & F.coalesce(c, F.lit(False)))
+    # each point once for each centre, whatever it counts for: distinct counts side by side would copy every pair for each of them
+    each = met.where("point_id is not null").groupBy("centre_id", "point_id").agg(F.count("*").alias("_times"), *[F.max(hit(r, c).cast("int")).alias(k) for k, (r, c) in counts.items()])
+    sums = each.groupBy("centre_id").agg(*[F.sum(k).alias(k) for k in counts])
     return centres.select("centre_id").join(sums, "centre_id", "left").select("centre_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in counts])
 
 
@@ -114,7 +117,8 @@ def charging_features(grid: DataFrame, stations: DataFrame, size: float = 500.0)
 
 def local_categories(points: DataFrame, grid: DataFrame, flags: Sequence[str], size: float = 500.0) -> DataFrame:
     met = joins.point_in_cell(points.select("point_id", "x", "y", *flags), grid, size)
-    sums = met.groupBy("grid_id").agg(F.countDistinct("point_id").alias("poi_count"), *[F.countDistinct(F.when(F.col(f), F.col("point_id"))).alias(f"{f}_count") for f in flags])
+    each = met.where("point_id is not null").groupBy("grid_id", "point_id").agg(F.count("*").alias("_times"), *[F.max(F.coalesce(F.col(f), F.lit(False)).cast("int")).alias(f"{f}_count") for f in flags])
+    sums = each.groupBy("grid_id").agg(F.count("point_id").alias("poi_count"), *[F.sum(f"{f}_count").alias(f"{f}_count") for f in flags])
     names = ["poi_count", *[f"{f}_count" for f in flags]]
     return grid.select("grid_id").join(sums, "grid_id", "left").select("grid_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 

@@ -178,7 +178,7 @@ a AS (SELECT g.grid_id, count(point_id) AS poi_count, {", ".join(f"count(*) FILT
 b AS (SELECT c.grid_id, count(p.point_id) FILTER (WHERE d2 <= 1000000) AS poi_1000m, count(p.point_id) AS poi_2000m, count(*) FILTER (WHERE d2 <= 1000000 AND is_retail) AS retail_1000m FROM centre c LEFT JOIN LATERAL (SELECT *, (c.x - q.x) * (c.x - q.x) + (c.y - q.y) * (c.y - q.y) AS d2 FROM $poi q WHERE (c.x - q.x) * (c.x - q.x) + (c.y - q.y) * (c.y - q.y) <= 4000000) p ON true GROUP BY c.grid_id)
 SELECT a.*, poi_1000m, poi_2000m, retail_1000m FROM a JOIN b USING (grid_id)""")
 def _(t):
-    local = features.local_categories(t("poi"), t("grid"), FLAGS)
+    local = features.local_categories(t("poi"), t("grid"), [])
     around = features.radius_counts(centres(t), t("poi").select("point_id", "x", "y", "is_retail"), {"poi_1000m": (1000.0, None), "poi_2000m": (2000.0, None), "retail_1000m": (1000.0, F.col("is_retail"))}, ["is_retail"])
     return local.join(around.withColumnRenamed("centre_id", "grid_id"), "grid_id")
 
@@ -359,7 +359,7 @@ def _(t):
 
 def flagship(t: Tables):
     """Activity points joined to the grid, counted in the cell and in 1 km, scored by percentiles; the twenty best cells."""
-    local = features.local_categories(t("poi"), t("grid"), FLAGS)
+    local = features.local_categories(t("poi"), t("grid"), [])
     around = features.radius_counts(centres(t), t("poi").select("point_id", "x", "y"), {"poi_1000m": (1000.0, None)})
     both = keep(local.join(around.withColumnRenamed("centre_id", "grid_id"), "grid_id"))
     scored = percentile_scores(both, {"local_score": ("poi_count", "positive"), "around_score": ("poi_1000m", "high")})
