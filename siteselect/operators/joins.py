@@ -31,17 +31,21 @@ def point_in_cell(points: DataFrame, grid: DataFrame, size: float = 500.0) -> Da
     return inside.select(*points.columns, "grid_id").unionByName(again.select(*points.columns, "grid_id"))
 
 
-def lines_in_cells(segments: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
-    """segments (x1, y1, x2, y2) with each cell that they cross and the length inside (above 0). Cells are closed: a segment on a shared edge counts in both."""
+def _crossed(segments: DataFrame, size: float) -> DataFrame:
+    """segments with each cell (cx, cy) that they may cross; of each column of cells those that the segment's part in it spans, and one more on either side, as
+    the cut is rounded."""
     span = lambda a, b: F.sequence(F.ceil(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size))
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    # of each column of cells only those are asked that the segment's part in it spans, and one more on either side, as the cut is rounded
     cut = lambda x: y1 + (F.greatest(F.least(x, F.greatest(x1, x2)), F.least(x1, x2)) - x1) * F.when(x2 == x1, 0.0).otherwise((y2 - y1) / (x2 - x1))
     low, high = cut(F.col("cx") * size), cut((F.col("cx") + 1) * size)
     part = lambda a, b: F.sequence(F.greatest(F.ceil(F.least(y1, y2) / size) - 1, F.ceil(F.least(a, b) / size) - 2), F.least(F.floor(F.greatest(y1, y2) / size), F.floor(F.greatest(a, b) / size) + 1))
     ys = F.when(x1 == x2, span("y1", "y2")).otherwise(part(low, high))
-    keyed = segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(ys))
-    met = keyed.join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
+    return segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(ys))
+
+
+def lines_in_cells(segments: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
+    """segments (x1, y1, x2, y2) with each cell that they cross and the length inside (above 0). Cells are closed: a segment on a shared edge counts in both."""
+    met = _crossed(segments, size).join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
     length = geo.clipped_length("x1", "y1", "x2", "y2", F.col("cx") * size, F.col("cy") * size, (F.col("cx") + 1) * size, (F.col("cy") + 1) * size)
     return met.withColumn("length_m", length).where("length_m > 0")
 
@@ -94,13 +98,27 @@ def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, r
     return centres.select("centre_id").join(found, "centre_id", "left")
 
 
-def nearest_small(centres: DataFrame, objects: DataFrame, distance, id_col: str, limit: int = 100_000) -> DataFrame:
-    """(centre_id, id, distance) against a side that is counted first and broadcast only up to `limit` rows; for distances other than point to point."""
-    n = objects.count()
-    if n > limit:
-        raise ValueError(f"{n} objects; use a keyed join beyond {limit}")
-    pairs = centres.join(F.broadcast(objects), F.lit(True)).withColumn("d", distance)
-    return pairs.groupBy("centre_id").agg(F.min(F.struct("d", id_col)).alias("b")).select("centre_id", F.col(f"b.{id_col}").alias(id_col), F.col("b.d").alias("distance"))
+def nearest_line(centres: DataFrame, segments: DataFrame, start: float = 500.0, rounds: int = 40, digits: int = 6) -> DataFrame:
+    """(centre_id, line_id, distance): the nearest segment (line_id, x1, y1, x2, y2) of each centre, ties at so many digits to the smallest line_id; null without segments.
+
+    A segment stands under the cells that it crosses, a centre asks its own and the eight round it, so that all segments within a cell's side are met. Centres that find none so
+    near go on with cells of twice the side.
+    """
+    if segments.isEmpty():
+        return centres.select("centre_id", F.lit(None).cast(segments.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("distance"))
+    found, open_, size = None, keep(centres.select("centre_id", "x", "y")), start
+    for _ in range(rounds):
+        cx, cy = geo.cell_index("x", "y", size)
+        asks = open_.withColumn("cx", F.explode(F.sequence(cx - 1, cx + 1))).withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1)))
+        met = asks.join(_crossed(segments.select("line_id", "x1", "y1", "x2", "y2"), size), ["cx", "cy"])
+        best = met.groupBy("centre_id").agg(F.min(F.struct(F.round(geo.to_segment("x", "y", "x1", "y1", "x2", "y2"), digits).alias("d"), F.col("line_id"))).alias("b"))
+        done = keep(best.where(F.col("b.d") < size - 10.0**-digits).select("centre_id", F.col("b.line_id").alias("line_id"), F.col("b.d").alias("distance")))
+        found = done if found is None else found.unionByName(done)
+        open_ = keep(open_.join(done.select("centre_id"), "centre_id", "left_anti"))
+        if open_.isEmpty():
+            return found
+        size *= 2
+    raise RuntimeError(f"centres without a nearest line after {rounds} rounds")
 
 
 def one_to_one(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:

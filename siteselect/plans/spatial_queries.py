@@ -62,16 +62,9 @@ d AS (SELECT s.point_id, r.road_id, greatest(0.0, least(1.0, ((s.x - r.x1) * (r.
 e AS (SELECT point_id, road_id, round(sqrt((x - x1 - t * (x2 - x1)) * (x - x1 - t * (x2 - x1)) + (y - y1 - t * (y2 - y1)) * (y - y1 - t * (y2 - y1))), 6) AS distance FROM d)
 SELECT point_id AS centre_id, min(distance) AS distance, arg_min(road_id, (distance, road_id)) AS road_id FROM e GROUP BY point_id""")
 def _(t):
-    # stations grow slowly: they are the counted and broadcast side, and each road segment meets them in place
     stations = t("station").select(F.col("point_id").alias("centre_id"), "x", "y")
-    roads = t("road").where("is_main")
-    n = stations.count()
-    if n > 100_000:
-        raise ValueError("more stations than a broadcast should hold; key both sides by cells first")
-    d = F.round(geo.to_segment("x", "y", "x1", "y1", "x2", "y2"), 6)
-    pairs = roads.join(F.broadcast(stations), F.lit(True))
-    best = pairs.groupBy("centre_id").agg(F.min(F.struct(d.alias("d"), F.col("road_id"))).alias("b"))
-    return best.select("centre_id", F.col("b.d").alias("distance"), F.col("b.road_id").alias("road_id"))
+    near = joins.nearest_line(stations, t("road").where("is_main").withColumnRenamed("road_id", "line_id"))
+    return near.select("centre_id", "distance", F.col("line_id").alias("road_id"))
 
 
 @query("j5_nearest_point", f"WITH {CENTRES}, d AS (SELECT c.grid_id, s.point_id, round(sqrt((c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y)), 4) AS d, (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) AS d2 FROM centre c CROSS JOIN $station s) SELECT grid_id AS centre_id, arg_min(point_id, (d2, point_id)) AS point_id, min(d) AS distance FROM d GROUP BY grid_id")
