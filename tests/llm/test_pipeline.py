@@ -52,3 +52,25 @@ def packing_path():
 def test_stages_are_listed_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "source_mixing", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and languages.ORDER == 4
+
+
+def _through(spark, docs):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = lines.keep(stage(spark, docs, ""), name)
+        assert docs.columns == columns
+    return docs, corpus_pipeline.sequence_packing(spark, docs, "").collect()
+
+
+def test_empty_table_goes_through_all_stages(spark, docs):
+    left, pieces = _through(spark, docs(["a"]).where("doc_id < 0"))
+    assert left.count() == 0 and pieces == []
+
+
+def test_repeated_and_null_ids_go_through_all_stages(spark, docs):
+    rng = random.Random(5)
+    words = ["the", "and", "with", "from", "that", "this", "have", "were", "been", "into"]
+    texts = [" ".join("".join(rng.choices(words, k=2)) for _ in range(30)) for _ in range(40)]
+    left, pieces = _through(spark, docs([*texts, texts[0], None], ids=[None, None, 1, 1, *range(4, 40), 1, None]))
+    kept = {r["text"] for r in left.collect()}
+    assert kept <= set(texts) and {p["doc_id"] for p in pieces} == {r["doc_id"] for r in left.collect()}
