@@ -117,9 +117,9 @@ def _(t):
     return clean.numeric(raw, ["v"]).select("c_custkey", "v", clean.binary("b").alias("target"))
 
 
-@query("t18_padded_ids", "SELECT o_orderkey, concat('ANK_', lpad(CAST(o_orderkey + 1 AS VARCHAR), 7, '0')) AS grid_id FROM orders")
+@query("t18_padded_ids", "SELECT o_orderkey, concat('CELL_', lpad(CAST(o_orderkey + 1 AS VARCHAR), 7, '0')) AS grid_id FROM orders")
 def _(t):
-    return t("orders").select("o_orderkey", clean.padded_id(F.col("o_orderkey") + 1, "ANK_", 7).alias("grid_id"))
+    return t("orders").select("o_orderkey", clean.padded_id(F.col("o_orderkey") + 1, "CELL_", 7).alias("grid_id"))
 
 
 @query("t19_usable_geometries", "SELECT point_id FROM $parking WHERE y1 - y0 > 20")
