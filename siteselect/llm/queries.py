@@ -104,6 +104,27 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import ranges
+
+    return ranges.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnsRenamed({"id": "vec_id", "component": "component_id"})
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import divergence
+
+    return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siteselect.llm import spelling
+
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 OP3 = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -116,8 +137,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 
 def _oracles() -> None:
-    from siteselect.llm import licenses, lines
+    from siteselect.llm import divergence, licenses, lines, ranges
 
+    ORACLES["op11_embedding_near_dedup"] = ranges.ORACLE
+    ORACLES["op12_source_divergence"] = divergence.ORACLE
     ORACLES["op10_line_dedup"] = lines.ORACLE
     ORACLES["op5_license_scan"] = licenses.oracle()
     ORACLES["op3_exact_top_k"] = OP3
