@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from siteselect.llm.common import keep, map_arrow, partitions
 
@@ -136,10 +137,10 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
-_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compare(doc: int | None, text: str, own: bytes, following: str, next_print: bytes, words: WordHashes) -> tuple:
+def _compare(doc: object, text: str, own: bytes, following: str, next_print: bytes, words: WordHashes) -> tuple:
     changed = edited(text, following).encode("utf-8", "replace")
     other = fingerprint(changed, words)
     return (doc, len(text), hashlib.sha256(changed).hexdigest(), own.hex(), other.hex(), likeness(own, other), likeness(own, next_print))
@@ -148,16 +149,18 @@ def _compare(doc: int | None, text: str, own: bytes, following: str, next_print:
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: its fingerprint, that of its edited text (see `edited`, with the next row by descending id, after the last the first), and likenesses.
 
-    Null texts are empty. Rows of equal ids follow each other in the order of their texts; null ids come last. An only row follows itself.
+    Null texts are empty. Ids keep their type. Rows of equal ids follow each other in the order of their texts' xxhash64, then of the texts; null ids come last. An only
+    row follows itself. Texts may be of any length; other columns are not looked at.
 
     Texts are dealt out by range of id once and stand sorted in their partition, so that a row's follower is the next row; only
     each partition's first and last row are joined across partitions, through one small written table.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    ranged = rows.repartitionByRange(partitions(docs), F.col("doc_id").desc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    names = ["kind", "part", *[f.split()[0] for f in _RESULT.split(", ")], "text"]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    result = _RESULT.format(rows.schema["doc_id"].dataType.simpleString())
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(partitions(docs), *order).sortWithinPartitions(*order, "text").withColumn("part", F.spark_partition_id())
+    names = ["kind", "part", *[f.split()[0] for f in result.split(", ")], "text"]
+    kinds = [pa.string(), pa.int32(), to_arrow_type(rows.schema["doc_id"].dataType), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -180,7 +183,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if last is not None:
             yield batch_of([("tail", last[3], last[0], None, None, None, None, None, None, last[1])])
 
-    done = keep(map_arrow(ranged, run, f"kind string, part int, {_RESULT}, text string"), "edits")
+    done = keep(map_arrow(ranged, run, f"kind string, part int, {result}, text string"), "edits")
     ends = done.where("kind <> 'row'").select("kind", "part", "doc_id", "text")
     # one head and one tail for each partition that has rows: the head after a tail is the next partition's, or the first
     parts = sorted(r["part"] for r in ends.where("kind = 'head'").select("part").collect())
@@ -198,4 +201,4 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[2:9], strict=True)], names[2:9])
 
-    return done.where("kind = 'row'").select(*names[2:9]).unionByName(map_arrow(pairs, finish, _RESULT))
+    return done.where("kind = 'row'").select(*names[2:9]).unionByName(map_arrow(pairs, finish, result))

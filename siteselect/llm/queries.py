@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteselect.llm import divergence, languages, licenses, lines, minhash, mixing, packing, quality, ranges, scoring, search, simhash, spelling
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,8 +24,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import simhash
-
     held = simhash.groups(documents(spark, sf_dir).select("doc_id", "text"))
     return held.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
@@ -36,31 +36,23 @@ def _tokenizer() -> str:
 
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import packing
-
     pieces = packing.pack(documents(spark, sf_dir).select("doc_id", "text"), _tokenizer())
     return pieces.withColumnRenamed("id", "doc_id").drop("ids")
 
 
 @query
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import minhash
-
     return minhash.with_edits(documents(spark, sf_dir).select("doc_id", "text"))
 
 
 @query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import mixing
-
     mixed = mixing.mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
 
 
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import languages
-
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     model = languages.fit(docs.where(~languages.held_out()))
     predicted = languages.predict(docs.select("doc_id", "text"), model)
@@ -69,59 +61,43 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import licenses
-
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 @query
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import search
-
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", search.quantised(F.col("embedding")).alias("v"))
     return search.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
 @query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import lines
-
     return lines.report(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import scoring
-
     return scoring.score(documents(spark, sf_dir).select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 @query
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import quality
-
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).withColumnRenamed("id", "doc_id")
 
 
 @query
 def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import ranges
-
     return ranges.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnsRenamed({"id": "vec_id", "component": "component_id"})
 
 
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import divergence
-
     return divergence.audit(documents(spark, sf_dir).select("lang", "source", "text"))
 
 
 @query
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from siteselect.llm import spelling
-
     return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
 
 
@@ -136,14 +112,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
 
 
-def _oracles() -> None:
-    from siteselect.llm import divergence, licenses, lines, ranges
-
-    ORACLES["op11_embedding_near_dedup"] = ranges.ORACLE
-    ORACLES["op12_source_divergence"] = divergence.ORACLE
-    ORACLES["op10_line_dedup"] = lines.ORACLE
-    ORACLES["op5_license_scan"] = licenses.oracle()
-    ORACLES["op3_exact_top_k"] = OP3
-
-
-_oracles()
+ORACLES["op3_exact_top_k"] = OP3
+ORACLES["op5_license_scan"] = licenses.oracle()
+ORACLES["op10_line_dedup"] = lines.ORACLE
+ORACLES["op11_embedding_near_dedup"] = ranges.ORACLE
+ORACLES["op12_source_divergence"] = divergence.ORACLE

@@ -36,8 +36,13 @@ def _matrix(data: bytes, dims: int) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(-1, dims)
 
 
+def _scaled(points: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is from 0.5 to 1: squares neither overflow nor vanish, and nothing is rounded."""
+    return np.ldexp(points, -np.frexp(np.abs(points).max(axis=-1, keepdims=True))[1])
+
+
 def _units(points: np.ndarray) -> np.ndarray:
-    points = points / np.abs(points).max(axis=1, keepdims=True)
+    points = _scaled(points)
     return points / np.sqrt((points * points).sum(axis=1, keepdims=True))
 
 
@@ -46,8 +51,8 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> float:
-    """The cosine from exactly rounded sums."""
-    x, y = x / np.abs(x).max(), y / np.abs(y).max()
+    """The cosine from products of doubles and exactly rounded sums of them."""
+    x, y = _scaled(x), _scaled(y)
     return math.fsum(x * y) / math.sqrt(math.fsum(x * x) * math.fsum(y * y))
 
 

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 
@@ -57,3 +58,16 @@ def test_estimate_is_unbiased_also_for_short_texts():
 def test_fingerprints_table(spark, docs):
     rows = {r["id"]: bytes(r["fingerprint"]) for r in minhash.fingerprints(docs([None, "a b c", "A b  c"])).collect()}
     assert rows[0] == b"" and rows[1] == rows[2] and len(rows[1]) == minhash.BINS * minhash.BITS // 8
+
+
+def test_rows_of_one_id_follow_in_the_stated_order_and_ids_keep_their_type(spark):
+    import xxhash
+
+    texts = [f"text number {i} of some words" for i in range(40)] + ["text number 7 of some words"]
+    rows = [("b", t) for t in texts] + [("a", "first of all"), (None, "none at all")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = minhash.with_edits(frame).collect()
+    signed = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted([r for r in rows if r[0] == "b"], key=lambda r: (signed(r[1]), r[1])) + [("a", "first of all"), (None, "none at all")]
+    want = Counter((i, hashlib.sha256(minhash.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
