@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,13 +27,6 @@ def to_segment(px, py, x1, y1, x2, y2) -> Column:
     return distance(px, py, x1 + t * dx, y1 + t * dy)
 
 
-def to_box(px, py, x0, y0, x1, y1) -> Column:
-    """Distance from a point to an axis-aligned box, 0 inside."""
-    dx = F.greatest(_c(x0) - _c(px), _c(px) - _c(x1), F.lit(0.0))
-    dy = F.greatest(_c(y0) - _c(py), _c(py) - _c(y1), F.lit(0.0))
-    return F.sqrt(dx * dx + dy * dy)
-
-
 def clip(x1, y1, x2, y2, bx0, by0, bx1, by1) -> tuple[Column, Column]:
     """(from, to): the part of a segment in a closed box, as fractions of its length; from > to if there is none."""
     x1, y1, x2, y2, bx0, by0, bx1, by1 = map(_c, (x1, y1, x2, y2, bx0, by0, bx1, by1))
@@ -58,18 +52,29 @@ def _edges(ring: Column) -> Column:
     return F.zip_with(ring, following, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
 
 
-def in_ring(px, py, ring: Column | str) -> Column:
-    """Whether a point is inside a ring or on its edge."""
-    px, py, ring = _c(px), _c(py), _c(ring)
+def _crossings(px: Column, py: Column, ring: Column) -> Column:
+    """How many edges of a ring a ray from the point to the right crosses."""
 
     def crosses(e: Column) -> Column:
         up = (e["y1"] > py) != (e["y2"] > py)
         at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
         return F.when(up & (px < at), 1).otherwise(0)
 
-    odd = F.aggregate(_edges(ring), F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
-    on = F.exists(_edges(ring), lambda e: ((e["x2"] - e["x1"]) * (py - e["y1"]) == (e["y2"] - e["y1"]) * (px - e["x1"])) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
-    return odd | on
+    return F.aggregate(_edges(ring), F.lit(0), lambda n, e: n + crosses(e))
+
+
+def _on(px: Column, py: Column, ring: Column) -> Column:
+    def touches(e: Column) -> Column:
+        level = (e["x2"] - e["x1"]) * (py - e["y1"]) == (e["y2"] - e["y1"]) * (px - e["x1"])
+        return level & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+
+    return F.exists(_edges(ring), touches)
+
+
+def in_ring(px, py, ring: Column | str) -> Column:
+    """Whether a point is inside a ring or on its edge."""
+    px, py, ring = _c(px), _c(py), _c(ring)
+    return (_crossings(px, py, ring) % 2 == 1) | _on(px, py, ring)
 
 
 def to_ring(px, py, ring: Column | str) -> Column:
@@ -86,6 +91,153 @@ def to_polyline(px, py, points: Column | str) -> Column:
     return F.array_min(F.transform(spans, lambda s: to_segment(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
 
 
+def _let(value: Column, fn) -> Column:
+    """fn(value) with the value worked out once, however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def point(x, y) -> Column:
+    return F.struct(_c(x).cast("double").alias("x"), _c(y).cast("double").alias("y"))
+
+
+def ring_of(*corners) -> Column:
+    """A ring from (x, y) pairs of columns or numbers."""
+    return F.array(*[point(x, y) for x, y in corners])
+
+
+def shape_of(outer: Column | Sequence[Column], *holes: Column) -> Column:
+    """A polygon with holes, or several: array<struct<ring, hole>>, whichever way the rings run."""
+    outers = [outer] if isinstance(outer, Column) else list(outer)
+    return F.array(*[F.struct(r.alias("ring"), F.lit(hole).alias("hole")) for rings, hole in ((outers, False), (holes, True)) for r in rings])
+
+
+def _half(ring: Column, along: str, limit: Column, upper: bool) -> Column:
+    """The part of a ring on one side of a line of constant x or y (`along`), as a ring; parts of it may be joined by edges on that line."""
+    other = "y" if along == "x" else "x"
+    held = lambda v: v >= limit if upper else v <= limit
+
+    def of(e: Column) -> Column:
+        a, b, c, d = (e[f"{k}{n}"] for n in (1, 2) for k in (along, other))  # from (a, b) to (c, d)
+        mark = lambda v, w: F.struct(*[x.alias(k) for k, x in sorted({along: v, other: w}.items())])
+        cut, end = mark(limit, b + (limit - a) / (c - a) * (d - b)), mark(c, d)
+        inside = F.when(held(a), F.array(end)).otherwise(F.array(cut, end))
+        return F.when(held(c), inside).when(held(a), F.array(cut)).otherwise(F.slice(F.array(end), 1, 0))
+
+    return _let(ring, lambda r: F.flatten(F.transform(_edges(r), of)))
+
+
+def clip_ring(ring: Column | str, x0=None, y0=None, x1=None, y1=None) -> Column:
+    """A ring cut to a box, sides that are None left open: a ring again, empty if nothing is left. What the box cuts into parts stays one ring; the edges
+    that join them lie on the box and add nothing to the area."""
+    out = _c(ring)
+    for along, limit, upper in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
+        if limit is not None:
+            out = _half(out, along, _c(limit).cast("double"), upper)
+    return out
+
+
+def clip_shape(shape: Column | str, x0=None, y0=None, x1=None, y1=None) -> Column:
+    """A shape cut to a box; rings that nothing is left of go."""
+    cut = F.transform(_c(shape), lambda s: F.struct(clip_ring(s["ring"], x0, y0, x1, y1).alias("ring"), s["hole"].alias("hole")))
+    return F.filter(cut, lambda s: F.size(s["ring"]) > 2)
+
+
+def shape_area(shape: Column | str) -> Column:
+    return F.aggregate(_c(shape), F.lit(0.0), lambda t, s: t + F.when(s["hole"], -1.0).otherwise(1.0) * area(s["ring"]))
+
+
+def extent(shape: Column | str, along: str) -> tuple[Column, Column]:
+    """The smallest and largest x or y of a shape."""
+    values = F.flatten(F.transform(_c(shape), lambda s: F.transform(s["ring"], lambda p: p[along])))
+    return F.array_min(values), F.array_max(values)
+
+
+def in_shape(px, py, shape: Column | str) -> Column:
+    """Whether a point is inside a shape or on its edge; the inside of a hole is outside."""
+    px, py, shape = _c(px), _c(py), _c(shape)
+    odd = F.aggregate(shape, F.lit(0), lambda n, s: n + _crossings(px, py, s["ring"])) % 2 == 1
+    return odd | F.exists(shape, lambda s: _on(px, py, s["ring"]))
+
+
+def shape_edges(shape: Column | str) -> Column:
+    """All edges of a shape as structs x1, y1, x2, y2."""
+    return F.flatten(F.transform(_c(shape), lambda s: _edges(s["ring"])))
+
+
+def _twice_area(ring: Column) -> Column:
+    return F.aggregate(_edges(ring), F.lit(0.0), lambda t, e: t + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))
+
+
+def _grown_ring(ring: Column, hole: Column, by: float) -> Column:
+    """What a ring of a shape contributes to the area of the shape grown by a distance."""
+    long = F.filter(_edges(ring), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    step = lambda e: F.struct((e["x2"] - e["x1"]).alias("x"), (e["y2"] - e["y1"]).alias("y"))
+
+    def corners(edges: Column, way: Column) -> Column:
+        following = F.concat(F.slice(edges, 2, F.greatest(F.size(edges) - 1, F.lit(0))), F.slice(edges, 1, 1))
+        turns = F.zip_with(edges, following, lambda a, b: way * F.atan2(a["x"] * b["y"] - a["y"] * b["x"], a["x"] * b["x"] + a["y"] * b["y"]))
+        return F.aggregate(turns, F.lit(0.0), lambda t, v: t + F.when(v >= 0, v / 2).otherwise(F.tan(v / 2)))
+
+    def whole(edges: Column) -> Column:
+        twice = _twice_area(ring)
+        way = F.signum(twice) * F.when(hole, -1.0).otherwise(1.0)
+        around = perimeter(ring)
+        return _let(corners(F.transform(edges, step), way), lambda c: of(F.abs(twice) / 2, around, c))
+
+    def of(own: Column, around: Column, corner: Column) -> Column:
+        grown = around * by + by * by * corner
+        left = F.when((corner < 0) & (-2 * by * corner >= around), 0.0).otherwise(F.greatest(own - grown, F.lit(0.0)))
+        return F.when(hole, -left).otherwise(own + grown)
+
+    return _let(long, whole)
+
+
+def grown_area(shape: Column | str, by: float) -> Column:
+    """Area of a shape grown by a distance: a strip along each edge, a sector at each corner that points outwards, and at each that points inwards what two strips
+    share taken off once. Right as long as the grown edges meet their neighbours only; a hole shrinks and may close."""
+    return F.aggregate(_c(shape), F.lit(0.0), lambda t, s: t + _let(s, lambda v: _grown_ring(v["ring"], v["hole"], by)))
+
+
+def clip_polyline(points: Column | str, x0, y0, x1, y1) -> Column:
+    """The parts of a polyline in a closed box, as an array of polylines: a part ends where the line leaves the box, and points alone are no part."""
+    box = [_c(v).cast("double") for v in (x0, y0, x1, y1)]
+    kind = "array<struct<x:double,y:double>>"
+    none = F.lit(None).cast(kind)
+
+    def step(state: Column, e: Column) -> Column:
+        lo, hi = clip(e["x1"], e["y1"], e["x2"], e["y2"], *box)
+        at = lambda f, whole: F.when(f == (1.0 if whole else 0.0), point(e["x2" if whole else "x1"], e["y2" if whole else "y1"])).otherwise(point(e["x1"] + f * (e["x2"] - e["x1"]), e["y1"] + f * (e["y2"] - e["y1"])))
+        return _let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda c: _next(state, e, c, at))
+
+    def _next(state: Column, e: Column, c: Column, at) -> Column:
+        inside, still = c["hi"] > c["lo"], (e["x1"] == e["x2"]) & (e["y1"] == e["y2"])
+        goes_on = state["open"].isNotNull() & (c["lo"] == 0)
+        end = at(c["hi"], True)
+        opened = F.when(goes_on, F.concat(state["open"], F.array(end))).otherwise(F.array(at(c["lo"], False), end))
+        closes = state["open"].isNotNull() & ~goes_on
+        before = F.when(closes, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        left = F.when(state["open"].isNotNull(), F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
+        stays = F.struct(before.alias("done"), opened.alias("open"))
+        leaves = F.struct(F.concat(before, F.array(opened)).alias("done"), none.alias("open"))
+        return F.when(still, state).when(inside & (c["hi"] == 1), stays).when(inside, leaves).otherwise(F.struct(left.alias("done"), none.alias("open")))
+
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), none.alias("open"))
+    finish = lambda s: F.when(s["open"].isNotNull(), F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
+    return F.aggregate(segments_of(points), start, step, finish)
+
+
+def segments_of(points: Column | str) -> Column:
+    """A polyline's segments as structs x1, y1, x2, y2."""
+    points = _c(points)
+    ahead = F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
+    behind = F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0)))
+    return F.zip_with(behind, ahead, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+
+
+def polyline_length(points: Column | str) -> Column:
+    return F.aggregate(segments_of(points), F.lit(0.0), lambda t, e: t + distance(e["x1"], e["y1"], e["x2"], e["y2"]))
+
+
 def area(ring: Column | str) -> Column:
     """Area of a simple ring by the shoelace formula."""
     return F.abs(F.aggregate(_edges(_c(ring)), F.lit(0.0), lambda s, e: s + (e["x1"] * e["y2"] - e["x2"] * e["y1"]))) / 2
@@ -137,8 +289,8 @@ _A, _FLAT, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _N = _FLAT / (2 - _FLAT)
 _R = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 _FORWARD = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
-_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
-_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+_BACK = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_LATITUDE = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
 _E = math.sqrt(_FLAT * (2 - _FLAT))
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteselect.functions import clean
+from siteselect.functions import clean, geo
 from siteselect.operators import joins
+from siteselect.operators.scratch import keep
 
 
 def road_features(segments: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
@@ -32,26 +33,11 @@ def parking_local(parking: DataFrame, grid: DataFrame, size: float = 500.0) -> D
     return grid.select("grid_id").join(sums, "grid_id", "left").select("grid_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("parking_count", "capacity_sum", "capacity_records")])
 
 
-def _union_area(boxes: np.ndarray) -> float:
-    """Area of a union of axis-aligned boxes: slabs between all y values, the covered length of each."""
-    ys = np.unique(boxes[:, [1, 3]])
-    total = 0.0
-    for low, high in zip(ys[:-1], ys[1:], strict=True):
-        inside = boxes[(boxes[:, 1] <= low) & (boxes[:, 3] >= high)]
-        if not len(inside):
-            continue
-        inside = inside[np.argsort(inside[:, 0])]
-        reach = np.maximum.accumulate(inside[:, 2])
-        starts = np.maximum(inside[:, 0], np.concatenate(([inside[0, 0]], reach[:-1])))
-        total += float(np.maximum(reach - np.maximum(starts, inside[:, 0]), 0).sum()) * (high - low)
-    return total
-
-
-def polygon_union_area(rings: Sequence[np.ndarray]) -> float:
-    """Area of a union of simple polygons: slabs between all corners and crossings; within one, spans end on straight lines, so the middle
-    length times the height is exact."""
+def polygon_union_area(rings: Sequence[np.ndarray], owners: Sequence[int] | None = None) -> float:
+    """Area of a union of polygons: slabs between all corners and crossings; within one, spans end on straight lines, so the middle
+    length times the height is exact. Rings of one owner are one polygon, a ring inside another a hole; without owners each ring is one."""
     edges = np.concatenate([np.concatenate((r, np.roll(r, -1, axis=0)), axis=1) for r in rings])
-    owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    owner = np.repeat(np.arange(len(rings)) if owners is None else np.asarray(owners), [len(r) for r in rings])
     ys = set(edges[:, 1].tolist())
     d = edges[:, 2:] - edges[:, :2]
     for i in range(len(edges)):
@@ -82,15 +68,40 @@ def polygon_union_area(rings: Sequence[np.ndarray]) -> float:
     return total
 
 
-def union_area_in_cells(boxes: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
-    """(grid_id, area_m2, area_ratio): ground of a cell that boxes cover, overlaps once. A cell's boxes are one group: objects in a few hectares."""
-    met = joins.boxes_in_cells(boxes, grid, size).select("grid_id", "bx0", "by0", "bx1", "by1").distinct()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"grid_id": [group["grid_id"].iloc[0]], "area_m2": [_union_area(group[["bx0", "by0", "bx1", "by1"]].to_numpy(float))]})
-
-    sums = met.groupBy("grid_id").applyInPandas(run, "grid_id string, area_m2 double")
-    out = grid.select("grid_id", "cell_area_m2").join(sums, "grid_id", "left").withColumn("area_m2", F.coalesce("area_m2", F.lit(0.0)))
+#: A cell with more pieces than this is cut finer, into as many parts as leave each about that many.
+CROWDED = 64
+
+
+def union_area_in_cells(shapes: DataFrame, grid: DataFrame, size: float = 500.0, shape: str = "shape") -> DataFrame:
+    """(grid_id, area_m2, area_ratio): ground of a cell that polygons cover, overlaps once and holes not at all; the ratio to 6 digits.
+
+    Each cell's pieces are swept in one group. Equal pieces count once, a piece that covers its cell stands for all of them, and a cell with more than
+    CROWDED pieces is cut into finer ones first, so that groups stay small where objects lie close together; only what lies on one spot stays together.
+    """
+    met = joins.shapes_in_cells(shapes.select(shape), grid, size, shape).select("grid_id", "cx", "cy", "piece", "area_m2").distinct()
+    met = keep(met)
+    cells = met.groupBy("grid_id").agg(F.count("*").alias("n"), F.max("area_m2").alias("most"))
+    full = F.col("most") >= size * size * (1 - 1e-12)
+    whole = cells.where(full).select("grid_id", F.lit(float(size * size)).alias("area_m2"))
+    open_ = met.drop("area_m2").join(cells.where(~full).select("grid_id", F.ceil(F.sqrt(F.col("n") / CROWDED)).cast("int").alias("parts")), "grid_id")
+    side = F.lit(float(size)) / F.col("parts")
+    finer = open_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = F.col("cx") * size + F.col("i") * side, F.col("cy") * size + F.col("j") * side
+    touches = lambda along, low: (geo.extent("piece", along)[1] > low) & (geo.extent("piece", along)[0] < low + side)
+    finer = finer.where((F.col("parts") == 1) | (touches("x", x) & touches("y", y)))
+    part = F.when(F.col("parts") == 1, F.col("piece")).otherwise(geo.clip_shape("piece", x, y, x + side, y + side))
+    dealt = finer.select("grid_id", "i", "j", part.alias("piece")).where(F.size("piece") > 0).distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        rings, owners = [], []
+        for n, piece in enumerate(table.column("piece").to_pylist()):
+            for part in piece:
+                rings.append(np.array([(p["x"], p["y"]) for p in part["ring"]]))
+                owners.append(n)
+        return pa.table({"grid_id": table.column("grid_id")[:1], "area_m2": [polygon_union_area(rings, owners)]})
+
+    swept = dealt.groupBy("grid_id", "i", "j").applyInArrow(run, "grid_id string, area_m2 double").groupBy("grid_id").agg(F.sum("area_m2").alias("area_m2"))
+    out = grid.select("grid_id", "cell_area_m2").join(whole.unionByName(swept), "grid_id", "left").withColumn("area_m2", F.coalesce("area_m2", F.lit(0.0)))
     return out.select("grid_id", "area_m2", F.round(F.col("area_m2") / F.col("cell_area_m2"), 6).alias("area_ratio"))
 
 

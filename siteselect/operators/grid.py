@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteselect.functions import geo
+from siteselect.functions import clean, geo
+from siteselect.operators import joins
 
 
 def bounds(points: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
@@ -56,10 +57,13 @@ def assign_chunks(cells: DataFrame, tile: float) -> DataFrame:
     return cells.withColumns({"chunk_x": low(cx), "chunk_y": low(cy)})
 
 
-def buffered_area(area: Column | str, perimeter: Column | str, buffer: float) -> Column:
-    """Area of a convex tile grown by a buffer."""
-    a, p = (F.col(c) if isinstance(c, str) else c for c in (area, perimeter))
-    return a + p * buffer + math.pi * buffer * buffer
+def core_chunks(boundary: DataFrame, tile: float, prefix: str = "K_", width: int = 4, shape: str = "shape") -> DataFrame:
+    """(chunk_id, chunk_order, cx, cy, shape, area_km2): the tiles, from multiples of the size, cut to the boundary (polygons that do not overlap);
+    those with an area are numbered from 1 by x, then y. Tiles are few: they are numbered in one window."""
+    pieces = joins.shape_pieces(boundary.select(shape), tile, shape)
+    met = pieces.groupBy("cx", "cy").agg(F.flatten(F.collect_list("piece")).alias("shape")).withColumn("area_km2", geo.shape_area("shape") / 1e6)
+    ordered = met.withColumn("chunk_order", F.row_number().over(W.orderBy("cx", "cy")).cast("long"))
+    return ordered.select(clean.padded_id("chunk_order", prefix, width).alias("chunk_id"), "chunk_order", "cx", "cy", "shape", "area_km2")
 
 
 def select_chunks(chunks: DataFrame, ids: DataFrame | None = None, from_order: int | None = None, limit: int | None = None, skip_empty: bool = True) -> DataFrame:

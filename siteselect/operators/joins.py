@@ -13,32 +13,38 @@ from siteselect.operators.scratch import keep
 
 
 def point_in_cell(points: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
-    """points with the grid_id of their place; a point on a shared edge belongs to the lowest grid_id, if that cell exists. Equal rows stay as many as they are.
+    """points with the grid_id of their place; a point on a shared edge belongs to the lowest grid_id, if that cell exists. Equal rows stay as many as they are. A column grid_id
+    that the points have gives way; points without coordinates are in no cell.
 
     Points ask for their own cell by an equi-join on the cell's index. Only those on an edge ask for the lower neighbours too and are grouped, with their number.
     """
     cx, cy = geo.cell_index("x", "y", size)
+    columns = [c for c in points.columns if c != "grid_id"]
+    points = points.select(*columns)
     cells = grid.select("grid_id", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
     on_edge = (F.col("x") == cx * size) | (F.col("y") == cy * size)
     at = (F.col("_kx") == F.col("_cx")) & (F.col("_ky") == F.col("_cy"))
     keys = ("_kx", "_ky", "_cx", "_cy")
     inside = points.where(~on_edge).withColumns({"_kx": cx, "_ky": cy}).join(cells, at).drop(*keys)
     near = lambda v, c: F.when(v == c * size, F.array(c - 1, c)).otherwise(F.array(c))
-    edge = points.where(on_edge).groupBy(*points.columns).agg(F.count("*").alias("_times"))
+    edge = points.where(on_edge).groupBy(*columns).agg(F.count("*").alias("_times"))
     asks = edge.withColumn("_kx", F.explode(near(F.col("x"), cx))).withColumn("_ky", F.explode(near(F.col("y"), cy)))
-    lowest = asks.join(cells, at).groupBy(*points.columns, "_times").agg(F.min("grid_id").alias("grid_id"))
+    lowest = asks.join(cells, at).groupBy(*columns, "_times").agg(F.min("grid_id").alias("grid_id"))
     again = lowest.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).drop("_times")
-    return inside.select(*points.columns, "grid_id").unionByName(again.select(*points.columns, "grid_id"))
+    return inside.select(*columns, "grid_id").unionByName(again.select(*columns, "grid_id"))
+
+
+#: A cut of a segment with the side of a cell may be rounded by so much, in the plane's unit; far more than doubles err by at plane coordinates.
+_CUT = 1e-6
 
 
 def _crossed(segments: DataFrame, size: float) -> DataFrame:
-    """segments with each cell (cx, cy) that they may cross; of each column of cells those that the segment's part in it spans, and one more on either side, as
-    the cut is rounded."""
+    """segments with each cell (cx, cy) that they may cross; of each column of cells those that the segment's part in it spans, give or take what its cut is rounded by."""
     span = lambda a, b: F.sequence(F.ceil(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size))
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     cut = lambda x: y1 + (F.greatest(F.least(x, F.greatest(x1, x2)), F.least(x1, x2)) - x1) * F.when(x2 == x1, 0.0).otherwise((y2 - y1) / (x2 - x1))
     low, high = cut(F.col("cx") * size), cut((F.col("cx") + 1) * size)
-    part = lambda a, b: F.sequence(F.greatest(F.ceil(F.least(y1, y2) / size) - 1, F.ceil(F.least(a, b) / size) - 2), F.least(F.floor(F.greatest(y1, y2) / size), F.floor(F.greatest(a, b) / size) + 1))
+    part = lambda a, b: F.sequence(F.greatest(F.ceil(F.least(y1, y2) / size), F.ceil((F.least(a, b) - _CUT) / size)) - 1, F.least(F.floor(F.greatest(y1, y2) / size), F.floor((F.greatest(a, b) + _CUT) / size)))
     ys = F.when(x1 == x2, span("y1", "y2")).otherwise(part(low, high))
     return segments.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(ys))
 
@@ -50,14 +56,41 @@ def lines_in_cells(segments: DataFrame, grid: DataFrame, size: float = 500.0) ->
     return met.withColumn("length_m", length).where("length_m > 0")
 
 
-def boxes_in_cells(boxes: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
-    """boxes (x0, y0, x1, y1) with each cell that they overlap: bx0, by0, bx1, by1 of the common part."""
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.ceil(F.col(b) / size) - 1)
-    keyed = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    met = keyed.join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
-    low = lambda c, k: F.greatest(F.col(c), F.col(k) * size)
-    high = lambda c, k: F.least(F.col(c), (F.col(k) + 1) * size)
-    return met.withColumns({"bx0": low("x0", "cx"), "by0": low("y0", "cy"), "bx1": high("x1", "cx"), "by1": high("y1", "cy")}).where("bx1 > bx0 and by1 > by0")
+def shape_pieces(shapes: DataFrame, size: float, shape: str = "shape") -> DataFrame:
+    """shapes with each cell (cx, cy) that they overlap by an area, and their part in it as `piece`.
+
+    A shape is cut into the columns of cells that it spans, each part's own height then names its cells, so that a long slanting shape does not visit
+    all cells of its box. Null and empty shapes and those without an area have no pieces.
+    """
+
+    def cells(along: str, of: str) -> Column:
+        low, high = geo.extent(of, along)
+        return F.when(high > low, F.sequence(F.floor(low / size), F.ceil(high / size) - 1))
+
+    strips = shapes.withColumn("cx", F.explode(cells("x", shape))).withColumn("piece", geo.clip_shape(shape, x0=F.col("cx") * size, x1=(F.col("cx") + 1) * size))
+    cut = strips.withColumn("cy", F.explode(cells("y", "piece"))).withColumn("piece", geo.clip_shape("piece", y0=F.col("cy") * size, y1=(F.col("cy") + 1) * size))
+    return cut.where(geo.shape_area("piece") > 0)
+
+
+def shapes_in_cells(shapes: DataFrame, grid: DataFrame, size: float = 500.0, shape: str = "shape") -> DataFrame:
+    """shapes with the grid_id of each cell that they overlap, their `piece` in it and its area_m2."""
+    met = shape_pieces(shapes, size, shape).join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
+    return met.withColumn("area_m2", geo.shape_area("piece"))
+
+
+def polylines_in_tiles(lines: DataFrame, tiles: DataFrame, size: float, points: str = "points") -> DataFrame:
+    """lines with tile_id, piece (from 0 along the line), the piece's points and length_m: what each tile (tile_id, cx, cy) cuts out of each line.
+
+    Tiles are closed, so that a piece on a shared side counts in both. Lines need not have a key: each row asks for the tiles that its segments may cross, once.
+    """
+    span = lambda a, b: F.sequence(F.ceil(F.least(a, b) / size) - 1, F.floor(F.greatest(a, b) / size))
+    pairs = lambda s: F.flatten(F.transform(span(s["x1"], s["x2"]), lambda cx: F.transform(span(s["y1"], s["y2"]), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    asked = lines.withColumn("_at", F.explode(F.array_distinct(F.flatten(F.transform(geo.segments_of(points), pairs)))))
+    met = asked.withColumns({"cx": F.col("_at.cx"), "cy": F.col("_at.cy")}).drop("_at").join(tiles.select("tile_id", "cx", "cy"), ["cx", "cy"])
+    cut = geo.clip_polyline(points, F.col("cx") * size, F.col("cy") * size, (F.col("cx") + 1) * size, (F.col("cy") + 1) * size)
+    columns = [c for c in lines.columns if c != points]
+    out = met.select(*columns, "tile_id", F.posexplode(cut).alias("piece", points))
+    return out.withColumn("length_m", geo.polyline_length(points))
 
 
 def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Sequence[str] = ()) -> DataFrame:
@@ -74,17 +107,19 @@ def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Se
 
 
 def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, rounds: int = 40, max_distance: float | None = None) -> DataFrame:
-    """(centre_id, point_id, distance): the nearest point of each centre, ties to the smallest point_id; null if there are no points.
+    """(centre_id, point_id, distance): the nearest point of each centre, ties to the smallest point_id; null if there are no points or the centre has no
+    coordinates. Points without coordinates are passed over.
 
     Searches squares that double from round to round, from the mean spacing of the points on (or `start`, if that is larger); a centre is done when it has a point
     within the side of the squares. Only those that are not done go on, so that the large squares are asked by few; each round ends in a written table.
     """
+    points = points.where("x is not null and y is not null")
     box = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("a", F.min), ("b", F.max))]).first()
     if not box["n"]:
         return centres.select("centre_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("distance"))
     spacing = math.sqrt((box["bx"] - box["ax"]) * (box["by"] - box["ay"]) / box["n"])
     size = max(spacing, start or 0.0) or 1.0
-    found, open_ = None, centres.select("centre_id", "x", "y")
+    found, open_ = None, keep(centres.where("x is not null and y is not null").select("centre_id", "x", "y"))
     for _ in range(rounds):
         best = within_radius(open_, points, size).groupBy("centre_id").agg(F.min(F.struct(F.col("d2"), F.col("point_id"))).alias("b"))
         done = keep(best.select("centre_id", F.col("b.point_id").alias("point_id"), F.sqrt("b.d2").alias("distance")))
@@ -99,14 +134,16 @@ def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, r
 
 
 def nearest_line(centres: DataFrame, segments: DataFrame, start: float = 500.0, rounds: int = 40, digits: int = 6) -> DataFrame:
-    """(centre_id, line_id, distance): the nearest segment (line_id, x1, y1, x2, y2) of each centre, ties at so many digits to the smallest line_id; null without segments.
+    """(centre_id, line_id, distance): the nearest segment (line_id, x1, y1, x2, y2) of each centre, ties at so many digits to the smallest line_id; null without segments
+    or for a centre without coordinates. Segments without coordinates are passed over.
 
     A segment stands under the cells that it crosses, a centre asks its own and the eight round it, so that all segments within a cell's side are met. Centres that find none so
     near go on with cells of twice the side.
     """
+    segments = segments.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
     if segments.isEmpty():
         return centres.select("centre_id", F.lit(None).cast(segments.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("distance"))
-    found, open_, size = None, keep(centres.select("centre_id", "x", "y")), start
+    found, open_, size = None, keep(centres.where("x is not null and y is not null").select("centre_id", "x", "y")), start
     for _ in range(rounds):
         cx, cy = geo.cell_index("x", "y", size)
         asks = open_.withColumn("cx", F.explode(F.sequence(cx - 1, cx + 1))).withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1)))
@@ -116,11 +153,26 @@ def nearest_line(centres: DataFrame, segments: DataFrame, start: float = 500.0,
         found = done if found is None else found.unionByName(done)
         open_ = keep(open_.join(done.select("centre_id"), "centre_id", "left_anti"))
         if open_.isEmpty():
-            return found
+            return centres.select("centre_id").join(found, "centre_id", "left")
         size *= 2
     raise RuntimeError(f"centres without a nearest line after {rounds} rounds")
 
 
+def nearest_shape(centres: DataFrame, shapes: DataFrame, start: float = 500.0, digits: int = 6) -> DataFrame:
+    """(centre_id, shape_id, distance): the nearest polygon (shape_id, shape) of each centre, 0 inside or on its edge, ties at so many digits to the smallest shape_id.
+
+    Centres ask the pieces of polygons in their own cell whether they are inside; the others look for the nearest edge. Null without polygons or coordinates.
+    """
+    cx, cy = geo.cell_index("x", "y", start)
+    asks = centres.select("centre_id", "x", "y", cx.alias("cx"), cy.alias("cy"))
+    pieces = shape_pieces(shapes.select("shape_id", "shape"), start).select("cx", "cy", "shape_id", "piece")
+    within = asks.join(pieces, ["cx", "cy"]).where(geo.in_shape("x", "y", "piece")).groupBy("centre_id").agg(F.min("shape_id").alias("shape_id"))
+    within = keep(within.withColumn("distance", F.lit(0.0)))
+    edges = shapes.select(F.col("shape_id").alias("line_id"), F.explode(geo.shape_edges("shape")).alias("e")).select("line_id", "e.*")
+    near = nearest_line(centres.join(within, "centre_id", "left_anti"), edges, start, digits=digits).withColumnRenamed("line_id", "shape_id")
+    return within.unionByName(near)
+
+
 def one_to_one(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """A join whose key must be unique on both sides; a repeated key raises when the result is read."""
     checked = lambda d: d.groupBy(on).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in d.columns if c != on]).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated {on}: "), F.col(on).cast("string"))).cast("long")).otherwise(1)).where("_n = 1").drop("_n")

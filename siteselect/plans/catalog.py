@@ -36,4 +36,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from siteselect.plans import clean_queries, ml_queries, score_queries, source_queries, spatial_queries  # noqa: F401
+    from siteselect.plans import clean_queries, ml_queries, score_queries, shape_queries, source_queries, spatial_queries  # noqa: F401

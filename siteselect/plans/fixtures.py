@@ -20,6 +20,9 @@ FIXTURES = {
     "parking": """SELECT p_partkey AS point_id, CAST((p_partkey * 7907) % 39000 AS DOUBLE) AS x0, CAST((p_partkey * 104723) % 39000 AS DOUBLE) AS y0,
         CAST((p_partkey * 7907) % 39000 + 20 + 4 * p_size AS DOUBLE) AS x1, CAST((p_partkey * 104723) % 39000 + 20 + 30 * (p_partkey % 7) AS DOUBLE) AS y1,
         CASE WHEN p_partkey % 25 = 0 THEN CAST(p_size AS BIGINT) END AS capacity FROM {part}""",
+    "lot": """SELECT lot_id, x0, y0, x0 + w AS x1, y0 + h AS y1, holed FROM (SELECT p_partkey AS lot_id, CAST((p_partkey * 7907) % 36000 AS DOUBLE) AS x0, CAST((p_partkey * 104723) % 36000 AS DOUBLE) AS y0,
+        CAST((20 + 4 * p_size) * CASE WHEN p_partkey % 40 = 0 THEN 10 ELSE 1 END AS DOUBLE) AS w, CAST((20 + 30 * (p_partkey % 7)) * CASE WHEN p_partkey % 40 = 0 THEN 10 ELSE 1 END AS DOUBLE) AS h,
+        p_partkey % 2 = 0 AS holed FROM {part}) AS l""",
     "road": """SELECT * FROM (SELECT o_orderkey AS road_id, CAST((o_orderkey * 7919) % 38000 AS DOUBLE) AS x1, CAST((o_orderkey * 104729) % 38000 AS DOUBLE) AS y1,
         CAST((o_orderkey * 7919) % 38000 + (o_orderkey % 41 - 20) * 50 AS DOUBLE) AS x2, CAST((o_orderkey * 104729) % 38000 + (o_custkey % 37 - 18) * 50 AS DOUBLE) AS y2,
         o_orderpriority AS highway, o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_main FROM {orders}) AS r WHERE x1 <> x2 OR y1 <> y2""",

@@ -18,10 +18,6 @@ def centres(t: Tables):
     return t("grid").select(F.col("grid_id").alias("centre_id"), ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
 
 
-def boxes(t: Tables):
-    return t("parking")
-
-
 def parking_points(t: Tables):
     return t("parking").select("point_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), "capacity")
 
@@ -51,12 +47,6 @@ def _(t):
     return joins.lines_in_cells(t("road"), t("grid")).groupBy("grid_id").agg(F.count("*").alias("pieces"), F.round(F.sum("length_m"), 3).alias("length_m"))
 
 
-@query("j3_polygon_cell_intersection", "SELECT grid_id, count(*) AS pieces, sum((least(p.x1, g.x1) - greatest(p.x0, g.x0)) * (least(p.y1, g.y1) - greatest(p.y0, g.y0))) AS area_m2 FROM $parking p JOIN $grid g ON p.x0 < g.x1 AND p.x1 > g.x0 AND p.y0 < g.y1 AND p.y1 > g.y0 GROUP BY grid_id")
-def _(t):
-    met = joins.boxes_in_cells(boxes(t), t("grid"))
-    return met.groupBy("grid_id").agg(F.count("*").alias("pieces"), F.sum((F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0"))).alias("area_m2"))
-
-
 @query("j4_nearest_line", f"""WITH {CENTRES}, st AS (SELECT point_id, x, y FROM $station),
 d AS (SELECT s.point_id, r.road_id, greatest(0.0, least(1.0, ((s.x - r.x1) * (r.x2 - r.x1) + (s.y - r.y1) * (r.y2 - r.y1)) / ((r.x2 - r.x1) * (r.x2 - r.x1) + (r.y2 - r.y1) * (r.y2 - r.y1)))) AS t, s.x, s.y, r.x1, r.y1, r.x2, r.y2 FROM st s CROSS JOIN (SELECT * FROM $road WHERE is_main) r),
 e AS (SELECT point_id, road_id, round(sqrt((x - x1 - t * (x2 - x1)) * (x - x1 - t * (x2 - x1)) + (y - y1 - t * (y2 - y1)) * (y - y1 - t * (y2 - y1))), 6) AS distance FROM d)
@@ -145,16 +135,6 @@ def _(t):
     return features.parking_local(parking_points(t), t("grid"))
 
 
-@query("a3_parking_area_ratio")
-def _(t):
-    return features.union_area_in_cells(boxes(t), t("grid"))
-
-
-@query("g10_union_area")
-def _(t):
-    return features.union_area_in_cells(boxes(t), t("grid")).agg(F.sum("area_m2").alias("area_m2"), F.sum((F.col("area_m2") > 0).cast("long")).alias("cells"))
-
-
 @query("a4_charging_features", f"""WITH {CENTRES}, {IN_CELL.format(p='(SELECT point_id, x, y FROM $station)')}, n AS (SELECT grid_id, count(DISTINCT point_id) AS n FROM local GROUP BY grid_id),
 d AS (SELECT c.grid_id, s.point_id, s.has_ac, s.has_dc, (c.x - s.x) * (c.x - s.x) + (c.y - s.y) * (c.y - s.y) AS d2 FROM centre c CROSS JOIN $station s),
 e AS (SELECT grid_id, count(*) FILTER (WHERE d2 <= 1000000) AS within_1000m, count(*) FILTER (WHERE d2 <= 4000000) AS within_2000m, count(*) FILTER (WHERE d2 <= 1000000 AND has_ac) AS ac_within_1000m, count(*) FILTER (WHERE d2 <= 1000000 AND has_dc) AS dc_within_1000m, arg_min(point_id, (d2, point_id)) AS nearest_id, round(sqrt(min(d2)), 4) AS nearest_m FROM d GROUP BY grid_id)
@@ -246,17 +226,6 @@ def chunk_table(t: Tables):
     return t("poi").groupBy((F.floor(F.col("x") / 8000) * 5 + F.floor(F.col("y") / 8000)).alias("chunk_order")).agg(F.count("*").alias("grid_count")).withColumn("chunk_id", clean.padded_id("chunk_order", "K_", 3))
 
 
-@query("r2_core_chunks", f"WITH {CHUNK} SELECT concat('K_', lpad(CAST(chunk_order AS VARCHAR), 3, '0')) AS chunk_id, chunk_order, grid_count, 64.0::DOUBLE AS area_km2 FROM chunk")
-def _(t):
-    side = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (8000.0, 0.0), (8000.0, 8000.0), (0.0, 8000.0))])
-    return chunk_table(t).select("chunk_id", "chunk_order", "grid_count", (geo.area(side) / 1e6).alias("area_km2"))
-
-
-@query("r4_buffered_area", f"WITH {CHUNK} SELECT chunk_order, round((64e6 + 32000 * 1000 + pi() * 1e6) / 1e6, 6) AS area_km2 FROM chunk")
-def _(t):
-    return chunk_table(t).select("chunk_order", F.round(grid.buffered_area(F.lit(64e6), F.lit(32000.0), 1000.0) / 1e6, 6).alias("area_km2"))
-
-
 @query("r5_chunk_selection", f"WITH {CHUNK} SELECT chunk_order, grid_count FROM chunk WHERE chunk_order >= 5 ORDER BY chunk_order LIMIT 10")
 def _(t):
     return grid.select_chunks(chunk_table(t), from_order=5, limit=10).select("chunk_order", "grid_count")
@@ -314,14 +283,6 @@ def _(t):
     return t("road").select("road_id", geo.line_key(F.array(p("x1", "y1"), p("x2", "y2"))).alias("line_key"))
 
 
-@query("g11_clip_to_tiles")
-def _(t):
-    met = joins.lines_in_cells(t("road"), t("grid").where("cx % 16 = 0 and cy % 16 = 0").select("grid_id", (F.col("cx") / 16).cast("long").alias("cx"), (F.col("cy") / 16).cast("long").alias("cy")), 8000.0)
-    lo, hi = geo.clip("x1", "y1", "x2", "y2", F.col("cx") * 8000.0, F.col("cy") * 8000.0, (F.col("cx") + 1) * 8000.0, (F.col("cy") + 1) * 8000.0)
-    at = lambda f, a, b: F.round(F.col(a) + f * (F.col(b) - F.col(a)), 3)
-    return met.select("road_id", F.col("grid_id").alias("tile_id"), at(lo, "x1", "x2").alias("px1"), at(lo, "y1", "y2").alias("py1"), at(hi, "x1", "x2").alias("px2"), at(hi, "y1", "y2").alias("py2"), F.round("length_m", 3).alias("length_m"))
-
-
 @query("g12_row_col", "SELECT point_id, CAST(floor((40000 - y) / 100) AS BIGINT) AS r, CAST(floor(x / 100) AS BIGINT) AS c FROM $poi")
 def _(t):
     r, c = geo.row_col("x", "y", 100.0, 0.0, 40000.0)

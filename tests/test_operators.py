@@ -44,7 +44,8 @@ def test_gap_absence_bands_and_weights(spark):
 
 def test_union_area_counts_overlap_once(spark):
     grid = spark.createDataFrame([("G_1", 0, 0, 0.0, 0.0, 100.0, 100.0, 10000.0)], "grid_id string, cx long, cy long, x0 double, y0 double, x1 double, y1 double, cell_area_m2 double")
-    boxes = spark.createDataFrame([(0.0, 0.0, 60.0, 100.0), (40.0, 0.0, 100.0, 100.0)], "x0 double, y0 double, x1 double, y1 double")
+    box = lambda a, b: ([([(a, 0.0), (b, 0.0), (b, 100.0), (a, 100.0)], False)],)
+    boxes = spark.createDataFrame([box(0.0, 60.0), box(40.0, 100.0)], "shape array<struct<ring:array<struct<x:double,y:double>>,hole:boolean>>")
     row = features.union_area_in_cells(boxes, grid, 100.0).first()
     assert row["area_m2"] == 10000 and row["area_ratio"] == 1
     assert features.polygon_union_area([np.array([(0, 0), (60, 0), (60, 100), (0, 100)], float), np.array([(40, 0), (100, 0), (100, 100), (40, 100)], float)]) == pytest.approx(10000)
