@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -105,14 +106,63 @@ def union_area_in_cells(shapes: DataFrame, grid: DataFrame, size: float = 500.0,
     return out.select("grid_id", "area_m2", F.round(F.col("area_m2") / F.col("cell_area_m2"), 6).alias("area_ratio"))
 
 
-def radius_counts(centres: DataFrame, points: DataFrame, counts: Mapping[str, tuple[float, Column | None]], cols: Sequence[str] = ()) -> DataFrame:
-    """One pass for all radii and flags: counts are {name: (radius, condition on the point or None)}; distinct points within the radius."""
-    widest = max(r for r, _ in counts.values())
-    met = joins.within_radius(centres, points, widest, cols)
-    hit = lambda r, c: (F.col("d2") <= r * r) if c is None else ((F.col("d2") <= r * r) & F.coalesce(c, F.lit(False)))
-    # each point once for each centre, whatever it counts for: distinct counts side by side would copy every pair for each of them
-    each = met.where("point_id is not null").groupBy("centre_id", "point_id").agg(F.count("*").alias("_times"), *[F.max(hit(r, c).cast("int")).alias(k) for k, (r, c) in counts.items()])
-    sums = each.groupBy("centre_id").agg(*[F.sum(k).alias(k) for k in counts])
+#: Points a square of a quarter of the smallest radius holds on average before squares are counted instead of points.
+DENSE = 8
+
+
+def _hits(counts: Mapping[str, tuple[float, Column | None]]) -> list[Column]:
+    """1 for a point that a count takes, wherever it is; 0 otherwise."""
+    return [(F.lit(1) if c is None else F.coalesce(c, F.lit(False)).cast("int")).alias(f"_is_{k}") for k, (_, c) in counts.items()]
+
+
+def _counted_squares(centres: DataFrame, points: DataFrame, counts: Mapping[str, float], side: float, quarter: int | None) -> DataFrame:
+    """(centre_id, counts...), rows repeat: points are counted in squares, with the box they fill there. A box inside a circle adds its counts, and
+    only points of boxes that the circle's rim crosses are met one by one."""
+    widest = max(counts.values())
+    sx, sy = geo.cell_index("x", "y", side)
+    points = points.withColumns({"sx": sx, "sy": sy})
+    boxes = points.groupBy("sx", "sy").agg(*[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("a", F.min), ("b", F.max))], *[F.sum(f"_is_{k}").alias(f"_n_{k}") for k in counts])
+    span = lambda c: F.sequence(F.floor((F.col(f"a{c}") - widest) / widest), F.floor((F.col(f"b{c}") + widest) / widest))
+    around = boxes.withColumn("kx", F.explode(span("x"))).withColumn("ky", F.explode(span("y")))
+    kx, ky = geo.cell_index("x", "y", widest)
+    met = centres.withColumns({"kx": kx, "ky": ky}).join(around, ["kx", "ky"])
+    near = [F.greatest(F.col(f"a{c}") - F.col(c), F.col(c) - F.col(f"b{c}"), F.lit(0.0)) for c in ("x", "y")]
+    far = [F.greatest(F.abs(F.col(f"a{c}") - F.col(c)), F.abs(F.col(f"b{c}") - F.col(c))) for c in ("x", "y")]
+    met = met.withColumns({"_near": near[0] * near[0] + near[1] * near[1], "_far": far[0] * far[0] + far[1] * far[1]}).where(F.col("_near") <= widest * widest)
+    inner = lambda r: r * r * (1 if quarter is None else math.cos(math.pi / (4 * quarter)) ** 2 * (1 - 1e-12))
+    whole = met.groupBy("centre_id").agg(*[F.coalesce(F.sum(F.when(F.col("_far") <= inner(r), F.col(f"_n_{k}"))), F.lit(0)).alias(k) for k, r in counts.items()])
+    rim = {k: (F.col("_near") <= r * r) & (F.col("_far") > inner(r)) for k, r in counts.items()}
+    some = met.select("centre_id", F.col("x").alias("cx"), F.col("y").alias("cy"), "sx", "sy", *[c.alias(f"_rim_{k}") for k, c in rim.items()]).where(" or ".join(f"_rim_{k}" for k in counts))
+    pairs = some.join(points, ["sx", "sy"])
+    dx, dy = F.col("cx") - F.col("x"), F.col("cy") - F.col("y")
+    taken = {k: F.col(f"_rim_{k}") & joins.inside_circle(dx, dy, r, quarter) for k, r in counts.items()}
+    each = pairs.groupBy("centre_id").agg(*[F.sum(F.when(c, F.col(f"_is_{k}")).otherwise(0)).alias(k) for k, c in taken.items()])
+    return whole.unionByName(each)
+
+
+def radius_counts(centres: DataFrame, points: DataFrame, counts: Mapping[str, tuple[float, Column | None]], cols: Sequence[str] = (), quarter: int | None = None) -> DataFrame:
+    """One pass for all radii and flags: counts are {name: (radius, condition on the point or None)}; distinct points within the radius.
+
+    With `quarter`, circles are polygons of so many segments in each quarter. Points without id or coordinates are not counted; a point that stands in several
+    places counts once for each centre. Ids of one place, as a rule all, are added up without their pairs leaving the join: where they are few, point by point at each centre,
+    where they lie close (DENSE), by squares. Only ids of several places are grouped by centre and id.
+    """
+    radii = {k: r for k, (r, _) in counts.items()}
+    flags = [f"_is_{k}" for k in counts]
+    rows = keep(points.where("point_id is not null and x is not null and y is not null").select("point_id", "x", "y", *_hits(counts)).distinct())
+    several = keep(rows.groupBy("point_id").agg((F.count("*") > 1).alias("several")).where("several").select("point_id"))
+    lone, again = rows.join(several, "point_id", "left_anti"), rows.join(several, "point_id", "left_semi")
+    hit = lambda k: F.when(joins.inside_circle(F.col("x") - F.col("px"), F.col("y") - F.col("py"), radii[k], quarter), F.col(f"_is_{k}")).otherwise(0)
+    met = lambda of: joins.within_radius(centres.select("centre_id", "x", "y"), of, max(radii.values()), flags, place=True)
+    side = min(radii.values()) / 4
+    sx, sy = geo.cell_index("x", "y", side)
+    sizes = rows.groupBy(sx.alias("sx"), sy.alias("sy")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.count("*").alias("squares")).first()
+    if sizes["n"] and sizes["n"] >= DENSE * sizes["squares"]:
+        once = _counted_squares(centres.select("centre_id", "x", "y"), lone, radii, side, quarter)
+    else:
+        once = met(lone).groupBy("centre_id").agg(*[F.sum(hit(k)).alias(k) for k in counts])
+    each = met(again).groupBy("centre_id", "point_id").agg(*[F.max(hit(k)).alias(k) for k in counts])
+    sums = once.unionByName(each.drop("point_id")).groupBy("centre_id").agg(*[F.sum(k).alias(k) for k in counts])
     return centres.select("centre_id").join(sums, "centre_id", "left").select("centre_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in counts])
 
 

@@ -93,8 +93,16 @@ def polylines_in_tiles(lines: DataFrame, tiles: DataFrame, size: float, points:
     return out.withColumn("length_m", geo.polyline_length(points))
 
 
-def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Sequence[str] = ()) -> DataFrame:
-    """(centre columns, point_id, cols, d2): pairs at a distance up to the radius, the exact circle.
+def inside_circle(dx: Column, dy: Column, radius: float, quarter: int | None = None) -> Column:
+    """Whether an offset is within a radius; with `quarter`, within the regular polygon that has so many segments in each quarter and its corners on the circle, the first to the right."""
+    if quarter is None:
+        return dx * dx + dy * dy <= radius * radius
+    half = math.pi / (4 * quarter)
+    return F.sqrt(dx * dx + dy * dy) * F.cos(F.pmod(F.atan2(dy, dx), F.lit(2 * half)) - half) <= radius * math.cos(half)
+
+
+def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Sequence[str] = (), place: bool = False) -> DataFrame:
+    """(centre columns, point_id, cols, d2): pairs at a distance up to the radius, the exact circle; with `place` also px and py.
 
     Centres are (centre_id, x, y), points (point_id, x, y). Points go to the nine squares of side `radius` round them, so that each pair meets once.
     """
@@ -103,7 +111,7 @@ def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Se
     around = points.select("point_id", *cols, F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.sequence(cx - 1, cx + 1)).alias("kx"), cy.alias("_cy"))
     around = around.withColumn("ky", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1))).drop("_cy")
     dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    return left.join(around, ["kx", "ky"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius).drop("kx", "ky", "px", "py")
+    return left.join(around, ["kx", "ky"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius).drop("kx", "ky", *(() if place else ("px", "py")))
 
 
 def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, rounds: int = 40, max_distance: float | None = None) -> DataFrame:

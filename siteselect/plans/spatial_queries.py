@@ -67,6 +67,15 @@ def _(t):
     return features.radius_counts(centres(t), t("station"), {"n": (1000.0, None)})
 
 
+POLYGON = "sqrt(dx * dx + dy * dy) * cos(atan2(dy, dx) - floor(atan2(dy, dx) / (pi() / 32)) * pi() / 32 - pi() / 64) <= 1000 * cos(pi() / 64)"
+
+
+@query("j6_radius_join_polygon", f"WITH {CENTRES}, d AS (SELECT c.grid_id, p.point_id, c.x - p.x AS dx, c.y - p.y AS dy FROM centre c LEFT JOIN $poi p ON abs(c.x - p.x) <= 1000 AND abs(c.y - p.y) <= 1000) SELECT grid_id AS centre_id, count(DISTINCT point_id) FILTER (WHERE {POLYGON}) AS n FROM d GROUP BY grid_id")
+def _(t):
+    """The circle as a polygon of 16 segments a quarter."""
+    return features.radius_counts(centres(t), t("poi").select("point_id", "x", "y"), {"n": (1000.0, None)}, quarter=16)
+
+
 @query("j7_radius_count", f"WITH {CENTRES} SELECT c.grid_id AS centre_id, count(p.point_id) AS within_1000m FROM centre c LEFT JOIN $poi p ON (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 1000000 GROUP BY c.grid_id")
 def _(t):
     return features.radius_counts(centres(t), t("poi").select("point_id", "x", "y"), {"within_1000m": (1000.0, None)})

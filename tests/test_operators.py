@@ -190,3 +190,28 @@ def test_nothing_outside_imports_the_text_package():
     for path in root.rglob("*.py"):
         if "llm" not in path.parts:
             assert "siteselect.llm" not in path.read_text(), path
+
+
+def test_radius_counts_by_points_and_by_squares(spark, monkeypatch):
+    rng = random.Random(12)
+    centres = [(i, rng.uniform(0, 900), rng.uniform(0, 900)) for i in range(60)] + [(99, 100.0, 100.0)]
+    points = [(i, float(round(rng.gauss(400, 150))), float(round(rng.gauss(400, 150))), rng.random() < 0.4) for i in range(700)]
+    points += [(5000, 300.0, 300.0, True)] * 3 + [(6000, 300.0, 300.0, False), (6000, 500.0, 500.0, True), (7000, 150.0, 100.0, None)]  # repeated rows; one id in two places
+    points += [(8000 + i, 450.0, 450.0, True) for i in range(200)]  # one place
+    frame = spark.createDataFrame([*points, (None, 1.0, 1.0, True), (9999, None, 1.0, True)], "point_id int, x double, y double, flag boolean")
+    around = spark.createDataFrame(centres, "centre_id int, x double, y double")
+    counts = {"near": (50.0, None), "far": (200.0, None), "flagged": (100.0, F.col("flag"))}
+
+    def inside(dx, dy, r, quarter):
+        if quarter is None:
+            return dx * dx + dy * dy <= r * r
+        ring = [(r * math.cos(2 * math.pi * k / (4 * quarter)), r * math.sin(2 * math.pi * k / (4 * quarter))) for k in range(4 * quarter)]
+        return all((bx - ax) * (dy - ay) - (by - ay) * (dx - ax) >= -1e-9 for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True))
+
+    for quarter in (None, 2, 16):
+        want = {c: tuple(len({p for p, px, py, f in points if inside(x - px, y - py, r, quarter) and (k != "flagged" or f)}) for k, (r, _) in counts.items()) for c, x, y in centres}
+        for dense in (10**9, 0):
+            monkeypatch.setattr(features, "DENSE", dense)
+            got = {r["centre_id"]: (r["near"], r["far"], r["flagged"]) for r in features.radius_counts(around, frame, counts, ["flag"], quarter).collect()}
+            assert got == want
+        assert set(r["far"] for r in features.radius_counts(around, frame.limit(0), counts).collect()) == {0}
