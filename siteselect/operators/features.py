@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteselect.functions import clean, geo
-from siteselect.operators import joins
+from siteselect.operators import joins, ranks
 from siteselect.operators.scratch import keep
 
 
@@ -239,9 +239,12 @@ def largest_objects(pieces: DataFrame) -> DataFrame:
 
 def distribution(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """For each column: rows, zeros, nonzeros and their share, mean, percentiles 50, 90, 95 and 99 (linear between ranks), maximum."""
-    long = df.unpivot(list(by), list(columns), "feature", "v")
-    v = F.col("v")
-    return long.groupBy(*by, "feature").agg(F.count(v).alias("n"), F.sum((v == 0).cast("long")).alias("zeros"), F.sum((v != 0).cast("long")).alias("nonzeros"), F.avg((v != 0).cast("double")).alias("nonzero_fraction"), F.avg(v).alias("mean"), *[F.percentile(v, p / 100).alias(f"p{p}") for p in (50, 90, 95, 99)], F.max(v).alias("max"))
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "feature", "v")
+    v, keys = F.col("v"), [*by, "feature"]
+    own = long.groupBy(*keys).agg(F.count(v).alias("n"), F.sum((v == 0).cast("long")).alias("zeros"), F.sum((v != 0).cast("long")).alias("nonzeros"), F.avg((v != 0).cast("double")).alias("nonzero_fraction"), F.avg(v).alias("mean"))
+    found = ranks.quantiles(long, "v", {**{f"p{p}": p / 100 for p in (50, 90, 95, 99)}, "max": 1.0}, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [own[k].eqNullSafe(found[f"_{k}"]) for k in keys]
+    return own.join(found, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def station_dataset(stations: DataFrame, sockets: DataFrame, columns: Sequence[str] = ("socket_count", "total_power_kw")) -> DataFrame:

@@ -40,18 +40,38 @@ def prefix_counts(df: DataFrame, column: str, by: Sequence[str] = (), weights: d
     return out.select(*by, column, *[c for k in sums for c in (F.col(f"{k}same"), (F.col(f"{k}base") + F.col(f"{k}in")).alias(f"{k}below"), F.col(f"{k}n"))])
 
 
-def with_places(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
-    """df with {name}_same, {name}_below and {name}_n of each value; nulls have nulls.
+def quantiles(df: DataFrame, column: str, probabilities: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., names...): exact percentiles of a column, linear between ranks, each by selection: what stands at a rank is looked up in the counts of values, so that no
+    task holds a group's values. Nulls are left out; a group of nulls alone has no row, and without groups there is always one."""
+    counts = prefix_counts(df, column, by)
+    first, end = F.col("below"), F.col("below") + F.col("same")
 
-    All values come from df itself: they are unpivoted once, counted and ranked by name, and written; then each name adds one join to the plan.
+    def at(p: float) -> Column:
+        place = p * (F.col("n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        held = lambda r: F.max(F.when((first <= r) & (r < end), F.col(column)))
+        share = F.max(place - low)
+        return F.when(share == 0, held(low)).otherwise((1 - share) * held(low) + share * held(high))
+
+    return counts.groupBy(*by).agg(*[at(p).alias(k) for k, p in probabilities.items()])
+
+
+def with_places(df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """df with {name}_same, {name}_below and {name}_n of each value, within groups of equal `by`; nulls have nulls.
+
+    All values come from df itself: its rows are numbered and written, their values stand in one long table of (row, name, value), which meets the counts of
+    values in one join by name and value. The places of a row gather in a partial aggregate, so that one row for each of df's goes back to it; the
+    plan does not grow with the number of values.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in values.items()]))
-    counts = keep(prefix_counts(df.select(each.alias("v")).select("v.*"), "value", ["name"]))
-    out = df
-    for i, (name, value) in enumerate(values.items()):
-        own = counts.where(F.col("name") == name).select(F.col("value").alias(f"_v{i}"), *[F.col(c).alias(f"{name}_{c}") for c in ("same", "below", "n")])
-        out = out.join(own, value.cast("double") == F.col(f"_v{i}"), "left").drop(f"_v{i}")
-    return out
+    rows = keep(df.withColumn("_row", F.monotonically_increasing_id()))
+    by = list(by)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), v.cast("double").alias("_value")) for i, v in enumerate(values.values())]))
+    group = F.struct(F.lit(0), *by).alias("_by")  # a struct, so that nulls in it are equal
+    long = rows.select("_row", group, each.alias("v")).select("_row", "_by", "v.*").where("_value is not null")
+    counts = keep(prefix_counts(long, "_value", ["_name", "_by"]))
+    met = long.join(counts, ["_name", "_by", "_value"]).groupBy("_row")
+    wide = met.agg(*[F.max(F.when(F.col("_name") == i, F.col(c))).alias(f"{name}_{c}") for i, name in enumerate(values) for c in ("same", "below", "n")])
+    return rows.join(wide, "_row", "left").drop("_row")
 
 
 def places(names: Sequence[str]) -> list[str]:
@@ -97,11 +117,11 @@ def positive_percentile_score(df: DataFrame, column: str, out: str) -> DataFrame
     return percentile_score(positive, "_p", "_s").withColumn(out, F.coalesce("_s", F.lit(0.0))).drop("_p", "_s")
 
 
-def percentile_scores(df: DataFrame, scores: Mapping[str, tuple[str, str]]) -> DataFrame:
-    """df with a percentile score for each entry {out: (column, kind)}; kind is high, low or positive."""
+def percentile_scores(df: DataFrame, scores: Mapping[str, tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
+    """df with a percentile score for each entry {out: (column, kind)}, within groups of equal `by`; kind is high, low or positive."""
     names = {out: f"_{i}" for i, out in enumerate(scores)}
     value = lambda c, kind: F.when(F.col(c) > 0, F.col(c)) if kind == "positive" else F.col(c)
-    ranked = with_places(df, {names[out]: value(*how) for out, how in scores.items()})
+    ranked = with_places(df, {names[out]: value(*how) for out, how in scores.items()}, by)
     score = {out: percentile(names[out], descending=kind == "low") for out, (_, kind) in scores.items()}
     filled = {out: F.coalesce(c, F.lit(0.0)) if scores[out][1] == "positive" else c for out, c in score.items()}
     return ranked.withColumns(filled).drop(*places(list(names.values())))
@@ -125,7 +145,27 @@ def row_numbers(df: DataFrame, column: str, id_col: str, out: str) -> DataFrame:
     return numbered(df, [F.desc_nulls_last(column), F.asc(id_col)], out).withColumn(out, F.when(F.col(column).isNotNull(), F.col(out)))
 
 
+def row_places(df: DataFrame, columns: Sequence[str], id_col: str, suffix: str = "_place") -> DataFrame:
+    """(id, {column}_place...): for each column the place by value, highest first, ties by id; nulls have none. All columns are sorted and numbered as one long table."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), F.col(c).cast("double").alias("_value")) for i, c in enumerate(columns)]))
+    long = df.select(id_col, each.alias("v")).select(id_col, "v.*").where("_value is not null")
+    placed = numbered(long, [F.col("_name"), F.desc("_value"), F.col(id_col)], "_nth")
+    starts = placed.groupBy("_name").agg((F.min("_nth") - 1).alias("_start"))
+    places_ = placed.join(F.broadcast(starts), "_name").groupBy(id_col)  # a row for each column
+    return places_.agg(*[F.max(F.when(F.col("_name") == i, F.col("_nth") - F.col("_start"))).alias(f"{c}{suffix}") for i, c in enumerate(columns)])
+
+
 def top_fraction(df: DataFrame, column: str, fraction: float, id_col: str) -> DataFrame:
-    """The max(1, ceil(n * fraction)) rows with the highest values, ties by id."""
-    n = df.count()
-    return numbered(df, [F.desc_nulls_last(column), F.asc(id_col)], "_place").where(F.col("_place") <= max(1, math.ceil(n * fraction - 1e-9))).drop("_place")
+    """The max(1, ceil(n * fraction)) rows with the highest values, ties by id; nulls are the lowest.
+
+    An approximate quantile a little below the fraction cuts most rows off; only what is left is sorted and numbered. Should it cut too much, all rows are.
+    """
+    slack = 0.002
+    sizes = df.agg(F.count("*").alias("n"), F.count(column).alias("known"), F.percentile_approx(column, max(0.0, 1 - 1.1 * fraction - slack), 10_000).alias("cut")).first()
+    k = max(1, math.ceil(sizes["n"] * fraction - 1e-9))
+    order = [F.desc_nulls_last(column), F.asc(id_col)]
+    if sizes["cut"] is not None and k <= sizes["known"]:
+        best = numbered(df.where(F.col(column) >= F.lit(sizes["cut"])), order, "_place")
+        if best.count() >= k:
+            return best.where(F.col("_place") <= k).drop("_place")
+    return numbered(df, order, "_place").where(F.col("_place") <= k).drop("_place")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,13 +22,40 @@ def with_average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return ranked.withColumns({f"{c}_rank": F.col(f"{k}_below") + (F.col(f"{k}_same") + 1) / 2 for c, k in names.items()}).drop(*ranks.places(list(names.values())))
 
 
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, rho) for each pair of columns: Pearson's correlation over the rows that have both. Values are best centred near 0.
+
+    Each task adds up the products of its rows as matrices, of values, squares and counts; tasks return a row for each pair.
+    """
+    pairs = list(combinations(range(len(columns)), 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(columns), len(columns)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], axis=1)
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            sums += np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+        one, other = (list(v) for v in zip(*pairs, strict=True)) if pairs else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(one, pa.int32()), pa.array(other, pa.int32()), *[pa.array(m[one, other]) for m in sums]], ["a", "b", *_MOMENTS])
+
+    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)])
+    summed = values.mapInArrow(run, "a int, b int, " + ", ".join(f"{m} double" for m in _MOMENTS)).groupBy("a", "b").agg(*[F.sum(m).alias(m) for m in _MOMENTS])
+    n, x, y, xx, yy, xy = (F.col(m) for m in _MOMENTS)
+    spread = F.sqrt((n * xx - x * x) * (n * yy - y * y))
+    name = lambda c: F.get(F.array(*[F.lit(k) for k in columns]), F.col(c))
+    return summed.select(name("a").alias("a"), name("b").alias("b"), F.when(spread > 0, (n * xy - x * y) / spread).alias("rho"))
+
+
+_MOMENTS = ("n", "x", "y", "xx", "yy", "xy")
+
+
 def spearman(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, rho) for each pair of columns: the correlation of average ranks."""
-    ranked = with_average_ranks(df, columns)
-    pairs = list(combinations(columns, 2))
-    row = ranked.agg(*[F.corr(f"{a}_rank", f"{b}_rank").alias(f"{a}|{b}") for a, b in pairs])
-    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("rho")) for a, b in pairs])
-    return row.select(F.explode(each).alias("p")).select("p.*")
+    names = {c: f"_{i}" for i, c in enumerate(columns)}
+    ranked = ranks.with_places(df.select(*columns), {names[c]: F.col(c) for c in columns})
+    middle = [(F.col(f"{k}_below") + (F.col(f"{k}_same") - F.col(f"{k}_n")) / 2).alias(c) for c, k in names.items()]
+    return correlations(ranked.select(*middle), columns)
 
 
 def redundant(correlations: DataFrame, limit: float = 0.9) -> DataFrame:
@@ -36,33 +65,46 @@ def redundant(correlations: DataFrame, limit: float = 0.9) -> DataFrame:
 def scale_relation(df: DataFrame, raw: str, scaled: str) -> DataFrame:
     """One row: Pearson correlation, and minimum, median, maximum and population deviation of scaled / raw where raw is not 0."""
     ratio = F.when(F.col(raw) != 0, F.col(scaled) / F.col(raw))
-    return df.agg(F.corr(raw, scaled).alias("pearson"), F.min(ratio).alias("ratio_min"), F.median(ratio).alias("ratio_median"), F.max(ratio).alias("ratio_max"), F.stddev_pop(ratio).alias("ratio_std"), F.count(ratio).alias("n"))
+    own = df.agg(F.corr(raw, scaled).alias("pearson"), F.min(ratio).alias("ratio_min"), F.max(ratio).alias("ratio_max"), F.stddev_pop(ratio).alias("ratio_std"), F.count(ratio).alias("n"))
+    middle = ranks.quantiles(df.select(ratio.alias("ratio")), "ratio", {"ratio_median": 0.5})
+    return own.join(middle, F.lit(True)).select("pearson", "ratio_min", "ratio_median", "ratio_max", "ratio_std", "n")
+
+
+def _medians(long: DataFrame, target: str) -> DataFrame:
+    """(feature, median_1, median_0) of v by class."""
+    each = ranks.quantiles(long.where(F.col(target).isin(0, 1)), "v", {"m": 0.5}, ["feature", target])
+    return each.groupBy("feature").agg(*[F.max(F.when(F.col(target) == t, F.col("m"))).alias(f"median_{t}") for t in (1, 0)])
 
 
 def class_comparison(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """For each column: means, medians and nonzero shares of the two classes and the standardised mean difference, 0 where the pooled variance is."""
-    long = df.unpivot([target], list(columns), "feature", "v")
+    long = _long(df, columns, [target])
     of = lambda t: F.when(F.col(target) == t, F.col("v"))
-    aggs = [f(of(t)).alias(f"{name}_{t}") for t in (1, 0) for name, f in (("mean", F.avg), ("median", F.median), ("var", F.var_samp), ("n", F.count))]
-    out = long.groupBy("feature").agg(*aggs, *[F.avg((of(t) != 0).cast("double")).alias(f"nonzero_{t}") for t in (1, 0)])
+    aggs = [f(of(t)).alias(f"{name}_{t}") for t in (1, 0) for name, f in (("mean", F.avg), ("var", F.var_samp), ("n", F.count))]
+    out = long.groupBy("feature").agg(*aggs, *[F.avg((of(t) != 0).cast("double")).alias(f"nonzero_{t}") for t in (1, 0)]).join(_medians(long, target), "feature", "left")
     pooled = ((F.col("n_1") - 1) * F.col("var_1") + (F.col("n_0") - 1) * F.col("var_0")) / (F.col("n_1") + F.col("n_0") - 2)
     return out.select("feature", "mean_1", "mean_0", "median_1", "median_0", "nonzero_1", "nonzero_0", F.when(pooled > 0, (F.col("mean_1") - F.col("mean_0")) / F.sqrt(pooled)).otherwise(0.0).alias("smd"))
 
 
+def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., feature, v): the columns below one another as doubles."""
+    return df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "feature", "v")
+
+
 def feature_summary(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """For each column: the share of negatives (percent) at or below the positives' median, and the mean difference over the negatives' deviation."""
-    long = df.unpivot([target], list(columns), "feature", "v")
+    long = _long(df, columns, [target])
     of = lambda t: F.when(F.col(target) == t, F.col("v"))
-    first = long.groupBy("feature").agg(F.avg(of(1)).alias("positive_mean"), F.avg(of(0)).alias("negative_mean"), F.median(of(1)).alias("positive_median"), F.median(of(0)).alias("negative_median"), F.stddev_pop(of(0)).alias("negative_std"))
+    first = long.groupBy("feature").agg(F.avg(of(1)).alias("positive_mean"), F.avg(of(0)).alias("negative_mean"), F.stddev_pop(of(0)).alias("negative_std"))
+    first = keep(first.join(_medians(long, target).toDF("feature", "positive_median", "negative_median"), "feature", "left"))
     share = long.where(F.col(target) == 0).join(first.select("feature", "positive_median"), "feature").groupBy("feature").agg((100 * F.avg((F.col("v") <= F.col("positive_median")).cast("double"))).alias("positive_median_percentile"))
-    out = first.join(share, "feature")
+    out = first.join(share, "feature").select("feature", "positive_mean", "negative_mean", "positive_median", "negative_median", "negative_std", "positive_median_percentile")
     return out.withColumn("standard_difference", F.when(F.col("negative_std") > 0, (F.col("positive_mean") - F.col("negative_mean")) / F.col("negative_std")).otherwise(0.0))
 
 
 def rank_shift(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: median and 95th percentile of the absolute difference of two ranks."""
-    shift = F.abs(F.col(a) - F.col(b))
-    return df.agg(F.median(shift).alias("median_shift"), F.percentile(shift, 0.95).alias("p95_shift"), F.max(shift).alias("max_shift"))
+    """One row: median, 95th percentile and maximum of the absolute difference of two ranks."""
+    return ranks.quantiles(df.select(F.abs(F.col(a) - F.col(b)).alias("shift")), "shift", {"median_shift": 0.5, "p95_shift": 0.95, "max_shift": 1.0})
 
 
 def score_metrics(df: DataFrame, scores: Sequence[str], base: str, others: Sequence[str] = (), id_col: str = "grid_id", fractions: Sequence[float] = (0.01, 0.05), top: int = 20, limit: float = 70.0) -> DataFrame:
@@ -71,13 +113,13 @@ def score_metrics(df: DataFrame, scores: Sequence[str], base: str, others: Seque
     columns = list(dict.fromkeys([base, *scores, *others]))
     placed = keep(df.select(id_col, *columns))
     n = placed.count()
-    for c in dict.fromkeys([base, *scores]):
-        placed = ranks.row_numbers(placed, c, id_col, f"{c}_place")
-    ranked = with_average_ranks(placed, columns)
+    middles = {r["feature"]: r["m"] for r in ranks.quantiles(_long(placed, scores), "v", {"m": 0.5}, ["feature"]).collect()}  # a number for each score
+    places = ranks.row_places(placed, list(dict.fromkeys([base, *scores])), id_col)
+    ranked = with_average_ranks(placed.join(places, id_col, "left"), columns)
     best = F.col(f"{base}_place") <= top
 
     def row(c: str) -> Column:
-        fields = [F.lit(c).alias("score"), F.median(c).alias("median"), F.avg(c).alias("mean"), F.max(c).alias("max")]
+        fields = [F.lit(c).alias("score"), F.lit(middles.get(c)).cast("double").alias("median"), F.avg(c).alias("mean"), F.max(c).alias("max")]
         fields += [F.corr(f"{c}_rank", f"{o}_rank").alias(f"spearman_{o}") for o in dict.fromkeys([base, *others])]
         for f in fractions:
             k = max(1, math.ceil(n * f - 1e-9))
@@ -93,11 +135,12 @@ def score_metrics(df: DataFrame, scores: Sequence[str], base: str, others: Seque
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 40) -> DataFrame:
     """(bin, n, median): counts in equal bins from 0 on, the last one closed, and the median of the whole column."""
     at = F.least(F.floor((F.col(column) - low) / (high - low) * bins), F.lit(bins - 1)).cast("long")
-    middle = df.agg(F.median(column).alias("median"))
-    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).withColumn("median", middle.scalar())
+    middle = ranks.quantiles(df.select(F.col(column).cast("double").alias("v")), "v", {"median": 0.5})
+    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n")).join(middle, F.lit(True))
 
 
 def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, lowest, q1, middle, q3, highest) for each column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
-    return long.groupBy("column").agg(F.min("v").alias("lowest"), F.percentile("v", 0.25).alias("q1"), F.median("v").alias("middle"), F.percentile("v", 0.75).alias("q3"), F.max("v").alias("highest"))
+    """(column, lowest, q1, middle, q3, highest) for each column; one without values has nulls."""
+    found = ranks.quantiles(_long(df, columns), "v", {"lowest": 0.0, "q1": 0.25, "middle": 0.5, "q3": 0.75, "highest": 1.0}, ["feature"])
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(found, "feature", "left").withColumnRenamed("feature", "column")

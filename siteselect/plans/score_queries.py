@@ -119,10 +119,7 @@ PERC = ", ".join(f"{pct(f'm{i}', 'cv_fold')} AS p{i}" for i in (1, 2, 3))
 
 
 def percentiles(t: Tables):
-    c = t("candidate").where("target = 0")
-    for i in (1, 2, 3):
-        c = keep(ranks.percentile_score(c, f"m{i}", f"p{i}", by=["cv_fold"]))
-    return c
+    return ranks.percentile_scores(t("candidate").where("target = 0"), {f"p{i}": (f"m{i}", "high") for i in (1, 2, 3)}, by=["cv_fold"])
 
 
 @query("p13_consensus", f"WITH p AS (SELECT *, {PERC} FROM $candidate WHERE target = 0), c AS (SELECT grid_id, list_sort([p1, p2, p3]) AS l, CAST(p1 >= 80 AS INTEGER) + CAST(p2 >= 80 AS INTEGER) + CAST(p3 >= 80 AS INTEGER) AS a, CAST(p1 >= 90 AS INTEGER) + CAST(p2 >= 90 AS INTEGER) + CAST(p3 >= 90 AS INTEGER) AS b FROM p) SELECT grid_id, round(l[2], 5) AS consensus_median, round(l[1], 5) AS consensus_min, round(l[3], 5) AS consensus_max, a AS models_top_20, b AS models_top_10, a >= 2 AS at_least_two, a = 3 AS all_models FROM c")
