@@ -184,13 +184,31 @@ def local_categories(points: DataFrame, grid: DataFrame, flags: Sequence[str], s
     return grid.select("grid_id").join(sums, "grid_id", "left").select("grid_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
 
 
+def row_spans(boundary: DataFrame, pixel: float, shape: str = "shape") -> DataFrame:
+    """(prow, first, last): for each row of pixels the columns whose centres are inside polygons, from where the row's middle line crosses their edges; edges count as inside."""
+    low, high = geo.extent(shape, "y")
+    rows = boundary.select(shape).withColumn("prow", F.explode(F.when(high > low, F.sequence(F.ceil(low / pixel - 0.5), F.floor(high / pixel - 0.5)))))
+    y = (F.col("prow") + 0.5) * pixel
+    crossing = F.filter(geo.shape_edges(shape), lambda e: (e["y1"] > y) != (e["y2"] > y))
+    cuts = F.array_sort(F.transform(crossing, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+    pairs = F.transform(F.sequence(F.lit(0), (F.size("cuts") / 2).cast("int") - 1), lambda i: F.struct(F.ceil(F.get("cuts", 2 * i) / pixel - 0.5).alias("first"), F.floor(F.get("cuts", 2 * i + 1) / pixel - 0.5).alias("last")))
+    spans = rows.select("prow", cuts.alias("cuts")).where(F.size("cuts") > 0)
+    return spans.select("prow", F.explode(pairs).alias("s")).select("prow", "s.*").where("first <= last")
+
+
+def masked(pixels: DataFrame, boundary: DataFrame, pixel: float, shape: str = "shape") -> DataFrame:
+    """The pixels (prow, pcol, ...) whose centre is inside the boundary's polygons. Pixels meet the spans of their row, not the polygon."""
+    spans = row_spans(boundary, pixel, shape).withColumnRenamed("prow", "_prow")
+    return pixels.join(spans, (F.col("prow") == F.col("_prow")) & F.col("pcol").between(F.col("first"), F.col("last")), "left_semi")
+
+
 def regrid(pixels: DataFrame, pixel: float, cell: float) -> DataFrame:
-    """(cx, cy, population): pixel values (prow, pcol, value) dealt to the cells they overlap by the share of their area; the sum stays."""
+    """(cx, cy, population, density_per_km2): pixel values (prow, pcol, value) dealt to the cells they overlap by the share of their area; the sum stays."""
     x0, y0 = F.col("pcol") * pixel, F.col("prow") * pixel
     span = lambda a: F.sequence(F.floor(a / cell), F.ceil((a + pixel) / cell) - 1)
     keyed = pixels.withColumn("cx", F.explode(span(x0))).withColumn("cy", F.explode(span(y0)))
     share = lambda a, k: (F.least(a + pixel, (F.col(k) + 1) * cell) - F.greatest(a, F.col(k) * cell)) / pixel
-    return keyed.groupBy("cx", "cy").agg(F.sum(F.col("value") * share(x0, "cx") * share(y0, "cy")).alias("population"))
+    return keyed.groupBy("cx", "cy").agg(F.sum(F.col("value") * share(x0, "cx") * share(y0, "cy")).alias("population")).withColumn("density_per_km2", F.col("population") / (cell * cell / 1e6))
 
 
 def circular_offsets(radius: float, cell: float) -> list[tuple[int, int]]:

@@ -165,18 +165,39 @@ def _(t):
     return local.join(around.withColumnRenamed("centre_id", "grid_id"), "grid_id")
 
 
-CELLS = "cell AS (SELECT CAST(floor(pcol / 5.0) AS BIGINT) AS cx, CAST(floor(prow / 5.0) AS BIGINT) AS cy, sum(value) AS population FROM $pixel WHERE value IS NOT NULL GROUP BY 1, 2)"
+def outlined(table: str, key: str, x: str, y: str, outline: list = OUTLINE) -> str:
+    """SQL of points that are inside an outline (or on its edge) and their distance to its edges."""
+    edges = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(outline, [*outline[1:], outline[0]], strict=True))
+    u = "greatest(0.0, least(1.0, ((px - ex1) * (ex2 - ex1) + (py - ey1) * (ey2 - ey1)) / ((ex2 - ex1) * (ex2 - ex1) + (ey2 - ey1) * (ey2 - ey1))))"
+    return f"""edge(ex1, ey1, ex2, ey2) AS (VALUES {edges}), tried AS (SELECT *, (ey1 > py) <> (ey2 > py) AND px < (ex2 - ex1) * (py - ey1) / nullif(ey2 - ey1, 0) + ex1 AS crosses, {u} AS u FROM (SELECT {key} AS k, {x} AS px, {y} AS py FROM {table}), edge),
+outlined AS (SELECT k, min(sqrt((px - ex1 - u * (ex2 - ex1)) * (px - ex1 - u * (ex2 - ex1)) + (py - ey1 - u * (ey2 - ey1)) * (py - ey1 - u * (ey2 - ey1)))) AS d, count(*) FILTER (WHERE crosses) % 2 = 1 AS odd FROM tried GROUP BY k)"""
 
 
-def population(t: Tables):
+#: Pixels of 300 m in cells of 500 m, so that most lie in two or four; the boundary spans the same columns and rows as the raster.
+PIXEL = 300.0
+WIDE = [(3 * x, 3 * y) for x, y in OUTLINE]
+CELLS = f"""known AS (SELECT prow, pcol, prow * 1000 + pcol AS k, value FROM $pixel WHERE value IS NOT NULL), {outlined("(SELECT DISTINCT prow, pcol, k FROM known)", "k", "pcol * 300 + 150.0", "prow * 300 + 150.0", WIDE)},
+held AS (SELECT prow, pcol, value FROM known JOIN outlined USING (k) WHERE odd OR d < 1e-9),
+met AS (SELECT *, unnest(range(CAST(floor(pcol * 300 / 500.0) AS BIGINT), CAST(ceil((pcol + 1) * 300 / 500.0) AS BIGINT))) AS cx FROM held),
+both_ AS (SELECT *, unnest(range(CAST(floor(prow * 300 / 500.0) AS BIGINT), CAST(ceil((prow + 1) * 300 / 500.0) AS BIGINT))) AS cy FROM met),
+cell AS (SELECT cx, cy, sum(value * (least((pcol + 1) * 300, (cx + 1) * 500) - greatest(pcol * 300, cx * 500)) * (least((prow + 1) * 300, (cy + 1) * 500) - greatest(prow * 300, cy * 500)) / 90000.0) AS population FROM both_ GROUP BY cx, cy)"""
+
+
+def inhabited(t: Tables):
+    """Usable pixels inside the boundary."""
     from siteselect.sources.readers import pixels
 
-    return features.regrid(pixels(t("pixel")), 100.0, 500.0)
+    outline = t.spark.range(1).select(geo.shape_of(geo.ring_of(*WIDE)).alias("shape"))
+    return features.masked(pixels(t("pixel")), outline, PIXEL)
+
+
+def population(t: Tables):
+    return features.regrid(inhabited(t), PIXEL, 500.0)
 
 
-@query("a6_population_regrid", f"WITH {CELLS} SELECT cx, cy, round(population, 4) AS population FROM cell")
+@query("a6_population_regrid", f"WITH {CELLS} SELECT cx, cy, round(population, 3) AS population, round(population * 4, 3) AS density_per_km2 FROM cell")
 def _(t):
-    return population(t).select("cx", "cy", F.round("population", 4).alias("population"))
+    return population(t).select("cx", "cy", F.round("population", 3).alias("population"), F.round("density_per_km2", 3).alias("density_per_km2"))
 
 
 @query("a7_focal_sum", f"WITH {CELLS} SELECT a.cx, a.cy, round(sum(b.population), 3) AS population_1000m FROM cell a JOIN cell b ON (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 4 GROUP BY a.cx, a.cy")
@@ -184,20 +205,13 @@ def _(t):
     return features.focal_sum(population(t), "population", 1000.0, 500.0, "population_1000m").select("cx", "cy", F.round("population_1000m", 3).alias("population_1000m"))
 
 
-@query("a8_mass_report", f"WITH {CELLS}, a AS (SELECT sum(value) AS b FROM $pixel WHERE value IS NOT NULL), c AS (SELECT sum(population) AS d FROM cell) SELECT round(b, 2) AS before, round(d, 2) AS after, true AS conserved FROM a, c")
+@query("a8_mass_report", f"WITH {CELLS}, a AS (SELECT sum(value) AS b FROM held), c AS (SELECT sum(population) AS d FROM cell), u AS (SELECT sum(value) AS w FROM known) SELECT round(b, 2) AS before, round(d, 2) AS after, abs(d - b) / b < 1e-8 AS conserved, round(w - b, 2) AS outside FROM a, c, u")
 def _(t):
     from siteselect.sources.readers import pixels
 
-    r = features.mass_report(pixels(t("pixel")), population(t), "value", "population")
-    return r.select(F.round("before", 2).alias("before"), F.round("after", 2).alias("after"), (F.abs("relative_percent") < 1e-6).alias("conserved"))
-
-
-def outlined(table: str, key: str, x: str, y: str) -> str:
-    """SQL of points with `inside` (or on the edge of OUTLINE) and their distance to its edges."""
-    edges = ", ".join(f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for a, b in zip(OUTLINE, [*OUTLINE[1:], OUTLINE[0]], strict=True))
-    u = "greatest(0.0, least(1.0, ((px - ex1) * (ex2 - ex1) + (py - ey1) * (ey2 - ey1)) / ((ex2 - ex1) * (ex2 - ex1) + (ey2 - ey1) * (ey2 - ey1))))"
-    return f"""edge(ex1, ey1, ex2, ey2) AS (VALUES {edges}), tried AS (SELECT *, (ey1 > py) <> (ey2 > py) AND px < (ex2 - ex1) * (py - ey1) / nullif(ey2 - ey1, 0) + ex1 AS crosses, {u} AS u FROM (SELECT {key} AS k, {x} AS px, {y} AS py FROM {table}), edge),
-outlined AS (SELECT k, min(sqrt((px - ex1 - u * (ex2 - ex1)) * (px - ex1 - u * (ex2 - ex1)) + (py - ey1 - u * (ey2 - ey1)) * (py - ey1 - u * (ey2 - ey1)))) AS d, count(*) FILTER (WHERE crosses) % 2 = 1 AS odd FROM tried GROUP BY k)"""
+    r = features.mass_report(inhabited(t), population(t), "value", "population")
+    every = pixels(t("pixel")).agg(F.sum("value").alias("every"))
+    return r.join(every, F.lit(True)).select(F.round("before", 2).alias("before"), F.round("after", 2).alias("after"), (F.abs("relative_percent") < 1e-6).alias("conserved"), F.round(F.col("every") - F.col("before"), 2).alias("outside"))
 
 
 CELLS = "b AS (SELECT CAST(floor(min(x) / 500) AS BIGINT) AS cx0, CAST(floor(min(y) / 500) AS BIGINT) AS cy0, CAST(ceil(max(x) / 500) AS BIGINT) AS cx1, CAST(ceil(max(y) / 500) AS BIGINT) AS cy1 FROM $poi), cells AS (SELECT cx, cy, cx * 1000000 + cy AS k FROM (SELECT unnest(range(cx0, cx1)) AS cx FROM b), (SELECT unnest(range(cy0, cy1)) AS cy FROM b))"

@@ -166,3 +166,25 @@ def test_points_may_have_a_grid_id(spark):
     cells = spark.createDataFrame([("a", 0, 0), ("b", 1, 0)], "grid_id string, cx long, cy long")
     points = spark.createDataFrame([(1, 5.0, 5.0, "old"), (2, 500.0, 1.0, "old"), (3, None, 1.0, "old")], "point_id int, x double, y double, grid_id string")
     assert {r["point_id"]: r["grid_id"] for r in joins.point_in_cell(points, cells).collect()} == {1: "a", 2: "a"}
+
+
+def test_pixels_inside_a_boundary_and_their_mass_in_cells(spark):
+    rings = [[(12, 8), (190, 30), (170, 160), (100, 60), (40, 180)], [(60, 40), (90, 45), (80, 50)]]
+    frame = spark.createDataFrame([(shape(*rings),)], f"shape {SHAPE}")
+    pixels = spark.createDataFrame([(r, c, float(r * 31 + c)) for r in range(-2, 25) for c in range(-2, 25)], "prow long, pcol long, value double")
+    held = features.masked(pixels, frame, 9.0)
+    want = {(r, c) for r in range(-2, 25) for c in range(-2, 25) if inside((c + 0.5) * 9, (r + 0.5) * 9, rings)}
+    assert {(p["prow"], p["pcol"]) for p in held.collect()} == want and len(want) > 100
+    cells = features.regrid(held, 9.0, 25.0)
+    report = features.mass_report(held, cells, "value", "population").first()
+    assert report["after"] == pytest.approx(report["before"])
+    by_cell = {}
+    for r, c in want:
+        for i in range(9):
+            for j in range(9):
+                key = ((c * 9 + i) // 25, (r * 9 + j) // 25)
+                by_cell[key] = by_cell.get(key, 0) + (r * 31 + c) / 81
+    got = {(p["cx"], p["cy"]): (p["population"], p["density_per_km2"]) for p in cells.collect()}
+    assert {k: v[0] for k, v in got.items()} == pytest.approx(by_cell)
+    assert all(d == pytest.approx(v / (25 * 25 / 1e6)) for v, d in got.values())
+    assert features.masked(pixels, frame.limit(0), 9.0).count() == 0
