@@ -100,6 +100,26 @@ def socket_keys(tags: Column | str) -> Column:
     return F.array_sort(F.transform(F.map_keys(F.map_filter(_c(tags), lambda k, v: k.startswith("socket:") & socket_available(v))), lambda k: F.substring(k, 8, 100)))
 
 
+def prepared_stations(elements: DataFrame, order: str = "pos", tags: str = "tags") -> DataFrame:
+    """Stations from map elements (type, id, tags, ...): station_id is type_id, of equal ones the first by `order` stays, and the socket tags become
+    connectors (sorted, joined by ;), how many kinds and sockets are known, and AC and DC flags; capacity as a number. Rows without a type or id go."""
+    keyed = elements.where("type is not null and id is not null").withColumn("station_id", F.concat_ws("_", F.col("type"), F.col("id").cast("string")))
+    others = [c for c in keyed.columns if c != "station_id"]
+    first = keyed.groupBy("station_id").agg(F.min_by(F.struct(*others), order).alias("_s")).select("station_id", "_s.*")
+    keys = socket_keys(tags)
+    counts = F.aggregate(F.transform(keys, lambda k: socket_count(F.element_at(_c(tags), F.concat(F.lit("socket:"), k)))), F.lit(0.0), lambda a, n: a + n)
+    return first.withColumns(
+        {
+            "connector_types": F.array_join(keys, ";"),
+            "mapped_socket_type_count": F.size(keys),
+            "known_socket_count": counts,
+            "has_ac": has_any(keys, AC_SOCKETS),
+            "has_dc": has_any(keys, DC_SOCKETS),
+            "capacity_numeric": strict_number(clean_text(F.element_at(_c(tags), F.lit("capacity")))),
+        }
+    )
+
+
 def has_any(keys: Column | str, of: Sequence[str]) -> Column:
     return F.arrays_overlap(_c(keys), F.array(*[F.lit(x) for x in of]))
 

@@ -25,10 +25,10 @@ def quadrants(box: DataFrame) -> DataFrame:
     return box.select(q.alias("q")).select("q.*")
 
 
-def square_grid(spark: SparkSession, left: float, bottom: float, right: float, top: float, size: float, ring: list[tuple[float, float]] | None = None, prefix: str = "G") -> DataFrame:
+def square_grid(spark: SparkSession, left: float, bottom: float, right: float, top: float, size: float, ring: list[tuple[float, float]] | None = None, prefix: str = "G", zone: int | None = None) -> DataFrame:
     """(grid_id, cx, cy, x0, y0, x1, y1, cell_area_m2): square cells from multiples of the size, numbered along y first.
 
-    With a ring, cells whose centre is inside or on it stay and are numbered. Numbers come from a sort by range and each partition's count.
+    With a UTM zone, in whose metres the plane is, also the centre's longitude and latitude to 7 digits. With a ring, cells whose centre is inside or on it stay and are numbered. Numbers come from a sort by range and each partition's count.
     """
     cx0, cy0 = math.floor(left / size), math.floor(bottom / size)
     nx, ny = math.ceil(right / size) - cx0, math.ceil(top / size) - cy0
@@ -42,7 +42,12 @@ def square_grid(spark: SparkSession, left: float, bottom: float, right: float, t
     columns = cells.groupBy("cx").agg(F.count("*").alias("n"))
     starts = columns.select("cx", (F.coalesce(F.sum("n").over(W.orderBy("cx").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("start"))
     numbered = cells.join(starts, "cx").withColumn("number", F.row_number().over(W.partitionBy("cx").orderBy("cy")) + F.col("start"))
-    return numbered.select(F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("number").cast("string"), max(6, len(str(nx * ny))), "0")).alias("grid_id"), "cx", "cy", "x0", "y0", "x1", "y1", "cell_area_m2")
+    centre = []
+    if zone is not None:
+        places = geo.from_utm(F.col("x0") + size / 2, F.col("y0") + size / 2, zone)
+        centre = [F.round(v, 7).alias(k) for k, v in zip(("center_lon", "center_lat"), places, strict=True)]
+    name = F.concat(F.lit(f"{prefix}_"), F.lpad(F.col("number").cast("string"), max(6, len(str(nx * ny))), "0"))
+    return numbered.select(name.alias("grid_id"), "cx", "cy", "x0", "y0", "x1", "y1", "cell_area_m2", *centre)
 
 
 def block_id(x: Column | str, y: Column | str, size: float = 5000.0) -> Column:

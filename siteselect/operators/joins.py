@@ -181,6 +181,29 @@ def nearest_shape(centres: DataFrame, shapes: DataFrame, start: float = 500.0, d
     return within.unionByName(near)
 
 
+def compared(points: DataFrame, reference: DataFrame, radius: float) -> DataFrame:
+    """points (point_id, x, y, ...) with the nearest point of a reference, its distance and whether it is a duplicate: matched_id, distance, duplicate. Nearest at any distance,
+    so that near misses can be looked at; null without coordinates or reference, which is no duplicate."""
+    near = nearest(points.select(F.col("point_id").alias("centre_id"), "x", "y"), reference).toDF("_id", "matched_id", "distance")
+    once = near.dropDuplicates(["_id"])
+    met = points.join(once, F.col("point_id") == F.col("_id"), "left").drop("_id")
+    return met.withColumn("duplicate", F.coalesce(F.col("distance") <= radius, F.lit(False)))
+
+
+def unmatched(points: DataFrame, reference: DataFrame, radius: float) -> DataFrame:
+    """The points that no point of the reference is within the radius of."""
+    return compared(points, reference, radius).where("not duplicate").select(*points.columns)
+
+
+def attached(base: DataFrame, context: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
+    """base with context columns for each of its rows: keys are unique on both sides, and a row that would have a null raises when the result is read."""
+    out = one_to_one(base, context.select(on, *columns), on, "left")
+    for c in columns:
+        why = F.concat(F.lit(f"no {c} for "), F.col(on).cast("string"))
+        out = out.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(why).cast(out.schema[c].dataType)))
+    return out
+
+
 def one_to_one(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """A join whose key must be unique on both sides; a repeated key raises when the result is read."""
     checked = lambda d: d.groupBy(on).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in d.columns if c != on]).withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"repeated {on}: "), F.col(on).cast("string"))).cast("long")).otherwise(1)).where("_n = 1").drop("_n")

@@ -222,7 +222,7 @@ def permutation_importance(rows: DataFrame, features: Sequence[str], target: str
 
 
 def importance_summary(drops: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
-    return drops.groupBy(*by).agg(F.avg("pooled_drop").alias("drop_mean"), F.stddev_samp("pooled_drop").alias("drop_std"), F.avg("fold_drop_mean").alias("fold_drop_mean"), F.avg((F.col("pooled_drop") > 0).cast("double")).alias("positive_fraction"))
+    return drops.groupBy(*by).agg(F.avg("pooled_drop").alias("drop_mean"), F.stddev_samp("pooled_drop").alias("drop_std"), F.avg("fold_drop_mean").alias("fold_drop_mean"), F.avg((F.col("pooled_drop") > 0).cast("double")).alias("positive_fraction")).orderBy(*by[:-1], F.desc("drop_mean"), by[-1])
 
 
 def coefficients(fitted, rows: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -68,12 +68,22 @@ def _(t):
     return t("part").select("p_partkey", clean.socket_count(text).alias("n"))
 
 
-@query("t11_station_preparation", "SELECT s_suppkey, concat(CASE WHEN s_suppkey % 3 = 0 THEN 'chademo' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN ';' ELSE '' END, CASE WHEN s_suppkey % 2 = 0 THEN 'type2' ELSE '' END) AS connectors, s_suppkey % 2 = 0 AS has_ac, s_suppkey % 3 = 0 AS has_dc FROM supplier")
-def _(t):
-    value = lambda k: F.when(F.col("s_suppkey") % k == 0, "2").otherwise("no")
-    tags = F.create_map(F.lit("socket:type2"), value(2), F.lit("socket:chademo"), value(3), F.lit("name"), F.col("s_name"))
-    keyed = t("supplier").select("s_suppkey", clean.socket_keys(tags).alias("k"))
-    return keyed.select("s_suppkey", F.array_join("k", ";").alias("connectors"), clean.has_any("k", clean.AC_SOCKETS).alias("has_ac"), clean.has_any("k", clean.DC_SOCKETS).alias("has_dc"))
+STATIONS = """WITH e AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 2 ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem),
+s AS (SELECT concat(CASE WHEN l_linenumber % 2 = 0 THEN 'node' ELSE 'way' END, '_', l_suppkey) AS station_id, l_orderkey % 3 = 0 AS c, l_orderkey % 2 = 0 AS t, CAST(l_linenumber AS DOUBLE) AS n, CAST(l_quantity AS DOUBLE) AS q, l_returnflag FROM e WHERE r = 1)
+SELECT station_id, CASE WHEN c AND t THEN 'chademo;type2' WHEN c THEN 'chademo' WHEN t THEN 'type2' ELSE '' END AS connector_types, CAST(c AS INTEGER) + CAST(t AS INTEGER) AS mapped_socket_type_count,
+  CASE WHEN c THEN 2.0 ELSE 0.0 END + CASE WHEN t THEN n + 1 ELSE 0.0 END AS known_socket_count, t AS has_ac, c AS has_dc, CASE WHEN l_returnflag <> 'A' THEN q END AS capacity_numeric FROM s"""
+
+
+@query("t11_station_preparation", STATIONS)
+def _(t):
+    text = F.concat(F.col("l_linenumber").cast("string"), F.lit("; 1"))
+    chademo, type2 = F.when(F.col("l_orderkey") % 3 == 0, "2").otherwise("no"), F.when(F.col("l_orderkey") % 2 == 0, text).otherwise("0")
+    capacity = F.when(F.col("l_returnflag") == "A", "about 4").otherwise(F.concat(F.lit(" "), F.translate(F.col("l_quantity").cast("double").cast("string"), ".", ",")))
+    tags = F.create_map(F.lit("socket:type2"), type2, F.lit("socket:chademo"), chademo, F.lit("capacity"), capacity, F.lit("name"), F.lit("x"))
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "node").otherwise("way")
+    each = t("lineitem").select(kind.alias("type"), F.col("l_suppkey").alias("id"), F.struct("l_orderkey", "l_linenumber").alias("pos"), tags.alias("tags"))
+    columns = ("station_id", "connector_types", "mapped_socket_type_count", "known_socket_count", "has_ac", "has_dc", "capacity_numeric")
+    return clean.prepared_stations(each).select(*columns)
 
 
 @query("t12_parking_preparation", "SELECT point_id, (x1 - x0) * (y1 - y0) AS area_m2, CAST(capacity AS DOUBLE) AS capacity FROM $parking")

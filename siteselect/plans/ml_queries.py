@@ -65,11 +65,18 @@ def _(t):
     return ml.fold_summary(folded(t)).withColumn("rate", F.round("rate", 9))
 
 
-@query("v8_fold_checks", f"{FOLDS} SELECT 'block in more than one fold' AS rule, count(*) FILTER (WHERE n > 1) AS violations FROM (SELECT block, count(DISTINCT fold) AS n FROM folds GROUP BY 1) UNION ALL SELECT 'fold without positives', count(*) FILTER (WHERE p = 0) FROM (SELECT fold, sum(target) AS p FROM blocked JOIN folds USING (block) GROUP BY 1)")
+V8 = f"""{FOLDS} SELECT 'block in more than one fold' AS rule, count(*) FILTER (WHERE n > 1) AS violations FROM (SELECT block, count(DISTINCT fold) AS n FROM folds GROUP BY 1)
+UNION ALL SELECT 'fold without positives', count(*) FILTER (WHERE p = 0) FROM (SELECT fold, sum(target) AS p FROM blocked JOIN folds USING (block) GROUP BY 1)
+UNION ALL SELECT 'rows differ from the whole', (SELECT count(*) FROM $candidate) - (SELECT count(*) FROM blocked JOIN folds USING (block))
+UNION ALL SELECT 'positives differ from the whole', CAST((SELECT sum(target) FROM $candidate) - (SELECT sum(target) FROM blocked JOIN folds USING (block)) AS BIGINT)"""
+
+
+@query("v8_fold_checks", V8)
 def _(t):
     f = folded(t)
-    blocks = f.groupBy("spatial_block_id").agg(F.countDistinct("cv_fold").alias("folds"))
-    return checks.report(blocks, {"block in more than one fold": F.col("folds") > 1}).unionByName(checks.report(ml.fold_summary(f), {"fold without positives": F.col("positives") == 0}))
+    blocks, sums = f.groupBy("spatial_block_id").agg(F.countDistinct("cv_fold").alias("folds")), ml.fold_summary(f)
+    rules = checks.report(blocks, {"block in more than one fold": F.col("folds") > 1}).unionByName(checks.report(sums, {"fold without positives": F.col("positives") == 0}))
+    return rules.unionByName(checks.totals(sums, rows(t), {"rows": F.count("*"), "positives": F.sum("y")}))
 
 
 @query("m10_balanced_weights", "SELECT target AS y, count(*) AS n, round((SELECT count(*) FROM $candidate) / (2.0 * count(*)), 9) AS weight FROM $candidate GROUP BY target")

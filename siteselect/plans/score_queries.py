@@ -411,7 +411,6 @@ RULES = {
     "v3_counts": (lambda: {**checks.negative(["pop0"]), **checks.not_integer(["road_density_km_per_km2"])}, "candidate", {"pop0 is negative": "pop0 < 0", "road_density_km_per_km2 is no whole number": "road_density_km_per_km2 <> floor(road_density_km_per_km2)"}),
     "v4_nested_radii": (lambda: checks.nested("pop0", "pop1", "pop2"), "candidate", {"pop0 above pop1": "pop0 > pop1", "pop1 above pop2": "pop1 > pop2"}),
     "v5_ranges": (lambda: {**checks.between("m1", 0, 0.5), "density differs": F.abs(F.col("road_density_km_per_km2") * 8 - F.round(F.col("road_density_km_per_km2") * 8)) > 1e-9}, "candidate", {"m1 outside 0 to 0.5": "NOT m1 BETWEEN 0 AND 0.5", "density differs": "false"}),
-    "v6_target": (lambda: {"target is not binary": ~F.col("target").isin(0, 1), "flag differs": (F.col("ac_station_count_within_1000m") > 0) != (F.col("target") == 1)}, "candidate", {"target is not binary": "target NOT IN (0, 1)", "flag differs": "(ac_station_count_within_1000m > 0) <> (target = 1)"}),
 }
 
 
@@ -429,15 +428,43 @@ def _(t):
     return checks.require(t("candidate").select("grid_id", "pop0", "target"), ["grid_id", "pop0"], forbidden=["has_existing_charging_station", "distance_to_nearest_charging_station_m"])
 
 
-@query("v9_shortlist_rules", f"{CHOSEN}, {NEAR} SELECT 'spacing below the minimum' AS rule, count(*) FILTER (WHERE nearest_m < 4000) AS violations FROM near UNION ALL SELECT 'x outside 0 to 40000', count(*) FILTER (WHERE NOT x BETWEEN 0 AND 40000) FROM chosen UNION ALL SELECT 'rank is missing or not finite', count(*) FILTER (WHERE rank IS NULL) FROM chosen")
+V9 = f"""{CHOSEN}, {NEAR}, b AS (SELECT c.*, nearest_m, ROW_NUMBER() OVER (ORDER BY rank) AS place FROM chosen c LEFT JOIN near n ON c.point_id = n.point_id)
+SELECT unnest(['spacing below the minimum', 'x outside 0 to 30000', 'y outside 0 to 40000', 'place below 3', 'support is not 0 to 3', 'place is missing or not finite', 'x is missing or not finite', 'y is missing or not finite', 'support is missing or not finite', 'not 25 rows', 'ids repeat', 'ranks repeat', 'ranks do not run from 1']) AS rule,
+  unnest([count(*) FILTER (WHERE nearest_m < 5000), count(*) FILTER (WHERE NOT x BETWEEN 0 AND 30000), count(*) FILTER (WHERE NOT y BETWEEN 0 AND 40000), count(*) FILTER (WHERE place < 3), count(*) FILTER (WHERE place % 5 NOT IN (0, 1, 2, 3)),
+    count(*) FILTER (WHERE place IS NULL), count(*) FILTER (WHERE x IS NULL), count(*) FILTER (WHERE y IS NULL), count(*) FILTER (WHERE place IS NULL), abs(count(*) - 25), count(*) - count(DISTINCT point_id), count(*) - count(DISTINCT place), CAST(min(place) <> 1 OR max(place) <> count(*) AS BIGINT)]) AS violations FROM b"""
+
+
+@query("v9_shortlist_rules", V9)
 def _(t):
-    picked = keep(chosen(t))
-    both = picked.join(selection.spacing(picked), "point_id")
-    return checks.report(both, {"spacing below the minimum": F.col("nearest_m") < 4000.0, **checks.between("x", 0, 40000), **checks.missing(["rank"])})
+    """Rules that this shortlist breaks and others that it keeps."""
+    picked = keep(ranks.numbered(chosen(t), [F.asc("rank")], "place"))
+    both = picked.join(selection.spacing(picked), "point_id", "left").withColumn("support", F.col("place") % 5)
+    return checks.shortlist(both, 25, 5000.0, {"x": (0, 30000), "y": (0, 40000)}, {"place": 3}, ["support"], rank="place")
+
+
+V10 = """WITH own AS (SELECT station_id, count(*) FILTER (WHERE current IN ('AC', 'DC')) AS a, count(*) AS n FROM $socket GROUP BY 1),
+st AS (SELECT s_suppkey AS station_id, CASE WHEN s_suppkey % 7 = 0 THEN coalesce(a, 0) - 1 ELSE coalesce(n, 0) END AS socket_count, coalesce(a, 0) AS a, coalesce(n, 0) AS n FROM supplier LEFT JOIN own ON station_id = s_suppkey WHERE s_suppkey % 10 <> 3)
+SELECT 'socket without station' AS rule, count(*) AS violations FROM $socket WHERE station_id NOT IN (SELECT station_id FROM st)
+UNION ALL SELECT 'AC and DC above the declared total', count(*) FILTER (WHERE a > socket_count) FROM st UNION ALL SELECT 'declared total differs', count(*) FILTER (WHERE n <> socket_count) FROM st
+UNION ALL SELECT 'socket_count differ from the whole', CAST(abs((SELECT sum(socket_count) FROM st) - (SELECT count(*) FROM $socket)) AS BIGINT)"""
+
+
+@query("v10_registry_integrity", V10)
+def _(t):
+    """A registry that lacks a tenth of its stations, and a seventh of whose totals are wrong."""
+    own = t("socket").groupBy("station_id").agg(F.count_if(F.col("current").isin("AC", "DC")).alias("a"), F.count("*").alias("n"))
+    stations = t("supplier").where("s_suppkey % 10 <> 3").select(F.col("s_suppkey").alias("station_id")).join(own, "station_id", "left").fillna(0)
+    declared = F.when(F.col("station_id") % 7 == 0, F.col("a") - 1).otherwise(F.col("n"))
+    return checks.registry(stations.select("station_id", declared.alias("socket_count")), t("socket"))
+
+
+V6 = """WITH c AS (SELECT target, ac_station_count_within_1000m AS n FROM $candidate)
+SELECT unnest(['target is not binary', 'flag differs', 'no row of class 0', 'no row of class 1']) AS rule,
+  unnest([count(*) FILTER (WHERE target NOT IN (0, 1)), count(*) FILTER (WHERE (n > 0) <> (target = 1)), CAST(count(*) FILTER (WHERE target = 0) = 0 AS BIGINT), CAST(count(*) FILTER (WHERE target = 1) = 0 AS BIGINT)]) AS violations FROM c"""
 
 
-@query("v10_registry_integrity", "SELECT 'socket without station' AS rule, count(*) AS violations FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'AC and DC above the total', count(*) FROM (SELECT station_id FROM $socket GROUP BY 1 HAVING count(*) FILTER (WHERE current IN ('AC', 'DC')) > count(*))")
+@query("v6_target", V6)
 def _(t):
-    orphan = checks.orphans(t("socket"), t("station").select(F.col("point_id").alias("station_id")), "station_id").agg(F.count("*").alias("violations")).select(F.lit("socket without station").alias("rule"), "violations")
-    over = t("socket").groupBy("station_id").agg(F.sum(F.col("current").isin("AC", "DC").cast("long")).alias("a"), F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("a") > F.col("n")).cast("long")), F.lit(0)).alias("violations"))
-    return orphan.unionByName(over.select(F.lit("AC and DC above the total").alias("rule"), "violations"))
+    c = t("candidate")
+    rules = {"target is not binary": ~F.col("target").isin(0, 1), "flag differs": (F.col("ac_station_count_within_1000m") > 0) != (F.col("target") == 1)}
+    return checks.report(c, rules).unionByName(checks.classes(c, "target"))

@@ -12,6 +12,7 @@ from siteselect.operators.scratch import folder
 from siteselect.plans.catalog import Tables, query
 from siteselect.plans.clean_queries import poi_tags
 from siteselect.plans.score_queries import ranked_points
+from siteselect.plans.spatial_queries import lon_lat_sql
 from siteselect.sources import readers, sinks
 
 
@@ -116,7 +117,7 @@ def _(t):
 
 @query("s9_incremental_ingest", "SELECT event_id, event_type FROM events")
 def _(t):
-    from siteselect.streaming.ingest import ingest_new
+    from siteselect.streaming.ingest import ingest_new, ingested
 
     at = _folder(t)
     e = t("events").select("event_id", "event_type")
@@ -126,7 +127,7 @@ def _(t):
     e.where("event_id % 3 <> 1").write.json(f"{at}/in", mode="append")
     e.where("event_id % 2 = 1").write.json(f"{at}/in", mode="append")
     ingest_new(*args)
-    return t.spark.read.parquet(f"{at}/out").select("event_id", "event_type")
+    return ingested(t.spark, f"{at}/out").select("event_id", "event_type")
 
 
 @query("k1_feature_csv", "SELECT grid_id, pop1 FROM $candidate")
@@ -136,17 +137,41 @@ def _(t):
     return t.spark.read.schema("grid_id string, pop1 double").csv(path, header=True)
 
 
-@query("k2_geojson")
-def _(t):
-    path = f"{_folder(t)}/cells"
-    cells = t("grid").join(t("poi").select(F.floor(F.col("x") / 500).alias("cx"), F.floor(F.col("y") / 500).alias("cy")).distinct(), ["cx", "cy"])
-    sinks.geojson_rows(cells, sinks.cell_polygon(), ["grid_id"]).write.text(path)
-    return t.spark.read.text(path)
+K2 = f"""WITH met AS (SELECT grid_id, x0, y0 FROM $grid JOIN (SELECT DISTINCT floor(x / 500) AS px, floor(y / 500) AS py FROM $poi) ON cx = px AND cy = py),
+corner AS (SELECT grid_id, k, x0 + 500 * [0, 1, 1, 0, 0][k] AS px, y0 + 500 * [0, 0, 1, 1, 0][k] AS py FROM met, range(1, 6) r(k)), {lon_lat_sql("corner")}
+SELECT grid_id, 'Polygon' AS geometry_type, CAST(k AS INTEGER) AS corner, lon, lat FROM placed"""
 
 
-@query("k3_registry_document")
+@query("k2_geojson", K2)
 def _(t):
-    return sinks.registry_documents(t("station").select(F.col("point_id").alias("station_id"), "s_name"), t("socket"))
+    """The cells that have points as a layer in WGS84, written and read again, a row for each corner."""
+    path = f"{_folder(t)}/cells"
+    cells = t("grid").join(t("poi").select(F.floor(F.col("x") / 500).alias("cx"), F.floor(F.col("y") / 500).alias("cy")).distinct(), ["cx", "cy"])
+    c = F.col
+    polygon = sinks.geographic_polygon([(c("x0"), c("y0")), (c("x1"), c("y0")), (c("x1"), c("y1")), (c("x0"), c("y1"))])
+    sinks.geojson(sinks.geojson_rows(cells, polygon, ["grid_id"]), path)
+    read = sinks.read_geojson(t.spark, path, "grid_id:string")
+    each = read.select("grid_id", "geometry_type", F.posexplode("ring").alias("n", "p"))
+    return each.select("grid_id", "geometry_type", (F.col("n") + 1).alias("corner"), F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+
+K3 = """SELECT 'stations' AS section, point_id AS station_id, NULL AS socket_id, s_name, NULL AS current, NULL AS power FROM $station
+UNION ALL SELECT 'sockets', station_id, socket_id, NULL, current, CAST(power AS DOUBLE) FROM $socket
+UNION ALL SELECT 'counts', (SELECT count(*) FROM $station), (SELECT count(*) FROM $socket), NULL, NULL, NULL"""
+
+
+@query("k3_registry_document", K3)
+def _(t):
+    """The registry's document written as text, and each of its lines read again."""
+    path = f"{_folder(t)}/registry"
+    stations = t("station").select(F.col("point_id").alias("station_id"), "s_name")
+    sinks.registry_document(stations, t("socket").select("station_id", "socket_id", "current", F.col("power").cast("double").alias("power")), path)
+    text = F.regexp_replace("value", r'^(,|\],"counts":)', "")
+    body = F.from_json(F.when(F.col("value").startswith("],"), F.expr("substring(value, 12, length(value) - 12)")).otherwise(text), "station_id long, socket_id long, s_name string, current string, power double, stations long, sockets long")
+    lines = t.spark.read.text(path).where("not value like '%:[' ").select("value", body.alias("b"))
+    section = F.when(F.col("b.stations").isNotNull(), "counts").when(F.col("b.socket_id").isNotNull(), "sockets").otherwise("stations")
+    first = lambda a, b: F.coalesce(F.col(f"b.{a}"), F.col(f"b.{b}"))
+    return lines.select(section.alias("section"), first("station_id", "stations").alias("station_id"), first("socket_id", "sockets").alias("socket_id"), "b.s_name", "b.current", "b.power")
 
 
 def exported(t: Tables):

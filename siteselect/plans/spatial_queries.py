@@ -81,12 +81,23 @@ def _(t):
     return features.radius_counts(centres(t), t("poi").select("point_id", "x", "y"), {"within_1000m": (1000.0, None)})
 
 
-@query("j8_distance_dedup", """WITH a AS (SELECT point_id, x, y FROM $station), b AS (SELECT c_custkey AS point_id, CAST((c_custkey * 104729 + 67) % 40000 AS DOUBLE) AS x, CAST((c_custkey * 1299709 + 59) % 40000 AS DOUBLE) AS y FROM customer),
-d AS (SELECT b.point_id, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM b CROSS JOIN a GROUP BY b.point_id) SELECT point_id AS centre_id, round(d, 4) AS distance, d <= 100 AS duplicate FROM d""")
+def other_stations(t: Tables):
+    return t("customer").select(F.col("c_custkey").alias("point_id"), ((F.col("c_custkey") * 104729 + 67) % 40000).cast("double").alias("x"), ((F.col("c_custkey") * 1299709 + 59) % 40000).cast("double").alias("y"))
+
+
+MATCHED = """WITH b AS (SELECT c_custkey AS point_id, CAST((c_custkey * 104729 + 67) % 40000 AS DOUBLE) AS x, CAST((c_custkey * 1299709 + 59) % 40000 AS DOUBLE) AS y FROM customer),
+d AS (SELECT b.point_id, b.x, b.y, a.point_id AS other, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM b CROSS JOIN $station a),
+m AS (SELECT point_id, any_value(x) AS x, any_value(y) AS y, arg_min(other, (d2, other)) AS matched_id, sqrt(min(d2)) AS d FROM d GROUP BY point_id)"""
+
+
+@query("j8_distance_dedup", f"{MATCHED} SELECT point_id, x, y, matched_id, round(d, 4) AS distance, d <= 100 AS duplicate FROM m")
 def _(t):
-    other = t("customer").select(F.col("c_custkey").alias("centre_id"), ((F.col("c_custkey") * 104729 + 67) % 40000).cast("double").alias("x"), ((F.col("c_custkey") * 1299709 + 59) % 40000).cast("double").alias("y"))
-    near = joins.nearest(other, t("station"))
-    return near.select("centre_id", F.round("distance", 4).alias("distance"), (F.col("distance") <= 100).alias("duplicate"))
+    return joins.compared(other_stations(t), t("station"), 100.0).withColumn("distance", F.round("distance", 4))
+
+
+@query("j8_unmatched_points", f"{MATCHED} SELECT point_id, x, y FROM m WHERE d > 100")
+def _(t):
+    return joins.unmatched(other_stations(t), t("station"), 100.0)
 
 
 @query("j9_one_to_one_join", "SELECT s_suppkey, s_name, n FROM supplier JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (s_suppkey)")
@@ -127,16 +138,26 @@ def _(t):
     return joins.recovery(t("lineitem").select(F.col("l_partkey").alias("k")), t("part").select(F.col("p_partkey").alias("k")), "k")
 
 
-@query("j17_attach_context", "SELECT grid_id, x, y, c_acctbal FROM $candidate JOIN customer ON c_custkey = CAST(substr(grid_id, 3) AS BIGINT)")
+J17 = """WITH n AS (SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY 1)
+SELECT grid_id, x, y, coalesce(lines, 0) AS lines, c_acctbal AS demand FROM $candidate JOIN orders ON o_orderkey = CAST(substr(grid_id, 3) AS BIGINT) JOIN customer ON c_custkey = o_custkey LEFT JOIN n ON l_orderkey = o_orderkey"""
+
+
+@query("j17_attach_context", J17)
 def _(t):
-    context = t("customer").select(F.concat(F.lit("C_"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("grid_id"), "c_acctbal")
-    return joins.one_to_one(t("candidate").select("grid_id", "x", "y"), context, "grid_id")
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
+    demand = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("demand"))
+    context = t("orders").select("o_orderkey", "o_custkey").join(demand, "o_custkey").join(lines, "o_orderkey", "left").fillna(0, ["lines"])
+    context = context.select(F.concat(F.lit("C_"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("grid_id"), "lines", "demand")
+    return joins.attached(t("candidate").select("grid_id", "x", "y"), context, "grid_id", ["lines", "demand"])
 
 
-@query("a1_road_features", f"WITH {LINES} SELECT g.grid_id, round(round(coalesce(sum(length_m), 0), 4) + 0.00017, 1) AS road_length_m, count(DISTINCT road_id) AS road_segment_count, round(round(coalesce(sum(length_m) FILTER (WHERE is_main), 0), 4) + 0.00017, 1) AS main_road_length_m, count(DISTINCT road_id) FILTER (WHERE is_main) AS main_road_segment_count FROM $grid g LEFT JOIN (SELECT * FROM met WHERE length_m > 0) m ON g.grid_id = m.grid_id GROUP BY g.grid_id")
+A1 = f"""WITH {LINES}, each AS (SELECT grid_id, round(sum(length_m), 4) AS a, count(DISTINCT road_id) AS n, round(coalesce(sum(length_m) FILTER (WHERE is_main), 0), 4) AS b, count(DISTINCT road_id) FILTER (WHERE is_main) AS k FROM met WHERE length_m > 0 GROUP BY grid_id)
+SELECT grid_id, coalesce(a, 0) AS road_length_m, coalesce(n, 0) AS road_segment_count, coalesce(b, 0) AS main_road_length_m, coalesce(k, 0) AS main_road_segment_count FROM $grid LEFT JOIN each USING (grid_id)"""
+
+
+@query("a1_road_features", A1)
 def _(t):
-    out = features.road_features(t("road"), t("grid"))
-    return out.select("grid_id", F.round(F.col("road_length_m") + 0.00017, 1).alias("road_length_m"), "road_segment_count", F.round(F.col("main_road_length_m") + 0.00017, 1).alias("main_road_length_m"), "main_road_segment_count")
+    return features.road_features(t("road"), t("grid")).drop("road_density_km_per_km2")
 
 
 @query("a2_parking_local", f"WITH {PPOINT}, {IN_CELL.format(p='pp')} SELECT g.grid_id, count(DISTINCT point_id) AS parking_count, CAST(coalesce(sum(capacity), 0) AS BIGINT) AS capacity_sum, count(capacity) AS capacity_records FROM $grid g LEFT JOIN local l ON g.grid_id = l.grid_id GROUP BY g.grid_id")
@@ -217,10 +238,33 @@ def _(t):
 CELLS = "b AS (SELECT CAST(floor(min(x) / 500) AS BIGINT) AS cx0, CAST(floor(min(y) / 500) AS BIGINT) AS cy0, CAST(ceil(max(x) / 500) AS BIGINT) AS cx1, CAST(ceil(max(y) / 500) AS BIGINT) AS cy1 FROM $poi), cells AS (SELECT cx, cy, cx * 1000000 + cy AS k FROM (SELECT unnest(range(cx0, cx1)) AS cx FROM b), (SELECT unnest(range(cy0, cy1)) AS cy FROM b))"
 
 
-@query("r1_square_grid", f"WITH {CELLS}, {outlined('cells', 'k', 'cx * 500 + 250.0', 'cy * 500 + 250.0')} SELECT concat('G_', lpad(CAST(row_number() OVER (ORDER BY cx, cy) AS VARCHAR), 6, '0')) AS grid_id, cx, cy, cx * 500.0::DOUBLE AS x0, cy * 500.0::DOUBLE AS y0, cx * 500.0::DOUBLE + 500 AS x1, cy * 500.0::DOUBLE + 500 AS y1, 250000.0::DOUBLE AS cell_area_m2 FROM cells JOIN outlined USING (k) WHERE odd OR d < 1e-9")
+# the inverse of the series under UTM_SQL, to the fourth order, written out
+_N3 = "(1 / 298.257223563 / (2 - 1 / 298.257223563))"
+_BETA = ("n / 2 - 2.0 * n * n / 3 + 37.0 * n * n * n / 96 - power(n, 4) / 360", "n * n / 48 + n * n * n / 15 - 437.0 * power(n, 4) / 1440", "17.0 * n * n * n / 480 - 37.0 * power(n, 4) / 840", "4397.0 * power(n, 4) / 161280")
+_DELTA = ("2 * n - 2.0 * n * n / 3 - 2 * n * n * n + 116.0 * power(n, 4) / 45", "7.0 * n * n / 3 - 8.0 * n * n * n / 5 - 227.0 * power(n, 4) / 45", "56.0 * n * n * n / 15 - 136.0 * power(n, 4) / 35", "4279.0 * power(n, 4) / 630")
+
+
+def lon_lat_sql(source: str) -> str:
+    """SQL of a table `placed`: source's columns with lon and lat of its px, py in UTM zone 36."""
+    xi = "xi" + "".join(f" - ({b}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(_BETA, 1))
+    eta = "eta" + "".join(f" - ({b}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(_BETA, 1))
+    lat = "chi" + "".join(f" + ({d}) * sin({2 * j} * chi)" for j, d in enumerate(_DELTA, 1))
+    return f"""third AS (SELECT {_N3} AS n), scaled AS (SELECT *, 0.9996 * 6378137.0 / (1 + n) * (1 + n * n / 4 + power(n, 4) / 64) AS r FROM third),
+flat AS (SELECT s.*, n, py / r AS xi, (px - 500000) / r AS eta FROM {source} s, scaled), turned AS (SELECT *, {xi} AS xj, {eta} AS ej FROM flat),
+sphere AS (SELECT *, asin(sin(xj) / cosh(ej)) AS chi FROM turned),
+placed AS (SELECT * EXCLUDE (n, xi, eta, xj, ej, chi), round(degrees(atan2(sinh(ej), cos(xj))) + 33, 7) AS lon, round(degrees({lat}), 7) AS lat FROM sphere)"""
+
+
+R1 = f"""WITH {CELLS}, {outlined("cells", "k", "cx * 500 + 250.0", "cy * 500 + 250.0")},
+held AS (SELECT cx, cy, cx * 500.0::DOUBLE + 250 AS px, cy * 500.0::DOUBLE + 250 AS py FROM cells JOIN outlined USING (k) WHERE odd OR d < 1e-9), {lon_lat_sql("held")}
+SELECT concat('G_', lpad(CAST(row_number() OVER (ORDER BY cx, cy) AS VARCHAR), 6, '0')) AS grid_id, cx, cy, px - 250 AS x0, py - 250 AS y0, px + 250 AS x1, py + 250 AS y1, 250000.0::DOUBLE AS cell_area_m2,
+  lon AS center_lon, lat AS center_lat FROM placed"""
+
+
+@query("r1_square_grid", R1)
 def _(t):
     b = grid.bounds(t("poi")).first()
-    return grid.square_grid(t.spark, b["min_x"], b["min_y"], b["max_x"], b["max_y"], 500.0, OUTLINE)
+    return grid.square_grid(t.spark, b["min_x"], b["min_y"], b["max_x"], b["max_y"], 500.0, OUTLINE, zone=36)
 
 
 @query("g4_point_in_polygon", f"WITH {outlined('$poi', 'point_id', 'x', 'y')} SELECT k AS point_id, odd OR d < 1e-9 AS inside FROM outlined")

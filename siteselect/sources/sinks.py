@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteselect.functions import geo
+
 # The columns of the exported list, in the order and by the names that its readers expect.
 CANDIDATE = (
     "selection_rank", "grid_id", "longitude", "latitude", "priority_band", "suitability_score", "suitability_rank", "feasibility", "need", "accessibility", "parking", "infrastructure_gap", "technology_gap",
@@ -30,6 +33,71 @@ def cell_polygon(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1")
     return F.struct(F.lit("Polygon").alias("type"), F.array(F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1), p(x0, y0))).alias("coordinates"))
 
 
+def geographic_polygon(corners: Sequence[tuple[Column, Column]], zone: int = 36, digits: int = 7) -> Column:
+    """A GeoJSON polygon from corners in UTM metres: longitude and latitude of WGS84, closed."""
+    places = [geo.from_utm(x, y, zone) for x, y in corners]
+    ring = [F.array(F.round(lon, digits), F.round(lat, digits)) for lon, lat in [*places, places[0]]]
+    return F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*ring)).alias("coordinates"))
+
+
+def _enclosed(head: str, tail: str):
+    """Between head and tail the lines of a partition, parted by commas; a partition without lines has a document, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = head
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            out = [mark + line if i == 0 else "," + line for i, line in enumerate(lines)]
+            if out:
+                mark = ","
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([tail if mark == "," else head + tail], pa.string())], ["value"])
+
+    return run
+
+
+def geojson(features: DataFrame, path: str) -> None:
+    """A spatial layer in WGS84: features (value) as lines of geojson_rows; each part file is a FeatureCollection of its own, so that files are written and read apart."""
+    lines = features.mapInArrow(_enclosed('{"type":"FeatureCollection","features":[', "]}"), "value string")
+    lines.write.option("maxRecordsPerFile", 0).mode("overwrite").text(path, compression="none")
+
+
+def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
+    """(geometry_type, coordinates of the outer ring, properties...) of the features of all files of a layer of polygons."""
+    feature = f"geometry struct<type:string,coordinates:array<array<array<double>>>>, properties struct<{properties}>"
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"type string, features array<struct<{feature.replace('geometry ', 'geometry:').replace('properties ', 'properties:')}>>").alias("d"))
+    each = whole.where("d.type = 'FeatureCollection'").select(F.explode("d.features").alias("f"))
+    return each.select(F.col("f.geometry.type").alias("geometry_type"), F.element_at("f.geometry.coordinates", 1).alias("ring"), "f.properties.*")
+
+
+def registry_lines(stations: DataFrame, sockets: DataFrame, station_key: str = "station_id", socket_key: str = "socket_id") -> DataFrame:
+    """(section, key, value): the lines of one JSON document {"stations": [...], "sockets": [...], "counts": {...}} in the order of section and key.
+
+    Rows of a section are parted by commas that stand before all but its first; so lines need no neighbours, and the document may be written in parts.
+    """
+
+    def rows(table: DataFrame, key: str, section: int) -> DataFrame:
+        first = table.agg(F.min(key).alias("_first"))
+        comma = F.when(F.col(key) == F.col("_first"), "").otherwise(",")
+        body = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
+        return table.join(first, F.lit(True)).select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.concat(comma, body).alias("value"))
+
+    def marks(values: Sequence[tuple[int, str]]) -> DataFrame:
+        return stations.sparkSession.createDataFrame([(n, "", v) for n, v in values], "section int, key string, value string")
+
+    sizes = stations.agg(F.count("*").alias("stations")).join(sockets.agg(F.count("*").alias("sockets")), F.lit(True))
+    end = sizes.select(F.lit(4).alias("section"), F.lit("").alias("key"), F.concat(F.lit('],"counts":'), F.to_json(F.struct("stations", "sockets")), F.lit("}")).alias("value"))
+    return marks([(0, '{"stations":['), (2, '],"sockets":[')]).unionByName(rows(stations, station_key, 1)).unionByName(rows(sockets, socket_key, 3)).unionByName(end)
+
+
+def registry_document(stations: DataFrame, sockets: DataFrame, path: str, station_key: str = "station_id", socket_key: str = "socket_id") -> None:
+    """The registry's document as text: part files in order, which read one after the other are the document. Rows are sorted by key as text; keys must be unique."""
+    lines = registry_lines(stations, sockets, station_key, socket_key)
+    # the first of a section by its own order is not the first as text: sections start where the comma is missing
+    ordered = lines.withColumn("_later", F.col("value").startswith(","))
+    ordered.orderBy("section", "_later", "key").select("value").write.mode("overwrite").text(path, compression="none")
+
+
 def registry_documents(stations: DataFrame, sockets: DataFrame, key: str = "station_id") -> DataFrame:
     """(station, value): a JSON document for each station with its sockets nested, sorted; one line each in a file."""
     nested = sockets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in sockets.columns if c != key]))).alias("sockets"))
