@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -74,15 +75,19 @@ def balanced_weights(rows: DataFrame, target: str, out: str = "weight") -> DataF
     return rows.join(F.broadcast(counts), F.col(target) == F.col("_t")).withColumn(out, F.lit(float(total or 0)) / (2 * F.col("_n"))).drop("_t", "_n")
 
 
-def estimator(model: str, seed: int = 42, trees: int = 400, rounds: int = 150, depth: int = 12, weights_sum: float | None = None):
-    """logistic (standardised, C = 1), forest (400 trees of depth 12, 3 features a split, 5 rows a leaf), boosting (150 rounds at 0.05)."""
+#: Tree models that are fitted at a time.
+FITS = 4
+
+
+def estimator(model: str, seed: int = 42, trees: int = 400, rounds: int = 150, depth: int | None = None, split: str = "sqrt", weights_sum: float | None = None):
+    """logistic (standardised, C = 1), forest (400 trees of depth 12, 5 rows a leaf, `split` features at each split: sqrt or a number such as 3), boosting (150 rounds at 0.05, depth 4)."""
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     if model == "logistic":
         return LogisticRegression(standardization=True, regParam=1.0 / (weights_sum or 1.0), elasticNetParam=0.0, maxIter=100, **common)
     if model == "forest":
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, featureSubsetStrategy="3", seed=seed, **common)
+        return RandomForestClassifier(numTrees=trees, maxDepth=12 if depth is None else depth, minInstancesPerNode=5, featureSubsetStrategy=split, seed=seed, **common)
     if model == "boosting":
-        return GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4, minInstancesPerNode=100, seed=seed, **common)
+        return GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=4 if depth is None else depth, minInstancesPerNode=100, seed=seed, **common)
     raise ValueError(model)
 
 
@@ -199,52 +204,64 @@ def shuffled(rows: DataFrame, column: str, seed: int | Column, id_col: str = "gr
     return places.join(values.select("_place", "_v"), "_place").withColumn(column, F.col("_v")).drop("_place", "_v")
 
 
-def permutation_importance(rows: DataFrame, features: Sequence[str], target: str, model: str, folds: Sequence[int], repeats: int = 5, id_col: str = "grid_id", **options) -> DataFrame:
-    """(feature, repeat, fold_drop_mean, pooled_drop): loss of average precision when a feature is shuffled within the held-out folds; models are not fitted again."""
-    rows = keep(rows)
-    fitted = {fold: fit(rows.where(F.col("cv_fold") != fold), features, target, model, **options) for fold in folds}
+def fitted_folds(rows: DataFrame, features: Sequence[str], target: str, model: str, folds: Sequence[int], **options) -> dict:
+    """{fold: a model of the other folds}; the fits share the executors."""
+    with ThreadPool(FITS) as pool:
+        return dict(zip(folds, pool.map(lambda fold: fit(rows.where(F.col("cv_fold") != fold), features, target, model, **options), folds), strict=True))
 
-    def scored(table: DataFrame, *more: Column) -> DataFrame:
-        out = None
-        for fold in folds:
-            one = score(fitted[fold], table.where(F.col("cv_fold") == fold)).select(id_col, "cv_fold", F.col(target).alias("y"), "score", *more)
-            out = one if out is None else out.unionByName(one)
-        return keep(out)
 
-    base, changed = scored(rows), None
-    for f in features:
-        for r in range(repeats):
-            again = scored(shuffled(rows, f, 1000 * r + 42, id_col), F.lit(f).alias("feature"), F.lit(r).alias("repeat"))
-            changed = again if changed is None else changed.unionByName(again)
-    by_fold = average_precision(changed, ["feature", "repeat", "cv_fold"]).join(average_precision(base, ["cv_fold"]).select("cv_fold", F.col("ap").alias("base")), "cv_fold").groupBy("feature", "repeat").agg(F.avg(F.col("base") - F.col("ap")).alias("fold_drop_mean"))
-    pooled = average_precision(base, []).first()["ap"]
-    return average_precision(changed, ["feature", "repeat"]).select("feature", "repeat", (F.lit(pooled) - F.col("ap")).alias("pooled_drop")).join(by_fold, ["feature", "repeat"])
+def score_folds(fitted: Mapping, rows: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
+    """(columns..., cv_fold, y, score): each row scored by the model that its fold was held out of."""
+    out = None
+    for fold, one in fitted.items():
+        scored = score(one, rows.where(F.col("cv_fold") == fold)).select(*columns, F.col("cv_fold").cast("int").alias("cv_fold"), F.col(target).cast("int").alias("y"), "score")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def importance_summary(drops: DataFrame, by: Sequence[str] = ("feature",)) -> DataFrame:
-    return drops.groupBy(*by).agg(F.avg("pooled_drop").alias("drop_mean"), F.stddev_samp("pooled_drop").alias("drop_std"), F.avg("fold_drop_mean").alias("fold_drop_mean"), F.avg((F.col("pooled_drop") > 0).cast("double")).alias("positive_fraction")).orderBy(*by[:-1], F.desc("drop_mean"), by[-1])
+    """Mean and deviation of the pooled drops, means over folds, the share of repeats with a drop, of average precision and area; the largest drop first."""
+    sums = {"drop_mean": F.avg("pooled_drop"), "drop_std": F.stddev_samp("pooled_drop"), "fold_drop_mean": F.avg("fold_drop_mean"), "positive_fraction": F.avg((F.col("pooled_drop") > 0).cast("double"))}
+    sums |= {"auc_drop_mean": F.avg("pooled_auc_drop"), "auc_drop_std": F.stddev_samp("pooled_auc_drop"), "fold_auc_drop_mean": F.avg("fold_auc_drop_mean")}
+    return drops.groupBy(*by).agg(*[v.alias(k) for k, v in sums.items()]).orderBy(*by[:-1], F.desc("drop_mean"), by[-1])
 
 
 def coefficients(fitted, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(feature, value): standardised coefficients, or the importances of a tree model; one row for each feature."""
+    """(feature, value): standardised coefficients, or the importances of a tree model; one row for each feature, the largest magnitude first."""
     last = fitted.stages[-1]
     if hasattr(last, "coefficients"):
         std = rows.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
         values = [(f, float(c) * float(std[f] or 0)) for f, c in zip(features, last.coefficients, strict=True)]
     else:
         values = [(f, float(v)) for f, v in zip(features, last.featureImportances.toArray(), strict=True)]
-    return rows.sparkSession.createDataFrame(values, "feature string, value double")
+    return rows.sparkSession.createDataFrame(values, "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
+
 
+def configurations(rows: DataFrame, sets: Mapping[str, Sequence[str]], models: Sequence[str], target: str, folds: Sequence[int], seeds: Sequence[int] = (42,), id_col: str = "grid_id", options: Mapping[str, Mapping] | None = None) -> DataFrame:
+    """(model, feature_set, seed, grid_id, cv_fold, y, score): out-of-fold scores of a table of configurations (ablations, sensitivity, seeds).
 
-def configurations(rows: DataFrame, sets: Mapping[str, Sequence[str]], models: Sequence[str], target: str, folds: Sequence[int], seeds: Sequence[int] = (42,), id_col: str = "grid_id", **options) -> DataFrame:
-    """(model, feature_set, seed, grid_id, cv_fold, y, score): the out-of-fold loop over a table of configurations (ablations, sensitivity, seeds)."""
-    out, rows = None, keep(rows)
+    Logistic models of all feature sets and folds are fitted and scored in common passes, and like the prior they have no seed: their scores stand under the first one. Tree models
+    are fitted one by one, FITS at a time; `options` are theirs by model. Options of other models are an error.
+    """
+    from siteselect.operators import studies
+
+    options = dict(options or {})
+    if foreign := [m for m in options if m not in models or m in ("logistic", "prior")]:
+        raise ValueError(f"options for {foreign}")
+    out, rows = [], keep(rows)
+    row = lambda scored, model, seed: scored.select(id_col, "cv_fold", "y", "feature_set", "score", F.lit(model).alias("model"), F.lit(seed).alias("seed"))
     for model in models:
-        for name, features in sets.items():
-            for seed in seeds:
-                opts = options if model in ("logistic", "prior") else {**options, "seed": seed}
-                if model in ("logistic", "prior"):
-                    opts = {}
-                one = out_of_fold(rows, features, target, model, folds, id_col, **opts).withColumns({"feature_set": F.lit(name), "seed": F.lit(seed)})
-                out = one if out is None else out.unionByName(one)
-    return out
+        if model == "logistic":
+            out.append(row(studies.score_logistic(rows, studies.fit_logistic(rows, sets, target, folds), target, [id_col]), model, seeds[0]))
+        elif model == "prior":
+            one = keep(out_of_fold(rows, [], target, "prior", folds, id_col))
+            out.append(row(one.withColumn("feature_set", F.explode(F.array(*[F.lit(s) for s in sets]))), model, seeds[0]))
+        else:
+            for name, features in sets.items():
+                for seed in seeds:
+                    fitted = fitted_folds(rows, features, target, model, folds, seed=seed, **options.get(model, {}))
+                    out.append(row(score_folds(fitted, rows, target, [id_col]).withColumn("feature_set", F.lit(name)), model, seed))
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteselect.operators import checks, grid, ml
+from siteselect.operators import checks, grid, ml, studies
+from siteselect.operators.scratch import keep
 from siteselect.plans.catalog import Tables, query
 
 FEATURES = ["road_density_km_per_km2", "distance_to_main_road_m", "parking_area_m2", "pop0", "pop1"]
@@ -147,12 +148,18 @@ def _(t):
 
 @query("m6_m7_logistic_out_of_fold")
 def _(t):
-    return ml.out_of_fold(folded(t), FEATURES, "y", "logistic", range(5))
+    return ml.configurations(folded(t), {"all": FEATURES}, ["logistic"], "y", range(5)).select("grid_id", "cv_fold", "y", "model", "score")
 
 
-@query("m8_m23_forest_out_of_fold")
+@query("m8_forest_out_of_fold")
 def _(t):
-    return ml.out_of_fold(folded(t), FEATURES, "y", "forest", range(5), trees=SMALL["trees"])
+    """The square root of the features at each split."""
+    return ml.out_of_fold(folded(t), FEATURES, "y", "forest", range(5), trees=SMALL["trees"], split="sqrt")
+
+
+@query("m23_forest_three_a_split")
+def _(t):
+    return ml.out_of_fold(folded(t), FEATURES, "y", "forest", range(5), trees=SMALL["trees"], split="3")
 
 
 @query("m9_boosting_out_of_fold")
@@ -166,10 +173,14 @@ def _(t):
     return out.groupBy("cv_fold").agg(F.round(F.min("score"), 9).alias("lowest"), F.round(F.max("score"), 9).alias("highest"), F.count("*").alias("n"))
 
 
-@query("m20_m21_configurations")
+MODELS = ["logistic", "forest", "boosting"]
+OPTIONS = {"forest": {"trees": SMALL["trees"], "split": "3"}, "boosting": {"rounds": SMALL["rounds"]}}
+
+
+@query("m20_feature_group_ablation")
 def _(t):
-    out = ml.configurations(folded(t), {"road": FEATURES[:2], "parking": FEATURES[2:3], "all": FEATURES}, ["logistic"], "y", range(5))
-    return ml.ranking_metrics(out, ["model", "feature_set"], "grid_id")
+    out = ml.configurations(folded(t), {"road": FEATURES[:2], "parking": FEATURES[2:3], "all": FEATURES}, MODELS, "y", range(5), options=OPTIONS)
+    return ml.ranking_metrics(keep(out), ["model", "feature_set"], "grid_id")
 
 
 @query("m21_redundancy_sensitivity")
@@ -177,20 +188,23 @@ def _(t):
     # the raw and the normalised column say the same: all, the normalised alone, the raw alone
     r = folded(t).withColumn("main_road_km", F.col("main_road_length_m") / 1000)
     sets = {"full": [*FEATURES, "main_road_length_m", "main_road_km"], "normalised": [*FEATURES, "main_road_km"], "raw": [*FEATURES, "main_road_length_m"]}
-    return ml.ranking_metrics(ml.configurations(r, sets, ["logistic"], "y", range(5)), ["model", "feature_set"], "grid_id")
+    return ml.ranking_metrics(keep(ml.configurations(r, sets, MODELS, "y", range(5), options=OPTIONS)), ["model", "feature_set"], "grid_id")
 
 
 @query("m22_incremental_value")
 def _(t):
-    sets = {"baseline": FEATURES[:3], "population": FEATURES}
-    metrics = ml.ranking_metrics(ml.configurations(folded(t), sets, ["logistic", "prior"], "y", range(5)), ["model", "feature_set"], "grid_id")
-    return ml.deltas(metrics, "model", "feature_set", "baseline", ["ap", "auc", "recall_top_5"])
+    """What activity, population and both add to a baseline, for each model."""
+    activity = ["charging_station_count_within_2000m", "parking_count_within_1000m"]
+    sets = {"baseline": FEATURES[:3], "activity": [*FEATURES[:3], *activity], "population": FEATURES, "both": [*FEATURES, *activity]}
+    out = ml.configurations(folded(t), sets, [*MODELS, "prior"], "y", range(5), options=OPTIONS)
+    return ml.deltas(ml.ranking_metrics(keep(out), ["model", "feature_set"], "grid_id"), "model", "feature_set", "baseline", ["ap", "auc", "recall_top_5"])
 
 
 @query("m24_seed_stability")
 def _(t):
-    out = ml.configurations(folded(t), {"baseline": FEATURES[:3], "population": FEATURES}, ["forest"], "y", range(5), seeds=(7, 21, 42, 84, 168), trees=3, depth=3)
-    return ml.paired(ml.ranking_metrics(out, ["model", "feature_set", "seed"], "grid_id"), "seed", "feature_set", "baseline", "population", "ap")
+    seeds, options = (7, 21, 42, 84, 168), {"forest": OPTIONS["forest"]}
+    out = ml.configurations(folded(t), {"baseline": FEATURES[:3], "population": FEATURES}, ["forest"], "y", range(5), seeds, options=options)
+    return ml.paired(ml.ranking_metrics(keep(out), ["model", "feature_set", "seed"], "grid_id"), "seed", "feature_set", "baseline", "population", "ap")
 
 
 @query("m22_incremental_deltas", f"WITH {TOPS}, q AS (SELECT cv_fold, model, tp / p AS recall FROM s) SELECT q.cv_fold, q.model, round(q.recall - b.recall, 8) AS recall_delta FROM q JOIN q b ON q.cv_fold = b.cv_fold AND b.model = 'm1'")
@@ -208,8 +222,18 @@ def _(t):
 
 @query("m25_m27_permutation_importance")
 def _(t):
-    drops = ml.permutation_importance(folded(t), ["pop0", "pop1"], "y", "logistic", range(5), repeats=2)
-    return ml.importance_summary(drops)
+    """Three models, all features, five repeats; the largest losses first."""
+    rows_ = keep(folded(t))
+    logistic = studies.fit_logistic(rows_, {"logistic": FEATURES}, "y", range(5))
+    trees = {m: ml.fitted_folds(rows_, FEATURES, "y", m, range(5), **o) for m, o in OPTIONS.items()}
+
+    def score(table, columns):
+        out = studies.score_logistic(table, logistic, "y", columns).withColumnRenamed("feature_set", "model")
+        for name, fitted in trees.items():
+            out = out.unionByName(ml.score_folds(fitted, table, "y", columns).withColumn("model", F.lit(name)))
+        return out
+
+    return ml.importance_summary(studies.importance(rows_, FEATURES, score, by=["model"]), ["model", "feature"])
 
 
 @query("m26_shuffle_keeps_values", "SELECT cv_fold, sum(pop0) AS total, sum(pop0 * pop0) AS squares, count(*) AS n, true AS moved FROM $candidate GROUP BY 1")
@@ -221,5 +245,7 @@ def _(t):
 
 @query("m28_full_fit")
 def _(t):
-    r = rows(t)
-    return ml.coefficients(ml.fit(r, FEATURES, "y", "logistic"), r, FEATURES)
+    """Standardised coefficients of all rows, the largest first."""
+    model = studies.fit_logistic(rows(t), {"all": FEATURES}, "y", [None])["all", None]
+    values = list(zip(model.features, model.standardised, strict=True))
+    return t.spark.createDataFrame(values, "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")

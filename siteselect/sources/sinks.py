@@ -98,14 +98,6 @@ def registry_document(stations: DataFrame, sockets: DataFrame, path: str, statio
     ordered.orderBy("section", "_later", "key").select("value").write.mode("overwrite").text(path, compression="none")
 
 
-def registry_documents(stations: DataFrame, sockets: DataFrame, key: str = "station_id") -> DataFrame:
-    """(station, value): a JSON document for each station with its sockets nested, sorted; one line each in a file."""
-    nested = sockets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*[c for c in sockets.columns if c != key]))).alias("sockets"))
-    both = stations.join(nested, key, "left")
-    body = F.struct(*[F.col(c) for c in stations.columns], F.coalesce(F.size("sockets"), F.lit(0)).alias("socket_count"), "sockets")
-    return both.select(key, F.to_json(body).alias("value"))
-
-
 def candidate_struct() -> Column:
     """A candidate of the decision document, from the columns of CANDIDATE and the further ones named here."""
     c = F.col
