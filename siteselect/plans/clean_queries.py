@@ -158,9 +158,15 @@ def _(t):
     return clean.provenance(t("lineitem"), "l_linenumber", ["l_orderkey", "l_partkey"], out="piece").select("chunk_id", "chunk_order", "piece")
 
 
-@query("a9_sockets_by_station", "SELECT station_id, count(DISTINCT socket_id) AS socket_count, count(*) FILTER (WHERE current = 'AC') AS ac_count, count(*) FILTER (WHERE current = 'DC') AS dc_count, count(power) AS known_power_count, sum(power) AS total_power_kw, max(power) AS max_power_kw, bool_or(current = 'AC') AS has_ac, bool_or(current = 'DC') AS has_dc FROM $socket GROUP BY station_id")
+A9 = """WITH o AS (SELECT station_id, current, min(socket_id) AS k FROM $socket GROUP BY 1, 2), types AS (SELECT station_id, string_agg(current, ';' ORDER BY k, current) AS current_types FROM o GROUP BY 1),
+s AS (SELECT station_id, count(DISTINCT socket_id) AS socket_count, count(*) FILTER (WHERE current = 'AC') AS ac_count, count(*) FILTER (WHERE current = 'DC') AS dc_count, count(power) AS known_power_count,
+  sum(power) AS total_power_kw, max(power) AS max_power_kw, bool_or(current = 'AC') AS has_ac, bool_or(current = 'DC') AS has_dc FROM $socket GROUP BY station_id)
+SELECT * FROM s JOIN types USING (station_id)"""
+
+
+@query("a9_sockets_by_station", A9)
 def _(t):
-    return features.sockets_by_station(t("socket")).drop("current_types")
+    return features.sockets_by_station(t("socket"))
 
 
 @query("a10_station_rows", "SELECT l_suppkey AS station_id, min(l_orderkey * 10 + l_linenumber) AS first_row FROM lineitem GROUP BY 1")

@@ -275,10 +275,19 @@ def _(t):
     return selection.overlap(t("candidate"), "m1", "m2", 0.1, "grid_id")
 
 
-@query("u4_partition_check", "SELECT count(*) FILTER (WHERE target = 0) AS first, count(*) FILTER (WHERE target = 1) AS second, CAST(0 AS BIGINT) AS in_both, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS \"foreign\" FROM $candidate")
+U4 = """WITH w AS (SELECT grid_id AS k FROM $candidate), a AS (SELECT grid_id AS k FROM $candidate WHERE target = 0 AND main_road_segment_count > 0),
+b AS (SELECT grid_id AS k FROM $candidate WHERE target = 1 OR main_road_segment_count = 3 UNION SELECT concat('S_', CAST(s_suppkey AS VARCHAR)) FROM supplier),
+u AS (SELECT k, k IN (SELECT k FROM w) AS w, k IN (SELECT k FROM a) AS a, k IN (SELECT k FROM b) AS b FROM (SELECT k FROM w UNION SELECT k FROM a UNION SELECT k FROM b))
+SELECT count(*) FILTER (WHERE a) AS first, count(*) FILTER (WHERE b) AS second, count(*) FILTER (WHERE a AND b) AS in_both, count(*) FILTER (WHERE w AND NOT a AND NOT b) AS lost, count(*) FILTER (WHERE NOT w) AS "foreign" FROM u"""
+
+
+@query("u4_partition_check", U4)
 def _(t):
-    c = t("candidate").select("grid_id", "target")
-    return checks.partition(c, c.where("target = 0"), c.where("target = 1"), "grid_id")
+    """Two sets that overlap, lose rows and hold others."""
+    c = t("candidate").select("grid_id", "target", "main_road_segment_count")
+    others = t("supplier").select(F.concat(F.lit("S_"), F.col("s_suppkey").cast("string")).alias("grid_id"))
+    second = c.where("target = 1 or main_road_segment_count = 3").select("grid_id").unionByName(others)
+    return checks.partition(c, c.where("target = 0 and main_road_segment_count > 0"), second, "grid_id")
 
 
 def rk(v: str) -> str:

@@ -11,7 +11,7 @@ from siteselect.operators import grid, ml, ranks, scoring, selection
 from siteselect.operators.scratch import folder
 from siteselect.plans.catalog import Tables, query
 from siteselect.plans.clean_queries import poi_tags
-from siteselect.plans.score_queries import ranked_points
+from siteselect.plans.score_queries import CHOSEN, NEAR, ranked_points
 from siteselect.plans.spatial_queries import lon_lat_sql
 from siteselect.sources import readers, sinks
 
@@ -79,7 +79,15 @@ def _(t):
     return readers.merged_elements(readers.elements(payloads(t))).select("type", "id", "lon", "lat")
 
 
-@query("t15_consolidated_points")
+T15 = """WITH e AS (SELECT point_id, CASE WHEN point_id % 2 = 0 THEN 'node' ELSE 'way' END AS type, point_id % 7000 AS id, CASE WHEN floor(point_id / 1000) % 2 = 0 THEN 'retail' ELSE 'all' END AS g,
+    CASE WHEN event_type = 'purchase' THEN CASE WHEN point_id % 10 = 0 THEN 'vacant' ELSE 'bakery' END ELSE 'no' END AS shop, CASE event_type WHEN 'signup' THEN 'school' WHEN 'view' THEN 'Clinic' ELSE '' END AS amenity,
+    CASE WHEN event_type = 'click' THEN 'bus_stop' ELSE 'none' END AS highway FROM $poi WHERE point_id % 10 <> 9),
+c AS (SELECT type, id, string_agg(DISTINCT g, '|' ORDER BY g) AS query_groups, arg_min(shop, point_id) AS shop, coalesce(arg_min(amenity, point_id) FILTER (WHERE amenity <> ''), '') AS amenity, arg_min(highway, point_id) AS highway FROM e GROUP BY type, id)
+SELECT type, id, query_groups, shop = 'bakery' AS is_retail_commercial, amenity = 'school' AS is_education, amenity = 'Clinic' AS is_healthcare, highway = 'bus_stop' AS is_transport_activity,
+  concat('{"amenity":"', amenity, '","highway":"', highway, '","shop":"', shop, '"}') AS tags_json FROM c WHERE shop = 'bakery' OR amenity <> '' OR highway = 'bus_stop'"""
+
+
+@query("t15_consolidated_points", T15)
 def _(t):
     each = readers.elements(payloads(t)).withColumn("query_group", F.when(F.col("payload_no") % 2 == 0, "retail").otherwise("all"))
     return readers.consolidated(each).drop("tags")
@@ -215,16 +223,36 @@ def shortlist(t: Tables):
     return out.withColumns(more)
 
 
-@query("k4_decision_document")
+K4 = f"""{CHOSEN}, {NEAR}, x AS ({EXPORTED}),
+l AS (SELECT x.*, c.rank AS original_rank, n.nearest_id, n.nearest_m, row_number() OVER (ORDER BY x.suitability_score DESC, x.grid_id) AS place FROM x JOIN chosen c ON c.point_id = x.grid_id JOIN near n ON n.point_id = x.grid_id)
+SELECT '1.0' AS schema_version, CAST((SELECT count(*) FROM l) AS INTEGER) AS candidate_count, grid_id, place AS selection_rank, longitude, latitude, suitability_score AS score, original_rank AS rank, priority_band, concat('band ', priority_band) AS explanation,
+  nearest_id AS nearest_selected_grid_id, round(nearest_m, 6) AS nearest_selected_candidate_m, ml_logistic_percentile AS logistic_regression_percentile, least(ml_logistic_percentile, ml_random_forest_percentile, ml_hgb_percentile) AS minimum_model_percentile,
+  models_top_20pct_count >= 2 AS at_least_two_models_top_20pct, models_top_20pct_count = 3 AS all_models_top_20pct, [{", ".join(f"'{s}'" for s in scoring.SUPPORT)}][models_top_20pct_count + 1] AS support_label FROM l"""
+
+
+@query("k4_decision_document", K4)
 def _(t):
-    return sinks.decision_document(shortlist(t), "fixture", 4000, "2024-01-01T00:00:00Z")
+    """The shortlist's document, and its candidates read from its text again."""
+    document = sinks.decision_document(shortlist(t), "fixture", 4000, "2024-01-01T00:00:00Z")
+    location, spatial = "location:struct<longitude:double,latitude:double>", "spatial_diversity:struct<nearest_selected_grid_id:string,nearest_selected_candidate_m:double>"
+    suitability = "suitability:struct<score:double,rank:bigint,priority_band:string,explanation:string>"
+    support = "ml_support:struct<logistic_regression_percentile:double,minimum_model_percentile:double,at_least_two_models_top_20pct:boolean,all_models_top_20pct:boolean,support_label:string>"
+    schema = f"schema_version string, candidate_count int, candidates array<struct<grid_id:string,selection_rank:bigint,{location},{suitability},{spatial},{support}>>"
+    each = document.select(F.from_json("value", schema).alias("d")).select("d.schema_version", "d.candidate_count", F.explode("d.candidates").alias("c"))
+    out = each.select("schema_version", "candidate_count", "c.grid_id", "c.selection_rank", "c.location.*", "c.suitability.*", "c.spatial_diversity.*", "c.ml_support.*")
+    return out.withColumn("nearest_selected_candidate_m", F.round("nearest_selected_candidate_m", 6))
 
 
-@query("k6_fold_outputs", "SELECT cv_fold, count(*) AS n FROM $candidate GROUP BY 1")
+K6 = """WITH c AS (SELECT cv_fold, target, concat('B', CAST(floor(x / 5000) AS BIGINT), '_', CAST(floor(y / 5000) AS BIGINT)) AS spatial_block_id FROM $candidate),
+b AS (SELECT spatial_block_id, count(*) AS row_count, sum(target) AS positive_count FROM c GROUP BY 1)
+SELECT c.cv_fold, count(*) AS n, CAST(sum(b.row_count) AS BIGINT) AS block_rows, CAST(sum(b.positive_count) AS BIGINT) AS block_positives FROM c JOIN b USING (spatial_block_id) GROUP BY 1"""
+
+
+@query("k6_fold_outputs", K6)
 def _(t):
+    """Rows and blocks, written and read again; each row meets its block's summary."""
     path = _folder(t)
     c = t("candidate").select("grid_id", "cv_fold", "target", grid.block_id("x", "y").alias("spatial_block_id"))
     sinks.fold_outputs(c, ml.block_summary(c, target="target"), path)
-    return t.spark.read.parquet(f"{path}/rows").groupBy("cv_fold").agg(F.count("*").alias("n"))
-
-
+    met = t.spark.read.parquet(f"{path}/rows").join(t.spark.read.parquet(f"{path}/blocks"), "spatial_block_id")
+    return met.groupBy("cv_fold").agg(F.count("*").alias("n"), F.sum("row_count").alias("block_rows"), F.sum("positive_count").alias("block_positives"))
