@@ -67,7 +67,7 @@ def corners(t: Tables) -> Column:
     return geo.shape_of(geo.ring_of(*map(at, outer)), geo.ring_of(*map(at, inner)))
 
 
-#: A field's edges: four anticlockwise, and three of a hole clockwise, in sevenths of its box (whole fields then have no areas that end in a 5).
+#: A field's edges: four anticlockwise, and three of a hole clockwise, in sevenths of its box.
 FIELD_EDGES = [((0, 0), (7, 2)), ((7, 2), (5, 7)), ((5, 7), (1, 6)), ((1, 6), (0, 0)), ((3, 3), (3, 4)), ((3, 4), (4, 3)), ((4, 3), (3, 3))]
 
 
@@ -85,14 +85,15 @@ FIELD_SQL = " UNION ALL ".join(f"SELECT lot_id, x0, y0, x1, y1, x0 + (x1 - x0) *
 J3 = f"""WITH edge AS ({FIELD_SQL}), cell AS (SELECT grid_id, x0 AS bx0, y0 AS by0, 500.0::DOUBLE AS side FROM $grid),
 {cell_area_sql("edge", "cell ON x0 < bx0 + 500 AND x1 > bx0 AND y0 < by0 + 500 AND y1 > by0", "lot_id, grid_id")},
 area AS (SELECT lot_id, grid_id, sum(part) AS a FROM below GROUP BY ALL)
-SELECT grid_id, count(*) AS pieces, round(sum(a), 4) AS area_m2 FROM area WHERE a > 1e-4 GROUP BY grid_id"""
+SELECT grid_id, count(*) AS pieces, round(sqrt(sum(a)), 5) AS side_m FROM area WHERE a > 1e-4 GROUP BY grid_id"""
 
 
 @query("j3_polygon_cell_intersection", J3)
 def _(t):
+    """Fields in each cell, and the side of a square as large as all of them there (roots, unlike the areas themselves, do not end in a 5)."""
     fields = t("lot").select("lot_id", corners(t).alias("shape"))
     met = joins.shapes_in_cells(fields, t("grid")).where("area_m2 > 1e-4")
-    return met.groupBy("grid_id").agg(F.count("*").alias("pieces"), F.round(F.sum("area_m2"), 4).alias("area_m2"))
+    return met.groupBy("grid_id").agg(F.count("*").alias("pieces"), F.round(F.sqrt(F.sum("area_m2")), 5).alias("side_m"))
 
 
 J5 = f"""WITH {CENTRES}, {BOXES},
