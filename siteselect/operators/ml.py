@@ -76,7 +76,7 @@ def balanced_weights(rows: DataFrame, target: str, out: str = "weight") -> DataF
 
 
 #: Tree models that are fitted at a time.
-FITS = 4
+FITS = 8
 
 
 def estimator(model: str, seed: int = 42, trees: int = 400, rounds: int = 150, depth: int | None = None, split: str = "sqrt", weights_sum: float | None = None):
