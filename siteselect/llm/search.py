@@ -14,9 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siteselect.llm.common import keep, map_arrow
+from siteselect.llm.common import keep, map_arrow, partitions
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 2048, 512, 32
+#: Most cells, sampled rows for each of them, and most components of that sample: cells are a partition only, and their boxes go to every task.
+CELLS, CELL_SAMPLE, SAMPLE_COMPONENTS = 1024, 16, 1 << 22
+#: Cells for vectors of lengths that the sample has not got, or hardly.
+SPARE = 64
+#: Bytes of questions that are sent on at a time.
+SENT_BYTES = 16 << 20
 
 
 def quantised(vector: Column, factor: int = 256) -> Column:
@@ -25,6 +31,78 @@ def quantised(vector: Column, factor: int = 256) -> Column:
     return F.when(fine, F.transform(vector, lambda x: F.floor(x.cast("double") * factor).cast("long")))
 
 
+def _exact(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> type:
+    """The type in which inner products of the queries with points of the boxes are exact: doubles multiply faster, up to 2^53."""
+    side = max(float(np.abs(low).max(initial=1)), float(np.abs(high).max(initial=1)))
+    return np.float64 if float(np.abs(queries).max(initial=1)) * side * queries.shape[1] < 2**53 else np.int64
+
+
+def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The highest inner product of each query with any point of each box."""
+    kind = _exact(queries, low, high)
+    asks = queries.astype(kind)
+    return np.maximum(asks, 0) @ high.astype(kind).T + np.minimum(asks, 0) @ low.astype(kind).T
+
+
+class Cells:
+    """Median splits along the widest side of a sample, for each length of vectors: near vectors share a cell, and each cell has a box.
+
+    Cells of one length follow each other. Lengths with too few sampled rows for a cell share SPARE cells without boxes.
+    """
+
+    def __init__(self, sample: dict[int, np.ndarray], cells: int) -> None:
+        total = sum(map(len, sample.values()))
+        self.count, self.nodes, self.roots, self.spans = 0, [], {}, {}
+        for dims, points in sorted(sample.items()):
+            if share := min(cells * len(points) // total, max(1, len(points) // CELL_SAMPLE)):
+                before = self.count
+                self.roots[dims] = self._split(points, share)
+                self.spans[dims] = (before, self.count)
+        self.boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _split(self, points: np.ndarray, share: int) -> int:
+        number = len(self.nodes)
+        side = int(np.argmax(points.max(axis=0).astype(float) - points.min(axis=0)))
+        values = np.sort(points[:, side])
+        if share < 2 or values[0] == values[-1]:
+            self.nodes.append((-1, self.count, -1, -1))
+            self.count += 1
+            return number
+        cut = values[(len(values) - 1) // 2]
+        if cut == values[-1]:
+            cut = values[np.searchsorted(values, cut) - 1]
+        self.nodes.append(())
+        below = points[:, side] <= cut
+        self.nodes[number] = (side, int(cut), self._split(points[below], share // 2), self._split(points[~below], share - share // 2))
+        return number
+
+    def assign(self, points: np.ndarray) -> np.ndarray:
+        dims = points.shape[1]
+        out = np.full(len(points), self.count + dims % SPARE, np.int32)
+        waiting = [(self.roots[dims], np.arange(len(points)))] if dims in self.roots else []
+        while waiting:
+            number, rows = waiting.pop()
+            side, value, left, right = self.nodes[number]
+            if side < 0:
+                out[rows] = value
+                continue
+            below = points[rows, side] <= value
+            waiting += [(left, rows[below]), (right, rows[~below])]
+        return out
+
+    def reach(self, queries: np.ndarray, known: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each cell with the queries that it may improve: those without a k-th (score, id), and those whose bound in its box is not behind theirs."""
+        dims = queries.shape[1]
+        if dims not in self.boxes:
+            yield self.count + dims % SPARE, np.arange(len(queries))
+            return
+        low, high, first = self.boxes[dims]
+        bounds = _bounds(queries, low, high)
+        may = ~known[:, None] | (bounds > scores[:, None]) | ((bounds == scores[:, None]) & (first[None, :] <= ids[:, None]))
+        for number in np.flatnonzero(may.any(axis=0)).tolist():
+            yield self.spans[dims][0] + number, np.flatnonzero(may[:, number])
+
+
 class Tree:
     """Median splits along the widest side, down to leaves; each node has the tight box of its points and their smallest id."""
 
@@ -73,10 +151,9 @@ class Tree:
 
         Nodes are visited by the highest inner product that their box allows; when that is below the k-th score so far, the rest is, too.
         """
-        largest = float(np.abs(queries).max(initial=1)) * float(max(np.abs(self.low).max(initial=1), np.abs(self.high).max(initial=1))) * queries.shape[1]
-        kind = np.float64 if largest < 2**53 else np.int64
-        points, low, high, asks = (a.astype(kind) for a in (self.points, self.low, self.high, queries))
-        bounds = np.maximum(asks, 0) @ high.T + np.minimum(asks, 0) @ low.T
+        kind = _exact(queries, self.low, self.high)
+        points, asks = self.points.astype(kind), queries.astype(kind)
+        bounds = _bounds(queries, self.low, self.high)
         nodes, first = self.nodes.tolist(), self.first.tolist()
         answers = []
         for row, limit in enumerate(limits):
@@ -115,12 +192,92 @@ class Tree:
 
 def _grow(group: pd.DataFrame) -> pd.DataFrame:
     tree = Tree(group["vec_id"].to_numpy(np.int64), np.stack(group["v"].to_numpy()).astype(np.int64))
-    return pd.DataFrame({"shard": [int(group["shard"].iloc[0])], "dims": [int(group["dims"].iloc[0])], "tree": [tree.dump()]})
+    one = {name: [int(group[name].iloc[0])] for name in ("cell", "shard", "dims")}
+    return pd.DataFrame({**one, "first": [int(tree.first[0])], "low": [tree.low[0]], "high": [tree.high[0]], "tree": [tree.dump()]})
 
 
 def _gather(group: pd.DataFrame) -> pd.DataFrame:
     data = {"ids": group["vec_id"].to_numpy(np.int64).tobytes(), "points": np.stack(group["v"].to_numpy()).astype(np.int64).tobytes()}
-    return pd.DataFrame({"block": [int(group["block"].iloc[0])], "dims": [int(group["dims"].iloc[0])], "ids": [data["ids"]], "points": [data["points"]]})
+    return pd.DataFrame({**{name: [int(group[name].iloc[0])] for name in ("cell", "block", "dims")}, **{name: [x] for name, x in data.items()}})
+
+
+def _cells(points: DataFrame, rows: int) -> Cells:
+    """Splits from a sample of at most CELLS * CELL_SAMPLE rows and SAMPLE_COMPONENTS components, whatever the number of rows."""
+    widest = points.agg(F.max("dims")).first()[0] or 1
+    size = max(1, min(CELLS * CELL_SAMPLE, SAMPLE_COMPONENTS // widest))
+    drawn = points if rows <= size else points.sample(size / rows, seed=3).limit(2 * size)
+    held: dict[int, list] = {}
+    for row in drawn.select("v").collect():
+        held.setdefault(len(row["v"]), []).append(row["v"])
+    return Cells({dims: np.array(v, np.int64) for dims, v in held.items()}, max(1, min(CELLS, math.ceil(rows / SHARD_ROWS), size // CELL_SAMPLE)))
+
+
+def _placed(rows: DataFrame, cells: Cells) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column("v")
+            values, starts = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()[:-1].astype(np.int64)
+            sizes, cell = batch.column("dims").to_numpy(), np.zeros(batch.num_rows, np.int32)
+            for dims in np.unique(sizes).tolist():
+                mine = np.flatnonzero(sizes == dims)
+                cell[mine] = cells.assign(values[starts[mine][:, None] + np.arange(dims)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], ["vec_id", "v", "dims", "cell"])
+
+    return map_arrow(rows.select("vec_id", "v", "dims"), run, "vec_id long, v array<long>, dims int, cell int")
+
+
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    """(cell, parts): in how many parts of about `size` rows each cell is cut; CELLS + SPARE rows at most."""
+    counts = rows.groupBy("cell").agg(F.greatest(F.lit(1), F.round(F.count("*") / size)).cast("int").alias("parts"))
+    return rows.sparkSession.createDataFrame(counts.collect(), "cell int, parts int")
+
+
+def _boxed(cells: Cells, trees: DataFrame) -> None:
+    """The tight box of each cell, from its shards' own, and its smallest id."""
+    mine = trees.where(F.col("cell") < cells.count)
+    sides = mine.select("dims", "cell", F.posexplode(F.arrays_zip("low", "high")).alias("side", "x"))
+    sides = sides.groupBy("dims", "cell", "side").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high")).toArrow()
+    firsts = {r["cell"]: r["first"] for r in mine.groupBy("cell").agg(F.min("first").alias("first")).collect()}
+    dims_, cell, side, low, high = (sides.column(c).to_numpy() for c in ("dims", "cell", "side", "low", "high"))
+    for dims, (start, end) in cells.spans.items():
+        rows = dims_ == dims
+        lows, highs = np.zeros((end - start, dims), np.int64), np.zeros((end - start, dims), np.int64)
+        lows[cell[rows] - start, side[rows]], highs[cell[rows] - start, side[rows]] = low[rows], high[rows]
+        cells.boxes[dims] = (lows, highs, np.array([firsts[c] for c in range(start, end)], np.int64))
+
+
+_LIMITED = ["ids", "points", "scores", "limits", "known"]
+
+
+def _sent(blocks: DataFrame, cells: Cells) -> DataFrame:
+    """(block, cell, dims, home, queries and their limits): a block's queries once for each cell that may improve them; home is the shard of that cell that they have asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "cell", "dims", "home", *_LIMITED]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+        rows, size = [], 0
+        for batch in batches:
+            for block, home_cell, home, dims, ids, points, asked, scores, limits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, data = np.frombuffer(ids, np.int64), np.frombuffer(points, np.int64).reshape(-1, dims)
+                order = np.argsort(own)
+                worst, last, known = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+                if asked:
+                    asks, found = np.frombuffer(asked, np.int64), np.frombuffer(scores, np.int64)
+                    mine = np.isin(asks, own)
+                    at = order[np.searchsorted(own, asks[mine], sorter=order)]
+                    worst[at], last[at], known[at] = found[mine], np.frombuffer(limits, np.int64)[mine], True
+                for cell, some in cells.reach(data, known, worst, last):
+                    packed = [x[some].tobytes() for x in (own, data, worst, last, known)]
+                    rows.append((block, cell, dims, home if cell == home_cell else -1, *packed))
+                    size += len(packed[1])
+                    if size >= SENT_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    fields = ["block", "cell", "home", "dims", "ids", "points", "asked", "scores", "limits"]
+    return map_arrow(blocks.select(*fields), run, "block long, cell int, dims int, home int, " + ", ".join(f"{c} binary" for c in _LIMITED))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -129,47 +286,56 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both inputs are (vec_id long, v array of long); rows with a null in either take no part, and a query meets the vectors of its own
     length alone. A query's own row is that of its vec_id. Of queries with one vec_id the smallest vector counts; repeated vectors are ranked as often as they occur.
 
-    Vectors are dealt to shards of about SHARD_ROWS by a hash of their id, and each shard grows its tree once; queries form blocks of about
-    BLOCK_ROWS. Every block first asks one shard; the k-th score it finds there goes with each query to all other shards, which return nothing below it.
+    Median splits of a bounded sample deal all vectors to cells; a cell of many rows is cut into shards of about SHARD_ROWS by a hash, and each
+    shard grows its tree once. Queries of a cell form blocks of about BLOCK_ROWS. Every block first asks one shard of its own cell; the k-th score that
+    a query finds there is held against the boxes of all cells, and the query goes on, with that score, only to those that can better it.
     """
     columns = (F.col("vec_id").cast("long").alias("vec_id"), "v", F.size("v").alias("dims"))
     whole = "vec_id is not null and v is not null"
     points = keep(vectors.where(whole).select(*columns), "vectors")
-    asks = keep(queries.where(whole).select(*columns).groupBy("vec_id").agg(F.min_by(F.struct("v", "dims"), "v").alias("x")).select("vec_id", "x.*"), "queries")
-    shards = max(1, math.ceil(points.count() / SHARD_ROWS))
-    blocks = max(1, math.ceil(asks.count() / BLOCK_ROWS))
-    spread = F.pmod(F.xxhash64("vec_id", F.col("v")), F.lit(shards)).cast("int")
-    trees = keep(points.withColumn("shard", spread).groupBy("shard", "dims").applyInPandas(_grow, "shard int, dims int, tree binary"), "trees")
-    block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
-    gathered = keep(asks.withColumn("block", block).groupBy("block", "dims").applyInPandas(_gather, "block int, dims int, ids binary, points binary"), "blocks")
+    cells = _cells(points, points.count())
+    placed = keep(_placed(points, cells), "placed")
+    parts = _parts(placed, SHARD_ROWS)
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int")
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("shard", shard).groupBy("cell", "shard", "dims")
+    trees = keep(dealt.applyInPandas(_grow, "cell int, shard int, dims int, first long, low array<long>, high array<long>, tree binary"), "trees")
+    _boxed(cells, trees)
+
+    asks = queries.where(whole).select(*columns).groupBy("vec_id").agg(F.min_by(F.struct("v", "dims"), "v").alias("x")).select("vec_id", "x.*")
+    asks = keep(_placed(asks, cells), "queries")
+    block = F.shiftleft(F.col("cell").cast("long"), 40) + F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.col("parts"))
+    blocked = asks.join(F.broadcast(_parts(asks, BLOCK_ROWS)), "cell").withColumn("block", block).groupBy("cell", "block", "dims")
+    gathered = blocked.applyInPandas(_gather, "cell int, block long, dims int, ids binary, points binary").join(F.broadcast(parts), "cell", "left")
+    gathered = keep(gathered.withColumn("home", F.pmod("block", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"), "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for tree, dims, ids, data, scores, limits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out: list[tuple[int, int, int, int]] = []
+            for tree, dims, block_, ids, data, scores, limits, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(ids, np.int64)
-                limit = {q: (s, i) for q, s, i in zip(*(np.frombuffer(x, np.int64).reshape(-1) for x in (limits, scores[: len(scores) // 2], scores[len(scores) // 2 :])), strict=True)} if limits else {}
-                limit = {int(q): (int(s), int(i)) for q, (s, i) in limit.items()}
-                found = Tree.load(tree).search(np.frombuffer(data, np.int64).reshape(-1, dims), own, k, [limit.get(q) for q in own.tolist()])
-                out += [(q, point, score) for q, best in zip(own.tolist(), found, strict=True) for score, point in best]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
-
-    result = "query_id long, vec_id long, score long"
-    asked = ["tree", "dims", "ids", "points", "scores", "limits"]
-    none = F.lit(b"").alias
-    home = gathered.withColumn("shard", F.pmod("block", F.lit(shards)))
-    first = keep(map_arrow(home.join(trees, ["shard", "dims"]).withColumns({"scores": none("scores"), "limits": none("limits")}).select(*asked).repartition(max(1, blocks)), run, result), "first-shard")
+                worst: list[tuple[int, int] | None] = [None] * len(own)
+                if known:
+                    pairs = zip(np.frombuffer(scores, np.int64).tolist(), np.frombuffer(limits, np.int64).tolist(), np.frombuffer(known, bool).tolist(), strict=True)
+                    worst = [(s, i) if is_known else None for s, i, is_known in pairs]
+                found = Tree.load(tree).search(np.frombuffer(data, np.int64).reshape(-1, dims), own, k, worst)
+                out += [(block_, q, point, score) for q, best in zip(own.tolist(), found, strict=True) for score, point in best]
+            columns_ = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns_], ["block", "query_id", "vec_id", "score"])
 
     def limits_of(group: pd.DataFrame) -> pd.DataFrame:
         worst = group.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").nth(k - 1)
-        packed = worst["score"].to_numpy(np.int64).tobytes() + worst["vec_id"].to_numpy(np.int64).tobytes()
-        return pd.DataFrame({"block": [int(group["block"].iloc[0])], "scores": [packed], "limits": [worst["query_id"].to_numpy(np.int64).tobytes()]})
-
-    of_block = F.pmod(F.xxhash64(F.lit("block"), "query_id"), F.lit(blocks)).cast("int")
-    bounds = first.withColumn("block", of_block).groupBy("block").applyInPandas(limits_of, "block int, scores binary, limits binary")
-    others = gathered.join(bounds, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.pmod("block", F.lit(shards)))
-    others = others.withColumns({"scores": F.coalesce("scores", none("x")), "limits": F.coalesce("limits", none("x"))})
-    rest = map_arrow(others.join(trees, ["shard", "dims"]).select(*asked), run, result)
+        packed = {name: [worst[column].to_numpy(np.int64).tobytes()] for name, column in (("asked", "query_id"), ("scores", "score"), ("limits", "vec_id"))}
+        return pd.DataFrame({"block": [int(group["block"].iloc[0])], **packed})
+
+    result = "block long, query_id long, vec_id long, score long"
+    asked = ["tree", "dims", "block", *_LIMITED]
+    grown = trees.select("cell", "shard", "dims", "tree")
+    none = {c: F.lit(b"") for c in ("scores", "limits", "known")}
+    home = gathered.withColumnRenamed("home", "shard").join(grown, ["cell", "shard", "dims"]).withColumns(none)
+    first = keep(map_arrow(home.select(*asked).repartition(partitions(home)), run, result), "first-shard")
+    bounds = first.groupBy("block").applyInPandas(limits_of, "block long, asked binary, scores binary, limits binary")
+    sent = _sent(gathered.join(bounds, "block", "left"), cells).join(F.broadcast(parts), "cell")
+    others = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("shard != home")
+    rest = map_arrow(others.join(grown, ["cell", "shard", "dims"]).select(*asked), run, result)
     ranked = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.unionByName(rest).withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
