@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siteselect.llm.common import keep, map_arrow, partitions
 
-SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 2048, 512, 32
+SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 2048, 512, 128
 #: Most cells, sampled rows for each of them, and most components of that sample: cells are a partition only, and their boxes go to every task.
 CELLS, CELL_SAMPLE, SAMPLE_COMPONENTS = 1024, 16, 1 << 22
 #: Cells for vectors of lengths that the sample has not got, or hardly.
@@ -45,7 +45,9 @@ def _bounds(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
 
 
 class Cells:
-    """Median splits along the widest side of a sample, for each length of vectors: near vectors share a cell, and each cell has a box.
+    """Splits along the widest side of a sample, for each length of vectors: near vectors share a cell, and each cell has a box.
+
+    A split is at the median where both sides get as many cells, else in proportion to them.
 
     Cells of one length follow each other. Lengths with too few sampled rows for a cell share SPARE cells without boxes.
     """
@@ -68,7 +70,7 @@ class Cells:
             self.nodes.append((-1, self.count, -1, -1))
             self.count += 1
             return number
-        cut = values[(len(values) - 1) // 2]
+        cut = values[(len(values) - 1) * (share // 2) // share]
         if cut == values[-1]:
             cut = values[np.searchsorted(values, cut) - 1]
         self.nodes.append(())
@@ -286,7 +288,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both inputs are (vec_id long, v array of long); rows with a null in either take no part, and a query meets the vectors of its own
     length alone. A query's own row is that of its vec_id. Of queries with one vec_id the smallest vector counts; repeated vectors are ranked as often as they occur.
 
-    Median splits of a bounded sample deal all vectors to cells; a cell of many rows is cut into shards of about SHARD_ROWS by a hash, and each
+    Splits of a bounded sample deal all vectors to cells; a cell of many rows is cut into shards of about SHARD_ROWS by a hash, and each
     shard grows its tree once. Queries of a cell form blocks of about BLOCK_ROWS. Every block first asks one shard of its own cell; the k-th score that
     a query finds there is held against the boxes of all cells, and the query goes on, with that score, only to those that can better it.
     """
@@ -311,13 +313,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, int, int]] = []
+            loaded, tree_ = b"", None
             for tree, dims, block_, ids, data, scores, limits, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = np.frombuffer(ids, np.int64)
                 worst: list[tuple[int, int] | None] = [None] * len(own)
                 if known:
                     pairs = zip(np.frombuffer(scores, np.int64).tolist(), np.frombuffer(limits, np.int64).tolist(), np.frombuffer(known, bool).tolist(), strict=True)
                     worst = [(s, i) if is_known else None for s, i, is_known in pairs]
-                found = Tree.load(tree).search(np.frombuffer(data, np.int64).reshape(-1, dims), own, k, worst)
+                if tree != loaded:  # a join gives the blocks of one tree one after the other
+                    loaded, tree_ = tree, Tree.load(tree)
+                found = tree_.search(np.frombuffer(data, np.int64).reshape(-1, dims), own, k, worst)
                 out += [(block_, q, point, score) for q, best in zip(own.tolist(), found, strict=True) for score, point in best]
             columns_ = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns_], ["block", "query_id", "vec_id", "score"])

@@ -78,3 +78,18 @@ def test_queries_go_only_to_cells_that_can_better_them():
     assert max(reached) < 8 and reached[1] < reached[0] * 1.3
     unknown = dict(made.reach(queries, np.full(len(queries), False), worst, worst))
     assert set(unknown) == set(range(16)) and all(len(some) == len(queries) for some in unknown.values())
+
+
+def test_tree_of_many_leaves_equals_brute_force_with_and_without_limits(monkeypatch):
+    monkeypatch.setattr(search, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(3)
+    points, ids = rng.integers(-6, 7, (400, 5)), rng.permutation(400)
+    tree = search.Tree.load(search.Tree(ids, points).dump())
+    assert len(tree.nodes) > 60
+    rows = {int(i): p for i, p in zip(ids, points, strict=True)}
+    asks = list(range(0, 400, 20))
+    for limit in (None, (20, 200)):
+        found = tree.search(np.array([rows[q] for q in asks]), np.array(asks), 5, [limit] * len(asks))
+        for q, got in zip(asks, found, strict=True):
+            best = sorted(((int(rows[q] @ p), i) for i, p in rows.items() if i != q), key=lambda x: (-x[0], x[1]))[:5]
+            assert got == [x for x in best if limit is None or (-x[0], x[1]) <= (-limit[0], limit[1])]
