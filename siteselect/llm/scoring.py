@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from siteselect.llm.minhash import WordHashes, _mix
 
 #: About how many characters of text form a block, and how many keys a shard holds.
 BLOCK_CHARS, SHARD_KEYS = 8_000_000, 1_500_000
+#: Bits of a key that one hop tells apart: nobody sends to more than 2**HOP_BITS others, however many shards there are.
+HOP_BITS = 10
 #: Classes of documents: not trained on, trained on and used to learn the mixture weights, trained on otherwise.
 TEST, HELD, TRAIN = 0, 1, 2
 BUCKETS, STEPS, BINS = 24, 4, 160
@@ -65,67 +68,153 @@ def _bigrams(token: np.ndarray, before: np.ndarray) -> np.ndarray:
     return _mix(before * _ODD + token) >> _DROP
 
 
-def _places(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
-    """Where each shard's keys begin in a sorted array, and the end: a shard is the high bits of a key of `bits` bits."""
-    shift = np.uint64(bits - shards)
-    return np.searchsorted(keys >> shift, np.arange((1 << shards) + 1, dtype=np.uint64))
+def _pack_counts(values: np.ndarray) -> bytes:
+    """Counts as 4 bytes each, or as 8 where one needs them; the first byte says which."""
+    kind = np.uint64 if len(values) and int(values.max()) >> 32 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + _pack(values.astype(kind))
 
 
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    return _unpack(data[1:], n, np.uint64 if data[0] == 8 else np.uint32).astype(np.int64)
+
+
+#: A message up: a sender's distinct keys of one range, and how often its training documents have each. A message down: the shards' sums for them.
 _ASK = "kind int, shard int, block int, cls int, n int, keys binary, counts binary"
-_REPLY = "kind int, shard int, block int, n int, counts binary, kept binary, distinct long, total long"
+_REPLY = "kind int, shard int, block int, cls int, n int, counts binary, kept binary, distinct long, total long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.table([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
+
+
+def _messages(kind: int, parent: int, hop: int, bits: int, block: int, cls: int, keys: np.ndarray, counts: np.ndarray | None) -> list[tuple]:
+    """Sorted keys within the range `parent`, cut into its 2**hop parts, which are those of the highest `bits` bits; parts without keys get no message."""
+    shift = np.uint64((64 if kind == 1 else 64 - int(_DROP)) - bits)
+    parts = np.arange(parent << hop, (parent + 1 << hop) + 1, dtype=np.uint64)
+    at = np.searchsorted(keys >> shift, parts)
+    cut = [(int(parts[i]), slice(at[i], at[i + 1])) for i in np.flatnonzero(np.diff(at)).tolist()]
+    return [(kind, part, block, cls, int(c.stop - c.start), _pack_keys(keys[c]), b"" if counts is None else _pack_counts(counts[c])) for part, c in cut]
 
 
-def _ask(shards: int):
-    """A block's distinct unigrams (kind 1, with the start as one) and bigrams (kind 2), by shard, with their counts in the block."""
+def _ask(hop: int):
+    """A block's distinct unigrams (kind 1, with the start as one) and bigrams (kind 2), by range, with their counts in the block."""
 
     def run(table: pa.Table) -> pa.Table:
         block, cls = table.column("block")[0].as_py(), table.column("cls")[0].as_py()
         token, before, lengths = block_tokens(table.column("text").to_pylist())
         rows = []
-        for kind, bits, values in ((1, 64, np.concatenate((token, np.full(len(lengths), _START)))), (2, 64 - int(_DROP), _bigrams(token, before))):
+        for kind, values in ((1, np.concatenate((token, np.full(len(lengths), _START)))), (2, _bigrams(token, before))):
             keys, counts = np.unique(values, return_counts=True)
-            counts = counts.astype(np.uint32)
-            at = _places(keys, bits, shards)
-            rows += [(kind, s, block, cls, int(at[s + 1] - at[s]), _pack_keys(keys[at[s] : at[s + 1]]), _pack(counts[at[s] : at[s + 1]]) if cls != TEST else b"") for s in np.flatnonzero(np.diff(at)).tolist()]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _ASK.split(", ")])
+            rows += _messages(kind, 0, hop, hop, block, cls, keys, None if cls == TEST else counts)
+        return _table(rows, _ASK)
+
+    return run
+
+
+def _asked(table: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray | None]]:
+    """(block, class, keys, counts) of each message; those of documents that are not trained on have no counts."""
+    columns = (table.column(f).to_pylist() for f in ("block", "cls", "n", "keys", "counts"))
+    return [(b, c, _unpack_keys(k, n), _unpack_counts(x, n) if c != TEST else None) for b, c, n, k, x in zip(*columns, strict=True)]
+
+
+def _summed(asks: list[tuple[int, int, np.ndarray, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.unique(np.concatenate([k for _, _, k, _ in asks])) if asks else np.empty(0, np.uint64)
+    counts = np.zeros(len(keys), np.int64)
+    for _, _, k, x in asks:
+        if x is not None:
+            counts[np.searchsorted(keys, k)] += x
+    return keys, counts
+
+
+def _pass_on(hop: int, level: int):
+    """What a group of senders has in one range, added up and sent on to the parts of the range in the name of the group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, shard, group, cls = (table.column(f)[0].as_py() for f in ("kind", "shard", "grp", "cls"))
+        keys, counts = _summed(_asked(table))
+        return _table(_messages(kind, shard, hop, hop * level, group, cls, keys, None if cls == TEST else counts), _ASK)
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """A shard's sums over all blocks, for each block in the order of its keys: all training counts, and for blocks that learn the weights those
+    """A shard's sums over all documents, for each sender in the order of its keys: all training counts, and for those that learn the weights the counts
     without the documents that learn. One more row (block -1) counts the shard's distinct training tokens and all of them."""
     kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
-    asks = [(b, c, _unpack_keys(k, n), _unpack(x, n, np.uint32) if c != TEST else None) for b, c, n, k, x in zip(*(table.column(f).to_pylist() for f in ("block", "cls", "n", "keys", "counts")), strict=True)]
-    trained = [(k, x, c) for _, c, k, x in asks if c != TEST]
-    keys = np.unique(np.concatenate([k for k, _, _ in trained])) if trained else np.empty(0, np.uint64)
-    whole, kept = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
-    for k, x, c in trained:
-        at = np.searchsorted(keys, k)
-        whole[at] += x
+    asks = _asked(table)
+    keys, whole = _summed([a for a in asks if a[1] != TEST])
+    kept = np.zeros(len(keys), np.int64)
+    for _, c, k, x in asks:
         if c == TRAIN:
-            kept[at] += x
+            kept[np.searchsorted(keys, k)] += x
     rows = []
     real = keys != _START
     if kind == 1:
-        rows.append((kind, shard, -1, 0, None, None, int(real.sum()), int(whole[:-1][real].sum())))
-        rows.append((kind, shard, -2, 0, None, None, 0, int(kept[:-1][real].sum())))
+        rows.append((kind, shard, -1, TRAIN, 0, None, None, int(real.sum()), int(whole[real].sum())))
+        rows.append((kind, shard, -2, TRAIN, 0, None, None, 0, int(kept[real].sum())))
+    # a key that no training document has is looked up behind the last
+    whole, kept = np.append(whole, 0), np.append(kept, 0)
     for block, cls, asked, _ in asks:
         at = np.searchsorted(keys, asked)
         at = np.where((at < len(keys)) & (keys[np.minimum(at, max(len(keys) - 1, 0))] == asked) if len(keys) else False, at, len(keys))
-        rows.append((kind, shard, block, len(asked), _pack(whole[at].astype(np.uint32)), _pack(kept[at].astype(np.uint32)) if cls == HELD else None, None, None))
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _REPLY.split(", ")])
+        rows.append((kind, shard, block, cls, len(asked), _pack_counts(whole[at]), _pack_counts(kept[at]) if cls == HELD else None, None, None))
+    return _table(rows, _REPLY)
+
+
+def _in_order(replies: pa.Table, column: str) -> np.ndarray:
+    """The sums that answer one sender's keys of one kind: ranges follow each other as keys do."""
+    rows = sorted(zip(*(replies.column(f).to_pylist() for f in ("shard", "n", column)), strict=True), key=lambda r: r[0])
+    return np.concatenate([_unpack_counts(data, n) for _, n, data in rows]) if rows else np.empty(0, np.int64)
+
+
+def _pass_back(_key, asks: pa.Table, replies: pa.Table) -> pa.Table:
+    """The answers to a group, dealt to its senders: the group's keys are added up again, which gives the order of the answers."""
+    rows = []
+    if asks.num_rows:
+        kind, shard = asks.column("kind")[0].as_py(), asks.column("shard")[0].as_py()
+        held = _asked(asks)
+        keys, _ = _summed(held)
+        whole = _in_order(replies, "counts")
+        kept = _in_order(replies, "kept") if held[0][1] == HELD else None
+        for block, cls, asked, _ in held:
+            at = np.searchsorted(keys, asked)
+            rows.append((kind, shard, block, cls, len(asked), _pack_counts(whole[at]), None if kept is None else _pack_counts(kept[at]), None, None))
+    return _table(rows, _REPLY)
+
+
+def _exchange(blocked: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(replies to the blocks, sums of the shards): each block's distinct keys go up to the shards that add them up, and the sums come back.
+
+    A shard is a range of keys. With few shards a block writes to each. With more than 2**HOP_BITS, a message crosses several hops: blocks write to wide
+    ranges, where the messages of a group of blocks are added up and sent on to narrower ranges in the group's name, and so on; answers take the way back.
+    No hop has more than 2**HOP_BITS messages for each block, so that what is exchanged grows as the text does and not as blocks times shards; what a
+    task holds is a block's keys or a shard's, at every level.
+    """
+    hops = max(1, math.ceil(shards / HOP_BITS))
+    hop = math.ceil(shards / hops)
+    to = ("kind", "shard", "cls", "grp")
+    group = F.shiftright("block", hop).alias("grp")
+    asks = blocked.groupBy("block").applyInArrow(_ask(hop), _ASK)
+    sent = []
+    for level in range(2, hops + 1):
+        sent.append(keep(asks, "asks"))
+        asks = sent[-1].withColumn("grp", group).groupBy(*to).applyInArrow(_pass_on(hop, level), _ASK)
+    replies = keep(asks.groupBy("kind", "shard").applyInArrow(_answer, _REPLY), "replies")
+    sums = replies.where("block < 0").select("block", "distinct", "total")
+    replies = replies.where("block >= 0")
+    for asks in reversed(sent):
+        back = replies.withColumns({"grp": F.col("block"), "to": F.shiftright("shard", hop)})
+        replies = keep(asks.withColumn("grp", group).groupBy(*to).cogroup(back.groupBy("kind", "to", "cls", "grp")).applyInArrow(_pass_back, _REPLY), "replies")
+    return replies, sums
 
 
 def _joined(docs: pa.Table, replies: pa.Table, column: str) -> tuple[np.ndarray, ...]:
     """(lengths, c(w), c(v), c(v w), starts) for each token of a block, from the shards' answers."""
     token, before, lengths = block_tokens(docs.column("text").to_pylist())
-    held: dict[int, list[tuple[int, np.ndarray]]] = {1: [], 2: []}
-    for kind, shard, n, data in zip(*(replies.column(f).to_pylist() for f in ("kind", "shard", "n", column)), strict=True):
-        held[kind].append((shard, _unpack(data, n, np.uint32)))
-    counts = {k: np.concatenate([c for _, c in sorted(v, key=lambda x: x[0])]).astype(np.float64) for k, v in held.items()}
+    counts = {k: _in_order(replies.filter(pa.compute.equal(replies.column("kind"), k)), column).astype(np.float64) for k in (1, 2)}
     keys = np.unique(np.concatenate((token, np.array([_START]))))
     pairs, at = np.unique(_bigrams(token, before), return_inverse=True)
     return lengths, counts[1][np.searchsorted(keys, token)], counts[1][np.searchsorted(keys, before)], counts[2][at]
@@ -178,9 +267,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_
     against the counts of the others (deleted interpolation). A token's probability is
     w2 c(v w) / c(v) + w1 c(w) / N + w0 / (V + 1), its weights those of the context's frequency. score is the sum of log10 over tokens.
 
-    Counts are joined in shards: a block of documents sends each shard its distinct keys and counts, packed; the shard adds up all blocks and answers
-    each with the sums in the block's order. Blocks and shards have a bounded size whatever the corpus; nothing is collected but a few sums and a
-    histogram of fixed size. A null id counts as trained on.
+    Counts are joined in shards: a block of documents asks for its distinct keys, packed, with its own counts of them; a shard adds up all blocks and answers
+    each with the sums in the block's order (see _exchange). Blocks and shards have a bounded size whatever the corpus; nothing is collected but a few sums
+    and a histogram of fixed size. A null id counts as trained on. Blocks are dealt by id and text: only rows equal in both share one. A text of any length
+    is scored whole, within its block. Equal rows have equal results and count as often as they occur.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -190,13 +280,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_
     chars = {r["cls"]: r["n"] for r in rows.groupBy("cls").agg(F.sum(F.length("text")).alias("n")).collect()}
     blocks = {c: max(1, math.ceil((chars.get(c) or 0) / BLOCK_CHARS)) for c in (TEST, HELD, TRAIN)}
     first = {TEST: 0, HELD: blocks[TEST], TRAIN: blocks[TEST] + blocks[HELD]}
-    deal = lambda c: F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks[c])) + first[c]
+    deal = lambda c: F.pmod(F.xxhash64("id", "text"), F.lit(blocks[c])) + first[c]
     block = F.when(F.col("cls") == TEST, deal(TEST)).when(F.col("cls") == HELD, deal(HELD)).otherwise(deal(TRAIN)).cast("int")
     blocked = rows.select(block.alias("block"), "cls", "id", F.col("text").cast("binary").alias("text"))
     shards = max(1, math.ceil(math.log2(max(2.0, sum(v or 0 for v in chars.values()) / 6 / SHARD_KEYS))))
-    asks = blocked.groupBy("block").applyInArrow(_ask(shards), _ASK)
-    replies = keep(asks.groupBy("kind", "shard").applyInArrow(_answer, _REPLY), "replies")
-    sums = {r["block"]: (r["v"] or 0, r["n"] or 0) for r in replies.where("block < 0").groupBy("block").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).collect()}
+    replies, totals = _exchange(blocked, shards)
+    sums = {r["block"]: (r["v"] or 0, r["n"] or 0) for r in totals.groupBy("block").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).collect()}
     (distinct, total), (_, kept_total) = sums.get(-1, (0, 0)), sums.get(-2, (0, 0))
     uniform = 1.0 / (distinct + 1)
 
@@ -208,7 +297,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_
         values, n = np.unique(code_, return_counts=True)
         return pa.table([pa.array(values, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
-    mine = replies.where(f"block >= {first[HELD]} and block < {first[TRAIN]}")
+    mine = replies.where(f"cls = {HELD}").select("kind", "shard", "block", "n", "kept")
     learnt = blocked.where(f"cls = {HELD}").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(histogram, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     table = np.array([(r["code"] // (BINS + 1) ** 2, r["code"] // (BINS + 1) % (BINS + 1), r["code"] % (BINS + 1), r["n"]) for r in learnt], np.int64).reshape(-1, 4)
     weights = learn_weights(table, uniform)
@@ -227,7 +316,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_
         columns = (np.asarray(docs_.column("cls")) == TEST, lengths, np.add.reduceat((c > 0).astype(np.int64), at), np.full(len(lengths), total), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at))
         return pa.table([docs_.column("id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=names)
 
-    answers = replies.where("block >= 0").select("kind", "shard", "block", "n", "counts")
+    answers = replies.select("kind", "shard", "block", "n", "counts")
     return blocked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

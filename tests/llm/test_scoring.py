@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from siteselect.llm import scoring
 
@@ -56,9 +57,12 @@ def brute(texts, ids):
     return out
 
 
-def test_scores_equal_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(scoring, "BLOCK_CHARS", 3000)
-    monkeypatch.setattr(scoring, "SHARD_KEYS", 300)
+@pytest.mark.parametrize(("chars", "keys", "bits"), [(3000, 300, 10), (500, 50, 2)])
+def test_scores_equal_brute_force(spark, docs, monkeypatch, chars, keys, bits):
+    """One hop to few shards, then three hops between about 40 blocks and 64 shards."""
+    monkeypatch.setattr(scoring, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(scoring, "SHARD_KEYS", keys)
+    monkeypatch.setattr(scoring, "HOP_BITS", bits)
     rng = random.Random(12)
     texts = []
     for _ in range(150):
@@ -84,3 +88,40 @@ def test_scores_equal_brute_force(spark, docs, monkeypatch):
 def test_no_rows_and_one_row(spark, docs):
     assert scoring.score(docs(["a"]).where("doc_id < 0")).count() == 0
     assert scoring.score(docs(["a b"])).count() == 1
+
+
+def test_messages_grow_with_the_text(spark, docs, monkeypatch):
+    """Twice the text is twice the blocks and twice the shards, but no block writes to more than 2**HOP_BITS ranges."""
+    monkeypatch.setattr(scoring, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(scoring, "HOP_BITS", 2)
+    monkeypatch.setattr(scoring, "small_batches", lambda *_: None)
+    made, real = [], scoring.keep
+
+    def counted(frame, name):
+        made.append(real(frame, name))
+        return made[-1]
+
+    monkeypatch.setattr(scoring, "keep", counted)
+    rng = random.Random(3)
+    blocked = spark.createDataFrame([(b, scoring.TRAIN, " ".join(f"w{rng.randint(0, 3000)}" for _ in range(300)).encode()) for b in range(48)], "block int, cls int, text binary")
+    replies, sums = scoring._exchange(blocked, 6)
+    assert len(made) == 5  # two tables of questions, three of answers
+    assert all(m.where("block >= 0").count() <= 48 * 2 * 4 for m in made)
+    assert replies.select("block").distinct().count() == 48
+    assert sums.where("block = -1").selectExpr("sum(total)").first()[0] == 48 * 301
+
+
+def test_counts_beyond_four_bytes():
+    for values in ([], [0, 3, 2**32 - 1], [1, 2**32, 2**45]):
+        x = np.array(values, np.int64)
+        assert scoring._unpack_counts(scoring._pack_counts(x), len(x)).tolist() == values
+
+
+def test_null_and_text_ids_repeats_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    rows = [("a", "x y"), ("a", "x y"), (None, "x y"), (None, None), (None, long), ("", "Ünseen \u2003 X")]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").selectExpr("*", "1 AS id", "2 AS cls", "3 AS block")
+    got = scoring.score(frame).collect()
+    assert len(got) == len(rows) and sorted(r["n_tokens"] for r in got) == [1, 3, 3, 3, 4, 300_001]
+    assert len({(r["score"], r["base_score"]) for r in got if r["id"] == "a"}) == 1
+    assert all(not r["held_out"] for r in got if r["id"] is None) and all(math.isfinite(r["score"]) for r in got)
