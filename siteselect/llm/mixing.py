@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import pandas as pd
@@ -97,19 +98,59 @@ def multipliers(cells: DataFrame, wanted: DataFrame, ceiling: float = 3.0, round
     raise RuntimeError(f"the multipliers have not converged in {rounds} rounds")
 
 
-def _round(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of a group's documents: each rate goes to one of its two neighbours, large documents first, and what is lost or won by
-    one is carried to the next, so that the group's words end within half its last documents of what the rates ask."""
+def _exchange(entries: list[tuple[int, float, int]], taken: list[int], most: int, carry: float) -> tuple[int, int] | None:
+    """The document to take once more, and the one to take once less, whose sizes differ by what is nearest to the carry; none if that is no gain."""
+    less = sorted((size, i) for i, (size, _, _) in enumerate(entries) if size and taken[i])
+    best, pair = abs(carry) - 1e-6, None
+    for i, (size, _, n) in enumerate(entries):
+        if size and taken[i] < most * n:
+            at = bisect.bisect_left(less, (size - carry,))
+            for other, j in less[max(at - 1, 0) : at + 1]:
+                if abs(carry - size + other) < best:
+                    best, pair = abs(carry - size + other), (i, j)
+    return pair
+
+
+def _round(group: pd.DataFrame, ceiling: float = 3.0) -> pd.DataFrame:
+    """`taken`: copies of a group's documents, together for the n rows that are equal. Each rate goes to one of its two neighbours, large documents first,
+    and what is lost or won by one is carried to the next. What is left at the end, as where a large document comes with few small ones, is settled
+    by whole copies of the largest documents that it holds and that have room, between no copy and the ceiling, and then by copies of one for another."""
     group = group.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
-    carry, copies = 0.0, []
-    for size, rate in zip(group["size"], group["rate"], strict=True):
-        low = math.floor(rate)
-        take = low
+    most, carry, taken = math.floor(ceiling), 0.0, []
+    entries = list(zip(group["size"].tolist(), group["rate"].tolist(), group["n"].tolist(), strict=True))
+    for size, rate, n in entries:
+        low = min(math.floor(rate), most)
+        more = 0
         if size and rate > low:
-            take = low + (carry + (rate - low) * size >= size / 2)
-            carry += (rate - take) * size
-        copies.append(take)
-    return group.assign(copies=pd.array(copies, dtype="int64"))
+            more = min(max(math.floor((carry + (rate - low) * size * n) / size + 0.5), 0), min(1, most - low) * n)
+            carry += (rate - low) * size * n - more * size
+        taken.append(low * n + more)
+    settled = False
+    while not settled:
+        settled = True
+        for i, (size, _, n) in enumerate(entries):
+            # as many copies as bring the carry nearer to 0; each change makes it smaller, so this ends
+            more = max(math.ceil(abs(carry) / size - 0.5), 0) if size else 0
+            more = min(more, most * n - taken[i]) if carry > 0 else -min(more, taken[i])
+            if more:
+                taken[i] += more
+                carry -= more * size
+                settled = False
+        if settled and abs(carry) > 0.5 and (pair := _exchange(entries, taken, most, carry)):
+            up, down = pair
+            taken[up] += 1
+            taken[down] -= 1
+            carry -= entries[up][0] - entries[down][0]
+            settled = False
+    return group.assign(taken=pd.array(taken, dtype="int64"))
+
+
+def _each(rounded: DataFrame, chunk: int = 4096) -> DataFrame:
+    """The n equal rows of an entry apart, with its copies spread evenly over them; no array is longer than n / chunk or chunk."""
+    parts = rounded.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {chunk}"))))
+    start = F.col("_part") * chunk
+    rows = parts.withColumn("_at", F.explode(F.sequence(start, F.least(F.col("n") - 1, start + chunk - 1))))
+    return rows.withColumn("copies", F.expr("(_at + 1) * taken div n - _at * taken div n"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, ceiling: float = 3.0, prior_col: str | None = None) -> DataFrame:
@@ -117,27 +158,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Sources get `weights` in turn by code point, null last (a null source is a source). Documents without words have their prior as rate and count no
     words; a source without words has target 0 and copies 0. No document is taken more than `ceiling` times. `row` is a hash of the text.
+    Rows equal in id, text, source and prior are counted before they are shuffled, and share their copies evenly.
     prior_col: rates that documents of a source shall keep among each other (above 0, below ceiling; null: 1); without, all are 1.
-    Reruns agree: rounding groups are dealt by a hash of the id, and order within by size and id. A large source has as many groups as it needs.
+    Reruns agree: rounding groups are dealt by a hash of id and text, and order within by size and id. A large source has as many groups as it needs,
+    and many rows of one id, or of none, are many groups.
     """
     ids = docs.schema[id_col].dataType.simpleString()
     prior = F.coalesce(F.least(F.greatest(F.col(prior_col).cast("double"), F.lit(1e-6)), F.lit(ceiling * 0.999)), F.lit(1.0)) if prior_col else F.lit(1.0)
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = keep(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(source_col).alias("source"), words.alias("size"), prior.alias("prior")), "sizes")
-    cells = keep(rows.groupBy("source", "prior", "size").agg(F.count("*").alias("n")), "cells")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(source_col).alias("source"), words.alias("size"), prior.alias("prior"))
+    rows = keep(named.groupBy("doc_id", "row", "source", "size", "prior").agg(F.count("*").alias("n")), "sizes")
+    cells = keep(rows.groupBy("source", "prior", "size").agg(F.sum("n").alias("n")), "cells")
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     wanted = keep(_by_source(targets(totals, cyclic_weights(totals, weights), ceiling), totals.select("source", "n")), "targets")
     found = multipliers(cells, wanted, ceiling)
     info = _by_source(wanted.withColumn("groups", F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP_ROWS))), found, "left")
     info = keep(info.select("source", "source_size", "target", "groups", "m", "mean"), "multipliers")
     rate = F.when(F.col("m").isNull(), F.lit(0.0)).otherwise(tilted(F.col("m"), F.col("size"), F.col("prior"), F.col("mean"), ceiling))
-    joined = _by_source(rows, info).select("doc_id", "row", "source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), "groups").alias("grp"))
-    schema = f"doc_id {ids}, row long, source string, size long, source_size long, target double, rate double, copies long"
+    group = F.pmod(F.xxhash64("doc_id", "row"), "groups").alias("grp")
+    joined = _by_source(rows, info).select("doc_id", "row", "source", "size", "source_size", "target", rate.alias("rate"), "n", group)
+    names = ["doc_id", "row", "source", "size", "source_size", "target", "rate"]
+    schema = f"doc_id {ids}, row long, source string, size long, source_size long, target double, rate double, n long, taken long"
 
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
-        return _round(group)[["doc_id", "row", "source", "size", "source_size", "target", "rate", "copies"]]
+        return _round(group, ceiling)[[*names, "n", "taken"]]
 
-    return joined.groupBy("source", "grp").applyInPandas(rounded, schema)
+    return _each(joined.groupBy("source", "grp").applyInPandas(rounded, schema)).select(*names, "copies")
 
 
 def expand(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -16,8 +16,9 @@ from siteselect.llm.minhash import WordHashes, _mix
 
 #: About how many characters of text form a block, and how many keys a shard holds.
 BLOCK_CHARS, SHARD_KEYS = 8_000_000, 1_500_000
-#: Bits of a key that one hop tells apart: nobody sends to more than 2**HOP_BITS others, however many shards there are.
-HOP_BITS = 10
+#: Bits of a key that one hop tells apart: nobody sends to more than 2**HOP_BITS others, however many shards there are. A hop moves all keys once
+#: more, so it is as wide as leaves a hundred bigrams of a block to a message.
+HOP_BITS = 12
 #: Classes of documents: not trained on, trained on and used to learn the mixture weights, trained on otherwise.
 TEST, HELD, TRAIN = 0, 1, 2
 BUCKETS, STEPS, BINS = 24, 4, 160

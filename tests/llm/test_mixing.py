@@ -2,6 +2,8 @@ import math
 import random
 import re
 
+import pandas as pd
+
 from siteselect.llm import mixing
 
 
@@ -91,3 +93,38 @@ def test_rows_of_one_id_take_their_own_copies(spark, docs):
     frame = docs(["a", "b", "b"], ids=[1, 1, 1])
     mixed = frame.selectExpr("doc_id", "source", "xxhash64(text) AS row", "CASE WHEN text = 'a' THEN 3L ELSE 1L END AS copies")
     assert sorted(r["text"] for r in mixing.expand(frame, mixed).collect()) == ["a", "a", "a", "b", "b"]
+
+
+def test_what_rounding_leaves_is_settled():
+    """With a large document and a few small ones, no copy more, no copy less and no copy of one for another brings the words nearer to what the rates ask."""
+    rng, far = random.Random(9), []
+    for _ in range(200):
+        sizes = [rng.randint(1500, 3000), *(rng.randint(20, 400) for _ in range(4)), 9, 4, 1, 1, 1]
+        rates = [rng.uniform(0.3, 2.7) for _ in sizes]
+        frame = pd.DataFrame({"doc_id": range(len(sizes)), "row": 0, "size": sizes, "rate": rates, "n": 1})
+        got = mixing._round(frame)
+        assert got["taken"].between(0, 3).all()
+        off = int((got["size"] * got["taken"]).sum()) - sum(s * r for s, r in zip(sizes, rates, strict=True))
+        up = [0, *(s for s, t in zip(got["size"], got["taken"], strict=True) if t < 3)]
+        down = [0, *(s for s, t in zip(got["size"], got["taken"], strict=True) if t > 0)]
+        assert abs(off) <= 0.5 or min(abs(off + a - b) for a in up for b in down) >= abs(off) - 1e-5
+        far.append(abs(off))
+    assert sorted(far)[100] < 1, sorted(far)
+
+
+def test_many_equal_rows_and_null_ids(spark):
+    """Equal rows are counted first and share their copies; rows without an id are dealt by their texts."""
+    rows = [(None, "w " * 7, "a")] * 9001 + [(None, "w " * (1 + i % 50) + str(i), "b") for i in range(3000)] + [(5, None, None), (5, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["size"] * r["copies"] for r in mine) - mine[0]["target"]) <= max(5, 0.001 * mine[0]["target"])
+    assert len({r["copies"] for r in got if r["source"] == "a"}) <= 2
+    assert mixing.mix(spark.createDataFrame([("k", "a b", "s")], "doc_id string, text string, source string")).first()["doc_id"] == "k"
+
+
+def test_no_document_passes_a_fractional_ceiling(docs):
+    got = mixing.mix(docs(["a b c", "d e", "f"] * 20, sources=["x", "y", "z"] * 20), ceiling=1.5).collect()
+    assert max(r["copies"] for r in got) <= 1
