@@ -135,18 +135,18 @@ def _with_minimum_ranks(df: DataFrame, scores: Mapping[str, str]) -> DataFrame:
     return ranked.withColumns({out: ranks.rank_min(k) for out, k in names.items()}).drop(*ranks.places(list(names.values())))
 
 
-def scenarios(df: DataFrame, components_: Sequence[str], weights: Mapping[str, Sequence[float]]) -> DataFrame:
-    """Positive percentiles of the components, then a score and a minimum rank for each scenario."""
-    df = keep(ranks.percentile_scores(df, {f"{c}_score": (c, "positive") for c in components_}))
+def scenarios(df: DataFrame, components_: Sequence[str], weights: Mapping[str, Sequence[float]], ranked: bool = True) -> DataFrame:
+    """Positive percentiles of the components, then a score and, if `ranked`, a minimum rank for each scenario."""
+    df = ranks.percentile_scores(df, {f"{c}_score": (c, "positive") for c in components_})
     df = df.withColumns({f"{name}_score": F.round(weighted({f"{c}_score": x for c, x in zip(components_, w, strict=True)}), 9) for name, w in weights.items()})
-    return _with_minimum_ranks(df, {f"{name}_rank": f"{name}_score" for name in weights})
+    return _with_minimum_ranks(df, {f"{name}_rank": f"{name}_score" for name in weights}) if ranked else df
 
 
-def blends(df: DataFrame, score: str, other: str, shares: Sequence[int] = (0, 5, 10, 15, 20)) -> DataFrame:
-    """(1 - w) * score + w * other and its rank for each share in percent; a share of 0 gives the score itself."""
+def blends(df: DataFrame, score: str, other: str, shares: Sequence[int] = (0, 5, 10, 15, 20), ranked: bool = True) -> DataFrame:
+    """(1 - w) * score + w * other and, if `ranked`, its rank for each share in percent; a share of 0 gives the score itself."""
     blend = lambda w: F.round((1 - w) * F.col(score) + w * F.col(other), 9)
     df = df.withColumns({f"blend_{share}_score": blend(share / 100) for share in shares})
-    return _with_minimum_ranks(df, {f"blend_{share}_rank": f"blend_{share}_score" for share in shares})
+    return _with_minimum_ranks(df, {f"blend_{share}_rank": f"blend_{share}_score" for share in shares}) if ranked else df
 
 
 def support_label(count: Column | str) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -104,32 +105,70 @@ def feature_summary(df: DataFrame, columns: Sequence[str], target: str) -> DataF
 
 def rank_shift(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row: median, 95th percentile and maximum of the absolute difference of two ranks."""
-    return ranks.quantiles(df.select(F.abs(F.col(a) - F.col(b)).alias("shift")), "shift", {"median_shift": 0.5, "p95_shift": 0.95, "max_shift": 1.0})
+    return rank_shifts(df, a, {b: b}).drop("share")
+
+
+def rank_shifts(df: DataFrame, a: str, others: Mapping[str, object]) -> DataFrame:
+    """(share, median_shift, p95_shift, max_shift): for each {rank column: its share} the absolute differences to rank a; all are counted as one long table."""
+    each = F.explode(F.array(*[F.struct(F.lit(share).alias("share"), F.abs(F.col(a) - F.col(b)).alias("shift")) for b, share in others.items()]))
+    return ranks.quantiles(df.select(each.alias("s")).select("s.*"), "shift", {"median_shift": 0.5, "p95_shift": 0.95, "max_shift": 1.0}, ["share"])
+
+
+def _settled_places(ranked: DataFrame, names: Mapping[str, str], id_col: str, limits: Sequence[int]) -> DataFrame:
+    """ranked with {name}_place: places by value, highest first, as far as `limits` ask. A value's rows that all lie within or beyond each limit share the place of the
+    first; only rows of values that a limit cuts through are sorted by id."""
+    above = {k: F.col(f"{k}_n") - F.col(f"{k}_below") - F.col(f"{k}_same") for k in names.values()}
+    cut = lambda k: reduce(lambda p, q: p | q, [(above[k] < limit) & (above[k] + F.col(f"{k}_same") > limit) for limit in limits])
+    each = F.explode(F.array_compact(F.array(*[F.when(cut(k), F.struct(F.lit(i).alias("_name"), above[k].alias("_above"))) for i, k in enumerate(names.values())])))
+    tied = ranks.numbered(ranked.select(id_col, each.alias("t")).select(id_col, "t.*"), [F.asc("_name"), F.asc("_above"), F.asc(id_col)], "_nth")
+    starts = tied.groupBy("_name", "_above").agg((F.min("_nth") - 1).alias("_start"))  # a row for each name and limit at most
+    found = tied.join(F.broadcast(starts), ["_name", "_above"]).groupBy(id_col)
+    settled = keep(found.agg(*[F.max(F.when(F.col("_name") == i, F.col("_above") + F.col("_nth") - F.col("_start"))).alias(f"{k}_at") for i, k in enumerate(names.values())]))
+    return ranked.join(settled, id_col, "left").withColumns({f"{c}_place": F.coalesce(f"{k}_at", above[k] + 1) for c, k in names.items()}).drop(*[f"{k}_at" for k in names.values()])
 
 
 def score_metrics(df: DataFrame, scores: Sequence[str], base: str, others: Sequence[str] = (), id_col: str = "grid_id", fractions: Sequence[float] = (0.01, 0.05), top: int = 20, limit: float = 70.0) -> DataFrame:
     """A row for each of scores: its median, mean and maximum; Spearman correlations with base and others; how many of its top fractions are in base's, and which
-    share; and of the `top` best by base the score's median, minimum and number at `limit` or more. Ties go by id."""
+    share; and of the `top` best by base the score's median, minimum and number at `limit` or more. Ties go by id.
+
+    All columns are ranked once; medians, correlations and places are read off these ranks.
+    """
     columns = list(dict.fromkeys([base, *scores, *others]))
-    placed = keep(df.select(id_col, *columns))
-    n = placed.count()
-    middles = {r["feature"]: r["m"] for r in ranks.quantiles(_long(placed, scores), "v", {"m": 0.5}, ["feature"]).collect()}  # a number for each score
-    places = ranks.row_places(placed, list(dict.fromkeys([base, *scores])), id_col)
-    ranked = with_average_ranks(placed.join(places, id_col, "left"), columns)
-    best = F.col(f"{base}_place") <= top
+    names = {c: f"_{i}" for i, c in enumerate(columns)}
+    ranked = keep(ranks.with_places(df.select(id_col, *columns), {names[c]: F.col(c) for c in columns}))
+    n = ranked.count()
+    ks = {f: max(1, math.ceil(n * f - 1e-9)) for f in fractions}
+    placed = _settled_places(ranked, {c: names[c] for c in dict.fromkeys([base, *scores])}, id_col, list(dict.fromkeys([top, *ks.values()])))
+    placed = keep(placed.select(*columns, *[f"{c}_place" for c in dict.fromkeys([base, *scores])]))
+    middle = [(F.col(f"{k}_below") + (F.col(f"{k}_same") - F.col(f"{k}_n")) / 2).alias(c) for c, k in names.items()]
+    rho = {}
+    for r in correlations(ranked.select(*middle), columns).collect():  # a row for each pair of columns
+        rho[r["a"], r["b"]] = rho[r["b"], r["a"]] = r["rho"]
+
+    def median(c: str) -> Column:
+        first, place = F.col(f"{names[c]}_below"), 0.5 * (F.col(f"{names[c]}_n") - 1)
+        held = lambda r: F.max(F.when((first <= r) & (r < first + F.col(f"{names[c]}_same")), F.col(c).cast("double")))
+        return 0.5 * held(F.floor(place)) + 0.5 * held(F.ceil(place))
+
+    middles = ranked.agg(*[median(c).alias(c) for c in scores]).first()
+    whole = []
+    for c in scores:
+        whole += [F.avg(c).alias(f"{c}|mean"), F.max(c).alias(f"{c}|max")]
+        whole += [F.sum(((F.col(f"{c}_place") <= k) & (F.col(f"{base}_place") <= k)).cast("long")).alias(f"{c}|{f}") for f, k in ks.items()]
+    sums = placed.agg(*whole).first()
+    best = placed.where(F.col(f"{base}_place") <= top)  # `top` rows
+    tops = best.agg(*[v.alias(f"{c}|{k}") for c in scores for k, v in (("median", F.median(c)), ("min", F.min(c)), ("limit", F.sum((F.col(c) >= limit).cast("long"))))]).first()
 
     def row(c: str) -> Column:
-        fields = [F.lit(c).alias("score"), F.lit(middles.get(c)).cast("double").alias("median"), F.avg(c).alias("mean"), F.max(c).alias("max")]
-        fields += [F.corr(f"{c}_rank", f"{o}_rank").alias(f"spearman_{o}") for o in dict.fromkeys([base, *others])]
-        for f in fractions:
-            k = max(1, math.ceil(n * f - 1e-9))
-            common = F.sum(((F.col(f"{c}_place") <= k) & (F.col(f"{base}_place") <= k)).cast("long"))
+        fields = [F.lit(c).alias("score"), F.lit(middles[c]).cast("double").alias("median"), F.lit(sums[f"{c}|mean"]).cast("double").alias("mean"), F.lit(sums[f"{c}|max"]).cast(df.schema[c].dataType).alias("max")]
+        fields += [F.lit(rho.get((c, o), None if n < 2 else 1.0)).cast("double").alias(f"spearman_{o}") for o in dict.fromkeys([base, *others])]
+        for f, k in ks.items():
+            common = F.lit(sums[f"{c}|{f}"]).cast("long")
             fields += [common.alias(f"overlap_{round(100 * f)}"), (common / k).alias(f"overlap_fraction_{round(100 * f)}")]
-        own = F.when(best, F.col(c))
-        return F.struct(*fields, F.median(own).alias("top_median"), F.min(own).alias("top_min"), F.sum((own >= limit).cast("long")).alias("top_at_limit"))
+        return F.struct(*fields, F.lit(tops[f"{c}|median"]).cast("double").alias("top_median"), F.lit(tops[f"{c}|min"]).cast(df.schema[c].dataType).alias("top_min"), F.lit(tops[f"{c}|limit"]).cast("long").alias("top_at_limit"))
 
-    each = ranked.agg(*[row(c).alias(f"_{i}") for i, c in enumerate(scores)])
-    return each.select(F.explode(F.array(*[f"_{i}" for i in range(len(scores))])).alias("m")).select("m.*")
+    one = df.sparkSession.range(1)
+    return one.select(F.explode(F.array(*[row(c) for c in scores])).alias("m")).select("m.*")
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 40) -> DataFrame:

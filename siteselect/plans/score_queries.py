@@ -119,7 +119,7 @@ PERC = ", ".join(f"{pct(f'm{i}', 'cv_fold')} AS p{i}" for i in (1, 2, 3))
 
 
 def percentiles(t: Tables):
-    return ranks.percentile_scores(t("candidate").where("target = 0"), {f"p{i}": (f"m{i}", "high") for i in (1, 2, 3)}, by=["cv_fold"])
+    return ranks.percentile_scores(t("candidate").where("target = 0").select("grid_id", "cv_fold", "m1", "m2", "m3"), {f"p{i}": (f"m{i}", "high") for i in (1, 2, 3)}, by=["cv_fold"])
 
 
 @query("p13_consensus", f"WITH p AS (SELECT *, {PERC} FROM $candidate WHERE target = 0), c AS (SELECT grid_id, list_sort([p1, p2, p3]) AS l, CAST(p1 >= 80 AS INTEGER) + CAST(p2 >= 80 AS INTEGER) + CAST(p3 >= 80 AS INTEGER) AS a, CAST(p1 >= 90 AS INTEGER) + CAST(p2 >= 90 AS INTEGER) + CAST(p3 >= 90 AS INTEGER) AS b FROM p) SELECT grid_id, round(l[2], 5) AS consensus_median, round(l[1], 5) AS consensus_min, round(l[3], 5) AS consensus_max, a AS models_top_20, b AS models_top_10, a >= 2 AS at_least_two, a = 3 AS all_models FROM c")
@@ -141,12 +141,13 @@ BLENDS = "s AS (SELECT *, m1 * 100 AS suitability_score, m2 * 100 AS demand, " +
 
 @query("p15_demand_scenarios", f"WITH {SCENARIOS} SELECT grid_id, " + ", ".join(f"round({k}_score, 6) AS {k}_score, rank() OVER (ORDER BY {k}_score DESC) AS {k}_rank" for k in DEMAND) + " FROM s")
 def _(t):
-    out = scoring.scenarios(t("candidate"), ["pop0", "pop1", "pop2"], DEMAND)
+    out = scoring.scenarios(t("candidate").select("grid_id", "pop0", "pop1", "pop2"), ["pop0", "pop1", "pop2"], DEMAND)
     return out.select("grid_id", *[c for k in DEMAND for c in (F.round(f"{k}_score", 6).alias(f"{k}_score"), F.col(f"{k}_rank"))])
 
 
-def blended(t: Tables):
-    return scoring.blends(t("candidate").withColumns({"suitability_score": F.col("m1") * 100, "demand": F.col("m2") * 100}), "suitability_score", "demand", SHARES)
+def blended(t: Tables, ranked: bool = True):
+    given = t("candidate").select("grid_id", (F.col("m1") * 100).alias("suitability_score"), (F.col("m2") * 100).alias("demand"))
+    return scoring.blends(given, "suitability_score", "demand", SHARES, ranked)
 
 
 @query("p16_blends", f"WITH {BLENDS} SELECT grid_id, " + ", ".join(f"round(blend_{w}_score, 6) AS blend_{w}_score, rank() OVER (ORDER BY blend_{w}_score DESC) AS blend_{w}_rank" for w in SHARES) + ", true AS identity FROM s")
@@ -157,7 +158,7 @@ def _(t):
 
 @query("p17_adjusted_rank", "WITH b AS (SELECT grid_id, round(0.95 * m1 * 100 + 0.05 * m2 * 100, 9) AS s FROM $candidate) SELECT grid_id, rank() OVER (ORDER BY s DESC) AS adjusted_rank FROM b")
 def _(t):
-    c = t("candidate").withColumns({"s": F.col("m1") * 100, "d": F.col("m2") * 100})
+    c = t("candidate").select("grid_id", (F.col("m1") * 100).alias("s"), (F.col("m2") * 100).alias("d"))
     return scoring.blends(c, "s", "d", (5,)).select("grid_id", F.col("blend_5_rank").alias("adjusted_rank"))
 
 
@@ -353,20 +354,19 @@ def rounded_metrics(m):
 
 @query("x8_scenario_metrics", f"WITH {SCENARIOS} " + " UNION ALL ".join(metric_sql(f"{k}_score", "suitability_score", ("feasibility_score", "need_score"), (1, 5)) for k in DEMAND))
 def _(t):
-    scored = scoring.scenarios(t("candidate"), ["pop0", "pop1", "pop2"], DEMAND).withColumns({"suitability_score": F.col("m1") * 100, "feasibility_score": F.col("m2") * 100, "need_score": F.col("m3") * 100})
+    given = t("candidate").select("grid_id", "pop0", "pop1", "pop2", "m1", "m2", "m3")
+    scored = scoring.scenarios(given, ["pop0", "pop1", "pop2"], DEMAND, ranked=False).withColumns({"suitability_score": F.col("m1") * 100, "feasibility_score": F.col("m2") * 100, "need_score": F.col("m3") * 100})
     return rounded_metrics(stats.score_metrics(scored, [f"{k}_score" for k in DEMAND], "suitability_score", ["feasibility_score", "need_score"]))
 
 
 @query("x9_blend_metrics", f"WITH {BLENDS} " + " UNION ALL ".join(metric_sql(f"blend_{w}_score", "suitability_score", ("demand",), (1, 5)) for w in SHARES))
 def _(t):
-    return rounded_metrics(stats.score_metrics(blended(t), [f"blend_{w}_score" for w in SHARES], "suitability_score", ["demand"]))
+    return rounded_metrics(stats.score_metrics(blended(t, ranked=False), [f"blend_{w}_score" for w in SHARES], "suitability_score", ["demand"]))
 
 
 @query("x9_rank_shift", f"WITH {BLENDS}, k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY blend_{w}_score DESC) AS k{w}" for w in SHARES) + " FROM s) " + " UNION ALL ".join(f"SELECT {w} AS share, median(abs(k0 - k{w})) AS median_shift, quantile_cont(abs(k0 - k{w}), 0.95) AS p95_shift, max(abs(k0 - k{w})) AS max_shift FROM k" for w in SHARES))
 def _(t):
-    b = keep(blended(t))
-    out = [stats.rank_shift(b, "blend_0_rank", f"blend_{w}_rank").select(F.lit(w).alias("share"), "*") for w in SHARES]
-    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+    return stats.rank_shifts(blended(t), "blend_0_rank", {f"blend_{w}_rank": w for w in SHARES})
 
 
 @query("x10_shortlist_summary", f"{CHOSEN}, {NEAR}, {APART} SELECT (SELECT round(min(nearest_m), 6) FROM near) AS min_spacing_m, (SELECT count(*) FROM near) AS n, (SELECT round(avg(d), 6) FROM apart) AS mean_m, (SELECT round(median(d), 6) FROM apart) AS median_m, (SELECT round(max(d), 6) FROM apart) AS max_m, (SELECT count(*) FROM apart) AS pairs, max(rank) AS worst_rank, round(median(m1 * 100), 6) AS median_score, round(min(m1 * 100), 6) AS minimum_score FROM chosen JOIN $candidate ON grid_id = point_id")

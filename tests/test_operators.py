@@ -215,3 +215,32 @@ def test_radius_counts_by_points_and_by_squares(spark, monkeypatch):
             got = {r["centre_id"]: (r["near"], r["far"], r["flagged"]) for r in features.radius_counts(around, frame, counts, ["flag"], quarter).collect()}
             assert got == want
         assert set(r["far"] for r in features.radius_counts(around, frame.limit(0), counts).collect()) == {0}
+
+
+def test_places_and_metrics_of_many_distinct_values_use_every_task(spark):
+    """Groups of distinct values are dealt to stretches evenly, one group as well as several, and metrics see ties that a limit cuts through."""
+    from siteselect.operators import ranks
+
+    frame = spark.range(20000).select(F.lit("a").alias("g"), ((F.col("id") * 7919) % 20000).cast("double").alias("v"))
+    counts = ranks.prefix_counts(frame, "v", ["g"], parts=8)
+    assert "array_distinct" not in counts._jdf.queryExecution().optimizedPlan().toString()  # values were compared with all cuts, one after another
+    rows = counts.collect()
+    assert len(rows) == 20000 and all(r["below"] == int(r["v"]) and r["n"] == 20000 and r["same"] == 1 for r in rows)
+    sizes = [r["count"] for r in counts.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert max(sizes) < 20000
+
+
+def test_score_metrics_equal_plain_ones(spark):
+    from siteselect.operators import stats
+
+    rng = random.Random(9)
+    rows = [(f"g{i:04d}", float(rng.randrange(6)), None if i % 50 == 3 else float(rng.randrange(40)), float(rng.random())) for i in range(500)]
+    frame = spark.createDataFrame(rows, "grid_id string, base double, s double, o double")
+    got = stats.score_metrics(frame, ["s"], "base", ["o"], limit=30.0).first()
+    place = lambda at: {r[0]: i + 1 for i, r in enumerate(sorted((r for r in rows if r[at] is not None), key=lambda r: (-r[at], r[0])))}
+    base, own = place(1), place(2)
+    best = sorted(r[2] for r in rows if base[r[0]] <= 20 and r[2] is not None)
+    known = sorted(r[2] for r in rows if r[2] is not None)
+    middle = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    assert got["median"] == middle(known) and got["top_median"] == middle(best) and got["top_min"] == best[0] and got["top_at_limit"] == sum(v >= 30 for v in best)
+    assert got["overlap_5"] == sum(base[k] <= 25 and p <= 25 for k, p in own.items()) and got["overlap_1"] == sum(base[k] <= 5 and p <= 5 for k, p in own.items())
