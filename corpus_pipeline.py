@@ -24,7 +24,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more with those of an earlier one that stays go."""
+    """Documents whose five-word shingles have a Jaccard similarity of 0.8 or more with those of an earlier one that stays go; op6's fingerprints, and MinHash bands
+    for what they miss, name the pairs that are compared."""
     return near.deduplicate(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicate documents: MinHash bands of five-word shingles name candidates, the exact Jaccard similarity of the shingle sets decides."""
+"""Near-duplicate documents: SimHash fingerprints of op6 and MinHash bands of five-word shingles name candidates, the exact Jaccard similarity of the shingle sets decides."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteselect.llm import simhash
 from siteselect.llm.common import keep, map_arrow
 from siteselect.llm.components import connected
 from siteselect.llm.minhash import WordHashes, shingle_hashes
@@ -58,6 +59,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("binary").alias("text")), run, f"id {kind}, row long, cls long, bands array<long>")
 
 
+def _simhash_posts(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cls, first, key): buckets that op6's operator names, beside the bands: a fingerprint of five-word shingles and those at 3 or fewer differing bits from it that are larger.
+
+    Each class comes in with the fingerprint of its first row, once, whatever number of copies it has; those without words (fingerprint 0) have no bucket.
+    """
+    firsts = classes.select("cls", "first", F.col("first.id").alias("id"), F.col("first.row").alias("row"))
+    fps = keep(simhash.fingerprints(docs, id_col, text_col, WIDTH).where("fp <> 0").join(firsts, ["id", "row"]).select("cls", "first", "fp").dropDuplicates(["cls"]), "near-simhash")
+    pairs = simhash.links(fps.select("fp").distinct())
+    met = fps.join(pairs.select(F.col("b").alias("fp"), F.col("a").alias("lead")), "fp").select("cls", "first", F.col("lead").alias("fp"))
+    return fps.unionByName(met).select("cls", "first", F.xxhash64(F.lit("simhash"), "fp").alias("key"))
+
+
 def _sets(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(cls, set): the shingle hashes of the classes in firsts (cls, first), read from the text of their first rows."""
 
@@ -102,7 +115,7 @@ def _greedy(table: pa.Table) -> pa.Table:
 def _settled(posts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cls) of the classes that go in groups small enough for a task, and the posts (key, cls, first) of the other groups."""
     groups = connected(posts, "cls", "key").withColumnsRenamed({"node": "cls", "component": "group"})
-    members = posts.groupBy("cls").agg(F.first("first").alias("first"), F.collect_list("key").alias("keys"))  # BANDS keys at most
+    members = posts.groupBy("cls").agg(F.first("first").alias("first"), F.collect_list("key").alias("keys"))  # BANDS keys and those of links
     named = members.join(groups, "cls").join(sets.select("cls", F.size("set").alias("n")), "cls")
     sizes = keep(named.groupBy("group").agg(((F.count("*") <= GROUP_DOCS) & (F.sum("n") <= GROUP_SHINGLES)).alias("fits")), "near-groups")
     dealt = keep(named.join(sizes, "group").select("cls", "first", "keys", "group", "fits"), "near-dealt")
@@ -111,14 +124,14 @@ def _settled(posts: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return gone, keep(posts.join(dealt.where("not fits").select("cls"), "cls", "left_semi").select("key", "cls", "first"), "near-posts")
 
 
-def _removed(classes: DataFrame, sets_of) -> DataFrame:
-    """(cls): the classes like an earlier one that stays. classes is (cls, first, bands).
+def _removed(classes: DataFrame, more: DataFrame, sets_of) -> DataFrame:
+    """(cls): the classes like an earlier one that stays. classes is (cls, first, bands); more (cls, first, key) are further buckets.
 
     A class is decided once no earlier undecided one shares a bucket with it: it stays, and what is like it goes. In each round those that come first
     in all their buckets stay, and only they are compared with the others there, so that a large group of copies is compared with its first document alone.
     Every LEADER_ROUNDS rounds, groups of undecided classes that are small enough are settled at once, whatever number of rounds they would take.
     """
-    posts = keep(classes.select("cls", "first", F.explode("bands").alias("key")), "near-posts")
+    posts = keep(classes.select("cls", "first", F.explode("bands").alias("key")).unionByName(more), "near-posts")
     shared = posts.groupBy("key").agg((F.count("*") > 1).alias("more")).where("more").select("key")
     posts = keep(posts.join(shared, "key", "left_semi"), "near-posts")
     sets = keep(sets_of(posts.groupBy("cls").agg(F.first("first").alias("first"))), "near-sets")
@@ -153,7 +166,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = docs.where(F.col(id_col).isNotNull())
     sketches = keep(_sketches(named, id_col, text_col), "near-sketches")
     classes = keep(sketches.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("first"), F.first("bands").alias("bands")), "near-classes")
-    gone = _removed(classes, lambda firsts: _sets(named, firsts, id_col, text_col))
+    gone = _removed(classes, _simhash_posts(named, classes, id_col, text_col), lambda firsts: _sets(named, firsts, id_col, text_col))
     stay = keep(classes.select("cls", "first").join(gone, "cls", "left_anti").select(F.col("first.id").alias("_near_id"), F.col("first.row").alias("_near_row")), "near-stays")
     rows = named.withColumn("_row", F.xxhash64(text_col))
     kept = rows.join(stay, (rows[id_col] == stay["_near_id"]) & (rows["_row"] == stay["_near_row"]), "left_semi").dropDuplicates([id_col, "_row"]).drop("_row")

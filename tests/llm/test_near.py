@@ -96,3 +96,12 @@ def test_a_long_chain_and_a_family_take_both_ways(spark, docs, monkeypatch):
 def test_repeated_and_null_ids(spark, docs):
     frame = docs(["a b c d e f", "a b c d e f", "other words stand here now", "other words stand here now"], ids=[1, 1, 1, None])
     assert sorted((r["doc_id"] or -1, r["text"]) for r in near.deduplicate(frame).collect()) == [(-1, "other words stand here now"), (1, "a b c d e f"), (1, "other words stand here now")]
+
+
+def test_stage_takes_the_candidates_of_op6(spark, docs, monkeypatch):
+    """Without any band, copies that op6's fingerprints link still meet, and similarity decides on them."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(1200)]
+    texts = [" ".join(base), " ".join([*base, "end"]), " ".join(["start", *base]), " ".join(f"w{rng.randrange(5000)}" for _ in range(300))]
+    monkeypatch.setattr(near, "bands", lambda hashes: [])
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(texts), "").collect()} == {0, 3}
