@@ -124,3 +124,14 @@ def test_studies_have_a_row_for_each_configuration(spark, monkeypatch, name):
     if name == "m21_redundancy_sensitivity":  # scaling a column does not change a standardised fit
         ap = {r["feature_set"]: r["ap"] for r in got if r["model"] == "logistic"}
         assert ap["normalised"] == pytest.approx(ap["raw"], abs=1e-9)
+
+
+def test_fits_have_all_cores_and_one_queue(spark, monkeypatch):
+    """Rows of one file are dealt to a part for each core, and the fits of all seeds and folds stand in one queue (they came set by set, and out_of_fold's one by one)."""
+    frame, _ = table(spark, 200)
+    assert ml.spread(frame.coalesce(1), "grid_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    taken = []
+    monkeypatch.setattr(ml, "fitted_all", lambda rows, target, plans, real=ml.fitted_all: taken.append(len(plans)) or real(rows, target, plans))
+    out = ml.configurations(frame, {"one": ["a"]}, ["forest"], "y", [0, 1], (1, 2), options={"forest": {"trees": 1, "depth": 2}})
+    assert taken == [4] and {r["seed"] for r in out.select("seed").distinct().collect()} == {1, 2}
+    assert ml.out_of_fold(frame, ["a"], "y", "forest", [0, 1], trees=1, depth=2).count() == 80 and taken == [4, 2]
