@@ -153,15 +153,18 @@ def score_metrics(df: DataFrame, scores: Sequence[str], base: str, others: Seque
     middles = ranked.agg(*[median(c).alias(c) for c in scores]).first()
     whole = []
     for c in scores:
-        whole += [F.avg(c).alias(f"{c}|mean"), F.max(c).alias(f"{c}|max")]
+        whole += [F.avg(c).alias(f"{c}|mean"), F.min(c).alias(f"{c}|min"), F.max(c).alias(f"{c}|max")]
         whole += [F.sum(((F.col(f"{c}_place") <= k) & (F.col(f"{base}_place") <= k)).cast("long")).alias(f"{c}|{f}") for f, k in ks.items()]
     sums = placed.agg(*whole).first()
     best = placed.where(F.col(f"{base}_place") <= top)  # `top` rows
     tops = best.agg(*[v.alias(f"{c}|{k}") for c in scores for k, v in (("median", F.median(c)), ("min", F.min(c)), ("limit", F.sum((F.col(c) >= limit).cast("long"))))]).first()
 
+    def spearman_of(c: str, o: str) -> float | None:
+        return rho[c, o] if c != o else None if sums[f"{c}|min"] == sums[f"{c}|max"] else 1.0
+
     def row(c: str) -> Column:
         fields = [F.lit(c).alias("score"), F.lit(middles[c]).cast("double").alias("median"), F.lit(sums[f"{c}|mean"]).cast("double").alias("mean"), F.lit(sums[f"{c}|max"]).cast(df.schema[c].dataType).alias("max")]
-        fields += [F.lit(rho.get((c, o), None if n < 2 else 1.0)).cast("double").alias(f"spearman_{o}") for o in dict.fromkeys([base, *others])]
+        fields += [F.lit(spearman_of(c, o)).cast("double").alias(f"spearman_{o}") for o in dict.fromkeys([base, *others])]
         for f, k in ks.items():
             common = F.lit(sums[f"{c}|{f}"]).cast("long")
             fields += [common.alias(f"overlap_{round(100 * f)}"), (common / k).alias(f"overlap_fraction_{round(100 * f)}")]

@@ -244,3 +244,5 @@ def test_score_metrics_equal_plain_ones(spark):
     middle = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
     assert got["median"] == middle(known) and got["top_median"] == middle(best) and got["top_min"] == best[0] and got["top_at_limit"] == sum(v >= 30 for v in best)
     assert got["overlap_5"] == sum(base[k] <= 25 and p <= 25 for k, p in own.items()) and got["overlap_1"] == sum(base[k] <= 5 and p <= 5 for k, p in own.items())
+    flat = stats.score_metrics(frame.withColumn("base", F.lit(2.0)), ["base"], "base").first()
+    assert flat["spearman_base"] is None and flat["overlap_1"] == 5 and flat["top_median"] == 2.0
