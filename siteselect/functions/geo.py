@@ -91,7 +91,7 @@ def to_polyline(px, py, points: Column | str) -> Column:
     return F.array_min(F.transform(spans, lambda s: to_segment(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
 
 
-def _let(value: Column, fn) -> Column:
+def let(value: Column, fn) -> Column:
     """fn(value) with the value worked out once, however often fn names it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
@@ -123,7 +123,7 @@ def _half(ring: Column, along: str, limit: Column, upper: bool) -> Column:
         inside = F.when(held(a), F.array(end)).otherwise(F.array(cut, end))
         return F.when(held(c), inside).when(held(a), F.array(cut)).otherwise(F.slice(F.array(end), 1, 0))
 
-    return _let(ring, lambda r: F.flatten(F.transform(_edges(r), of)))
+    return let(ring, lambda r: F.flatten(F.transform(_edges(r), of)))
 
 
 def clip_ring(ring: Column | str, x0=None, y0=None, x1=None, y1=None) -> Column:
@@ -149,7 +149,20 @@ def shape_area(shape: Column | str) -> Column:
 def extent(shape: Column | str, along: str) -> tuple[Column, Column]:
     """The smallest and largest x or y of a shape."""
     values = F.flatten(F.transform(_c(shape), lambda s: F.transform(s["ring"], lambda p: p[along])))
-    return F.array_min(values), F.array_max(values)
+    both = let(values, lambda v: F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high")))
+    return both["low"], both["high"]
+
+
+def cells_along(shape: Column | str, along: str, size: Column | float, start: Column | float = 0.0, least: Column | None = None, most: Column | None = None) -> Column:
+    """The numbers of the cells from `start` on that a shape spans in x or y, no less than `least` and no more than `most`; null if it has no extent."""
+    values = F.flatten(F.transform(_c(shape), lambda s: F.transform(s["ring"], lambda p: p[along])))
+
+    def span(e: Column) -> Column:
+        first, last = F.floor((e["low"] - start) / size), F.ceil((e["high"] - start) / size) - 1
+        first, last = F.greatest(first, least) if least is not None else first, F.least(last, most) if most is not None else last
+        return F.when((e["high"] > e["low"]) & (last >= first), F.sequence(first, last))
+
+    return let(let(values, lambda v: F.struct(F.array_min(v).alias("low"), F.array_max(v).alias("high"))), span)
 
 
 def in_shape(px, py, shape: Column | str) -> Column:
@@ -182,20 +195,20 @@ def _grown_ring(ring: Column, hole: Column, by: float) -> Column:
         twice = _twice_area(ring)
         way = F.signum(twice) * F.when(hole, -1.0).otherwise(1.0)
         around = perimeter(ring)
-        return _let(corners(F.transform(edges, step), way), lambda c: of(F.abs(twice) / 2, around, c))
+        return let(corners(F.transform(edges, step), way), lambda c: of(F.abs(twice) / 2, around, c))
 
     def of(own: Column, around: Column, corner: Column) -> Column:
         grown = around * by + by * by * corner
         left = F.when((corner < 0) & (-2 * by * corner >= around), 0.0).otherwise(F.greatest(own - grown, F.lit(0.0)))
         return F.when(hole, -left).otherwise(own + grown)
 
-    return _let(long, whole)
+    return let(long, whole)
 
 
 def grown_area(shape: Column | str, by: float) -> Column:
     """Area of a shape grown by a distance: a strip along each edge, a sector at each corner that points outwards, and at each that points inwards what two strips
     share taken off once. Right as long as the grown edges meet their neighbours only; a hole shrinks and may close."""
-    return F.aggregate(_c(shape), F.lit(0.0), lambda t, s: t + _let(s, lambda v: _grown_ring(v["ring"], v["hole"], by)))
+    return F.aggregate(_c(shape), F.lit(0.0), lambda t, s: t + let(s, lambda v: _grown_ring(v["ring"], v["hole"], by)))
 
 
 def clip_polyline(points: Column | str, x0, y0, x1, y1) -> Column:
@@ -207,7 +220,7 @@ def clip_polyline(points: Column | str, x0, y0, x1, y1) -> Column:
     def step(state: Column, e: Column) -> Column:
         lo, hi = clip(e["x1"], e["y1"], e["x2"], e["y2"], *box)
         at = lambda f, whole: F.when(f == (1.0 if whole else 0.0), point(e["x2" if whole else "x1"], e["y2" if whole else "y1"])).otherwise(point(e["x1"] + f * (e["x2"] - e["x1"]), e["y1"] + f * (e["y2"] - e["y1"])))
-        return _let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda c: _next(state, e, c, at))
+        return let(F.struct(lo.alias("lo"), hi.alias("hi")), lambda c: _next(state, e, c, at))
 
     def _next(state: Column, e: Column, c: Column, at) -> Column:
         inside, still = c["hi"] > c["lo"], (e["x1"] == e["x2"]) & (e["y1"] == e["y2"])
@@ -249,23 +262,29 @@ def perimeter(ring: Column | str) -> Column:
 
 def centroid(ring: Column | str) -> Column:
     """struct<x, y> of a simple ring with an area."""
-    edges = _edges(_c(ring))
     cross = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    twice = F.aggregate(edges, F.lit(0.0), lambda s, e: s + cross(e))
-    x = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["x1"] + e["x2"]) * cross(e)) / (3 * twice)
-    y = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["y1"] + e["y2"]) * cross(e)) / (3 * twice)
-    return F.struct(x.alias("x"), y.alias("y"))
+
+    def sums(edges: Column) -> Column:
+        start = F.struct(*[F.lit(0.0).alias(k) for k in ("t", "x", "y")])
+        add = lambda s, e: F.struct((s["t"] + cross(e)).alias("t"), (s["x"] + (e["x1"] + e["x2"]) * cross(e)).alias("x"), (s["y"] + (e["y1"] + e["y2"]) * cross(e)).alias("y"))
+        return F.aggregate(edges, start, add, lambda s: F.struct((s["x"] / (3 * s["t"])).alias("x"), (s["y"] / (3 * s["t"])).alias("y")))
+
+    return sums(_edges(_c(ring)))
 
 
 def inner_point(ring: Column | str) -> Column:
     """A point inside a ring: its centroid if that is inside, else the middle of the widest inner span at half height."""
-    ring = _c(ring)
-    c = centroid(ring)
-    low, high = F.array_min(F.transform(ring, lambda p: p["y"])), F.array_max(F.transform(ring, lambda p: p["y"]))
-    y = (low + high) / 2
-    cuts = F.array_sort(F.transform(F.filter(_edges(ring), lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    spans = F.transform(F.sequence(F.lit(0), F.greatest((F.size(cuts) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct((F.get(cuts, 2 * i + 1) - F.get(cuts, 2 * i)).alias("w"), ((F.get(cuts, 2 * i + 1) + F.get(cuts, 2 * i)) / 2).alias("x")))
-    return F.when(in_ring(c["x"], c["y"], ring), c).otherwise(F.struct(F.array_max(spans)["x"].alias("x"), y.alias("y")))
+
+    def middle(r: Column, y: Column) -> Column:
+        cuts = F.array_sort(F.transform(F.filter(_edges(r), lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
+        spans = lambda c: F.transform(F.sequence(F.lit(0), F.greatest((F.size(c) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct((F.get(c, 2 * i + 1) - F.get(c, 2 * i)).alias("w"), ((F.get(c, 2 * i + 1) + F.get(c, 2 * i)) / 2).alias("x")))
+        return F.struct(F.array_max(let(cuts, spans))["x"].alias("x"), y.alias("y"))
+
+    def of(r: Column, c: Column) -> Column:
+        level = (F.array_min(F.transform(r, lambda p: p["y"])) + F.array_max(F.transform(r, lambda p: p["y"]))) / 2
+        return F.when(in_ring(c["x"], c["y"], r), c).otherwise(let(level, lambda y: middle(r, y)))
+
+    return let(_c(ring), lambda r: let(centroid(r), lambda c: of(r, c)))
 
 
 def line_key(points: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteselect.functions import geo
-from siteselect.operators.scratch import keep
+from siteselect.operators.scratch import dealt, keep
 
 
 def point_in_cell(points: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
@@ -57,25 +57,25 @@ def lines_in_cells(segments: DataFrame, grid: DataFrame, size: float = 500.0) ->
 
 
 def shape_pieces(shapes: DataFrame, size: float, shape: str = "shape") -> DataFrame:
-    """shapes with each cell (cx, cy) that they overlap by an area, and their part in it as `piece`.
+    """shapes with each cell (cx, cy) that they overlap by an area, their part in it as `piece`, and its area_m2.
 
     A shape is cut into the columns of cells that it spans, each part's own height then names its cells, so that a long slanting shape does not visit
-    all cells of its box. Null and empty shapes and those without an area have no pieces.
+    all cells of its box. What lies in one column or cell is not cut. Null and empty shapes and those without an area have no pieces.
     """
-
-    def cells(along: str, of: str) -> Column:
-        low, high = geo.extent(of, along)
-        return F.when(high > low, F.sequence(F.floor(low / size), F.ceil(high / size) - 1))
-
-    strips = shapes.withColumn("cx", F.explode(cells("x", shape))).withColumn("piece", geo.clip_shape(shape, x0=F.col("cx") * size, x1=(F.col("cx") + 1) * size))
-    cut = strips.withColumn("cy", F.explode(cells("y", "piece"))).withColumn("piece", geo.clip_shape("piece", y0=F.col("cy") * size, y1=(F.col("cy") + 1) * size))
-    return cut.where(geo.shape_area("piece") > 0)
+    strip = lambda of, cx: F.struct(cx.alias("cx"), geo.clip_shape(of, x0=cx * size, x1=(cx + 1) * size).alias("piece"))
+    piece = lambda of, cy: F.struct(cy.alias("cy"), of.alias("piece"), geo.shape_area(of).alias("area_m2"))
+    cut = lambda of, cy: geo.let(geo.clip_shape(of, y0=cy * size, y1=(cy + 1) * size), lambda q: piece(q, cy))
+    columns = lambda of: geo.let(geo.cells_along(of, "x", size), lambda n: F.when(F.size(n) == 1, F.array(F.struct(n[0].alias("cx"), of.alias("piece")))).otherwise(F.transform(n, lambda cx: strip(of, cx))))
+    rows = lambda of: geo.let(geo.cells_along(of, "y", size), lambda n: F.when(F.size(n) == 1, F.array(piece(of, n[0]))).otherwise(F.transform(n, lambda cy: cut(of, cy))))
+    strips = dealt(shapes).withColumn("_strip", F.explode(geo.let(F.col(shape), columns)))
+    pieces = strips.withColumn("_piece", F.explode(geo.let(F.col("_strip.piece"), rows))).where("_piece.area_m2 > 0")
+    own = [c for c in shapes.columns if c not in ("cx", "cy", "piece", "area_m2")]
+    return pieces.select(*own, "_strip.cx", "_piece.cy", "_piece.piece", "_piece.area_m2")
 
 
 def shapes_in_cells(shapes: DataFrame, grid: DataFrame, size: float = 500.0, shape: str = "shape") -> DataFrame:
     """shapes with the grid_id of each cell that they overlap, their `piece` in it and its area_m2."""
-    met = shape_pieces(shapes, size, shape).join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
-    return met.withColumn("area_m2", geo.shape_area("piece"))
+    return shape_pieces(shapes, size, shape).join(grid.select("grid_id", "cx", "cy"), ["cx", "cy"])
 
 
 def polylines_in_tiles(lines: DataFrame, tiles: DataFrame, size: float, points: str = "points") -> DataFrame:

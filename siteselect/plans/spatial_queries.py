@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siteselect.functions import clean, geo
 from siteselect.operators import features, grid, joins
 from siteselect.operators.ranks import percentile_scores
-from siteselect.operators.scratch import keep
+from siteselect.operators.scratch import dealt, keep
 from siteselect.plans.catalog import Tables, query
 
 CENTRES = "centre AS (SELECT grid_id, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM $grid)"
@@ -331,7 +331,7 @@ def _(t):
 @query("g5_centroid", "SELECT point_id, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x0 + x1) / 2 AS px, (y0 + y1) / 2 AS py FROM $parking".replace("(x0 + x1) / 2", "round((x0 + x1) / 2, 4)").replace("(y0 + y1) / 2", "round((y0 + y1) / 2, 4)"))
 def _(t):
     c, p = geo.centroid(ring()), geo.inner_point(ring())
-    return t("parking").select("point_id", *[F.round(v, 4).alias(k) for k, v in (("cx", c["x"]), ("cy", c["y"]), ("px", p["x"]), ("py", p["y"]))])
+    return dealt(t("parking")).select("point_id", *[F.round(v, 4).alias(k) for k, v in (("cx", c["x"]), ("cy", c["y"]), ("px", p["x"]), ("py", p["y"]))])
 
 
 @query("g7_bounds_and_quadrants", "WITH b AS (SELECT min(x) AS ax, min(y) AS ay, max(x) AS bx, max(y) AS by_ FROM $poi), m AS (SELECT *, (ax + bx) / 2 AS mx, (ay + by_) / 2 AS my FROM b) SELECT 0 AS quadrant, ax AS min_x, ay AS min_y, mx AS max_x, my AS max_y FROM m UNION ALL SELECT 1, mx, ay, bx, my FROM m UNION ALL SELECT 2, ax, my, mx, by_ FROM m UNION ALL SELECT 3, mx, my, bx, by_ FROM m")

@@ -188,3 +188,22 @@ def test_pixels_inside_a_boundary_and_their_mass_in_cells(spark):
     assert {k: v[0] for k, v in got.items()} == pytest.approx(by_cell)
     assert all(d == pytest.approx(v / (25 * 25 / 1e6)) for v, d in got.values())
     assert features.masked(pixels, frame.limit(0), 9.0).count() == 0
+
+
+def test_shapes_of_one_file_are_cut_in_many_tasks(spark, tmp_path):
+    from siteselect.plans import catalog
+
+    catalog.load()
+    rows = [(k, shape([(k, k), (k + 30, k), (k + 30, k + 30)])) for k in range(64)]
+    spark.createDataFrame(rows, f"k int, shape {SHAPE}").coalesce(1).write.parquet(str(tmp_path / "shapes"))
+    pieces = joins.shape_pieces(spark.read.parquet(str(tmp_path / "shapes")), 20.0)
+    assert pieces.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert pieces.agg(F.sum("area_m2")).first()[0] == pytest.approx(64 * 450)
+    assert catalog.QUERIES["g5_centroid"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_an_inner_point_is_worked_out_once(spark):
+    one = spark.range(1).select(geo.ring_of(*BENT).alias("r")).select(geo.inner_point("r").alias("p"))
+    plan = one._jdf.queryExecution().analyzed().toString()
+    assert plan.count("aggregate(") <= 3
+    assert not inside(*one.first()["p"], [[(3, 3), (7, 3), (7, 10), (3, 10)]])
