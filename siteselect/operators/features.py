@@ -7,13 +7,14 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siteselect.functions import clean, geo
 from siteselect.operators import joins, ranks
-from siteselect.operators.scratch import keep
+from siteselect.operators.scratch import dealt, keep
 
 
 def road_features(segments: DataFrame, grid: DataFrame, size: float = 500.0) -> DataFrame:
@@ -34,74 +35,131 @@ def parking_local(parking: DataFrame, grid: DataFrame, size: float = 500.0) -> D
     return grid.select("grid_id").join(sums, "grid_id", "left").select("grid_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("parking_count", "capacity_sum", "capacity_records")])
 
 
-def polygon_union_area(rings: Sequence[np.ndarray], owners: Sequence[int] | None = None) -> float:
-    """Area of a union of polygons: slabs between all corners and crossings; within one, spans end on straight lines, so the middle
-    length times the height is exact. Rings of one owner are one polygon, a ring inside another a hole; without owners each ring is one."""
-    edges = np.concatenate([np.concatenate((r, np.roll(r, -1, axis=0)), axis=1) for r in rings])
-    owner = np.repeat(np.arange(len(rings)) if owners is None else np.asarray(owners), [len(r) for r in rings])
-    ys = set(edges[:, 1].tolist())
+def _swept(edges: np.ndarray, owner: np.ndarray, box: tuple[float, float, float, float]) -> float:
+    """Area in a box of the union of polygons, each given by all its edges: slabs between all corners, crossings and places where an edge leaves the box; within one,
+    spans end on straight lines, so the middle length times the height is exact."""
+    x0, y0, x1, y1 = box
+    near = (np.minimum(edges[:, 1], edges[:, 3]) < y1) & (np.maximum(edges[:, 1], edges[:, 3]) > y0)
+    edges, owner = edges[near], owner[near]
     d = edges[:, 2:] - edges[:, :2]
-    for i in range(len(edges)):
-        cross = d[i, 0] * d[i + 1 :, 1] - d[i, 1] * d[i + 1 :, 0]
-        gap = edges[i + 1 :, :2] - edges[i, :2]
+    ys = [np.array([y0, y1]), edges[:, 1], edges[:, 3]]
+    slanted = d[:, 0] != 0
+    for side in (x0, x1):
+        ys.append(edges[slanted, 1] + (side - edges[slanted, 0]) * d[slanted, 1] / d[slanted, 0])
+    for n in range(0, len(edges), 256):
+        a, da = edges[n : n + 256, None, :2], d[n : n + 256, None]
+        cross = da[..., 0] * d[None, :, 1] - da[..., 1] * d[None, :, 0]
+        gap = edges[None, :, :2] - a
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = (gap[:, 0] * d[i + 1 :, 1] - gap[:, 1] * d[i + 1 :, 0]) / cross
-            u = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / cross
-        hit = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        ys |= set((edges[i, 1] + t[hit] * d[i, 1]).tolist())
-    levels = np.array(sorted(ys))
-    total = 0.0
-    for low, high in zip(levels[:-1], levels[1:], strict=True):
-        mid = (low + high) / 2
+            t = (gap[..., 0] * d[None, :, 1] - gap[..., 1] * d[None, :, 0]) / cross
+            u = (gap[..., 0] * da[..., 1] - gap[..., 1] * da[..., 0]) / cross
+        i, j = np.nonzero((cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1))
+        ys.append(edges[n + i, 1] + t[i, j] * d[n + i, 1])
+    levels = np.unique(np.concatenate(ys))
+    levels = levels[(levels >= y0) & (levels <= y1)]
+    steep = d[:, 1] != 0
+    edges, owner, d = edges[steep], owner[steep], d[steep]
+    if not len(edges):
+        return 0.0
+    same = owner[:, None] == owner[None, :]
+    first = np.arange(len(edges))[:, None] > np.arange(len(edges))[None, :]
+    total, at_once = 0.0, max(1, 2_000_000 // len(edges) ** 2)
+    for n in range(0, len(levels) - 1, at_once):
+        low, high = levels[n : n + at_once + 1][:-1], levels[n : n + at_once + 1][1:]
+        mid = ((low + high) / 2)[:, None]
         on = (edges[:, 1] > mid) != (edges[:, 3] > mid)
-        if not on.any():
-            continue
-        x = edges[on, 0] + (mid - edges[on, 1]) * d[on, 0] / d[on, 1]
-        spans = []
-        for o in np.unique(owner[on]):
-            cut = np.sort(x[owner[on] == o])
-            spans += list(zip(cut[::2], cut[1::2], strict=False))
-        end, length = -np.inf, 0.0
-        for a, b in sorted(spans):
-            length += max(0.0, b - max(a, end))
-            end = max(end, b)
-        total += length * (high - low)
+        x = edges[:, 0] + (mid - edges[:, 1]) * d[:, 0] / d[:, 1]
+        before = (x[:, None, :] < x[:, :, None]) | ((x[:, None, :] == x[:, :, None]) & first)
+        opens = ((before & same & on[:, None, :]).sum(axis=2) % 2) == 0
+        step = np.where(on, np.where(opens, 1, -1), 0)
+        x = np.where(on, np.clip(x, x0, x1), x1)
+        # where spans touch, those that begin come first, so that none is open twice or closed early
+        order = np.lexsort((-step, x), axis=1)
+        x, depth = np.take_along_axis(x, order, axis=1), np.cumsum(np.take_along_axis(step, order, axis=1), axis=1)
+        total += float((((x[:, 1:] - x[:, :-1]) * (depth[:, :-1] > 0)).sum(axis=1) * (high - low)).sum())
     return total
 
 
+#: Polygons whose edges meet a box before it is swept, and how often a box is cut in two at most for having more.
+SWEPT, HALVINGS = 8, 24
+
+
+def _union_in_box(edges: np.ndarray, owner: np.ndarray, box: tuple[float, float, float, float], halvings: int) -> float:
+    """Area in a box of the union of polygons. One that has no edge in the box covers it or is not there; what has is swept if it is little, else
+    the box is cut in two at the middle one of the corners in it, so that sides which many polygons share fall on a box's side."""
+    x0, y0, x1, y1 = box
+    meets = (np.minimum(edges[:, 0], edges[:, 2]) < x1) & (np.maximum(edges[:, 0], edges[:, 2]) > x0) & (np.minimum(edges[:, 1], edges[:, 3]) < y1) & (np.maximum(edges[:, 1], edges[:, 3]) > y0)
+    cx, cy = (x0 + x1) / 2, (y0 + y1) / 2
+    dx, dy = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+    meets &= np.abs(dx * (cy - edges[:, 1]) - dy * (cx - edges[:, 0])) <= (np.abs(dx) * (y1 - y0) + np.abs(dy) * (x1 - x0)) * (0.5 + 1e-9)
+    size = int(owner.max()) + 1 if len(owner) else 0
+    inside_box = np.bincount(owner[meets], minlength=size) > 0
+    up = np.flatnonzero((edges[:, 1] > cy) != (edges[:, 3] > cy))
+    e = edges[up]
+    right = cx < e[:, 0] + (cy - e[:, 1]) * (e[:, 2] - e[:, 0]) / (e[:, 3] - e[:, 1])
+    odd = np.bincount(owner[up[right]], minlength=size) % 2 == 1
+    if (odd & ~inside_box).any():
+        return (x1 - x0) * (y1 - y0)
+    count = int(inside_box.sum())
+    if not count:
+        return 0.0
+    held = inside_box[owner]
+    edges, owner = edges[held], (np.cumsum(inside_box) - 1)[owner[held]]
+    if count <= SWEPT or not halvings:
+        return _swept(edges, owner, box)
+    near = edges[meets[held]]
+    xs, ys = near[:, [0, 2]].ravel(), near[:, [1, 3]].ravel()
+    xs, ys = xs[(xs > x0) & (xs < x1)], ys[(ys > y0) & (ys < y1)]
+    across = len(xs) > len(ys) if len(xs) != len(ys) else x1 - x0 >= y1 - y0
+    corners = xs if across else ys
+    cut = float(np.partition(corners, len(corners) // 2)[len(corners) // 2]) if len(corners) else cx if across else cy
+    halves = ((x0, y0, cut, y1), (cut, y0, x1, y1)) if across else ((x0, y0, x1, cut), (x0, cut, x1, y1))
+    return sum(_union_in_box(edges, owner, part, halvings - 1) for part in halves)
+
+
+def polygon_union_area(rings: Sequence[np.ndarray], owners: Sequence[int] | None = None) -> float:
+    """Area of a union of polygons. Rings of one owner are one polygon, a ring inside another a hole; without owners each ring is one."""
+    edges = np.concatenate([np.concatenate((r, np.roll(r, -1, axis=0)), axis=1) for r in rings]).astype(float)
+    each = np.arange(len(rings)) if owners is None else np.unique(np.asarray(owners), return_inverse=True)[1]
+    owner = np.repeat(each, [len(r) for r in rings])
+    low, high = edges[:, :2].min(axis=0), edges[:, :2].max(axis=0)
+    return _union_in_box(edges, owner, (float(low[0]), float(low[1]), float(high[0]), float(high[1])), HALVINGS)
+
+
 #: A cell with more pieces than this is cut finer, into as many parts as leave each about that many.
-CROWDED = 64
+CROWDED = 2048
 
 
 def union_area_in_cells(shapes: DataFrame, grid: DataFrame, size: float = 500.0, shape: str = "shape") -> DataFrame:
     """(grid_id, area_m2, area_ratio): ground of a cell that polygons cover, overlaps once and holes not at all; the ratio to 6 digits.
 
-    Each cell's pieces are swept in one group. Equal pieces count once, a piece that covers its cell stands for all of them, and a cell with more than
-    CROWDED pieces is cut into finer ones first, so that groups stay small where objects lie close together; only what lies on one spot stays together.
+    Each cell's pieces are one group, cut in two again and again until a part is covered by one of them or few have edges there. Equal pieces count once, a piece that
+    covers its cell stands for all of them, and a cell with more than CROWDED pieces is cut into finer ones first, so that groups stay small where objects lie close
+    together; only what lies on one spot stays together.
     """
     met = joins.shapes_in_cells(shapes.select(shape), grid, size, shape).select("grid_id", "cx", "cy", "piece", "area_m2").distinct()
     met = keep(met)
     cells = met.groupBy("grid_id").agg(F.count("*").alias("n"), F.max("area_m2").alias("most"))
     full = F.col("most") >= size * size * (1 - 1e-12)
     whole = cells.where(full).select("grid_id", F.lit(float(size * size)).alias("area_m2"))
-    open_ = met.drop("area_m2").join(cells.where(~full).select("grid_id", F.ceil(F.sqrt(F.col("n") / CROWDED)).cast("int").alias("parts")), "grid_id")
-    side = F.lit(float(size)) / F.col("parts")
-    finer = open_.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    halved = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / CROWDED) / 2))
+    open_ = met.drop("area_m2").join(cells.where(~full).select("grid_id", F.pow(F.lit(2.0), halved).cast("long").alias("parts")), "grid_id")
+    side, parts = F.lit(float(size)) / F.col("parts"), F.col("parts")
+    spans = [F.explode(F.when(parts == 1, F.array(F.lit(0).cast("long"))).otherwise(geo.cells_along("piece", along, side, F.col(c) * size, F.lit(0).cast("long"), parts - 1))) for along, c in (("x", "cx"), ("y", "cy"))]
+    finer = open_.withColumn("i", spans[0]).withColumn("j", spans[1])
     x, y = F.col("cx") * size + F.col("i") * side, F.col("cy") * size + F.col("j") * side
-    touches = lambda along, low: (geo.extent("piece", along)[1] > low) & (geo.extent("piece", along)[0] < low + side)
-    finer = finer.where((F.col("parts") == 1) | (touches("x", x) & touches("y", y)))
-    part = F.when(F.col("parts") == 1, F.col("piece")).otherwise(geo.clip_shape("piece", x, y, x + side, y + side))
-    dealt = finer.select("grid_id", "i", "j", part.alias("piece")).where(F.size("piece") > 0).distinct()
+    part = F.when(parts == 1, F.col("piece")).otherwise(geo.clip_shape("piece", x, y, x + side, y + side))
+    groups = dealt(finer.select("grid_id", "i", "j", part.alias("piece")).distinct().where(F.size("piece") > 0), "grid_id", "i", "j")
 
     def run(table: pa.Table) -> pa.Table:
-        rings, owners = [], []
-        for n, piece in enumerate(table.column("piece").to_pylist()):
-            for part in piece:
-                rings.append(np.array([(p["x"], p["y"]) for p in part["ring"]]))
-                owners.append(n)
+        pieces = table.column("piece").combine_chunks()
+        ring = pieces.flatten().field("ring")
+        places = np.stack([ring.flatten().field(c).to_numpy() for c in ("x", "y")], axis=1)
+        rings = np.split(places, np.cumsum(pc.list_value_length(ring).to_numpy())[:-1])
+        owners = np.repeat(np.arange(len(pieces)), pc.list_value_length(pieces).to_numpy())
         return pa.table({"grid_id": table.column("grid_id")[:1], "area_m2": [polygon_union_area(rings, owners)]})
 
-    swept = dealt.groupBy("grid_id", "i", "j").applyInArrow(run, "grid_id string, area_m2 double").groupBy("grid_id").agg(F.sum("area_m2").alias("area_m2"))
+    swept = groups.groupBy("grid_id", "i", "j").applyInArrow(run, "grid_id string, area_m2 double").groupBy("grid_id").agg(F.sum("area_m2").alias("area_m2"))
     out = grid.select("grid_id", "cell_area_m2").join(whole.unionByName(swept), "grid_id", "left").withColumn("area_m2", F.coalesce("area_m2", F.lit(0.0)))
     return out.select("grid_id", "area_m2", F.round(F.col("area_m2") / F.col("cell_area_m2"), 6).alias("area_ratio"))
 

@@ -190,6 +190,19 @@ def test_pixels_inside_a_boundary_and_their_mass_in_cells(spark):
     assert features.masked(pixels, frame.limit(0), 9.0).count() == 0
 
 
+def test_crowded_ground_is_swept_by_few_polygons_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    rings, covered = [], np.zeros((100, 100), dtype=bool)
+    for x, y in rng.integers(0, 60, (12, 2)):  # many boxes share a corner
+        for w, h in rng.integers(2, 40, (25, 2)):
+            rings.append(np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float))
+            covered[x : x + w, y : y + h] = True
+    swept, most = features._swept, []
+    monkeypatch.setattr(features, "_swept", lambda edges, owner, box: most.append(len(set(owner.tolist()))) or swept(edges, owner, box))
+    assert features.polygon_union_area(rings) == covered.sum()
+    assert max(most) <= features.SWEPT
+
+
 def test_shapes_of_one_file_are_cut_in_many_tasks(spark, tmp_path):
     from siteselect.plans import catalog
 
