@@ -114,55 +114,79 @@ def within_radius(centres: DataFrame, points: DataFrame, radius: float, cols: Se
     return left.join(around, ["kx", "ky"]).withColumn("d2", dx * dx + dy * dy).where(F.col("d2") <= radius * radius).drop("kx", "ky", *(() if place else ("px", "py")))
 
 
-def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, rounds: int = 40, max_distance: float | None = None) -> DataFrame:
-    """(centre_id, point_id, distance): the nearest point of each centre, ties to the smallest point_id; null if there are no points or the centre has no
-    coordinates. Points without coordinates are passed over.
+def _nearest_places(centres: DataFrame, points: DataFrame, start: float | None = None, rounds: int = 40, max_distance: float | None = None) -> DataFrame:
+    """(x, y, point_id, distance): the nearest point of each place of the centres; no row for a place without one.
 
-    Searches squares that double from round to round, from the mean spacing of the points on (or `start`, if that is larger); a centre is done when it has a point
-    within the side of the squares. Only those that are not done go on, so that the large squares are asked by few; each round ends in a written table.
+    Centres and points of one place are taken together. A round asks twice: for the shortest distance, a number that pairs are added up to without being sorted, and for
+    the points at it.
     """
-    points = points.where("x is not null and y is not null")
-    box = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("a", F.min), ("b", F.max))]).first()
+    places = keep(dealt(points.where("x is not null and y is not null").select("point_id", "x", "y"), "x", "y").groupBy("x", "y").agg(F.min("point_id").alias("point_id")))
+    box = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("a", F.min), ("b", F.max))]).first()
     if not box["n"]:
-        return centres.select("centre_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("distance"))
+        return places.withColumn("distance", F.lit(None).cast("double"))
     spacing = math.sqrt((box["bx"] - box["ax"]) * (box["by"] - box["ay"]) / box["n"])
     size = max(spacing, start or 0.0) or 1.0
-    found, open_ = None, keep(centres.where("x is not null and y is not null").select("centre_id", "x", "y"))
+    found, open_ = None, keep(dealt(centres.where("x is not null and y is not null").select("x", "y"), "x", "y").distinct())
     for _ in range(rounds):
-        best = within_radius(open_, points, size).groupBy("centre_id").agg(F.min(F.struct(F.col("d2"), F.col("point_id"))).alias("b"))
-        done = keep(best.select("centre_id", F.col("b.point_id").alias("point_id"), F.sqrt("b.d2").alias("distance")))
+        bounds = keep(within_radius(open_, places, size).groupBy("x", "y").agg(F.min("d2").alias("bound")))
+        met = within_radius(bounds, places, size).where("d2 <= bound")
+        done = keep(met.groupBy("x", "y").agg(F.min("point_id").alias("point_id"), F.sqrt(F.min("d2")).alias("distance")))
         found = done if found is None else found.unionByName(done)
-        open_ = keep(open_.join(done.select("centre_id"), "centre_id", "left_anti"))
+        open_ = keep(open_.join(done.select("x", "y"), ["x", "y"], "left_anti"))
         size *= 2
         if open_.isEmpty() or (max_distance and size > 2 * max_distance):
-            break
-    else:
-        raise RuntimeError(f"centres without a nearest point after {rounds} rounds")
-    return centres.select("centre_id").join(found, "centre_id", "left")
+            return found
+    raise RuntimeError(f"centres without a nearest point after {rounds} rounds")
+
+
+def nearest(centres: DataFrame, points: DataFrame, start: float | None = None, rounds: int = 40, max_distance: float | None = None) -> DataFrame:
+    """(centre_id, point_id, distance): the nearest point of each centre, ties to the smallest point_id; null if there are no points or the centre has no
+    coordinates. Points without coordinates are passed over.
+
+    Searches squares that double from round to round, from the mean spacing of the points on (or `start`, if that is larger); a centre is done when it has a point
+    within the side of the squares. Only those that are not done go on, so that the large squares are asked by few; each round ends in a written table.
+    """
+    found = _nearest_places(centres, points, start, rounds, max_distance)
+    return centres.select("centre_id", "x", "y").join(found, ["x", "y"], "left").select("centre_id", "point_id", "distance")
+
+
+#: Segments in a cell, and cells of a segment, between which the first cells of a search for lines are chosen.
+FULL, CUTS = 64, 8
 
 
 def nearest_line(centres: DataFrame, segments: DataFrame, start: float = 500.0, rounds: int = 40, digits: int = 6) -> DataFrame:
     """(centre_id, line_id, distance): the nearest segment (line_id, x1, y1, x2, y2) of each centre, ties at so many digits to the smallest line_id; null without segments
     or for a centre without coordinates. Segments without coordinates are passed over.
 
-    A segment stands under the cells that it crosses, a centre asks its own and the eight round it, so that all segments within a cell's side are met. Centres that find none so
-    near go on with cells of twice the side.
+    A segment stands under the cells that it crosses. A centre asks its own cell how near the nearest there is, a number that pairs are added up to without being sorted, and then
+    the cells that a circle so wide touches for the segments that are no farther. Centres whose cell has none go on with cells of four times the side, and ask the eight round theirs, too. Where segments lie close, the first
+    cells are smaller than `start`, until they hold FULL segments or cut one of the mean length into about CUTS parts.
     """
-    segments = segments.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null")
-    if segments.isEmpty():
+    segments = segments.where("x1 is not null and y1 is not null and x2 is not null and y2 is not null").select("line_id", "x1", "y1", "x2", "y2")
+    segments = keep(dealt(segments))
+    low, high = (lambda c: F.min(F.least(f"{c}1", f"{c}2"))), (lambda c: F.max(F.greatest(f"{c}1", f"{c}2")))
+    extent = F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))
+    box = segments.agg(F.count("*").alias("n"), F.avg(extent).alias("extent"), *[(high(c) - low(c)).alias(c) for c in ("x", "y")]).first()
+    if not box["n"]:
         return centres.select("centre_id", F.lit(None).cast(segments.schema["line_id"].dataType).alias("line_id"), F.lit(None).cast("double").alias("distance"))
     found, open_, size = None, keep(centres.where("x is not null and y is not null").select("centre_id", "x", "y")), start
-    for _ in range(rounds):
-        cx, cy = geo.cell_index("x", "y", size)
-        asks = open_.withColumn("cx", F.explode(F.sequence(cx - 1, cx + 1))).withColumn("cy", F.explode(F.sequence(cy - 1, cy + 1)))
-        met = asks.join(_crossed(segments.select("line_id", "x1", "y1", "x2", "y2"), size), ["cx", "cy"])
-        best = met.groupBy("centre_id").agg(F.min(F.struct(F.round(geo.to_segment("x", "y", "x1", "y1", "x2", "y2"), digits).alias("d"), F.col("line_id"))).alias("b"))
-        done = keep(best.where(F.col("b.d") < size - 10.0**-digits).select("centre_id", F.col("b.line_id").alias("line_id"), F.col("b.d").alias("distance")))
+    while size > box["extent"] / CUTS and box["n"] * (size + box["extent"]) * size > FULL * box["x"] * box["y"] > 0:
+        size /= 2
+    distance, reach = F.round(geo.to_segment("x", "y", "x1", "y1", "x2", "y2"), digits), F.col("bound") + 10.0**-digits
+    for n in range(rounds):
+        lines, (cx, cy), round_ = _crossed(segments, size), geo.cell_index("x", "y", size), min(n, 1)
+        first = open_.withColumn("cx", F.explode(F.sequence(cx - round_, cx + round_))).withColumn("cy", F.explode(F.sequence(cy - round_, cy + round_)))
+        bounds = keep(first.join(lines, ["cx", "cy"]).groupBy("centre_id").agg(F.min(distance).alias("bound")))
+        span = lambda c, size=size: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
+        asks = open_.join(bounds, "centre_id").withColumn("cx", span("x")).withColumn("cy", span("y"))
+        met = asks.join(lines, ["cx", "cy"]).withColumn("d", distance).where("d <= bound")
+        best = met.groupBy("centre_id").agg(F.min(F.struct("d", "line_id")).alias("b"))
+        done = keep(best.select("centre_id", F.col("b.line_id").alias("line_id"), F.col("b.d").alias("distance")))
         found = done if found is None else found.unionByName(done)
         open_ = keep(open_.join(done.select("centre_id"), "centre_id", "left_anti"))
         if open_.isEmpty():
             return centres.select("centre_id").join(found, "centre_id", "left")
-        size *= 2
+        size *= 4
     raise RuntimeError(f"centres without a nearest line after {rounds} rounds")
 
 
@@ -184,9 +208,8 @@ def nearest_shape(centres: DataFrame, shapes: DataFrame, start: float = 500.0, d
 def compared(points: DataFrame, reference: DataFrame, radius: float) -> DataFrame:
     """points (point_id, x, y, ...) with the nearest point of a reference, its distance and whether it is a duplicate: matched_id, distance, duplicate. Nearest at any distance,
     so that near misses can be looked at; null without coordinates or reference, which is no duplicate."""
-    near = nearest(points.select(F.col("point_id").alias("centre_id"), "x", "y"), reference).toDF("_id", "matched_id", "distance")
-    once = near.dropDuplicates(["_id"])
-    met = points.join(once, F.col("point_id") == F.col("_id"), "left").drop("_id")
+    near = _nearest_places(points, reference).withColumnRenamed("point_id", "matched_id")
+    met = points.join(near, ["x", "y"], "left").select(*points.columns, "matched_id", "distance")
     return met.withColumn("duplicate", F.coalesce(F.col("distance") <= radius, F.lit(False)))
 
 

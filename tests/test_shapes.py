@@ -220,3 +220,22 @@ def test_an_inner_point_is_worked_out_once(spark):
     plan = one._jdf.queryExecution().analyzed().toString()
     assert plan.count("aggregate(") <= 3
     assert not inside(*one.first()["p"], [[(3, 3), (7, 3), (7, 10), (3, 10)]])
+
+
+def test_nearest_adds_pairs_up_without_sorting_them(spark, monkeypatch):
+    rng = random.Random(8)
+    lines = [(k, rng.uniform(0, 1000), rng.uniform(0, 1000)) for k in range(400)]
+    lines = [(k, x, y, x + rng.uniform(-90, 90), y + rng.uniform(-90, 90)) for k, x, y in lines] + [(900, 5000.0, 5000.0, 5000.0, 5400.0)]
+    spots = [(i, rng.uniform(-300, 1300), rng.uniform(-300, 1300)) for i in range(120)] + [(200, 4900.0, 5200.0)]
+    centres = spark.createDataFrame(spots, "centre_id int, x double, y double")
+    plans, written = [], joins.keep
+    monkeypatch.setattr(joins, "keep", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    got = {r["centre_id"]: (r["line_id"], r["distance"]) for r in joins.nearest_line(centres, spark.createDataFrame(lines, "line_id int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    for i, x, y in spots:
+        d, k = min((round(edge_distance(x, y, [[(a, b), (c, d)]]), 6), k) for k, a, b, c, d in lines)
+        assert got[i][0] == k and got[i][1] == pytest.approx(d, abs=2e-6)
+    points = spark.createDataFrame([(k, float(k % 7 * 100), float(k % 5 * 100)) for k in range(1, 200)], "point_id int, x double, y double")
+    near = {r["centre_id"]: r["point_id"] for r in joins.nearest(centres, points).collect()}
+    assert near == {i: min((math.hypot(x - k % 7 * 100, y - k % 5 * 100), k) for k in range(1, 200))[1] for i, x, y in spots}
+    shortest = [p for p in plans if "min(round(" in p or "min(d2#" in p and "min(point_id" not in p]
+    assert shortest and not any("SortAggregate" in p for p in shortest)
