@@ -137,11 +137,21 @@ def candidate_csv_header(columns: Sequence[str] = CANDIDATE) -> str:
     return BOM + ",".join(f'"{c}"' for c in columns)
 
 
+def _headed(head: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    return run
+
+
 def candidate_csv(candidates: DataFrame, path: str, columns: Sequence[str] = CANDIDATE) -> None:
-    """One text file of a shortlist, which has a few dozen rows: the marked header, then the rows by selection_rank, which candidates must have."""
+    """The list as text, by selection_rank, which candidates must have: part files in order, each a file of its own with the marked header, so that they are written and read
+    apart. What fits one partition, as a shortlist does, is one file."""
     rows = candidates.select(F.concat_ws(",", *[_quoted(c) for c in columns]).alias("value"), F.col("selection_rank").cast("long").alias("at"))
-    head = candidates.sparkSession.createDataFrame([(candidate_csv_header(columns), -1)], "value string, at long")
-    head.unionByName(rows).orderBy("at").select("value").coalesce(1).write.text(path, compression="none")
+    lines = rows.orderBy("at").select("value").mapInArrow(_headed(candidate_csv_header(columns)), "value string")
+    lines.write.option("maxRecordsPerFile", 0).mode("overwrite").text(path, compression="none")
 
 
 def fold_outputs(rows: DataFrame, blocks: DataFrame, path: str) -> None:

@@ -114,3 +114,22 @@ def test_rules_of_shortlists_registries_and_totals(spark):
     got = {r["rule"]: r["violations"] for r in checks.registry(stations, sockets).collect()}
     assert got == {"AC and DC above the declared total": 1, "declared total differs": 1, "socket without station": 1, "socket_count differ from the whole": 2}
     assert [r["violations"] for r in checks.classes(stations.selectExpr("0 as t"), "t").collect()] == [0, 1]
+
+
+def test_large_candidate_lists_are_written_in_parts(spark, tmp_path):
+    """One task wrote the one file, however large the list was."""
+    rows = spark.range(400).selectExpr("400 - id AS selection_rank", "concat('C \"', id, '\"') AS grid_id").repartition(5)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sinks.candidate_csv(rows, str(tmp_path / "many"), ["selection_rank", "grid_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sinks.candidate_csv(rows, str(tmp_path / "one"), ["selection_rank", "grid_id"])
+    expected = [f'"{i}","C ""{400 - i}"""' for i in range(1, 401)]
+    for folder, least, most in (("many", 2, 5), ("one", 1, 1)):
+        files = [p.read_text(encoding="utf-8").splitlines() for p in sorted((tmp_path / folder).glob("part-*"))]
+        assert least <= len(files) <= most and all(f[0] == '﻿"selection_rank","grid_id"' for f in files)
+        assert [line for f in files for line in f[1:]] == expected
+    read = spark.read.schema("selection_rank long, grid_id string").csv(str(tmp_path / "many"), header=True, escape='"', enforceSchema=True)
+    assert {(r[0], r[1]) for r in read.collect()} == {(400 - i, f'C "{i}"') for i in range(400)}
