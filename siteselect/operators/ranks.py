@@ -55,22 +55,50 @@ def quantiles(df: DataFrame, column: str, probabilities: Mapping[str, float], by
     return counts.groupBy(*by).agg(*[at(p).alias(k) for k, p in probabilities.items()])
 
 
+#: Counts of values that go to every task, for all names together; values a task ranks, at most, where they are more.
+HELD, DEALT = 1 << 18, 1 << 21
+
+
 def with_places(df: DataFrame, values: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
     """df with {name}_same, {name}_below and {name}_n of each value, within groups of equal `by`; nulls have nulls.
 
-    All values come from df itself: its rows are numbered and written, their values stand in one long table of (row, name, value), which meets the counts of
-    values in one join by name and value. The places of a row gather in a partial aggregate, so that one row for each of df's goes back to it; the
-    plan does not grow with the number of values.
+    All values come from df itself: its rows are numbered and written, their values stand in one long table of (row, name, value) and are counted. Counts of names
+    with few values go to every task, and rows look them up where they are. Values of other names meet their counts by name and value and go back to their rows,
+    in as many parts as there are values to rank (DEALT in each), so that a task's share does not grow; they travel one by one and are made wide where their row is.
     """
     rows = keep(df.withColumn("_row", F.monotonically_increasing_id()))
-    by = list(by)
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), v.cast("double").alias("_value")) for i, v in enumerate(values.values())]))
-    group = F.struct(F.lit(0), *by).alias("_by")  # a struct, so that nulls in it are equal
-    long = rows.select("_row", group, each.alias("v")).select("_row", "_by", "v.*").where("_value is not null")
-    counts = keep(prefix_counts(long, "_value", ["_name", "_by"]))
-    met = long.join(counts, ["_name", "_by", "_value"]).groupBy("_row")
-    wide = met.agg(*[F.max(F.when(F.col("_name") == i, F.col(c))).alias(f"{name}_{c}") for i, name in enumerate(values) for c in ("same", "below", "n")])
-    return rows.join(wide, "_row", "left").drop("_row")
+    keys = ["_name", *(["_by"] if by else [])]
+    group = [F.struct(F.lit(0), *by).alias("_by")] if by else []  # a struct, so that nulls in it are equal
+
+    def long(of: Sequence[int]) -> DataFrame:
+        columns = list(values.values())
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("_name"), columns[i].cast("double").alias("_value")) for i in of]))
+        return rows.select("_row", *group, each.alias("v")).select("_row", *keys[1:], "v.*").where("_value is not null")
+
+    counts = keep(prefix_counts(long(range(len(values))), "_value", keys))
+    sizes = {r["_name"]: (r["kinds"], r["rows"]) for r in counts.groupBy("_name").agg(F.count("*").alias("kinds"), F.sum("same").alias("rows")).collect()}
+    held, room = [], HELD
+    for i, (kinds, _) in sorted(sizes.items(), key=lambda x: x[1]):
+        if kinds <= room:
+            held.append(i)
+            room -= kinds
+    out = rows
+    for i, (name, value) in enumerate(values.items()):
+        if i in sizes and i in held:
+            own = counts.where(F.col("_name") == i).select(*[F.col(k).alias(f"_{k}") for k in keys[1:]], F.col("_value").alias("_at"), *[F.col(c).alias(f"{name}_{c}") for c in ("same", "below", "n")])
+            on = value.cast("double") == F.col("_at")
+            out = out.join(F.broadcast(own), on & (group[0] == F.col("__by")) if by else on, "left").drop("_at", "__by")
+        elif i not in sizes:  # nulls alone
+            out = out.withColumns({f"{name}_{c}": F.lit(None).cast("long") for c in ("same", "below", "n")})
+    many = [i for i in sizes if i not in held]
+    if many:
+        parts = max(stretches(df), math.ceil(sum(sizes[i][1] for i in many) / DEALT))
+        on = [*keys, "_value"]
+        met = long(many).repartition(parts, *on).join(counts.where(F.col("_name").isin(many)).repartition(parts, *on), on).select("_row", "_name", "same", "below", "n")
+        names = list(values)
+        wide = met.repartition(parts, "_row").groupBy("_row").agg(*[F.max(F.when(F.col("_name") == i, F.col(c))).alias(f"{names[i]}_{c}") for i in many for c in ("same", "below", "n")])
+        out = out.join(wide, "_row", "left")
+    return out.select(*df.columns, *places(list(values)))
 
 
 def places(names: Sequence[str]) -> list[str]:
@@ -81,7 +109,7 @@ def places(names: Sequence[str]) -> list[str]:
 def with_ranks(df: DataFrame, column: str, by: Sequence[str] = (), prefix: str | None = None) -> DataFrame:
     """df with {prefix}_same, {prefix}_below and {prefix}_n of its value; nulls have nulls."""
     prefix = prefix or column
-    counts = prefix_counts(df, column, by).withColumnsRenamed({"same": f"{prefix}_same", "below": f"{prefix}_below", "n": f"{prefix}_n", column: f"_{prefix}"})
+    counts = keep(prefix_counts(df, column, by)).withColumnsRenamed({"same": f"{prefix}_same", "below": f"{prefix}_below", "n": f"{prefix}_n", column: f"_{prefix}"})
     on = [F.col(f"_{prefix}") == F.col(column).cast("double")]
     if by:
         counts = counts.withColumnsRenamed({b: f"_by_{b}" for b in by})

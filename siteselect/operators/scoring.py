@@ -72,6 +72,11 @@ def components(df: DataFrame, pilot: bool = False) -> DataFrame:
     return keep(df.withColumn("suitability_score", F.sqrt(F.col("feasibility_score") * F.col("need_score"))))
 
 
+#: What `components` reads.
+INPUTS = (
+    "distance_to_main_road_m", "main_road_length_m", "main_road_segment_count", "road_density_km_per_km2", "distance_to_nearest_parking_m", "parking_count_within_1000m", "parking_area_m2",
+    "distance_to_nearest_charging_station_m", "charging_station_count_within_2000m", "ac_station_count_within_1000m", "dc_station_count_within_1000m",
+)
 COMPONENTS = (*ACCESSIBILITY, *PARKING, *INFRASTRUCTURE_GAP, *TECHNOLOGY_GAP, *FEASIBILITY, *NEED, "suitability_score")
 
 
@@ -112,15 +117,16 @@ def explain_extremes() -> Column:
     return F.concat(F.format_string("Feasibility %.1f/100; need %.1f/100. Strengths: ", F.col("feasibility_score"), F.col("need_score")), one(1), F.lit(", "), one(2), F.lit(". Main constraint: "), one(len(LABELS)), F.lit("."))
 
 
-def consensus(df: DataFrame, models: Sequence[str], suitability: str | None = None) -> DataFrame:
-    """Row-wise median, minimum, maximum, spread and counts of percentile columns; the rank of the median; its lead over another percentile."""
+def consensus(df: DataFrame, models: Sequence[str], suitability: str | None = None, ranked: bool = True) -> DataFrame:
+    """Row-wise median, minimum, maximum, spread and counts of percentile columns; if `ranked`, the rank of the median; its lead over another percentile."""
     ordered = F.array_sort(F.array(*[F.col(m) for m in models]))
     k = len(models)
     middle = F.element_at(ordered, k // 2 + 1) if k % 2 else (F.element_at(ordered, k // 2) + F.element_at(ordered, k // 2 + 1)) / 2
     over = lambda t: sum(((F.col(m) >= t).cast("int") for m in models[1:]), (F.col(models[0]) >= t).cast("int"))
     out = df.withColumns({"consensus_median": middle, "consensus_min": F.element_at(ordered, 1), "consensus_max": F.element_at(ordered, -1), "models_top_20": over(80.0), "models_top_10": over(90.0)})
     out = out.withColumns({"consensus_spread": F.col("consensus_max") - F.col("consensus_min"), "at_least_two": F.col("models_top_20") >= 2, "all_models": F.col("models_top_20") == k})
-    out = ranks.with_ranks(out, "consensus_median", (), "_m").withColumn("consensus_rank", ranks.rank_min("_m")).drop("_m_same", "_m_below", "_m_n")
+    if ranked:
+        out = ranks.with_ranks(out, "consensus_median", (), "_m").withColumn("consensus_rank", ranks.rank_min("_m")).drop("_m_same", "_m_below", "_m_n")
     return out.withColumn("consensus_minus_suitability", F.col("consensus_median") - F.col(suitability)) if suitability else out
 
 

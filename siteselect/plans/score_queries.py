@@ -76,7 +76,7 @@ PHRASES = """concat(CASE WHEN acc >= 70 AND par >= 70 THEN 'strong road accessib
 
 @query("p7_suitability_province", f"WITH {SCORED}, r AS (SELECT *, {pct('suit')} AS p, rank() OVER (ORDER BY suit DESC) AS k FROM scored) SELECT grid_id, {sixes(PROVINCE)}, k AS suitability_rank, round(p, 6) AS suitability_percentile, {BAND.format(p='p')} AS priority_band, {PHRASES} AS score_explanation FROM r")
 def _(t):
-    s = scoring.suitability_province(t("candidate"), digits=None)
+    s = scoring.suitability_province(t("candidate").select("grid_id", *scoring.INPUTS), digits=None)
     return s.select("grid_id", *[F.round(c, 6).alias(c) for c in (*PROVINCE.values(), "suitability_percentile")], "suitability_rank", "priority_band", "score_explanation")
 
 
@@ -85,7 +85,7 @@ LONG_BAND = BAND.replace("'A'", "'A - Highest priority'").replace("'B'", "'B - H
 
 @query("p8_suitability_pilot", f"WITH {SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY suitb DESC, grid_id) AS k, count(*) OVER () AS n FROM scored), p AS (SELECT *, (n - k) / (n - 1) * 100.0 AS p FROM r) SELECT grid_id, {sixes(PILOT)}, k AS suitability_rank, round(p, 6) AS suitability_percentile, {LONG_BAND.format(p='p')} AS priority_band FROM p")
 def _(t):
-    s = scoring.suitability_pilot(t("candidate"), digits=None)
+    s = scoring.suitability_pilot(t("candidate").select("grid_id", *scoring.INPUTS), digits=None)
     return s.select("grid_id", *[F.round(c, 6).alias(c) for c in (*PILOT.values(), "suitability_percentile")], "suitability_rank", "priority_band")
 
 
@@ -124,7 +124,7 @@ def percentiles(t: Tables):
 
 @query("p13_consensus", f"WITH p AS (SELECT *, {PERC} FROM $candidate WHERE target = 0), c AS (SELECT grid_id, list_sort([p1, p2, p3]) AS l, CAST(p1 >= 80 AS INTEGER) + CAST(p2 >= 80 AS INTEGER) + CAST(p3 >= 80 AS INTEGER) AS a, CAST(p1 >= 90 AS INTEGER) + CAST(p2 >= 90 AS INTEGER) + CAST(p3 >= 90 AS INTEGER) AS b FROM p) SELECT grid_id, round(l[2], 5) AS consensus_median, round(l[1], 5) AS consensus_min, round(l[3], 5) AS consensus_max, a AS models_top_20, b AS models_top_10, a >= 2 AS at_least_two, a = 3 AS all_models FROM c")
 def _(t):
-    out = scoring.consensus(percentiles(t), ["p1", "p2", "p3"])
+    out = scoring.consensus(percentiles(t), ["p1", "p2", "p3"], ranked=False)
     return out.select("grid_id", *[F.round(c, 5).alias(c) for c in ("consensus_median", "consensus_min", "consensus_max")], "models_top_20", "models_top_10", "at_least_two", "all_models")
 
 
@@ -382,7 +382,8 @@ SUPPORT = f"p AS (SELECT *, {PERC} FROM $candidate WHERE target = 0), s AS (SELE
 
 @query("x11_support_metrics", f"WITH {SUPPORT}, m AS ({metric_sql('consensus_median', 'suitability_score', (), (1, 5, 10))}), b AS (SELECT * FROM s ORDER BY suitability_score DESC, grid_id LIMIT 20) SELECT m.*, (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM s WHERE k >= 2) AS two_plus, (SELECT count(*) FROM s WHERE k = 3) AS all_models, (SELECT round(median(spread), 6) FROM b) AS top_spread, (SELECT count(*) FROM b WHERE k >= 2) AS top_two_plus, (SELECT count(*) FROM b WHERE k = 3) AS top_all_models, (SELECT count(*) FROM b WHERE k10 >= 2) AS top_two_plus_10 FROM m")
 def _(t):
-    c = keep(scoring.consensus(percentiles(t), ["p1", "p2", "p3"]).withColumn("suitability_score", F.col("m1") * 100))
+    c = scoring.consensus(percentiles(t), ["p1", "p2", "p3"], ranked=False).withColumn("suitability_score", F.col("m1") * 100)
+    c = keep(c.select("grid_id", "suitability_score", "consensus_median", "consensus_spread", "at_least_two", "all_models", "models_top_10"))
     m = rounded_metrics(stats.score_metrics(c, ["consensus_median"], "suitability_score", fractions=(0.01, 0.05, 0.1)))
     every = c.agg(F.count("*").alias("n"), F.sum(F.col("at_least_two").cast("long")).alias("two_plus"), F.sum(F.col("all_models").cast("long")).alias("all_models"))
     best = c.orderBy(F.desc("suitability_score"), "grid_id").limit(20).agg(F.round(F.median("consensus_spread"), 6).alias("top_spread"), F.sum(F.col("at_least_two").cast("long")).alias("top_two_plus"), F.sum(F.col("all_models").cast("long")).alias("top_all_models"), F.sum((F.col("models_top_10") >= 2).cast("long")).alias("top_two_plus_10"))
