@@ -191,9 +191,9 @@ def train(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
 
 
 class _Words(dict):
-    """Word to its row in the score table, for one batch after another; emptied when full."""
+    """Word to its row in the score table, for one batch after another; emptied when full. New words are scored PART at a time: scoring holds some 3 kB for each."""
 
-    LIMIT = 200_000
+    LIMIT, PART = 100_000, 4_096
 
     def __init__(self, model: Model) -> None:
         super().__init__()
@@ -207,11 +207,11 @@ class _Words(dict):
             self.clear()
             self.chars, self.scores = np.zeros(0), np.zeros((0, len(self.model.langs)))
             fresh = list({w for t in texts for w in t})
-        for at in range(0, len(fresh), 50_000):
-            part = fresh[at : at + 50_000]
-            chars, scores = self.model.bits(part)
-            self.update(zip(part, range(len(self.chars), len(self.chars) + len(part)), strict=True))
-            self.chars, self.scores = np.concatenate((self.chars, chars)), np.concatenate((self.scores, scores))
+        made = [self.model.bits(fresh[at : at + self.PART]) for at in range(0, len(fresh), self.PART)]
+        if made:
+            self.update(zip(fresh, range(len(self.chars), len(self.chars) + len(fresh)), strict=True))
+            self.chars = np.concatenate((self.chars, *(chars for chars, _ in made)))
+            self.scores = np.concatenate((self.scores, *(scores for _, scores in made)))
         return [np.fromiter(map(self.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
 
 

@@ -23,7 +23,8 @@ BANDS, ROWS = 24, 4
 #: Rounds in which buckets are compared with their earliest document only. What is undecided then falls apart into groups that share buckets; groups up to
 #: GROUP_DOCS documents and GROUP_SHINGLES shingles are settled in a task each, and for larger ones such rounds go on.
 LEADER_ROUNDS, GROUP_DOCS, GROUP_SHINGLES = 5, 4096, 8_000_000
-_CHUNK = 4096
+#: Words whose hashes a task keeps; shingles whose minima are taken at a time.
+WORDS, _CHUNK = 100_000, 1024
 
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,7 +50,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, cls, bands): `row` is a hash of the text, so that rows of one id stay apart unless they are equal; cls one of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = WordHashes(WORDS)
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(2).to_pylist()]
             classes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
@@ -75,7 +76,7 @@ def _sets(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> Dat
     """(cls, set): the shingle hashes of the classes in firsts (cls, first), read from the text of their first rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = WordHashes(WORDS)
         for batch in batches:
             sets = [shingles(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cls", "set"])

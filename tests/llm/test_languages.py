@@ -86,3 +86,22 @@ def test_without_labels_all_is_undetermined(spark, docs):
     frame = docs(["some words"], langs=[None])
     assert [r["lang_pred"] for r in languages.predict(frame, languages.fit(frame)).collect()] == ["und"]
     assert languages.predict(frame.where("doc_id < 0"), languages.fit(frame)).count() == 0
+
+
+def test_new_words_are_scored_in_small_parts():
+    """However many new words a batch brings, what scoring holds at a time is bounded, and each word keeps its own scores."""
+    asked = []
+
+    class Model:
+        langs = ["a", "b"]
+
+        def bits(self, words):
+            asked.append(len(words))
+            return np.array([len(w) for w in words], float), np.array([[int(w[1:]), -int(w[1:])] for w in words], float)
+
+    words = languages._Words(Model())
+    for low in (0, 15_000, 90_000):
+        texts = [[f"w{i}" for i in range(low, low + 20_000)], [], [f"w{low}"]]
+        for text, rows in zip(texts, words.rows(texts), strict=True):
+            assert words.scores[rows].tolist() == [[int(w[1:]), -int(w[1:])] for w in text] and words.chars[rows].tolist() == [len(w) for w in text]
+    assert max(asked) <= 4096 and sum(asked) == 55_000
