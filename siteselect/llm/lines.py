@@ -16,6 +16,8 @@ TOKEN = r"[^ \t\r\n]"
 NUM, DEN = 4, 5
 #: Buckets of the token counts that order tokens by rarity, and bits of the sets of texts and lines that verification reads.
 BUCKETS, FILTER_BITS = 1 << 18, 1 << 22
+#: Lines of more tokens have twice as many parities; bytes of a file's dictionary of token hashes.
+LONG, DICTIONARY = 96, 8 << 20
 #: Slices of the prefix tokens that the pair join takes one after the other, so that its shuffle needs so much less disk at a time.
 SLICES = 2
 
@@ -39,20 +41,31 @@ def _each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return plain.select("id", "row", F.posexplode(F.split("plain", "\n")).alias("line_no", "line"))
 
 
-def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row with an array: for each bucket of token hashes, how many binary digits its count over all texts has. Its size is fixed."""
-    each = docs.select(F.explode(F.split(F.replace(_plain(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("token"))
-    counts = each.groupBy(F.xxhash64("token").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    classes = every.join(counts, "bucket", "left").select("bucket", F.length(F.bin(F.coalesce("n", F.lit(0)))).cast("tinyint").alias("digits"))
-    return keep(classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digits"))), lambda x: x["digits"]).alias("digits")), "rarity")
+def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, line_no, cls, cls2, words): each line with a token; two hashes of its token set, which name its class; and the hashes of its tokens, sorted.
+
+    Texts are cut into tokens here alone: what orders tokens and what looks for matches reads the hashes. Repeated ones are written once, as places in a dictionary.
+    """
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split("line", " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    each = _each(docs, id_col, text_col).select("id", "row", "line_no", F.sort_array(hashes).alias("words")).where(F.size("words") > 0)
+    named = (F.xxhash64("words").alias("cls"), F.xxhash64(F.lit(1), F.col("words")).alias("cls2"))
+    return keep(each.select("id", "row", "line_no", *named, "words"), "lines", options={"parquet.dictionary.page.size": DICTIONARY})
+
+
+def _rarity(hashed: DataFrame) -> DataFrame:
+    """One row with an array: for each bucket of token hashes, how many binary digits the number of lines with its tokens has, in the high bits of a long. Its size is fixed."""
+    each = hashed.select(F.explode("words").alias("word"))
+    counts = each.groupBy(F.col("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+    every = hashed.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
+    high = F.shiftleft(F.length(F.bin(F.coalesce("n", F.lit(0)))).cast("long"), 57)
+    classes = every.join(counts, "bucket", "left").select("bucket", high.alias("high"))
+    return keep(classes.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "high"))), lambda x: x["high"]).alias("high")), "rarity")
 
 
-def _signature(line: Column, digits: Column) -> Column:
-    """The line's tokens as longs in one order for all lines: rare ones first (by their bucket's count), then by hash."""
-    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
-    digit = lambda h: F.coalesce(F.get(digits, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("tinyint"))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(digit(h).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))))
+def _signature(words: Column, high: Column) -> Column:
+    """Token hashes as longs in one order for all lines: rare ones first (by their bucket's count), then by hash."""
+    of = lambda h: F.coalesce(F.get(high, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(words, lambda h: of(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def _least_overlap(n: Column) -> Column:
@@ -60,21 +73,21 @@ def _least_overlap(n: Column) -> Column:
     return F.floor((n * NUM + (DEN - 1)) / DEN).cast("int")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, line_no, cls, cls2, n, bits0, bits1, prefix): each line with a token; its class, two hashes of its token set; and the tokens of its prefix.
+def _lines(hashed: DataFrame) -> DataFrame:
+    """(id, row, line_no, cls, cls2, n, bits0, bits1, prefix): each line with its class, its number of tokens and the tokens of its prefix.
 
     A line and any match of it share a token among their prefixes, the n - ceil(0.8 n) + 1 rarest tokens of each. Prefix tokens
-    are kept as 31 bits; two that collide only add a candidate. bits0 and bits1 are 128 parities of the token hashes: a token that only
-    one of two lines has changes one of them, so they bound the difference of the sets from below.
+    are kept as 31 bits; two that collide only add a candidate. bits0 has 64 parities of the token hashes: a token that only one of two lines has
+    changes one of them, so they bound the difference of the sets from below. Lines of more than LONG tokens have 128: bits1 has those of one half of the hashes.
     """
-    digits = _rarity(docs, text_col)
-    each = _each(docs, id_col, text_col).where(F.trim("line") != "").withColumn("digits", digits.scalar())
-    signed = each.select("id", "row", "line_no", _signature(F.col("line"), F.col("digits")).alias("sig")).withColumn("n", F.size("sig"))
+    ordered = hashed.withColumn("high", _rarity(hashed).scalar())
+    signed = ordered.select("id", "row", "line_no", "cls", "cls2", _signature(F.col("words"), F.col("high")).alias("sig")).withColumn("n", F.size("sig"))
     prefix = F.slice("sig", F.lit(1), F.col("n") - _least_overlap(F.col("n")) + 1)
     flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
-    half = lambda k: F.aggregate("sig", F.lit(0).cast("long"), lambda a, t: F.when(t.bitwiseAND(64) == 64 * k, flip(a, t)).otherwise(a)).alias(f"bits{k}")
-    named = (F.xxhash64("sig").alias("cls"), F.xxhash64(F.lit(1), F.col("sig")).alias("cls2"))
-    return keep(signed.select("id", "row", "line_no", *named, "n", half(0), half(1), F.transform(prefix, lambda t: t.bitwiseAND((1 << 31) - 1).cast("int")).alias("prefix")), "lines")
+    none = F.lit(0).cast("long")
+    half = F.aggregate("sig", none, lambda a, t: F.when(t.bitwiseAND(64) == 64, flip(a, t)).otherwise(a))
+    bits = (F.aggregate("sig", none, flip).alias("bits0"), F.when(F.col("n") > LONG, half).otherwise(none).alias("bits1"))
+    return signed.select("id", "row", "line_no", "cls", "cls2", "n", *bits, F.transform(prefix, lambda t: t.bitwiseAND((1 << 31) - 1).cast("int")).alias("prefix"))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
@@ -94,8 +107,9 @@ def _shared(na: Column, nb: Column) -> Column:
 def _spare(a: str, b: str) -> Column:
     """Tokens that two sets (the prefixes of their columns) may still differ by, going by sizes and parities; a match has 0 or more."""
     na, nb = _size(a), _size(b)
-    differ = [F.bit_count(F.col(f"{a}bits{k}").bitwiseXOR(F.col(f"{b}bits{k}"))) for k in (0, 1)]
-    return na + nb - 2 * _shared(na, nb) - differ[0] - differ[1]
+    every, half = (F.col(f"{a}bits{k}").bitwiseXOR(F.col(f"{b}bits{k}")) for k in (0, 1))
+    differ = F.when((na > LONG) & (nb > LONG), F.bit_count(half) + F.bit_count(every.bitwiseXOR(half))).otherwise(F.bit_count(every))
+    return na + nb - 2 * _shared(na, nb) - differ
 
 
 def _posts(classes: DataFrame) -> DataFrame:
@@ -127,10 +141,11 @@ def _leaders(classes: DataFrame) -> DataFrame:
     """(a, b): for each class the earlier one that is most likely to match among those that come first under one of its prefix tokens, if any may. Copies of one
     line nearly all find their first here, so that the join below need not pair them with each other."""
     posts = _short(_posts(classes.withColumn("done", F.lit(False))))
-    first = posts.groupBy("key").agg(F.min(F.struct("ord", "num", "at", "bits0", "bits1")).alias("l"))
-    met = posts.join(first, "key").where(F.col("l.num") != F.col("num")).withColumn("spare", _spare("", "l."))
-    best = met.where("spare >= 0").groupBy("num").agg(F.max(F.struct("spare", "l.num")).alias("l"))
-    return keep(best.select(F.col("l.num").alias("a"), F.col("num").alias("b")), "leaders")
+    # of equal places all columns take the same row; hashing their fixed widths spares the sorts that a least struct takes
+    first = posts.groupBy("key").agg(*[F.min_by(c, "ord").alias(f"l_{c}") for c in ("num", "at", "bits0", "bits1")])
+    met = posts.join(first, "key").where(F.col("l_num") != F.col("num")).withColumn("spare", _spare("", "l_"))
+    best = met.where("spare >= 0").groupBy("num").agg(F.max_by("l_num", "spare").alias("a"))
+    return keep(best.select("a", F.col("num").alias("b")), "leaders")
 
 
 def _candidates(classes: DataFrame, done: DataFrame) -> DataFrame:
@@ -202,8 +217,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Equal sets form a class and enter the join once, however many lines there are.
     """
     docs = docs.select(id_col, text_col).where(F.col(text_col).isNotNull())
-    lines = _lines(docs, id_col, text_col)
-    classes = _classes(lines)
+    hashed = _hashed(docs, id_col, text_col)
+    classes = _classes(_lines(hashed))
     near = _later(docs, id_col, text_col, classes, _leaders(classes))
     rest = _later(docs, id_col, text_col, classes, _candidates(classes, near))
     matched = near.union(rest).distinct().withColumn("near", F.lit(True))
@@ -211,7 +226,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     changed = classes.select("num", "cls", "cls2", "first", "more").join(matched, "num", "left").where(F.col("more") | F.col("near"))
     earliest = changed.select("cls", "cls2", F.when(F.col("near").isNull(), F.col("first")).alias("stays"))
     place = F.struct("id", "row", "line_no")
-    gone = lines.select("cls", "cls2", "id", "row", "line_no").join(earliest, ["cls", "cls2"]).where(~place.eqNullSafe(F.col("stays")))
+    gone = hashed.select("cls", "cls2", "id", "row", "line_no").join(earliest, ["cls", "cls2"]).where(~place.eqNullSafe(F.col("stays")))
     return gone.groupBy("id", "row").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
@@ -223,8 +238,8 @@ def _with_removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, removed_lines) for each row; removed_lines are comma-joined. A null text has 0 lines."""
     gone = removals(docs, id_col, text_col).select(F.col("id").alias("_line_id"), F.col("row").alias("_line_row"), "removed")
-    count = F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
+    count = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"))) + 1
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"))
     joined = rows.join(gone, F.col("id").eqNullSafe(F.col("_line_id")) & (F.col("row") == F.col("_line_row")), "left")
     return joined.select("id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed_lines"))
 

@@ -56,3 +56,18 @@ def test_pipeline_stage_removes_repeated_lines_of_one_and_two_tokens(spark, docs
     texts = [f"Read more\nfirst words stand here\n{chinese}", f"read MORE\nother text is in this\n\n{chinese}", "more read", "alone", f"{chinese}\nalone again", "Alone\n\nthe end of all"]
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs(texts), "").collect()}
     assert kept == {0: texts[0], 1: "other text is in this\n", 3: "alone", 4: "alone again", 5: "\nthe end of all"}
+
+
+def test_texts_are_cut_into_tokens_once_and_long_lines_match(spark, docs, monkeypatch):
+    """Texts are read for their tokens, and again for the first lines that each of two verifications wants; lines about as long as LONG meet across it."""
+    rng = random.Random(12)
+    texts = []
+    for n in range(70, 130, 4):
+        words = [f"l{n}x{i}" for i in range(n)]
+        texts += [" ".join(words), " ".join(words[: rng.randint(n * 3 // 4, n - 1)]), " ".join([*words, *(f"m{n}x{i}" for i in range(rng.randint(1, n // 3)))])]
+    rng.shuffle(texts)
+    read = []
+    plain = lines._plain
+    monkeypatch.setattr(lines, "_plain", lambda text: read.append(1) or plain(text))
+    assert {r["id"]: set(r["removed"]) for r in lines.removals(docs(texts)).collect()} == brute(list(enumerate(texts)))
+    assert len(read) == 3
