@@ -135,3 +135,21 @@ def test_fits_have_all_cores_and_one_queue(spark, monkeypatch):
     out = ml.configurations(frame, {"one": ["a"]}, ["forest"], "y", [0, 1], (1, 2), options={"forest": {"trees": 1, "depth": 2}})
     assert taken == [4] and {r["seed"] for r in out.select("seed").distinct().collect()} == {1, 2}
     assert ml.out_of_fold(frame, ["a"], "y", "forest", [0, 1], trees=1, depth=2).count() == 80 and taken == [4, 2]
+
+
+@pytest.mark.parametrize("name", ["m20_feature_group_ablation", "m21_redundancy_sensitivity", "m22_incremental_value", "m25_m27_permutation_importance"])
+def test_studies_have_models_of_full_size(spark, monkeypatch, name):
+    """They had forests of 10 trees and 5 rounds of boosting."""
+
+    class Asked(Exception):
+        pass
+
+    def asked(rows, target, plans):
+        raise Asked([(m, ml.estimator(m, **options)) for _, m, _, options in plans])
+
+    monkeypatch.setattr(ml, "fitted_all", asked)
+    with pytest.raises(Asked) as caught:
+        catalog.QUERIES[name](spark, SF)
+    (models,) = caught.value.args
+    assert {m for m, _ in models} == {"forest", "boosting"}
+    assert all(e.getNumTrees() == 400 and e.getMaxDepth() == 12 if m == "forest" else e.getMaxIter() == 150 and e.getMaxDepth() == 4 for m, e in models)
