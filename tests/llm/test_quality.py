@@ -68,3 +68,23 @@ def test_without_labels_or_rows(spark, docs):
     rows = quality.classify(docs(["a b", None]), none).collect()
     assert {r["id"]: r["passes"] for r in rows} == {0: True, 1: False}
     assert quality.classify(docs(["a"]).where("doc_id < 0"), none).count() == 0
+
+
+def test_all_trusted_documents_train_but_those_that_calibrate(spark):
+    """About 6,000 trained at most, however many were trusted."""
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    rows = quality.trusted_ids(labels).collect()
+    assert len(rows) == 10_000 and abs(sum(r["trains"] for r in rows) - 8000) < 150
+
+
+def test_shards_answer_what_is_not_known_everywhere(spark, docs, monkeypatch):
+    rng = random.Random(11)
+    text = lambda: " ".join(f"w{min(rng.randint(0, 400), rng.randint(0, 400))}" for _ in range(rng.randint(1, 60)))
+    train = [text() for _ in range(150)] + [None]
+    texts = [text() for _ in range(80)] + [None, "never seen words w1", *train[:5]]
+    want = brute(train, texts)
+    for known, bits in (((0, 0), 6), ((20, 7), 3)):
+        monkeypatch.setattr(quality, "CACHED", known)
+        monkeypatch.setattr(quality, "SHARD_BITS", bits)
+        got = {r["id"]: r["bits"] for r in quality.perplexity(docs(texts).repartition(5), docs(train).repartition(7)).collect()}
+        assert len(got) == len(texts) and all((got[i] is None) == (b is None) and (b is None or math.isclose(got[i], b, rel_tol=1e-9)) for i, b in enumerate(want))
