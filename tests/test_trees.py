@@ -84,3 +84,39 @@ def test_nulls_and_other_classes_are_errors(spark):
         trees.fit_forests(frame.selectExpr("*", "cv_fold AS z"), "z", [(["a"], 0, forest)])
     with pytest.raises(ValueError, match="no rows"):
         trees.fit_forests(frame.where("cv_fold = 0"), "y", [(["a"], 0, forest)])
+
+
+def steps(spark, n=3000):
+    """Few values, all of which both implementations may split at."""
+    rng = np.random.default_rng(8)
+    x = np.clip(np.round(2 * rng.normal(size=(n, 3))), -8, 8)
+    y = (x[:, 0] * x[:, 1] + rng.normal(size=n) > 1).astype(int)
+    rows = [(f"g{i}", int(i % 5), int(t), *map(float, v)) for i, (t, v) in enumerate(zip(y, x, strict=True))]
+    return spark.createDataFrame(rows, "grid_id string, cv_fold int, y int, a double, b double, c double").repartition(3).cache()
+
+
+def test_boosting_equals_spark_mls(spark):
+    frame = steps(spark)
+    own = {0: ml.fitted_all(frame, "y", [(["a", "b", "c"], "boosting", 0, {"rounds": 8})])[0]}
+    theirs = {0: ml.fit(frame.where("cv_fold != 0"), ["a", "b", "c"], "y", "boosting", rounds=8)}
+    mine, spark_ml = ({r["grid_id"]: r["score"] for r in ml.score_folds(m, frame, "y", ["grid_id"]).collect()} for m in (own, theirs))
+    assert len(mine) == 600 and mine == pytest.approx(spark_ml, abs=1e-5)
+    assert own[0].importances == pytest.approx(theirs[0].stages[-1].featureImportances.toArray(), abs=1e-4)
+
+
+def test_boosting_of_all_plans_grows_in_one_pass_for_each_level(spark, monkeypatch):
+    """Each fit was one of Spark ML's, with its own jobs for each level. Where its rows are few, a task grows it alone; that, and how rows are dealt, changes nothing."""
+    frame, passes = steps(spark), []
+    plans = [(own, held, ml.estimator("boosting", rounds=5)) for own in (["a", "b", "c"], ["c", "a"]) for held in (0, 3, None)]
+    alone = trees.fit_boosting(frame, "y", plans)
+    monkeypatch.setattr(trees, "_tally", lambda shared, level, real=trees._tally: passes.append(level) or real(shared, level))
+    monkeypatch.setattr(trees, "LOCAL", 0)
+    monkeypatch.setattr(trees, "AFRESH", 2)
+    for direct, rows in ((64, frame), (1, frame.repartition(7))):
+        monkeypatch.setattr(trees, "DIRECT", direct)
+        passes.clear()
+        together = trees.fit_boosting(rows, "y", plans)
+        assert len(passes) <= 5 * 4 and set(passes) == {0, 1, 2, 3}
+        for one, other in zip(alone, together, strict=True):
+            assert len(one.trees) == 5 and one.features == other.features
+            assert all(np.array_equal(p, q) for a, b in zip(one.trees, other.trees, strict=True) for p, q in zip(a, b, strict=True))
