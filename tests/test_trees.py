@@ -120,3 +120,25 @@ def test_boosting_of_all_plans_grows_in_one_pass_for_each_level(spark, monkeypat
         for one, other in zip(alone, together, strict=True):
             assert len(one.trees) == 5 and one.features == other.features
             assert all(np.array_equal(p, q) for a, b in zip(one.trees, other.trees, strict=True) for p, q in zip(a, b, strict=True))
+
+
+def test_forests_are_the_same_by_passes_and_by_trees(spark, monkeypatch):
+    """Many trees on few rows took a pass over the rows for each level; rows that are alike were counted one by one."""
+    frame, passes = steps(spark), []
+    monkeypatch.setattr(trees, "_counting", lambda shared, level, real=trees._counting: passes.append(level) or real(shared, level))
+    plans = [(own, held, ml.estimator("forest", trees=3, seed=seed, depth=7, split="2")) for own, seed in ((["a", "b", "c"], 4), (["b"], 9)) for held in (1, None)]
+    ask = lambda: trees.fit_forests(frame, "y", plans)
+    passed = ask()
+    codes = np.array([[i % 3 for i in range(99)]], np.uint8)
+    kinds, own, y = trees._alike(codes, np.arange(99) % 2)
+    assert passes and own.shape == (1, 6) and np.array_equal(own[:, kinds], codes) and np.array_equal(y[kinds], np.arange(99) % 2)
+    passes.clear()
+    monkeypatch.setattr(trees, "MANY", 1)
+    alone = ask()
+    monkeypatch.setattr(trees, "_alike", lambda codes, y: None)
+    singly = ask()
+    assert not passes
+    for one, two, three in zip(passed, alone, singly, strict=True):
+        assert len(one.trees) == 3 and one.importances == pytest.approx(two.importances) and two.importances == pytest.approx(three.importances)
+        for a, b, c in zip(one.trees, two.trees, three.trees, strict=True):
+            assert all(np.array_equal(p, q) and np.array_equal(q, r) for p, q, r in zip(a, b, c, strict=True))
