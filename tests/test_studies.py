@@ -153,3 +153,16 @@ def test_studies_have_models_of_full_size(spark, monkeypatch, name):
     (models,) = caught.value.args
     assert {m for m, _ in models} == {"forest", "boosting"}
     assert all(e.getNumTrees() == 400 and e.getMaxDepth() == 12 if m == "forest" else e.getMaxIter() == 150 and e.getMaxDepth() == 4 for m, e in models)
+
+
+def test_shuffled_rows_are_scored_by_all_cores(spark):
+    """Merged shuffles left their models to few tasks."""
+    frame, _ = table(spark, 200)
+    models, parts = studies.fit_logistic(frame, {"m": ["a"]}, "y", range(5)), []
+
+    def score(rows, columns):
+        parts.append(rows.rdd.getNumPartitions())
+        return studies.score_logistic(rows, models, "y", columns)
+
+    assert studies.importance(frame, ["a"], score, repeats=2).count() == 2
+    assert parts[1] >= 3 * spark.sparkContext.defaultParallelism
